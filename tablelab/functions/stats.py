@@ -207,3 +207,48 @@ def hash_order(*cols: Column, seed: int = 42) -> Column:
     for i, c in enumerate(cols):
         acc = acc + c.cast("long") * F.lit(2 * i + 7)
     return F.pmod(acc * F.lit(2654435761) + F.lit(97), F.lit(1000003))
+
+
+def top_k_per_group(df: DataFrame, group: list[str], order: list[Column], k: int,
+                    salt_col: Column | None = None, salt_buckets: int = 16) -> DataFrame:
+    """Rows ranked 1..k per group by ``order`` (adds ``rank``).
+
+    Two stages so no window partition holds a whole group: first the top k
+    within (group, salt bucket), then the top k among the
+    ``k * salt_buckets`` survivors of each group.  ``order`` must be a total
+    order (end it with a unique key) for the result to be deterministic."""
+    salt = F.pmod(F.xxhash64(salt_col if salt_col is not None else F.struct(*df.columns)), F.lit(salt_buckets))
+    w1 = Window.partitionBy(*group, "_salt").orderBy(*order)
+    stage1 = (df.withColumn("_salt", salt).withColumn("_r1", F.row_number().over(w1))
+              .where(F.col("_r1") <= k).drop("_r1", "_salt"))
+    w2 = Window.partitionBy(*group).orderBy(*order)
+    return stage1.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k)
+
+
+def sample_key(cols: list[str], seed: int = 42, modulus: int = 1000003) -> Column:
+    """Deterministic pseudo-random sample order on non-negative integer keys,
+    replayable in any SQL engine: ``((seed + sum(k_i * (2i+7))) % m * 48271 + 11) % m``.
+    Intermediate values stay far below the 64-bit range."""
+    acc = F.lit(seed).cast("long")
+    for i, c in enumerate(cols):
+        acc = acc + F.pmod(q(c).cast("long"), F.lit(modulus)) * F.lit(2 * i + 7)
+    return F.pmod(F.pmod(acc, F.lit(modulus)) * F.lit(48271) + F.lit(11), F.lit(modulus))
+
+
+def sample_key_sql(cols: list[str], seed: int = 42, modulus: int = 1000003) -> str:
+    """The same key as DuckDB / ANSI SQL text."""
+    acc = " + ".join([str(seed)] + [f"({c} % {modulus}) * {2 * i + 7}" for i, c in enumerate(cols)])
+    return f"((({acc}) % {modulus}) * 48271 + 11) % {modulus}"
+
+
+def hash_sample(df: DataFrame, key: list[str], n: int, seed: int = 42) -> DataFrame:
+    """The n rows with the smallest sample key (ties broken by the key): a
+    distributed top-n, replayable by SQL."""
+    return df.orderBy(sample_key(key, seed), *[q(c) for c in key]).limit(n)
+
+
+def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Append the columns of a one-row frame (an aggregate result) to every row
+    of ``df``: a broadcast equi-join on a constant key."""
+    return (df.withColumn("_one", F.lit(1))
+            .join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one"))

@@ -80,11 +80,12 @@ def dtypes(df: DataFrame) -> DataFrame:
 # P4 / P5 / P19 missing, P6 duplicates, P7 memory
 # --------------------------------------------------------------------------
 
-def _one_row_long(row_df: DataFrame, cols: list[str], fields: list[str]) -> DataFrame:
-    """Turn a one-row frame with columns ``{field}{i}`` into (ordinal, column, field...)."""
+def _one_row_long(row_df: DataFrame, cols: list[str], fields: list[str], shared: list[str] = ()) -> DataFrame:
+    """Turn a one-row frame with columns ``{field}{i}`` into (ordinal, column,
+    shared..., field...)."""
     parts = []
     for i, c in enumerate(cols):
-        parts.append(F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("column"),
+        parts.append(F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("column"), *[F.col(s) for s in shared],
                               *[F.col(f"{fld}{i}").alias(fld) for fld in fields]))
     return row_df.select(F.explode(F.array(*parts)).alias("s")).select("s.*")
 
@@ -95,10 +96,9 @@ def missing_counts(df: DataFrame) -> DataFrame:
     cols = df.columns
     agg = df.agg(F.count(F.lit(1)).alias("n_rows"),
                  *[(F.count(F.lit(1)) - F.count(q(c))).alias(f"m{i}") for i, c in enumerate(cols)])
-    long = _one_row_long(agg.select("n_rows", *[F.col(f"m{i}") for i in range(len(cols))]), cols, ["m"])
-    n = agg.select("n_rows")
+    long = _one_row_long(agg, cols, ["m"], shared=["n_rows"])
     pct = F.round(F.try_divide(F.col("m").cast("double"), F.col("n_rows").cast("double")) * 100, 2)
-    return long.crossJoin(n).select(
+    return long.select(
         "ordinal", "column", "n_rows", F.col("m").cast("long").alias("n_missing"),
         pct.alias("missing_pct"),
         F.round((1 - F.try_divide(F.col("m").cast("double"), F.col("n_rows").cast("double"))) * 100, 2)
