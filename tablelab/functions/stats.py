@@ -102,12 +102,16 @@ def rank_table(vc: DataFrame, group: str | list[str] = "column", value: str = "x
         wv = Window.partitionBy(*groups).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
         ranked = vc.withColumn("cum_before", F.coalesce(F.sum("cnt").over(wv), F.lit(0)))
         return ranked.join(F.broadcast(totals.select(*groups, "n")), groups, "left")
-    probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    edges = vc.groupBy(*groups).agg(
-        F.percentile_approx(F.col(value).cast("double"), probs, 10 * buckets).alias("_edges"))
-    keyed = (vc.join(F.broadcast(edges), groups, "left")
-             .withColumn("_bucket", F.size(F.filter("_edges", lambda e: e < F.col(value).cast("double"))))
-             .drop("_edges"))
+    if isinstance(vc.schema[value].dataType, T.StringType):
+        # text: a short prefix orders the same way as the whole string
+        keyed = vc.withColumn("_bucket", F.substring(F.col(value), 1, 3))
+    else:
+        probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+        edges = vc.groupBy(*groups).agg(
+            F.percentile_approx(F.col(value).cast("double"), probs, 10 * buckets).alias("_edges"))
+        keyed = (vc.join(F.broadcast(edges), groups, "left")
+                 .withColumn("_bucket", F.size(F.filter("_edges", lambda e: e < F.col(value).cast("double"))))
+                 .drop("_edges"))
     btot = keyed.groupBy(*groups, "_bucket").agg(F.sum("cnt").alias("_bc"))
     wb = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = btot.withColumn("_off", F.coalesce(F.sum("_bc").over(wb), F.lit(0))).drop("_bc")
