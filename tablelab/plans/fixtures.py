@@ -94,6 +94,18 @@ FIXTURE_SQL = {
                         WHEN 8 THEN 'What is '
                         ELSE '' END, text) AS text
         FROM {conversations}""",
+    # assistant replies carrying JSON task plans (valid, empty, missing key, none, broken)
+    "plan_text": """
+        SELECT conv_id, turn,
+               CASE turn % 5
+                    WHEN 0 THEN concat('Plan follows. {{"tasks": [{{"agent": "data_analyst", "task": "summarise conversation ',
+                                       CAST(conv_id AS STRING), '", "priority": 1}}, {{"agent": "visualizer", "task": "plot turn ',
+                                       CAST(turn AS STRING), '", "priority": 2}}]}} Done.')
+                    WHEN 1 THEN '{{"tasks": []}}'
+                    WHEN 2 THEN concat('{{"note": "no tasks here"}} ', CAST(conv_id AS STRING))
+                    WHEN 3 THEN concat('no plan at all for ', CAST(conv_id AS STRING))
+                    ELSE concat('{{"tasks": [broken ', CAST(turn AS STRING), '}}') END AS text
+        FROM {conversations}""",
     # personal data at the start, in the middle, and none
     "pii_strings": """
         SELECT c_custkey, c_name,
@@ -136,7 +148,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table or a derived fixture as a Spark DataFrame."""
+    """A driver table or a derived fixture as a Spark DataFrame (literal
+    braces in fixture SQL are doubled, as ``spark.sql`` formats its text)."""
     if name in TABLES:
         return table(spark, sf_dir, name)
     text = FIXTURE_SQL[name]
@@ -148,7 +161,7 @@ def duck_fixture(name: str) -> str:
     """The same fixture as DuckDB SQL over the pre-registered views."""
     text = FIXTURE_SQL[name]
     text = _PLACEHOLDER.sub(lambda m: m.group(1), text)
-    return text.replace("AS STRING)", "AS VARCHAR)")
+    return text.replace("{{", "{").replace("}}", "}").replace("AS STRING)", "AS VARCHAR)")
 
 
 def with_fixtures(sql: str, *names: str) -> str:
