@@ -72,38 +72,34 @@ def group_totals(vc: DataFrame, group: str | list[str] = "column") -> DataFrame:
     return vc.groupBy(*groups).agg(F.sum("cnt").alias("n"), F.count(F.lit(1)).alias("nd"))
 
 
-def rank_table(vc: DataFrame, group: str | list[str] = "column", value: str = "x",
-               totals: DataFrame | None = None, max_distinct: int | None = None,
-               values_per_bucket: int = VALUES_PER_BUCKET) -> DataFrame:
-    """Exact ranks over value counts.
-
-    Input ``(group..., value, cnt)`` with one row per distinct value.  Output adds
-    ``cum_before`` (number of values strictly smaller in the group) and ``n``
-    (group total).
+def prefix_sums(vc: DataFrame, group: str | list[str] = "column", value: str = "x",
+                sum_cols: tuple[str, ...] = ("cnt",), max_distinct: int | None = None,
+                values_per_bucket: int = VALUES_PER_BUCKET) -> DataFrame:
+    """For each row of ``vc`` (one row per distinct ``value`` within a group)
+    add ``<c>_before`` = sum of ``c`` over the rows of the same group with a
+    smaller value, for every c in ``sum_cols``.
 
     A running sum over a whole group would put every distinct value of a
     column in one window partition.  When a group has more than
     ``values_per_bucket`` distinct values it is split into range buckets
-    (edges from ``approx_percentile`` of the distinct values); bucket totals
-    are prefix-summed on a small frame and added back, so the result stays
-    exact while each window partition holds about ``values_per_bucket``
-    values.  ``max_distinct`` (an estimate is enough, e.g. from
-    ``approx_count_distinct`` in an aggregate the caller runs anyway) decides
-    the bucket count; without it one small job measures it.  ``totals``
-    supplies ``(group..., n)`` when the caller already knows it.
-    """
+    (numbers: edges from ``approx_percentile`` of the distinct values; text: a
+    3-character prefix, which orders like the whole string); bucket totals are
+    prefix-summed on a small frame and added back, so the result stays exact
+    while each window partition holds about ``values_per_bucket`` values.
+    ``max_distinct`` (an estimate is enough, e.g. ``approx_count_distinct``
+    from an aggregate the caller runs anyway) decides the bucket count;
+    without it one small job measures it."""
     groups = [group] if isinstance(group, str) else list(group)
-    if totals is None:
-        totals = group_totals(vc, groups).select(*groups, "n")
     if max_distinct is None:
         max_distinct = vc.groupBy(*groups).count().agg(F.max("count")).first()[0] or 0
     buckets = max(1, math.ceil(max_distinct / values_per_bucket))
     if buckets == 1:
         wv = Window.partitionBy(*groups).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        ranked = vc.withColumn("cum_before", F.coalesce(F.sum("cnt").over(wv), F.lit(0)))
-        return ranked.join(F.broadcast(totals.select(*groups, "n")), groups, "left")
+        out = vc
+        for c in sum_cols:
+            out = out.withColumn(f"{c}_before", F.coalesce(F.sum(c).over(wv), F.lit(0)))
+        return out
     if isinstance(vc.schema[value].dataType, T.StringType):
-        # text: a short prefix orders the same way as the whole string
         keyed = vc.withColumn("_bucket", F.substring(F.col(value), 1, 3))
     else:
         probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
@@ -112,13 +108,28 @@ def rank_table(vc: DataFrame, group: str | list[str] = "column", value: str = "x
         keyed = (vc.join(F.broadcast(edges), groups, "left")
                  .withColumn("_bucket", F.size(F.filter("_edges", lambda e: e < F.col(value).cast("double"))))
                  .drop("_edges"))
-    btot = keyed.groupBy(*groups, "_bucket").agg(F.sum("cnt").alias("_bc"))
+    btot = keyed.groupBy(*groups, "_bucket").agg(*[F.sum(c).alias(f"_b_{c}") for c in sum_cols])
     wb = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = btot.withColumn("_off", F.coalesce(F.sum("_bc").over(wb), F.lit(0))).drop("_bc")
+    offsets = btot.select(*groups, "_bucket", *[F.coalesce(F.sum(f"_b_{c}").over(wb), F.lit(0)).alias(f"_o_{c}")
+                                                for c in sum_cols])
     wv = Window.partitionBy(*groups, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = (keyed.join(F.broadcast(offsets), groups + ["_bucket"], "left")
-              .withColumn("cum_before", F.col("_off") + F.coalesce(F.sum("cnt").over(wv), F.lit(0)))
-              .drop("_off", "_bucket"))
+    out = keyed.join(F.broadcast(offsets), groups + ["_bucket"], "left")
+    for c in sum_cols:
+        out = out.withColumn(f"{c}_before", F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(wv), F.lit(0)))
+    return out.drop("_bucket", *[f"_o_{c}" for c in sum_cols])
+
+
+def rank_table(vc: DataFrame, group: str | list[str] = "column", value: str = "x",
+               totals: DataFrame | None = None, max_distinct: int | None = None,
+               values_per_bucket: int = VALUES_PER_BUCKET) -> DataFrame:
+    """Exact ranks over value counts ``(group..., value, cnt)``: adds
+    ``cum_before`` (values strictly smaller in the group) and ``n`` (group
+    total).  See :func:`prefix_sums` for how big groups are split."""
+    groups = [group] if isinstance(group, str) else list(group)
+    if totals is None:
+        totals = group_totals(vc, groups).select(*groups, "n")
+    ranked = prefix_sums(vc, groups, value, ("cnt",), max_distinct, values_per_bucket).withColumnRenamed(
+        "cnt_before", "cum_before")
     return ranked.join(F.broadcast(totals.select(*groups, "n")), groups, "left")
 
 

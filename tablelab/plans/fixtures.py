@@ -72,6 +72,12 @@ FIXTURE_SQL = {
                l_returnflag AS actual_class,
                CASE WHEN l_discount >= 0.05 THEN 'R' WHEN l_tax >= 0.04 THEN 'N' ELSE 'A' END AS predicted_class
         FROM {lineitem}""",
+    # modelling frame: numeric features, a regression, a 3-class and a binary target
+    "li_ml": """
+        SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
+               CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE l_discount END AS l_discount, l_tax,
+               l_returnflag, l_linestatus, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS returned
+        FROM {lineitem}""",
     # conversation text with reasoning blocks on odd turns
     "think_text": """
         SELECT conv_id, turn, role,
