@@ -267,3 +267,43 @@ def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
     of ``df``: a broadcast equi-join on a constant key."""
     return (df.withColumn("_one", F.lit(1))
             .join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one"))
+
+
+def pairwise_sums(df: DataFrame, cols: list[str]) -> dict:
+    """Pairwise-complete sufficient statistics for all column pairs in one pass.
+
+    With A = values (0 where null) and M = presence indicators, every
+    pairwise-complete sum is a Gram matrix: n_ab = M'M, sum a = A'M,
+    sum a^2 = (A*A)'M, sum ab = A'A.  Each task computes them for its rows
+    with numpy (values shifted by a per-column centre from a first cheap
+    aggregate, for numerical stability), emits one row of p x p matrices, and
+    Spark sums those rows.  Returns numpy arrays keyed n, sa, saa, sab
+    (p x p each, driver-side size depends only on the number of columns) and
+    the shift used."""
+    import numpy as np
+    p = len(cols)
+    shift_row = df.agg(*[F.avg(q(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    shift = [float(shift_row[f"m{i}"]) if shift_row[f"m{i}"] is not None else 0.0 for i in range(p)]
+    names = [f"c{i}" for i in range(p)]
+    data = df.select(*[q(c).cast("double").alias(n) for c, n in zip(cols, names)])
+
+    def gram(batches):
+        import pandas as pd
+        acc = None
+        for pdf in batches:
+            x = pdf[names].to_numpy(dtype="float64")
+            m = (~np.isnan(x)).astype("float64")
+            a = np.where(m > 0, x - np.asarray(shift), 0.0)
+            part = np.stack([m.T @ m, a.T @ m, (a * a).T @ m, a.T @ a])
+            acc = part if acc is None else acc + part
+        if acc is not None:
+            yield pd.DataFrame({"g": [acc.ravel().tolist()]})
+
+    parts = data.mapInPandas(gram, "g array<double>")
+    size = 4 * p * p
+    total = parts.select(F.posexplode("g").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
+    flat = np.zeros(size)
+    for r in total:   # 4 p^2 numbers
+        flat[r["i"]] = r["v"]
+    g = flat.reshape(4, p, p)
+    return {"n": g[0], "sa": g[1], "saa": g[2], "sab": g[3], "shift": shift}

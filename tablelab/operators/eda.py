@@ -15,7 +15,7 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablelab.functions.stats import (attach, average_ranks, column_counts, exact_quantiles, hash_sample, q,
+from tablelab.functions.stats import (attach, average_ranks, pairwise_sums, column_counts, exact_quantiles, hash_sample, q,
                                       quantiles_wide, rank_table, safe_corr, sample_key, sample_kurt,
                                       sample_skew, top_k_per_group, unpivot, value_counts)
 from tablelab.operators.profile import moments, string_value_counts
@@ -206,21 +206,29 @@ def crosstab_shares(df: DataFrame, c1: str, c2: str, k: int = 5, other: str = "O
 
 def pearson_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     """Pairwise-complete Pearson r for every ordered pair (a, b), diagonal
-    included (1 unless the column is constant).  One aggregate; a constant
-    side gives null instead of failing."""
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    row = df.agg(*[safe_corr(q(cols[i]), q(cols[j])).alias(f"r{i}_{j}") for i, j in pairs])
-    parts = []
-    for i, j in pairs:
-        parts.append(F.struct(F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"),
-                              F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"r{i}_{j}").alias("r")))
-        if i != j:
-            parts.append(F.struct(F.lit(cols[j]).alias("col_a"), F.lit(cols[i]).alias("col_b"),
-                                  F.lit(j).alias("i"), F.lit(i).alias("j"), F.col(f"r{i}_{j}").alias("r")))
-    long = row.select(F.explode(F.array(*parts)).alias("s")).select("s.*")
-    return long.select("col_a", "col_b", "i", "j",
-                       F.when(F.col("i") == F.col("j"), F.when(F.col("r").isNotNull(), F.lit(1.0)))
-                       .otherwise(_round(F.col("r"))).alias("r"))
+    included (1 unless the column is constant; null for a constant side).
+
+    One pass: per-task Gram matrices of values and presence indicators
+    (:func:`pairwise_sums`), summed by Spark; r for all pairs follows from
+    the p x p sums."""
+    import math as _m
+    s = pairwise_sums(df, cols)
+    n, sa, saa, sab = s["n"], s["sa"], s["saa"], s["sab"]
+    rows = []
+    for i in range(len(cols)):
+        for j in range(len(cols)):
+            nn = n[i][j]
+            r = None
+            if nn >= 2:
+                # sums over rows where both are present: a = column i, b = column j
+                cov = sab[i][j] / nn - (sa[i][j] / nn) * (sa[j][i] / nn)
+                va = saa[i][j] / nn - (sa[i][j] / nn) ** 2
+                vb = saa[j][i] / nn - (sa[j][i] / nn) ** 2
+                den = _m.sqrt(va * vb) if va > 0 and vb > 0 else 0.0
+                if den > 0 and va > 1e-15 * max(1.0, saa[i][j] / nn) and vb > 1e-15 * max(1.0, saa[j][i] / nn):
+                    r = 1.0 if i == j else round(float(max(-1.0, min(1.0, cov / den))), 6)
+            rows.append((cols[i], cols[j], i, j, r))
+    return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, i int, j int, r double")
 
 
 def strong_pairs(corr_long: DataFrame, threshold: float = 0.7, top: int = 5) -> DataFrame:

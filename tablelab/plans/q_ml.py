@@ -165,8 +165,9 @@ def _nb_sql():
              eps AS (SELECT {eps} AS e FROM d),
              st AS (SELECT l_returnflag AS cls, count(*) * 1.0 / (SELECT count(*) FROM d) AS prior, {per_class}
                     FROM d GROUP BY 1),
-             sc AS (SELECT {', '.join(LI_KEY)}, cls, ln(prior) + {ll} AS s FROM li_ml, st, eps)
-        SELECT {', '.join(LI_KEY)}, arg_max(cls, s) AS prediction FROM sc GROUP BY {', '.join(LI_KEY)}""", "li_ml")
+             rows AS (SELECT row_number() OVER () AS rid, * FROM li_ml),
+             sc AS (SELECT rid, {', '.join(LI_KEY)}, cls, ln(prior) + {ll} AS s FROM rows, st, eps)
+        SELECT {', '.join(LI_KEY)}, arg_max(cls, s) AS prediction FROM sc GROUP BY rid, {', '.join(LI_KEY)}""", "li_ml")
 
 
 @register("naive_bayes_sql", _nb_sql(), "M20")
