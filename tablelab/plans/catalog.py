@@ -2,5 +2,6 @@
 
 from __future__ import annotations
 
-from tablelab.plans import q_cluster_score, q_eda, q_ml, q_preprocess, q_profile, q_report, q_text  # noqa: F401
+from tablelab.plans import (q_cluster_score, q_eda, q_ml, q_preprocess, q_profile, q_report,  # noqa: F401
+                            q_sources, q_text)
 from tablelab.plans.registry import REGISTRY, Entry  # noqa: F401
