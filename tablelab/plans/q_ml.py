@@ -219,3 +219,30 @@ def train_nn(spark, sf_dir):
     df = fixture(spark, sf_dir, "li_ml")
     scores, _, _ = ML.train_nn(df, "l_returnflag", LI_KEY, ML_FEATURES, 0.2, 150)
     return scores
+
+
+# Tree ensembles: the library builds them with the reference defaults (200 trees,
+# depth 20); the registered runs pass small, explicit hyperparameters so the
+# check stays short.
+SMALL_TREES = {"n_estimators": 20, "max_depth": 6}
+
+
+@register("train_random_forest", None, "M11")
+def train_random_forest(spark, sf_dir):
+    df = fixture(spark, sf_dir, "li_ml")
+    return ML.comparison(ML.train_models(df, "returned", LI_KEY, ML_FEATURES, "classification", "random_forest",
+                                         0.2, 2, hp=SMALL_TREES).scores)
+
+
+@register("train_extra_trees", None, "M12")
+def train_extra_trees(spark, sf_dir):
+    df = fixture(spark, sf_dir, "li_ml")
+    return ML.comparison(ML.train_models(df, "l_quantity", LI_KEY, ML_FEATURES, "regression", "extra_trees",
+                                         0.2, 2, hp=SMALL_TREES).scores)
+
+
+@register("train_boosted_presets", None, "M13", "M21")
+def train_boosted_presets(spark, sf_dir):
+    df = fixture(spark, sf_dir, "li_ml")
+    return ML.comparison(ML.train_models(df, "l_quantity", LI_KEY, ML_FEATURES, "regression", "xgboost", 0.2, 2,
+                                         hp=SMALL_TREES).scores)
