@@ -158,14 +158,19 @@ def exact_quantiles(ranked: DataFrame, probs: list[float], group: str | list[str
 
 
 def column_counts(df: DataFrame, cols: list[str]) -> tuple[DataFrame, int]:
-    """One aggregate: non-null count and approximate distinct count per column.
-    Returns the (column, n) frame (a handful of rows, built on the driver) and
-    the largest distinct estimate."""
-    row = df.agg(*[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(cols)],
-                 *[F.approx_count_distinct(q(c)).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-    totals = df.sparkSession.createDataFrame([(c, int(row[f"n{i}"])) for i, c in enumerate(cols)],
-                                             "column string, n long")
-    return totals, max([int(row[f"d{i}"]) for i in range(len(cols))] or [0])
+    """Non-null count per column (one aggregate) as a (column, n) frame built
+    on the driver (one row per column), and an upper bound of the distinct
+    values per column: the count itself when that is below
+    ``VALUES_PER_BUCKET`` (so no bucketing is needed), else an
+    ``approx_count_distinct`` estimate from a second aggregate."""
+    row = df.agg(*[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    counts = [int(row[f"n{i}"]) for i in range(len(cols))]
+    totals = df.sparkSession.createDataFrame(list(zip(cols, counts)), "column string, n long")
+    bound = max(counts or [0])
+    if bound > VALUES_PER_BUCKET:
+        d = df.agg(*[F.approx_count_distinct(q(c)).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+        bound = max(int(d[f"d{i}"]) for i in range(len(cols)))
+    return totals, bound
 
 
 def quantiles_wide(df: DataFrame, cols: list[str], probs: list[float],

@@ -414,21 +414,54 @@ def null_safe(df: DataFrame) -> DataFrame:
 
 
 def column_profile(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Flagship: one row per column joining missing counts (P4/P5), distinct
-    counts, numeric summary (P8) and categorical top/freq (P9)."""
+    """Flagship: one row per column with missing counts (P4/P5), distinct
+    counts, numeric summary (P8) and categorical top/freq (P9).
+
+    Work sharing: one wide aggregate gives missing counts and moments; one
+    numeric value-count table gives distinct counts and (through the rank
+    table) exact quartiles; one text value-count table gives distinct counts
+    and top values for the other columns."""
+    from tablelab.functions.stats import column_counts, exact_quantiles, rank_table
     roles = infer_roles(df)
-    miss = missing_counts(df).select("ordinal", "column", "n_missing", "missing_pct")
+    num = roles["numeric"]
+    other = [c for c in df.columns if c not in num]
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    aggs += [(F.count(F.lit(1)) - F.count(q(c))).alias(f"miss{i}") for i, c in enumerate(df.columns)]
+    for i, c in enumerate(df.columns):
+        if c in num:
+            x = q(c).cast("double")
+            aggs += [F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"),
+                     F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}")]
+        else:
+            aggs += [F.lit(None).cast("double").alias(f"{k}{i}") for k in ("mean", "std", "min", "max")]
+    wide = _one_row_long(df.agg(*aggs), df.columns, ["miss", "mean", "std", "min", "max"], shared=["_n"])
     types = column_roles(df).select("column", "dtype", "role")
-    out = miss.join(types, "column").join(distinct_counts(df), "column", "left")
-    if roles["numeric"]:
-        out = out.join(numeric_summary(df, roles["numeric"], digits).drop("ordinal", "count"), "column", "left")
-    else:
-        for c in ["mean", "std", "min", "q25", "q50", "q75", "max"]:
-            out = out.withColumn(c, F.lit(None).cast("double"))
-    if roles["categorical"]:
-        out = out.join(categorical_summary(df, roles["categorical"]).drop("n_unique"), "column", "left")
-    else:
-        out = out.withColumn("top", F.lit(None).cast("string")).withColumn("freq", F.lit(None).cast("long"))
-    return out.select("ordinal", "column", "dtype", "role", "n_missing", "missing_pct",
-                      F.coalesce("n_unique", F.lit(0)).cast("long").alias("n_unique"),
-                      "mean", "std", "min", "q25", "q50", "q75", "max", "top", F.col("freq").cast("long"))
+    parts = []
+    if num:
+        totals, bound = column_counts(df, num)
+        vc = value_counts(unpivot(df, num))
+        qs = exact_quantiles(rank_table(vc, totals=totals, max_distinct=bound), [0.25, 0.5, 0.75], totals=totals)
+        qw = qs.groupBy("column").agg(*[F.max(F.when(F.col("prob") == p, F.col("qv"))).alias(n)
+                                        for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
+        nu = vc.groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
+        parts.append(nu.join(qw, "column", "left").select(
+            "column", "n_unique", "q25", "q50", "q75", F.lit(None).cast("string").alias("top"),
+            F.lit(None).cast("long").alias("freq")))
+    if other:
+        svc = string_value_counts(df, other)
+        best = F.min(F.struct((-F.col("cnt")).alias("neg"), F.col("s").alias("s")))
+        cats = roles["categorical"]
+        g = svc.groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"), best.alias("b"))
+        is_cat = F.col("column").isin(*cats) if cats else F.lit(False)
+        parts.append(g.select("column", "n_unique", *[F.lit(None).cast("double").alias(n) for n in ("q25", "q50", "q75")],
+                              F.when(is_cat, F.col("b.s")).alias("top"), F.when(is_cat, -F.col("b.neg")).alias("freq")))
+    per = parts[0]
+    for p_ in parts[1:]:
+        per = per.unionByName(p_)
+    r = lambda c: F.round(F.col(c), digits).alias(c)
+    pct = F.round(F.col("miss") * 100.0 / F.col("_n"), 2)
+    return (wide.join(types, "column").join(per, "column", "left")
+            .select("ordinal", "column", "dtype", "role", F.col("miss").cast("long").alias("n_missing"),
+                    pct.alias("missing_pct"), F.coalesce("n_unique", F.lit(0)).cast("long").alias("n_unique"),
+                    r("mean"), r("std"), r("min"), r("q25"), r("q50"), r("q75"), r("max"), "top",
+                    F.col("freq").cast("long").alias("freq")))
