@@ -246,3 +246,53 @@ def train_boosted_presets(spark, sf_dir):
     df = fixture(spark, sf_dir, "li_ml")
     return ML.comparison(ML.train_models(df, "l_quantity", LI_KEY, ML_FEATURES, "regression", "xgboost", 0.2, 2,
                                          hp=SMALL_TREES).scores)
+
+
+# ------------------------------------------------------------------ M14 AdaBoost, M17 kernel SVR
+
+def _prepared(spark, sf_dir, target, problem, scale=False):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+    from tablelab.session import cut_lineage
+    df = fixture(spark, sf_dir, "li_ml").where(F.col(target).isNotNull())
+    if problem == "classification":
+        df, classes = ML.label_index(df, target)
+    else:
+        df, classes = df.withColumn("label", F.col(target).cast("double")), []
+    split = ML.with_feature_inputs(ML.train_test_split(df, LI_KEY, 0.2, "label" if classes else None), ML_FEATURES)
+    imp = [f"__imp_{c}" for c in ML_FEATURES]
+    stages = [Imputer(inputCols=[f"__f_{c}" for c in ML_FEATURES], outputCols=imp, strategy="mean"),
+              VectorAssembler(inputCols=imp, outputCol="features_raw" if scale else "features")]
+    if scale:
+        stages.append(StandardScaler(inputCol="features_raw", outputCol="features", withMean=True, withStd=True))
+    train = split.where(~F.col("is_test"))
+    fitted = Pipeline(stages=stages).fit(train)
+    data = cut_lineage(fitted.transform(split).select(*LI_KEY, "label", "features", "is_test", *imp))
+    return data.where(~F.col("is_test")), data.where(F.col("is_test")), classes, imp
+
+
+@register("train_adaboost", None, "M14")
+def train_adaboost(spark, sf_dir):
+    from tablelab.operators.ensemble import adaboost
+    train, test, classes, _ = _prepared(spark, sf_dir, "l_returnflag", "classification")
+    m = adaboost(train, "classification", n_estimators=10, learning_rate=0.1, n_classes=len(classes))
+    return MT.classification_metrics(m.transform(test), "label", "prediction")
+
+
+@register("train_adaboost_regression", None, "M14")
+def train_adaboost_regression(spark, sf_dir):
+    from tablelab.operators.ensemble import adaboost
+    train, test, _, _ = _prepared(spark, sf_dir, "l_quantity", "regression")
+    m = adaboost(train, "regression", n_estimators=10, learning_rate=0.1)
+    return MT.regression_metrics(m.transform(test), "label", "prediction")
+
+
+@register("train_kernel_svr", None, "M17")
+def train_kernel_svr(spark, sf_dir):
+    from pyspark.ml.functions import vector_to_array
+    from tablelab.operators.ensemble import kernel_svr
+    train, test, _, _ = _prepared(spark, sf_dir, "l_quantity", "regression", scale=True)
+    cols = [f"_z{i}" for i in range(len(ML_FEATURES))]
+    unpack = lambda d: d.select("*", *[vector_to_array("features")[i].alias(c) for i, c in enumerate(cols)])
+    model, fmap = kernel_svr(unpack(train), cols, "label", c=1.0, n_components=50)
+    return MT.regression_metrics(model.transform(fmap(unpack(test))), "label", "prediction")

@@ -239,3 +239,15 @@ def test_nan_is_null_on_output(spark):
 
 
 _ = math
+
+
+def test_adaboost_learns_planted_rule(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from tablelab.operators.ensemble import adaboost
+    rnd = random.Random(4)
+    rows = [(x, y, float(1 if x + y > 1 else 0)) for x, y in ((rnd.random(), rnd.random()) for _ in range(300))]
+    df = VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(
+        spark.createDataFrame(rows, "x double, y double, label double"))
+    m = adaboost(df, "classification", n_estimators=8, learning_rate=1.0)
+    acc = MT.classification_metrics(m.transform(df), "label", "prediction").first()["accuracy"]
+    assert acc > 0.8
