@@ -528,9 +528,10 @@ def eda_summary(df: DataFrame, results: int | None = None) -> DataFrame:
     hs = health_score(df, roles)
     shape = df.agg(F.count(F.lit(1)).alias("n_rows"))
     return attach(shape, hs).select(
-        "n_rows", F.lit(len(df.columns)).alias("n_cols"),
-        F.lit(len(roles["numeric"])).alias("n_numeric"), F.lit(len(roles["categorical"])).alias("n_categorical"),
-        F.lit(len(roles["datetime"])).alias("n_datetime"), "health_score", "health_label")
+        "n_rows", F.lit(len(df.columns)).cast("int").alias("n_cols"),
+        F.lit(len(roles["numeric"])).cast("int").alias("n_numeric"),
+        F.lit(len(roles["categorical"])).cast("int").alias("n_categorical"),
+        F.lit(len(roles["datetime"])).cast("int").alias("n_datetime"), "health_score", "health_label")
 
 
 __all__ = [n for n in dir() if not n.startswith("_")] + ["sample_key"]

@@ -405,6 +405,18 @@ def train_nn(df: DataFrame, target: str, key: list[str], features: list[str] | N
     return scores, pred, model
 
 
+def training_history(model: PipelineModel) -> DataFrame:
+    """A4: loss per optimiser iteration of the network (L-BFGS objective
+    history) and the best iteration (1-based argmin)."""
+    mlp = model.stages[-1]
+    summ = mlp.summary() if callable(mlp.summary) else mlp.summary
+    hist = list(summ.objectiveHistory)
+    spark = SparkSession.getActiveSession()
+    best = min(range(len(hist)), key=lambda i: hist[i]) + 1 if hist else None
+    return spark.createDataFrame([(i + 1, float(v), i + 1 == best) for i, v in enumerate(hist)],
+                                 "epoch int, loss double, is_best boolean")
+
+
 def confidence(pred: DataFrame) -> DataFrame:
     """Maximum class probability, 4 dp."""
     return pred.withColumn("confidence", F.round(F.array_max(vector_to_array("probability")), 4))

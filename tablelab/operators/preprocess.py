@@ -20,6 +20,7 @@ from tablelab.operators.profile import infer_roles, string_value_counts
 UNKNOWN = "Unknown"
 NULL_LABEL = "nan"          # text of a missing value once cast to string
 BROADCAST_CODES_MAX = 1_000_000   # distinct values up to which a code table is broadcast
+ONEHOT_MAX_VALUES = 10_000        # one-hot columns are driver metadata: refuse wider expansions
 
 
 def numeric_cols(df: DataFrame, exclude=()) -> list[str]:
@@ -270,6 +271,8 @@ def fit_encode(df: DataFrame, mode: str = "auto", cols: list[str] | None = None,
         if mode == "auto":
             kind = "onehot" if nu.get(c, 0) <= max_onehot else "label"
         if kind == "onehot":
+            if nu.get(c, 0) > ONEHOT_MAX_VALUES:
+                raise ValueError(f"{c}: {nu[c]} distinct values is too many one-hot columns; use label encoding")
             vals = [r[0] for r in df.select(q(c).cast("string")).where(q(c).isNotNull()).distinct().collect()]
             model.onehot_values[c] = sorted(vals)
         elif kind == "label":

@@ -500,7 +500,18 @@ def missing_by_quartile(spark, sf_dir):
     return E.missing_by_quartile(fixture(spark, sf_dir, "li_nulls"), "l_orderkey")
 
 
-@register("eda_summary", None, "E26")
+def _eda_summary_sql():
+    from tablelab.plans.q_profile import LI_NULLS_CAT, _issues_sql
+    iss = _issues_sql("li_nulls", LI_NULLS_COLS, LI_NULLS_CAT)
+    return with_fixtures(f"""
+        SELECT (SELECT count(*) FROM li_nulls) AS n_rows, 11 AS n_cols, 8 AS n_numeric, 2 AS n_categorical,
+               1 AS n_datetime, CAST(greatest(0, 100 - 8 * count(*)) AS INTEGER) AS health_score,
+               CASE WHEN greatest(0, 100 - 8 * count(*)) >= 80 THEN 'Excellent' WHEN greatest(0, 100 - 8 * count(*)) >= 60
+                    THEN 'Good' WHEN greatest(0, 100 - 8 * count(*)) >= 40 THEN 'Fair' ELSE 'Critical' END AS health_label
+        FROM ({iss}) i""", "li_nulls")
+
+
+@register("eda_summary", _eda_summary_sql(), "E26")
 def eda_summary(spark, sf_dir):
     return E.eda_summary(fixture(spark, sf_dir, "li_nulls"))
 

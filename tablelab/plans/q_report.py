@@ -104,8 +104,12 @@ def report_history(spark, sf_dir):
 @register("report_document", None, "R5", "R6", "S9")
 def report_document(spark, sf_dir):
     df = fixture(spark, sf_dir, "li_nulls")
-    reg = spark.createDataFrame([("Naive Bayes", "classification", "spark.ml", '{"accuracy": null}', None, None)],
-                                "name string, type string, framework string, scores string, cv_mean double, cv_std double")
+    from tablelab.operators import ml as ML
+    r = ML.train_models(fixture(spark, sf_dir, "li_ml"), "l_returnflag", ["l_orderkey", "l_linenumber", "l_partkey",
+                        "l_suppkey"], ["l_quantity", "l_extendedprice", "l_tax"], "auto", "naive_bayes", 0.2, 2)
+    cv = ML.cv_summary(r.cv).select(F.col("model").alias("name"), F.col("mean").alias("cv_mean"), F.col("std").alias("cv_std"))
+    reg = r.scores.select(F.col("model").alias("name"), F.lit(r.problem).alias("type"), F.lit("spark.ml").alias("framework"),
+                          "scores").join(cv, "name", "left")
     doc = RP.assemble(RP.summary_section(df, FILE), RP.issues_section(df), RP.columns_section(df),
                       RP.history_section(_history(spark, sf_dir)), RP.models_section(reg))
     return RP.to_markdown_lines(doc)
