@@ -66,6 +66,22 @@ def value_counts(long_df: DataFrame, group: str | list[str] = "column", value: s
             .groupBy(*groups, value).agg(F.count(F.lit(1)).alias("cnt")))
 
 
+def column_value_counts(df: DataFrame, cols: list[str], value_type: str = "double",
+                        value_col: str = "x") -> DataFrame:
+    """(column, value, cnt) for the non-null values of each column.
+
+    One aggregate per column, unioned: each reads only its own column from
+    the columnar scan and groups on the bare value (map-side combined), which
+    is cheaper than unpivoting every row into (name, value) pairs and keeps a
+    hot value of one column from touching the others."""
+    parts = [df.where(q(c).isNotNull()).groupBy(q(c).cast(value_type).alias(value_col))
+             .agg(F.count(F.lit(1)).alias("cnt")).select(F.lit(c).alias("column"), value_col, "cnt") for c in cols]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def group_totals(vc: DataFrame, group: str | list[str] = "column") -> DataFrame:
     """(group..., n, nd): values and distinct values per group."""
     groups = [group] if isinstance(group, str) else list(group)
@@ -178,7 +194,7 @@ def quantiles_wide(df: DataFrame, cols: list[str], probs: list[float],
     """(column, <name per prob>...) exact quantiles of numeric columns."""
     names = names or [f"q{int(round(p * 100))}" for p in probs]
     totals, nd = column_counts(df, cols)
-    ranked = rank_table(value_counts(unpivot(df, cols)), totals=totals, max_distinct=nd)
+    ranked = rank_table(column_value_counts(df, cols), totals=totals, max_distinct=nd)
     qs = exact_quantiles(ranked, probs, totals=totals)
     return qs.groupBy("column").agg(*[
         F.max(F.when(F.col("prob") == float(p), F.col("qv"))).alias(nm) for p, nm in zip(probs, names)])

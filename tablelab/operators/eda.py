@@ -15,7 +15,7 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablelab.functions.stats import (attach, average_ranks, pairwise_sums, column_counts, exact_quantiles, hash_sample, q,
+from tablelab.functions.stats import (attach, average_ranks, column_value_counts, pairwise_sums, column_counts, exact_quantiles, hash_sample, q,
                                       quantiles_wide, rank_table, safe_corr, sample_key, sample_kurt,
                                       sample_skew, top_k_per_group, unpivot, value_counts)
 from tablelab.operators.profile import moments, string_value_counts
@@ -118,24 +118,40 @@ def _quartiles(df, cols):
         "hi_fence", F.col("q3") + 1.5 * F.col("iqr"))
 
 
+def _fence_rows(df, cols):
+    """Quartiles and 1.5 IQR fences per column (one row per column, collected)."""
+    return {r["column"]: r for r in _quartiles(df, cols).collect()}
+
+
 def box_stats(df: DataFrame, cols: list[str], with_mean: bool = False) -> DataFrame:
     """E3 (and E22 with ``with_mean``): quartiles, whiskers = furthest data inside
-    1.5 IQR, flier count.  The quartile frame (one row per column) is broadcast
-    back onto the unpivoted data; the rest is one grouped aggregate."""
-    qs = _quartiles(df, cols)
-    long = unpivot(df, cols).where(F.col("x").isNotNull())
-    x = F.col("x")
-    inside = (x >= F.col("lo_fence")) & (x <= F.col("hi_fence"))
-    aggs = [F.min(F.when(inside, x)).alias("whisker_lo"), F.max(F.when(inside, x)).alias("whisker_hi"),
-            F.count_if(~inside).cast("long").alias("n_fliers"), F.count(x).alias("n")]
-    if with_mean:
-        aggs.append(F.avg(x).alias("mean"))
-    g = long.join(F.broadcast(qs), "column").groupBy("column", "q1", "median", "q3", "iqr").agg(*aggs)
-    out = [F.col("column"), "n", *[_round(F.col(c)).alias(c) for c in ["q1", "median", "q3", "iqr", "whisker_lo", "whisker_hi"]],
-           "n_fliers"]
-    if with_mean:
-        out.append(_round(F.col("mean")).alias("mean"))
-    return g.select(*out)
+    1.5 IQR, flier count.  The fences (one row per column) become literals of a
+    single wide aggregate over the data: one pass, no unpivot, no join."""
+    fences = _fence_rows(df, cols)
+    aggs, keep = [], []
+    for i, c in enumerate(cols):
+        f = fences.get(c)
+        if f is None or f["q1"] is None:
+            continue
+        x = q(c).cast("double")
+        inside = (x >= F.lit(f["lo_fence"])) & (x <= F.lit(f["hi_fence"]))
+        aggs += [F.min(F.when(inside, x)).alias(f"lo{i}"), F.max(F.when(inside, x)).alias(f"hi{i}"),
+                 F.count_if(x.isNotNull() & ~inside).alias(f"fl{i}"), F.count(x).alias(f"n{i}")]
+        if with_mean:
+            aggs.append(F.avg(x).alias(f"mu{i}"))
+        keep.append((i, c))
+    row = df.agg(*aggs)
+    parts = []
+    for i, c in keep:
+        f = fences[c]
+        fields = [F.lit(c).alias("column"), F.col(f"n{i}").alias("n"),
+                  *[F.round(F.lit(float(f[k])), 6).alias(k) for k in ("q1", "median", "q3", "iqr")],
+                  F.round(F.col(f"lo{i}"), 6).alias("whisker_lo"), F.round(F.col(f"hi{i}"), 6).alias("whisker_hi"),
+                  F.col(f"fl{i}").cast("long").alias("n_fliers")]
+        if with_mean:
+            fields.append(F.round(F.col(f"mu{i}"), 6).alias("mean"))
+        parts.append(F.struct(*fields))
+    return row.select(F.explode(F.array(*parts)).alias("s")).select("s.*")
 
 
 def violin_stats(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -147,13 +163,21 @@ def violin_stats(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def outlier_share(df: DataFrame, cols: list[str], min_n: int = 4) -> DataFrame:
     """Share of values outside the 1.5 IQR fences, only columns with any,
-    ordered by share (bands: > 10 high, > 5 medium, else low)."""
-    qs = _quartiles(df, cols)
-    long = unpivot(df, cols).where(F.col("x").isNotNull())
-    x = F.col("x")
-    g = long.join(F.broadcast(qs), "column").groupBy("column").agg(
-        F.count(x).alias("n"),
-        F.count_if((x < F.col("lo_fence")) | (x > F.col("hi_fence"))).alias("n_out"))
+    ordered by share (bands: > 10 high, > 5 medium, else low).  One wide
+    aggregate with the fences as literals."""
+    fences = _fence_rows(df, cols)
+    keep = [(i, c) for i, c in enumerate(cols) if fences.get(c) is not None and fences[c]["q1"] is not None]
+    if not keep:
+        return df.sparkSession.createDataFrame([], "column string, n long, n_outliers long, outlier_pct double, band string")
+    aggs = []
+    for i, c in keep:
+        x = q(c).cast("double")
+        f = fences[c]
+        aggs += [F.count(x).alias(f"n{i}"),
+                 F.count_if((x < F.lit(f["lo_fence"])) | (x > F.lit(f["hi_fence"]))).alias(f"o{i}")]
+    row = df.agg(*aggs)
+    g = row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n"),
+                                                F.col(f"o{i}").alias("n_out")) for i, c in keep])).alias("s")).select("s.*")
     pct = F.col("n_out") * 100.0 / F.col("n")
     return (g.where((F.col("n") >= min_n) & (F.col("n_out") > 0))
             .select("column", "n", F.col("n_out").cast("long").alias("n_outliers"), _round(pct, 4).alias("outlier_pct"),
@@ -394,7 +418,7 @@ def qq_points(df: DataFrame, cols: list[str], points: int = 101) -> tuple[DataFr
     nd = NormalDist()
     theo = df.sparkSession.createDataFrame([(p, nd.inv_cdf(p)) for p in probs], "prob double, theoretical double")
     totals, mx = column_counts(df, cols)
-    ranked = rank_table(value_counts(unpivot(df, cols)), totals=totals, max_distinct=mx)
+    ranked = rank_table(column_value_counts(df, cols), totals=totals, max_distinct=mx)
     qs = exact_quantiles(ranked, probs, totals=totals.where(F.col("n") >= 3))
     pts = qs.join(F.broadcast(theo), "prob").select("column", "prob", "theoretical", F.col("qv").alias("sample"))
     fit = pts.groupBy("column").agg(
@@ -465,7 +489,7 @@ def bivariate_density(df: DataFrame, cols: list[str], bins: int = 20, min_rows:
 def ecdf(df: DataFrame, cols: list[str], min_n: int = 6) -> DataFrame:
     """ECDF at each distinct value, (cum count) / n; columns with > 5 values."""
     totals, mx = column_counts(df, cols)
-    ranked = rank_table(value_counts(unpivot(df, cols)), totals=totals, max_distinct=mx)
+    ranked = rank_table(column_value_counts(df, cols), totals=totals, max_distinct=mx)
     return ranked.where(F.col("n") >= min_n).select(
         "column", "x", F.col("cnt").cast("long").alias("cnt"),
         _round((F.col("cum_before") + F.col("cnt")) / F.col("n"), 9).alias("ecdf"))

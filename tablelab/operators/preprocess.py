@@ -35,12 +35,12 @@ def null_total(df: DataFrame) -> int:
 def _modes(df: DataFrame, cols: list[str]) -> dict:
     """Smallest most-frequent value per column (numeric order for numeric
     columns, text order otherwise); one aggregate per kind."""
-    from tablelab.functions.stats import unpivot, value_counts
+    from tablelab.functions.stats import column_value_counts
     out = {}
     nums = [c for c in cols if isinstance(df.schema[c].dataType, NUMERIC_TYPES)]
     texts = [c for c in cols if c not in nums]
     if nums:
-        vc = value_counts(unpivot(df, nums))
+        vc = column_value_counts(df, nums)
         best = vc.groupBy("column").agg(F.min(F.struct((-F.col("cnt")).alias("neg"), F.col("x").alias("v"))).alias("b"))
         out.update({r["column"]: r["b"]["v"] for r in best.collect()})   # one row per column
     if texts:

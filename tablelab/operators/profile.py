@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablelab.functions import fixed
-from tablelab.functions.stats import (DATETIME_TYPES, NESTED_TYPES, NUMERIC_TYPES, q, quantiles_wide,
+from tablelab.functions.stats import (DATETIME_TYPES, NESTED_TYPES, NUMERIC_TYPES, column_value_counts, q,
+                                      quantiles_wide,
                                       sample_skew, unpivot, value_counts)
 
 
@@ -192,7 +193,7 @@ def numeric_summary(df: DataFrame, cols: list[str] | None = None, digits: int =
 
 def string_value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column, s, cnt) over the non-null values of ``cols`` cast to string."""
-    return value_counts(unpivot(df, cols, value_type="string", value_col="s"), value="s")
+    return column_value_counts(df, cols, "string", "s")
 
 
 def categorical_summary(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -439,7 +440,7 @@ def column_profile(df: DataFrame, digits: int = 6) -> DataFrame:
     parts = []
     if num:
         totals, bound = column_counts(df, num)
-        vc = value_counts(unpivot(df, num))
+        vc = column_value_counts(df, num)
         qs = exact_quantiles(rank_table(vc, totals=totals, max_distinct=bound), [0.25, 0.5, 0.75], totals=totals)
         qw = qs.groupBy("column").agg(*[F.max(F.when(F.col("prob") == p, F.col("qv"))).alias(n)
                                         for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
