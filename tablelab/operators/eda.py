@@ -417,9 +417,10 @@ def qq_points(df: DataFrame, cols: list[str], points: int = 101) -> tuple[DataFr
     probs = filliben_grid(points)
     nd = NormalDist()
     theo = df.sparkSession.createDataFrame([(p, nd.inv_cdf(p)) for p in probs], "prob double, theoretical double")
-    totals, mx = column_counts(df, cols)
-    ranked = rank_table(column_value_counts(df, cols), totals=totals, max_distinct=mx)
-    qs = exact_quantiles(ranked, probs, totals=totals.where(F.col("n") >= 3))
+    from tablelab.functions.stats import quantiles_long
+    counts = df.agg(*[F.count(q(c)).alias(c) for c in cols]).first()
+    keep = [c for c in cols if counts[c] >= 3]
+    qs = quantiles_long(df, keep, probs)
     pts = qs.join(F.broadcast(theo), "prob").select("column", "prob", "theoretical", F.col("qv").alias("sample"))
     fit = pts.groupBy("column").agg(
         _round(F.regr_slope("sample", "theoretical")).alias("slope"),

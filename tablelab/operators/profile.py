@@ -422,7 +422,6 @@ def column_profile(df: DataFrame, digits: int = 6) -> DataFrame:
     numeric value-count table gives distinct counts and (through the rank
     table) exact quartiles; one text value-count table gives distinct counts
     and top values for the other columns."""
-    from tablelab.functions.stats import column_counts, exact_quantiles, rank_table
     roles = infer_roles(df)
     num = roles["numeric"]
     other = [c for c in df.columns if c not in num]
@@ -439,9 +438,9 @@ def column_profile(df: DataFrame, digits: int = 6) -> DataFrame:
     types = column_roles(df).select("column", "dtype", "role")
     parts = []
     if num:
-        totals, bound = column_counts(df, num)
+        from tablelab.functions.stats import quantiles_long
         vc = column_value_counts(df, num)
-        qs = exact_quantiles(rank_table(vc, totals=totals, max_distinct=bound), [0.25, 0.5, 0.75], totals=totals)
+        qs = quantiles_long(df, num, [0.25, 0.5, 0.75])
         qw = qs.groupBy("column").agg(*[F.max(F.when(F.col("prob") == p, F.col("qv"))).alias(n)
                                         for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
         nu = vc.groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))

@@ -251,3 +251,19 @@ def test_adaboost_learns_planted_rule(spark):
     m = adaboost(df, "classification", n_estimators=8, learning_rate=1.0)
     acc = MT.classification_metrics(m.transform(df), "label", "prediction").first()["accuracy"]
     assert acc > 0.8
+
+
+def test_quantile_paths_agree(spark, monkeypatch):
+    rnd = random.Random(11)
+    rows = [(float(rnd.randint(0, 60)), rnd.random() if i % 5 else None) for i in range(700)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    fast = {r["column"]: r for r in S.quantiles_wide(df, ["a", "b"], probs).collect()}
+    monkeypatch.setattr(S, "VALUES_PER_BUCKET", 20)      # force the distributed, bucketed path
+    dist = {r["column"]: r for r in S.quantiles_wide(df, ["a", "b"], probs).collect()}
+    for c in ("a", "b"):
+        ref = pd.Series([r[0 if c == "a" else 1] for r in rows]).dropna()
+        for p in probs:
+            nm = f"q{int(round(p * 100))}"
+            assert fast[c][nm] == pytest.approx(ref.quantile(p))
+            assert dist[c][nm] == pytest.approx(ref.quantile(p))
