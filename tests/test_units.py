@@ -259,7 +259,7 @@ def test_quantile_paths_agree(spark, monkeypatch):
     df = spark.createDataFrame(rows, "a double, b double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
     fast = {r["column"]: r for r in S.quantiles_wide(df, ["a", "b"], probs).collect()}
-    monkeypatch.setattr(S, "VALUES_PER_BUCKET", 20)      # force the distributed, bucketed path
+    monkeypatch.setattr(S, "VALUES_PER_BUCKET", 20)      # force range buckets inside the rank path
     dist = {r["column"]: r for r in S.quantiles_wide(df, ["a", "b"], probs).collect()}
     for c in ("a", "b"):
         ref = pd.Series([r[0 if c == "a" else 1] for r in rows]).dropna()
