@@ -11,6 +11,7 @@ with ``PipelineModel.save`` into a shared folder.
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -255,7 +256,7 @@ def _scores_row(problem, pred_df, n_classes):
 
 def train_models(df: DataFrame, target: str, key: list[str], features: list[str] | None = None,
                  problem: str = "auto", model_type: str = "all", test_size: float = 0.2,
-                 cv_folds: int = 5, hp: dict | None = None) -> TrainResult:
+                 cv_folds: int = 5, hp: dict | None = None, cv_parallelism: int = 4) -> TrainResult:
     """Split, fit every chosen model, score on the test split,
     cross-validate on the training split, pick the best (first wins ties)."""
     spark = df.sparkSession
@@ -296,14 +297,19 @@ def train_models(df: DataFrame, target: str, key: list[str], features: list[str]
         s = _scores_row(problem, pt, k)
         rows.append((i, name, json.dumps(s, sort_keys=True), s.get("r2", s.get("accuracy"))))
         models[name], preds[name] = model, pt
-        for f in range(folds):
+        def fold_score(f, pipe=pipe):
             fm = pipe.fit(train_f.where(F.col("fold") != f))
             fp = fm.transform(train_f.where(F.col("fold") == f))
             if problem == "regression":
                 v = MT.regression_metrics(fp, "label", "prediction", 12).first()["r2"]
             else:
                 v = MT.classification_metrics(fp, "label", "prediction", 12).first()["accuracy"]
-            cv_rows.append((name, f, float(v) if v is not None else None))
+            return f, (float(v) if v is not None else None)
+
+        # folds are independent Spark jobs: submit them concurrently (like CrossValidator's parallelism)
+        with ThreadPoolExecutor(max_workers=max(1, min(folds, cv_parallelism))) as pool:
+            for f, v in pool.map(fold_score, range(folds)):
+                cv_rows.append((name, f, v))
     scores = spark.createDataFrame(rows, "ordinal int, model string, scores string, main_metric double")
     cv = spark.createDataFrame(cv_rows, "model string, fold int, score double")
     best = sorted(rows, key=lambda r: (-(r[3] if r[3] is not None else -1e18), r[0]))[0][1]

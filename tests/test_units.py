@@ -267,3 +267,20 @@ def test_quantile_paths_agree(spark, monkeypatch):
             nm = f"q{int(round(p * 100))}"
             assert fast[c][nm] == pytest.approx(ref.quantile(p))
             assert dist[c][nm] == pytest.approx(ref.quantile(p))
+
+
+def test_hot_value_a_third_of_rows(spark, monkeypatch):
+    """One value holds a third of all rows: ranks, quantiles, top-k and
+    stratified folds stay exact when groups are split into range buckets."""
+    rnd = random.Random(13)
+    rows = [(i, 7.0 if i % 3 == 0 else float(rnd.randint(0, 400)), "hot" if i % 3 == 0 else f"v{i % 50}")
+            for i in range(1500)]
+    df = spark.createDataFrame(rows, "k long, x double, s string")
+    monkeypatch.setattr(S, "VALUES_PER_BUCKET", 25)
+    got = S.quantiles_wide(df, ["x"], [0.1, 0.5, 0.9]).first()
+    ref = pd.Series([r[1] for r in rows])
+    assert [got["q10"], got["q50"], got["q90"]] == pytest.approx([ref.quantile(p) for p in (0.1, 0.5, 0.9)])
+    top = E.top_categories(df, ["s"], 3).orderBy("rank").collect()
+    assert (top[0]["value"], top[0]["cnt"]) == ("hot", 500)
+    folds = ML.assign_folds(df, ["k"], 5, "s").groupBy("fold").count().collect()
+    assert sum(r["count"] for r in folds) == 1500 and len(folds) == 5
