@@ -264,8 +264,13 @@ def fit_encode(df: DataFrame, mode: str = "auto", cols: list[str] | None = None,
     model = EncodeModel(mode)
     if not cols:
         return model
-    nu = {r["column"]: r["n"] for r in string_value_counts(df, cols).groupBy("column").agg(
-        F.count(F.lit(1)).alias("n")).collect()}
+    # one job: per column the number of distinct values and, when that is small
+    # enough for one-hot columns, the values themselves (bounded lists)
+    limit = max(max_onehot, ONEHOT_MAX_VALUES) if mode == "onehot" else max_onehot
+    info = {r["column"]: r for r in string_value_counts(df, cols).groupBy("column").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.when(F.count(F.lit(1)) <= limit, F.collect_list("s")).alias("vals")).collect()}   # one row per column
+    nu = {c: r["n"] for c, r in info.items()}
     for c in cols:
         kind = mode
         if mode == "auto":
@@ -273,8 +278,7 @@ def fit_encode(df: DataFrame, mode: str = "auto", cols: list[str] | None = None,
         if kind == "onehot":
             if nu.get(c, 0) > ONEHOT_MAX_VALUES:
                 raise ValueError(f"{c}: {nu[c]} distinct values is too many one-hot columns; use label encoding")
-            vals = [r[0] for r in df.select(q(c).cast("string")).where(q(c).isNotNull()).distinct().collect()]
-            model.onehot_values[c] = sorted(vals)
+            model.onehot_values[c] = sorted((info[c]["vals"] or []) if c in info else [])
         elif kind == "label":
             model.label_codes[c] = label_codes(df, c)
         else:
