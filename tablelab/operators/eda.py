@@ -15,9 +15,9 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablelab.functions.stats import (attach, average_ranks, column_value_counts, pairwise_sums, column_counts, exact_quantiles, hash_sample, q,
-                                      quantiles_wide, rank_table, safe_corr, sample_key, sample_kurt,
-                                      sample_skew, top_k_per_group, unpivot, value_counts)
+from tablelab.functions.stats import (attach, average_ranks, column_counts, column_value_counts, hash_sample,
+                                      pairwise_sums, q, quantiles_wide, rank_table, sample_kurt, sample_skew,
+                                      top_k_per_group, unpivot, value_counts)
 from tablelab.operators.profile import moments, string_value_counts
 
 
@@ -558,5 +558,3 @@ def eda_summary(df: DataFrame, results: int | None = None) -> DataFrame:
         F.lit(len(roles["categorical"])).cast("int").alias("n_categorical"),
         F.lit(len(roles["datetime"])).cast("int").alias("n_datetime"), "health_score", "health_label")
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["sample_key"]

@@ -428,8 +428,6 @@ def confidence(pred: DataFrame) -> DataFrame:
     return pred.withColumn("confidence", F.round(F.array_max(vector_to_array("probability")), 4))
 
 
-__all__ = [n for n in dir() if not n.startswith("_")]
-_ = (SparkSession,)
 
 
 # --------------------------------------------------------------------------

@@ -10,11 +10,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tablelab.functions.stats import NUMERIC_TYPES, attach, q, quantiles_wide, rank_table, sample_skew
+from tablelab.functions.stats import NUMERIC_TYPES, attach, q, quantiles_wide, rank_table
 from tablelab.operators.profile import infer_roles, string_value_counts
 
 UNKNOWN = "Unknown"
@@ -426,5 +425,3 @@ def preprocess_report(spark, chain: PreprocessChain, before: DataFrame, after: D
     rows.append((len(rows) + 1, "shape", "*", "after", f"{na}x{len(after.columns)}"))
     return spark.createDataFrame(rows, "seq int, stage string, column string, action string, value string")
 
-
-_ = (Window, T)

@@ -13,8 +13,7 @@ from pyspark.sql import types as T
 
 from tablelab.functions import fixed
 from tablelab.functions.stats import (DATETIME_TYPES, NESTED_TYPES, NUMERIC_TYPES, column_value_counts, q,
-                                      quantiles_wide,
-                                      sample_skew, unpivot, value_counts)
+                                      quantiles_wide, sample_skew)
 
 
 # --------------------------------------------------------------------------

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
-from pyspark.sql import functions as F
-
 from tablelab.functions.stats import sample_key_sql
 from tablelab.operators import eda as E
 from tablelab.plans.fixtures import fixture, with_fixtures
@@ -515,5 +513,3 @@ def _eda_summary_sql():
 def eda_summary(spark, sf_dir):
     return E.eda_summary(fixture(spark, sf_dir, "li_nulls"))
 
-
-_ = F  # keep the functions import for callers that extend this module

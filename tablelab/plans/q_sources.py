@@ -6,7 +6,6 @@ import os
 
 from pyspark.sql import functions as F
 
-from tablelab.operators import profile as P
 from tablelab.plans.fixtures import fixture
 from tablelab.plans.registry import register
 from tablelab.session import ensure_checkpoint_dir
@@ -70,5 +69,3 @@ def export_report_text(spark, sf_dir):
     io.write_text_lines(lines, path)
     return spark.read.text(path)
 
-
-_ = P
