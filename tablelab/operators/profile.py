@@ -414,53 +414,79 @@ def null_safe(df: DataFrame) -> DataFrame:
 
 
 def column_profile(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Flagship: one row per column with missing counts (P4/P5), distinct
-    counts, numeric summary (P8) and categorical top/freq (P9).
-
-    Work sharing: one wide aggregate gives missing counts and moments; one
-    numeric value-count table gives distinct counts and (through the rank
-    table) exact quartiles; one text value-count table gives distinct counts
-    and top values for the other columns."""
-    roles = infer_roles(df)
-    num = roles["numeric"]
-    other = [c for c in df.columns if c not in num]
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    aggs += [(F.count(F.lit(1)) - F.count(q(c))).alias(f"miss{i}") for i, c in enumerate(df.columns)]
-    for i, c in enumerate(df.columns):
-        if c in num:
-            x = q(c).cast("double")
+    """Flagship: one row per column with missing counts (P4/P5), role (P1),
+    distinct counts, numeric summary (P8) and categorical top/freq (P9).
+
+    Two scans of the input in total: one wide aggregate (row count, non-null
+    counts, moments, timestamp-parse checks for text columns) whose single
+    row decides roles and the rank-bucket count, then one job over the value
+    counts (numeric values -> exact quartiles through the rank table and
+    distinct counts; text values -> distinct counts and top value)."""
+    from tablelab.functions.stats import VALUES_PER_BUCKET, exact_quantiles, rank_table
+    spark = df.sparkSession
+    fields = df.schema.fields
+    num = [f.name for f in fields if isinstance(f.dataType, NUMERIC_TYPES)]
+    strings = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
+    aggs = [F.count(F.lit(1)).alias("_n")] + [F.count(q(f.name)).alias(f"c{i}") for i, f in enumerate(fields)]
+    for i, f in enumerate(fields):
+        if f.name in num:
+            x = q(f.name).cast("double")
             aggs += [F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"),
                      F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}")]
+        elif f.name in strings:
+            aggs.append(F.count(F.try_to_timestamp(q(f.name))).alias(f"ts{i}"))
+    row = df.agg(*aggs).first()
+    n = row["_n"]
+    local, cats = [], []
+    for i, f in enumerate(fields):
+        c = f.name
+        if c in num:
+            role = "numeric"
+        elif c in strings:
+            role = "datetime" if row[f"ts{i}"] == row[f"c{i}"] else "categorical"
+            if role == "categorical":
+                cats.append(c)
+        elif isinstance(f.dataType, DATETIME_TYPES):
+            role = "datetime"
+        elif isinstance(f.dataType, NESTED_TYPES):
+            role = "nested"
         else:
-            aggs += [F.lit(None).cast("double").alias(f"{k}{i}") for k in ("mean", "std", "min", "max")]
-    wide = _one_row_long(df.agg(*aggs), df.columns, ["miss", "mean", "std", "min", "max"], shared=["_n"])
-    types = column_roles(df).select("column", "dtype", "role")
+            role = "other"
+        stats = [row[f"{k}{i}"] if c in num else None for k in ("mean", "std", "min", "max")]
+        local.append((i, c, f.dataType.simpleString(), role, n - row[f"c{i}"], n, *stats))
+    base = spark.createDataFrame(local, "ordinal int, column string, dtype string, role string, n_missing long, "
+                                        "_n long, mean double, std double, min double, max double")
     parts = []
     if num:
-        from tablelab.functions.stats import quantiles_long
+        counts = {c: row[f"c{i}"] for i, c in enumerate(df.columns) if c in num}
+        totals = spark.createDataFrame(list(counts.items()), "column string, n long")
+        bound = max(counts.values())
+        if bound > VALUES_PER_BUCKET:
+            d = df.agg(*[F.approx_count_distinct(q(c)).alias(f"d{i}") for i, c in enumerate(num)]).first()
+            bound = max(d[f"d{i}"] for i in range(len(num)))
         vc = column_value_counts(df, num)
-        qs = quantiles_long(df, num, [0.25, 0.5, 0.75])
-        qw = qs.groupBy("column").agg(*[F.max(F.when(F.col("prob") == p, F.col("qv"))).alias(n)
-                                        for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
+        qs = exact_quantiles(rank_table(vc, totals=totals, max_distinct=bound), [0.25, 0.5, 0.75], totals=totals)
+        qw = qs.groupBy("column").agg(*[F.max(F.when(F.col("prob") == p, F.col("qv"))).alias(nm)
+                                        for p, nm in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
         nu = vc.groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
         parts.append(nu.join(qw, "column", "left").select(
             "column", "n_unique", "q25", "q50", "q75", F.lit(None).cast("string").alias("top"),
             F.lit(None).cast("long").alias("freq")))
+    other = [c for c in df.columns if c not in num]
     if other:
-        svc = string_value_counts(df, other)
+        svc = column_value_counts(df, other, "string", "s")
         best = F.min(F.struct((-F.col("cnt")).alias("neg"), F.col("s").alias("s")))
-        cats = roles["categorical"]
         g = svc.groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"), best.alias("b"))
         is_cat = F.col("column").isin(*cats) if cats else F.lit(False)
-        parts.append(g.select("column", "n_unique", *[F.lit(None).cast("double").alias(n) for n in ("q25", "q50", "q75")],
+        parts.append(g.select("column", "n_unique", *[F.lit(None).cast("double").alias(nm) for nm in ("q25", "q50", "q75")],
                               F.when(is_cat, F.col("b.s")).alias("top"), F.when(is_cat, -F.col("b.neg")).alias("freq")))
     per = parts[0]
     for p_ in parts[1:]:
         per = per.unionByName(p_)
     r = lambda c: F.round(F.col(c), digits).alias(c)
-    pct = F.round(F.col("miss") * 100.0 / F.col("_n"), 2)
-    return (wide.join(types, "column").join(per, "column", "left")
-            .select("ordinal", "column", "dtype", "role", F.col("miss").cast("long").alias("n_missing"),
-                    pct.alias("missing_pct"), F.coalesce("n_unique", F.lit(0)).cast("long").alias("n_unique"),
+    pct = F.round(F.col("n_missing") * 100.0 / F.col("_n"), 2)
+    return (base.join(per, "column", "left")
+            .select("ordinal", "column", "dtype", "role", "n_missing", pct.alias("missing_pct"),
+                    F.coalesce("n_unique", F.lit(0)).cast("long").alias("n_unique"),
                     r("mean"), r("std"), r("min"), r("q25"), r("q50"), r("q75"), r("max"), "top",
                     F.col("freq").cast("long").alias("freq")))
