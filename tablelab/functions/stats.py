@@ -90,7 +90,7 @@ def group_totals(vc: DataFrame, group: str | list[str] = "column") -> DataFrame:
 
 def prefix_sums(vc: DataFrame, group: str | list[str] = "column", value: str = "x",
                 sum_cols: tuple[str, ...] = ("cnt",), max_distinct: int | None = None,
-                values_per_bucket: int = VALUES_PER_BUCKET) -> DataFrame:
+                values_per_bucket: int | None = None, few_groups: bool = True) -> DataFrame:
     """For each row of ``vc`` (one row per distinct ``value`` within a group)
     add ``<c>_before`` = sum of ``c`` over the rows of the same group with a
     smaller value, for every c in ``sum_cols``.
@@ -104,8 +104,15 @@ def prefix_sums(vc: DataFrame, group: str | list[str] = "column", value: str = "
     while each window partition holds about ``values_per_bucket`` values.
     ``max_distinct`` (an estimate is enough, e.g. ``approx_count_distinct``
     from an aggregate the caller runs anyway) decides the bucket count;
-    without it one small job measures it."""
+    without it one small job measures it.
+
+    ``few_groups`` says the groups are bounded by the schema (columns,
+    classes, pairs): then per-group edge and offset tables are broadcast.
+    Groups that grow with the data (conversations, users) pass False and
+    those small tables are joined with a shuffle instead."""
     groups = [group] if isinstance(group, str) else list(group)
+    values_per_bucket = values_per_bucket or VALUES_PER_BUCKET
+    bc = F.broadcast if few_groups else (lambda d: d)
     if max_distinct is None:
         max_distinct = vc.groupBy(*groups).count().agg(F.max("count")).first()[0] or 0
     buckets = max(1, math.ceil(max_distinct / values_per_bucket))
@@ -121,7 +128,7 @@ def prefix_sums(vc: DataFrame, group: str | list[str] = "column", value: str = "
         probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
         edges = vc.groupBy(*groups).agg(
             F.percentile_approx(F.col(value).cast("double"), probs, 10 * buckets).alias("_edges"))
-        keyed = (vc.join(F.broadcast(edges), groups, "left")
+        keyed = (vc.join(bc(edges), groups, "left")
                  .withColumn("_bucket", F.size(F.filter("_edges", lambda e: e < F.col(value).cast("double"))))
                  .drop("_edges"))
     btot = keyed.groupBy(*groups, "_bucket").agg(*[F.sum(c).alias(f"_b_{c}") for c in sum_cols])
@@ -129,7 +136,7 @@ def prefix_sums(vc: DataFrame, group: str | list[str] = "column", value: str = "
     offsets = btot.select(*groups, "_bucket", *[F.coalesce(F.sum(f"_b_{c}").over(wb), F.lit(0)).alias(f"_o_{c}")
                                                 for c in sum_cols])
     wv = Window.partitionBy(*groups, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    out = keyed.join(F.broadcast(offsets), groups + ["_bucket"], "left")
+    out = keyed.join(bc(offsets), groups + ["_bucket"], "left")
     for c in sum_cols:
         out = out.withColumn(f"{c}_before", F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(wv), F.lit(0)))
     return out.drop("_bucket", *[f"_o_{c}" for c in sum_cols])
@@ -137,16 +144,17 @@ def prefix_sums(vc: DataFrame, group: str | list[str] = "column", value: str = "
 
 def rank_table(vc: DataFrame, group: str | list[str] = "column", value: str = "x",
                totals: DataFrame | None = None, max_distinct: int | None = None,
-               values_per_bucket: int = VALUES_PER_BUCKET) -> DataFrame:
+               values_per_bucket: int | None = None, few_groups: bool = True) -> DataFrame:
     """Exact ranks over value counts ``(group..., value, cnt)``: adds
     ``cum_before`` (values strictly smaller in the group) and ``n`` (group
     total).  See :func:`prefix_sums` for how big groups are split."""
     groups = [group] if isinstance(group, str) else list(group)
     if totals is None:
         totals = group_totals(vc, groups).select(*groups, "n")
-    ranked = prefix_sums(vc, groups, value, ("cnt",), max_distinct, values_per_bucket).withColumnRenamed(
+    ranked = prefix_sums(vc, groups, value, ("cnt",), max_distinct, values_per_bucket, few_groups).withColumnRenamed(
         "cnt_before", "cum_before")
-    return ranked.join(F.broadcast(totals.select(*groups, "n")), groups, "left")
+    tot = totals.select(*groups, "n")
+    return ranked.join(F.broadcast(tot) if few_groups else tot, groups, "left")
 
 
 def exact_quantiles(ranked: DataFrame, probs: list[float], group: str | list[str] = "column",

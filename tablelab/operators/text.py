@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablelab.functions import fixed
-from tablelab.functions.stats import q, rank_table
+from tablelab.functions.stats import prefix_sums, q
 
 # --------------------------------------------------------------------------
 # small column helpers
@@ -104,8 +104,9 @@ def recent_context(df: DataFrame, group: str = "conv_id", order: str = "turn", r
     it and joined on (conversation, position): only equi-joins on unique keys,
     no window over a whole conversation."""
     base = df.select(q(group).alias("_g"), q(order).alias("_o"), q(role).alias("_r"), q(text).alias("_t"))
-    pos = rank_table(base.select("_g", "_o").withColumn("cnt", F.lit(1)), "_g", "_o").select(
-        "_g", "_o", F.col("cum_before").alias("_pos"))
+    # conversations grow with the data: no broadcast of per-conversation tables
+    pos = prefix_sums(base.select("_g", "_o").withColumn("cnt", F.lit(1)), "_g", "_o", ("cnt",),
+                      few_groups=False).select("_g", "_o", F.col("cnt_before").alias("_pos"))
     msgs = base.join(pos, ["_g", "_o"])
     rendered = F.concat(F.lit("<|im_start|>"), F.col("_r"), F.lit("\n"), F.coalesce(F.col("_t"), F.lit("")),
                         F.lit("\n<|im_end|>\n"))
