@@ -340,9 +340,11 @@ def spearman_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
         .alias("rho"))
     names = df.sparkSession.createDataFrame([(f"{i}_{j}", cols[i], cols[j]) for i, j in pairs],
                                             "pair string, col_a string, col_b string")
-    up = rho.join(F.broadcast(names), "pair").select("col_a", "col_b", _round(F.col("rho")).alias("rho"))
-    diag = df.sparkSession.createDataFrame([(c, c, 1.0) for c in cols], "col_a string, col_b string, rho double")
-    return up.unionByName(up.select(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "rho")).unionByName(diag)
+    up = rho.join(F.broadcast(names), "pair").select("col_a", "col_b", _round(F.col("rho")).alias("rho")).collect()
+    # one row per column pair: mirror and add the diagonal without recomputing the ranks
+    rows = [(r["col_a"], r["col_b"], r["rho"]) for r in up]
+    rows += [(b, a, v) for a, b, v in rows] + [(c, c, 1.0) for c in cols]
+    return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, rho double")
 
 
 # --------------------------------------------------------------------------
