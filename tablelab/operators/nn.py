@@ -1,0 +1,132 @@
+"""Multilayer-perceptron regressor (M19 regression, A1/A2 regression branch):
+Spark has no MLP regressor, so training is synchronous full-batch gradient
+descent with Adam: every epoch each task computes the summed MSE gradient of
+its rows with numpy (``mapInPandas``), Spark sums the per-task vectors, and
+the driver updates the weights (their size depends on the layer sizes, not on
+the data).  Prediction is a vectorised forward pass per Arrow batch."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tablelab.session import cut_lineage
+
+
+def _shapes(sizes):
+    return [(sizes[i], sizes[i + 1]) for i in range(len(sizes) - 1)]
+
+
+def _unflatten(theta, sizes):
+    out, k = [], 0
+    for a, b in _shapes(sizes):
+        w = theta[k:k + a * b].reshape(a, b)
+        k += a * b
+        bias = theta[k:k + b]
+        k += b
+        out.append((w, bias))
+    return out
+
+
+def _forward(x, layers):
+    acts = [x]
+    for i, (w, b) in enumerate(layers):
+        z = acts[-1] @ w + b
+        acts.append(np.maximum(z, 0.0) if i < len(layers) - 1 else z)
+    return acts
+
+
+@dataclass
+class MLPRegressor:
+    features: list[str]
+    hidden: tuple = (100, 50)
+    alpha: float = 1e-4
+    theta: np.ndarray | None = None
+    history: list = field(default_factory=list)
+
+    @property
+    def sizes(self):
+        return [len(self.features), *self.hidden, 1]
+
+    def fit(self, df: DataFrame, label: str, epochs: int = 200, lr: float = 1e-3, seed: int = 42,
+            tol: float = 1e-4, patience: int = 10) -> "MLPRegressor":
+        sizes = self.sizes
+        rng = np.random.RandomState(seed)
+        parts = []
+        for a, b in _shapes(sizes):
+            bound = np.sqrt(6.0 / (a + b))
+            parts += [rng.uniform(-bound, bound, a * b), rng.uniform(-bound, bound, b)]
+        theta = np.concatenate(parts)
+        m, v = np.zeros_like(theta), np.zeros_like(theta)
+        feats = list(self.features)
+        data = cut_lineage(df.select(*[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(feats)],
+                                     F.col(label).cast("double").alias("_y")).dropna())
+        names = [f"_x{i}" for i in range(len(feats))]
+        best, flat = np.inf, 0
+        for epoch in range(1, epochs + 1):
+            th = theta.copy()
+
+            def grad(batches, th=th):
+                layers = _unflatten(th, sizes)
+                acc = np.zeros(th.size + 2)
+                for pdf in batches:
+                    x = pdf[names].to_numpy(dtype="float64")
+                    y = pdf["_y"].to_numpy(dtype="float64").reshape(-1, 1)
+                    acts = _forward(x, layers)
+                    delta = acts[-1] - y                       # d(0.5 * err^2) / d(out)
+                    grads = []
+                    for i in range(len(layers) - 1, -1, -1):
+                        w, _ = layers[i]
+                        grads.append((acts[i].T @ delta, delta.sum(axis=0)))
+                        if i > 0:
+                            delta = (delta @ w.T) * (acts[i] > 0)
+                    flatg = np.concatenate([np.concatenate([gw.ravel(), gb]) for gw, gb in reversed(grads)])
+                    acc[:-2] += flatg
+                    acc[-2] += float((0.5 * (acts[-1] - y) ** 2).sum())
+                    acc[-1] += len(x)
+                yield pd.DataFrame({"g": [acc.tolist()]})
+
+            tot = (data.mapInPandas(grad, "g array<double>").select(F.posexplode("g").alias("i", "v"))
+                   .groupBy("i").agg(F.sum("v").alias("v")).collect())   # one number per parameter
+            g = np.zeros(theta.size + 2)
+            for r in tot:
+                g[r["i"]] = r["v"]
+            n = max(g[-1], 1.0)
+            loss = g[-2] / n
+            gr = g[:-2] / n + self.alpha * theta
+            m = 0.9 * m + 0.1 * gr
+            v = 0.999 * v + 0.001 * gr * gr
+            theta = theta - lr * (m / (1 - 0.9 ** epoch)) / (np.sqrt(v / (1 - 0.999 ** epoch)) + 1e-8)
+            self.history.append((epoch, float(loss)))
+            if loss < best - tol:
+                best, flat = loss, 0
+            else:
+                flat += 1
+                if flat >= patience:
+                    break
+        self.theta = theta
+        return self
+
+    def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
+        sizes, th, feats = self.sizes, self.theta.copy(), list(self.features)
+        schema = T.StructType(list(df.schema.fields) + [T.StructField(out, T.DoubleType())])
+
+        def predict(batches):
+            layers = _unflatten(th, sizes)
+            for pdf in batches:
+                x = pdf[feats].astype("float64").fillna(0.0).to_numpy()
+                pdf[out] = _forward(x, layers)[-1].ravel()
+                yield pdf
+
+        return df.mapInPandas(predict, schema)
+
+    def history_frame(self, spark: SparkSession) -> DataFrame:
+        """A4 for the regressor: loss per epoch and the best epoch."""
+        best = min(self.history, key=lambda t: t[1])[0] if self.history else None
+        return spark.createDataFrame([(e, l, e == best) for e, l in self.history],
+                                     "epoch int, loss double, is_best boolean")

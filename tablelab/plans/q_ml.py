@@ -303,3 +303,18 @@ def train_kernel_svr(spark, sf_dir):
     unpack = lambda d: d.select("*", *[vector_to_array("features")[i].alias(c) for i, c in enumerate(cols)])
     model, fmap = kernel_svr(unpack(train), cols, "label", c=1.0, n_components=50)
     return MT.regression_metrics(model.transform(fmap(unpack(test))), "label", "prediction")
+
+
+@register("train_mlp_regressor", None, "M19", "A1", "A2", "A4")
+def train_mlp_regressor(spark, sf_dir):
+    """Regression MLP (hidden 100, 50) on standardised features, 30 epochs."""
+    from tablelab.operators.nn import MLPRegressor
+    from tablelab.operators.preprocess import fit_impute, fit_scale
+    df = ML.train_test_split(fixture(spark, sf_dir, "li_ml"), LI_KEY, 0.2, None)
+    train = df.where(~F.col("is_test"))
+    imp = fit_impute(train.select(*ML_FEATURES), "mean")
+    sc = fit_scale(imp.transform(train.select(*ML_FEATURES)), "standard")
+    prep = lambda d: sc.transform(imp.transform(d))
+    model = MLPRegressor(ML_FEATURES).fit(prep(train), "l_quantity", epochs=30, lr=1e-2)
+    pred = model.transform(prep(df.where(F.col("is_test"))))
+    return MT.regression_metrics(pred, "l_quantity", "prediction")

@@ -284,3 +284,14 @@ def test_hot_value_a_third_of_rows(spark, monkeypatch):
     assert (top[0]["value"], top[0]["cnt"]) == ("hot", 500)
     folds = ML.assign_folds(df, ["k"], 5, "s").groupBy("fold").count().collect()
     assert sum(r["count"] for r in folds) == 1500 and len(folds) == 5
+
+
+def test_mlp_regressor_fits_planted_relation(spark):
+    from tablelab.operators.nn import MLPRegressor
+    rnd = random.Random(8)
+    rows = [(x, 3 * x + 1 + rnd.gauss(0, 0.05)) for x in (rnd.uniform(-1, 1) for _ in range(300))]
+    df = spark.createDataFrame(rows, "x double, y double")
+    m = MLPRegressor(["x"], hidden=(16, 8)).fit(df, "y", epochs=150, lr=0.02, patience=30)
+    r2 = MT.regression_metrics(m.transform(df), "y", "prediction").first()["r2"]
+    assert r2 > 0.9
+    assert m.history[-1][1] < m.history[0][1]
