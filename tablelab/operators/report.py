@@ -66,26 +66,15 @@ def issues_section(df: DataFrame, roles: dict | None = None) -> DataFrame:
 
 def columns_section(df: DataFrame, roles: dict | None = None) -> DataFrame:
     """Markdown table, one row per column: type, missing, unique, mean and
-    std for numerics, else the top value."""
-    roles = roles or P.infer_roles(df)
-    miss = P.missing_counts(df).select("ordinal", "column", "n_missing")
-    types = P.dtypes(df).select("column", "dtype")
-    nu = P.distinct_counts(df)
-    t = miss.join(types, "column").join(nu, "column", "left")
-    if roles["numeric"]:
-        t = t.join(P.moments(df, roles["numeric"], ("n", "mean", "std")).select("column", "mean", "std"), "column", "left")
-    else:
-        t = t.withColumn("mean", F.lit(None).cast("double")).withColumn("std", F.lit(None).cast("double"))
-    if roles["categorical"]:
-        t = t.join(P.categorical_summary(df, roles["categorical"]).select("column", "top"), "column", "left")
-    else:
-        t = t.withColumn("top", F.lit(None).cast("string"))
-    summ = F.when(F.col("column").isin(*roles["numeric"]) if roles["numeric"] else F.lit(False),
+    std for numerics, else the top value.  Built from the column profile (two
+    scans of the input for all columns)."""
+    prof = P.column_profile(df, digits=12)
+    summ = F.when(F.col("role") == "numeric",
                   F.format_string("mean=%.2f, std=%.2f", F.coalesce("mean", F.lit(float("nan"))),
                                   F.coalesce("std", F.lit(float("nan"))))
                   ).otherwise(F.concat(F.lit("Top: "), F.coalesce("top", F.lit("N/A"))))
-    body = t.select((F.col("ordinal") + 1).cast("int").alias("seq"), F.format_string(
-        "| %s | %s | %d | %d | %s |", "column", "dtype", "n_missing", F.coalesce("n_unique", F.lit(0)), summ).alias("line"))
+    body = prof.select((F.col("ordinal") + 1).cast("int").alias("seq"), F.format_string(
+        "| %s | %s | %d | %d | %s |", "column", "dtype", "n_missing", "n_unique", summ).alias("line"))
     head = df.sparkSession.createDataFrame(
         [(-2, "## 3. Column profiles"), (-1, "| Column | Type | Missing | Unique | Summary |"),
          (0, "|---|---|---|---|---|")], "seq int, line string")
