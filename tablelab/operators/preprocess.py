@@ -110,17 +110,19 @@ def fit_impute(df: DataFrame, strategy: str = "auto") -> ImputeModel:
         st = df.agg(*[F.avg(q(c).cast("double")).alias(f"m{i}") for i, c in enumerate(num_null)],
                     *[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(num_null)],
                     *[F.skewness(q(c).cast("double")).alias(f"s{i}") for i, c in enumerate(num_null)]).first()
-        med = {r["column"]: r["median"] for r in quantiles_wide(df, num_null, [0.5], ["median"]).collect()}
+        choice = {}
         for i, c in enumerate(num_null):
             n, sp = st[f"n{i}"], st[f"s{i}"]
             g1 = None
             if n >= 3:
                 g1 = (sp or 0.0) * (n * (n - 1)) ** 0.5 / (n - 2)
             model.skews[c] = g1
-            if strategy == "auto":
-                use_median = g1 is not None and abs(g1) > 1
-            else:
-                use_median = strategy == "median"
+            choice[c] = (g1 is not None and abs(g1) > 1) if strategy == "auto" else strategy == "median"
+        # exact medians only for the columns that use them
+        need = [c for c in num_null if choice[c]]
+        med = {r["column"]: r["median"] for r in quantiles_wide(df, need, [0.5], ["median"]).collect()} if need else {}
+        for i, c in enumerate(num_null):
+            use_median = choice[c]
             v = med.get(c) if use_median else st[f"m{i}"]
             if v is not None:
                 model.fills[c], model.methods[c] = v, ("median" if use_median else "mean")
