@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tablelab.llm import decontaminate, licenses, sentencepiece_codec, token_file
+from tablelab.llm import (decontaminate, html_extract, knn_join, language_id, licenses, sentencepiece_codec,
+                          token_file, url_filter)
 from tablelab.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +21,31 @@ def query(fn):
     return fn
 
 
+@query
+def op1_voronoi_knn(spark, sf_dir):
+    return knn_join.top_k(read_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+ORACLES["op1_voronoi_knn"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x
+           FROM embeddings WHERE embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_inner_product(q.x, d.x) AS BIGINT) AS score
+           FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0),
+     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
+@query
+def op2_language_id(spark, sf_dir):
+    return language_id.predict(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_html_extract(spark, sf_dir):
+    return html_extract.extract(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 @query
 def op5_license_scan(spark, sf_dir):
     return licenses.digest(licenses.scan(read_table(spark, sf_dir, "documents")))
@@ -30,6 +57,12 @@ def op6_sentencepiece(spark, sf_dir):
                                           public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query
+def op7_url_filter(spark, sf_dir):
+    model = url_filter.train(url_filter.seed_table(spark))
+    return url_filter.judge(read_table(spark, sf_dir, "pages"), model)
+
+
 @query
 def op9_token_file(spark, sf_dir):
     return token_file.write_and_read(read_table(spark, sf_dir, "documents"),
