@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelab.llm import (decontaminate, html_extract, knn_join, language_id, licenses, sentencepiece_codec,
-                          token_file, url_filter)
+from tablelab.llm import (decontaminate, html_extract, knn_join, language_id, licenses, near_dedup,
+                          sentencepiece_codec, token_file, url_filter)
 from tablelab.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +63,11 @@ def op7_url_filter(spark, sf_dir):
     return url_filter.judge(read_table(spark, sf_dir, "pages"), model)
 
 
+@query
+def op8_odd_sketch_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_token_file(spark, sf_dir):
     return token_file.write_and_read(read_table(spark, sf_dir, "documents"),
