@@ -75,6 +75,16 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def filter_texts(docs: DataFrame, keep) -> DataFrame:
+    """Rows of ``docs``, columns unchanged, for which ``keep(texts)`` says True."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(a, 2000) for a in range(0, whole.num_rows, 2000)):
+                yield b.filter(pa.array(keep(b.column(b.schema.names.index("text")).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablelab.llm.common import alnum_words, arrow_schema
+from tablelab.llm.common import alnum_words, arrow_schema, filter_texts
 
 WINDOW = 10
 BLOCK_WINDOWS = 100_000
@@ -222,29 +222,49 @@ def _apply_block(state: DataFrame, shared, id_type: str, first: bool, last: bool
     return state.mapInArrow(run, ddl)
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW,
-                  block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """One row per document row: doc_id, n_words, n_hit, item_ids (sorted as strings)."""
+def _blocks(docs: DataFrame, bench: DataFrame, window: int, block_windows: int) -> list:
+    """Broadcast blocks of windows whose prefixes follow the rarity in ``docs``."""
     spark = docs.sparkSession
-    state = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
-    id_type = state.schema["doc_id"].dataType.simpleString()
     wins = windows(bench, window)
     n_blocks = max(1, -(-wins.count() // block_windows))
     shared = []
     for k in range(n_blocks):
         part = wins if n_blocks == 1 else wins.where(F.pmod(F.xxhash64("win"), F.lit(n_blocks)) == k)
         block = Block([(r["win"], r["items"]) for r in part.collect()])
-        counted = spark.sparkContext.broadcast(block)
         counts = np.zeros(len(block.shingles), np.int64)
-        for at, n in _count_shingles(state, counted).items():
+        for at, n in _count_shingles(docs, spark.sparkContext.broadcast(block)).items():
             counts[at] = n
         block.choose_prefix(counts)
         shared.append(spark.sparkContext.broadcast(block))
+    return shared
+
+
+def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW,
+                  block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """One row per document row: doc_id, n_words, n_hit, item_ids (sorted as strings)."""
+    state = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
+    id_type = state.schema["doc_id"].dataType.simpleString()
+    shared = _blocks(state, bench, window, block_windows)
     for k, part in enumerate(shared):
-        state = _apply_block(state, part, id_type, k == 0, k == n_blocks - 1)
+        state = _apply_block(state, part, id_type, k == 0, k == len(shared) - 1)
     return state
 
 
+def clean(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """The rows of ``docs``, all columns, in which no benchmark window occurs."""
+    def keep(shared):
+        def fn(texts: list[str | None]) -> list[bool]:
+            ids, lengths = shared.value.doc_ids(texts)
+            hit, _ = shared.value.match(ids, lengths)
+            begin = np.cumsum(lengths + 1) - lengths - 1
+            return [not hit[a:a + n].any() for a, n in zip(begin, lengths)]
+        return fn
+
+    for part in _blocks(docs.select(F.col("text").cast("string").alias("text")), bench, window, block_windows):
+        docs = filter_texts(docs, keep(part))
+    return docs
+
+
 def digest(found: DataFrame) -> DataFrame:
     """The report columns of ``decontaminate``."""
     return found.select(

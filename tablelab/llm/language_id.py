@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablelab.llm.common import arrow_schema, crc_bucket
+from tablelab.llm.common import arrow_schema, crc_bucket, filter_texts
 
 UND = "und"
 MAX_ROWS = 600
@@ -50,6 +50,7 @@ MAX_LANGUAGES = 200
 MAX_ALPHABET = 126
 BLOCK = 1024
 LANES = 4096
+MIN_PHRASE_CHARS = 2.0  # texts in no learned language parse into phrases of 1 or 2 characters
 
 
 @functools.cache
@@ -261,6 +262,18 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
     return df.mapInArrow(run, ddl)
 
 
+def clear_text(docs: DataFrame, model: Model, min_phrase_chars: float = MIN_PHRASE_CHARS) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text is in a learned language:
+    not ``und``, and phrases of the best language at least so long on average."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(texts: list[str | None]) -> list[bool]:
+        got = decide(shared.value, texts)
+        return [lang != UND and size >= min_phrase_chars for lang, size in zip(got["lang_pred"], got["phrase_chars"])]
+
+    return filter_texts(docs, keep)
+
+
 def held_out():
     """True for the documents that nothing is learned from."""
     return F.coalesce(crc_bucket("doc_id", 4) == 2, F.lit(False))

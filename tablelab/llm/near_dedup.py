@@ -248,3 +248,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     component = F.coalesce("component", "doc_id")
     return rows.select("doc_id", "n_shingles", component.alias("component_id"),
                        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``near_duplicates`` keeps; of rows
+    that repeat a doc_id the one with the smallest text."""
+    names = [f"`{c}`" for c in docs.columns]
+    gone = near_duplicates(docs, percent).where(~F.col("kept")).select("doc_id").distinct()
+    repeated = written(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n"))
+                       .where("n > 1").select("doc_id"), "near-repeated")
+    rows = docs.join(gone, "doc_id", "left_anti").select(*names)
+    if repeated.isEmpty():
+        return rows
+    first = (rows.join(repeated, "doc_id", "left_semi").groupBy("doc_id")
+             .agg(F.min_by(F.struct(*names), F.struct(F.col("text").cast("string"))).alias("row")).select("row.*"))
+    return rows.join(repeated, "doc_id", "left_anti").select(*names).unionByName(first.select(*names))
