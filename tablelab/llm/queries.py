@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelab.llm import (decontaminate, html_extract, knn_join, language_id, licenses, near_dedup,
+from tablelab.llm import (decontaminate, html_extract, knn_join, language_id, licenses, maxent_lm, near_dedup,
                           sentencepiece_codec, token_file, url_filter)
 from tablelab.llm.common import read_table
 
@@ -41,6 +41,11 @@ def op2_language_id(spark, sf_dir):
     return language_id.predict(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_maxent_lm(spark, sf_dir):
+    return maxent_lm.score_documents(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_html_extract(spark, sf_dir):
     return html_extract.extract(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
