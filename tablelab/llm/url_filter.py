@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 BUCKETS = 4096
 SIZES = (3, 4, 5)
-REG = 0.01
+REG = 0.003
 MAX_RULES = 1000
 MAX_TRAINING_ROWS = 100_000
 
@@ -40,12 +40,15 @@ xxx-videos adult-cams porn-tube escort-girls betting-tips bonus-casino win-prize
 replica-watches pills-online pharmacy-discount track-clicks ad-server banner-ads popunder-traffic click-tracker
 spam-links link-farm warez-download cracked-keygen torrent-hub malware-drop phishing-login lottery-winner
 get-rich-quick diet-miracle fake-diploma essay-mill gambling-odds sportsbet roulette-live nude-pics hot-singles
-cheap-meds free-iphone survey-rewards adclick doubleads trackpixel betwin casinobonus""".split()
+cheap-meds free-iphone survey-rewards adclick doubleads trackpixel betwin casinobonus ads-exchange ads-banner
+ads-serve best-ads spam-mail spam-blog spam-site content-farm click-farm adult-dating adult-chat casino-royal
+bets-online pills-direct""".split()
 ALLOW_NAMES = """news wiki library museum university research science history travel garden cooking recipes music
 theatre weather health sports school village council market journal review magazine photo gallery forum devblog
 handbook manual guide tutorial reference archive bulletin gazette observer tribune herald courier daily weekly
 culture nature birds rivers mountains castle harbour bridge station railway cycling walking reading writing theron
-thander rening onthe antion erthing andor hether thinest ouring thetion reand anthe ingthe""".split()
+thander rening onthe antion erthing andor hether thinest ouring thetion reand anthe ingthe
+thing farming farmers addison adler badger spanish trackside oferand wither ofthe shand andst ndble ererth hathan""".split()
 
 
 @dataclass(frozen=True)
