@@ -76,9 +76,13 @@ HEALTH_LABELS = [(80, "Excellent"), (60, "Good"), (40, "Fair")]
 HEALTH_LABEL_ELSE = "Critical"
 
 # Page text and search result limits.
-PAGE_SOURCE_MAX_BYTES = 200_000
 PAGE_TEXT_MAX_CHARS = 3000
 EXCERPT_MAX_CHARS = 600
 DIGEST_MAX_CHARS = 400
 RECENT_TURNS = 4
 CITATIONS_MAX = 5
+
+# FIXED VALUES: markup of a result page and the line for a search without results.
+LINK_RE = r'(?i)<a[^>]+class="result-link"[^>]*href="([^"]+)"[^>]*>([^<]+)</a>'
+SNIPPET_RE = r'(?is)<td[^>]+class="result-snippet"[^>]*>(.*?)</td>'
+NO_RESULTS_LINE = "[No web search results found]"

@@ -21,12 +21,12 @@ from tablelab.functions.stats import prefix_sums, q
 # small column helpers
 # --------------------------------------------------------------------------
 
-WS = r"\s+"
+WS = r"(?U)[\s\x1c-\x1f]+"  # Unicode white space: also no-break and ideographic spaces
 
 
 def strip_ws(c: Column) -> Column:
     """Python ``str.strip()`` on whitespace."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
 def collapse_ws(c: Column) -> Column:
@@ -147,31 +147,19 @@ def extract_plan(df: DataFrame, text_col: str = "text", keys: list[str] | None =
 # X7-X13 pages and result pages
 # --------------------------------------------------------------------------
 
-def cap_bytes(c: Column, n: int = fixed.PAGE_SOURCE_MAX_BYTES) -> Column:
-    """First n UTF-8 bytes of a text (as read from a capped response); a
-    character cut in half is dropped."""
-    b = F.encode(c, "UTF-8")
-    cut = F.substring(b, 1, n)
-    return F.when(F.octet_length(c) <= n, c).otherwise(
-        F.regexp_replace(F.decode(cut, "UTF-8"), "�+$", ""))
-
-
-def html_to_text(html: Column, max_chars: int = fixed.PAGE_TEXT_MAX_CHARS) -> Column:
+def html_to_text(html: Column, max_chars: int | None = None) -> Column:
     """Drop script and style blocks, tags -> space, decode entities,
-    collapse whitespace, cut to max_chars (right-stripped) + '...'."""
-    t = cap_bytes(html)
-    t = F.regexp_replace(t, r"(?i)<script[^>]*>[\s\S]*?</script>", " ")
+    collapse whitespace; with ``max_chars`` cut there (right-stripped) + '...'."""
+    t = F.regexp_replace(html, r"(?i)<script[^>]*>[\s\S]*?</script>", " ")
     t = F.regexp_replace(t, r"(?i)<style[^>]*>[\s\S]*?</style>", " ")
     t = F.regexp_replace(t, r"<[^>]+>", " ")
     t = collapse_ws(unescape(t))
-    cut = F.regexp_replace(F.substring(t, 1, max_chars), r"\s+$", "")
+    if max_chars is None:
+        return t
+    cut = F.regexp_replace(F.substring(t, 1, max_chars), r"(?U)[\s\x1c-\x1f]+$", "")
     return F.when(F.length(t) > max_chars, F.concat(cut, F.lit("..."))).otherwise(t)
 
 
-LINK_RE = r'(?i)<a[^>]+class="result-link"[^>]*href="([^"]+)"[^>]*>([^<]+)</a>'
-SNIPPET_RE = r'(?is)<td[^>]+class="result-snippet"[^>]*>(.*?)</td>'
-
-
 def redirect_decode(href: Column) -> Column:
     """The URL-decoded ``uddg`` query parameter of a redirect link, else
     the link itself."""
@@ -184,10 +172,10 @@ def serp_results(df: DataFrame, key: str, html_col: str = "html", max_results: i
     """X9 + X10: result links and snippet cells zipped by position (snippet ''
     when missing), at most ``max_results`` per page.
     Output (key, pos, title, url, snippet)."""
-    h = cap_bytes(q(html_col))
-    hrefs = F.regexp_extract_all(h, F.lit(LINK_RE), 1)
-    titles = F.regexp_extract_all(h, F.lit(LINK_RE), 2)
-    snips = F.regexp_extract_all(h, F.lit(SNIPPET_RE), 1)
+    h = q(html_col)
+    hrefs = F.regexp_extract_all(h, F.lit(fixed.LINK_RE), 1)
+    titles = F.regexp_extract_all(h, F.lit(fixed.LINK_RE), 2)
+    snips = F.regexp_extract_all(h, F.lit(fixed.SNIPPET_RE), 1)
     z = df.select(q(key), F.posexplode(F.slice(F.arrays_zip(hrefs.alias("href"), titles.alias("title")),
                                                 1, max_results)).alias("pos", "z"), snips.alias("_sn"))
     snippet = F.when(F.col("pos") < F.size("_sn"),
@@ -221,7 +209,10 @@ def citations(results: DataFrame, key: str, k: int = fixed.CITATIONS_MAX) -> Dat
 def render_context(results: DataFrame, pages_text: DataFrame | None, key: str, max_results: int = 3,
                    excerpt: int = fixed.EXCERPT_MAX_CHARS) -> DataFrame:
     """Numbered result lines (first ``max_results``) and page excerpts cut
-    at ``excerpt`` characters, as one text per search."""
+    at ``excerpt`` characters, as one text per search.  A search whose results
+    are one row with a null position has no results and says so."""
+    empty = results.groupBy(q(key)).agg(F.count("pos").alias("_n")).where("_n = 0").select(
+        q(key), F.lit(fixed.NO_RESULTS_LINE).alias("context"), F.lit(0).alias("n_results"))
     top = results.where(F.col("pos") < max_results)
     line = F.format_string("[%d] %s\n    URL: %s\n    Summary: %s", F.col("pos") + 1, "title", "url", "snippet")
     lines = top.groupBy(q(key)).agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("l")))).alias("_a"))
@@ -233,7 +224,7 @@ def render_context(results: DataFrame, pages_text: DataFrame | None, key: str, m
         out = out.join(ex, key, "left").select(
             q(key), F.when(F.col("_ex").isNotNull(), F.concat("context", F.lit("\n\n=== PAGE EXCERPTS ===\n"), "_ex"))
             .otherwise(F.col("context")).alias("context"), "n_results")
-    return out
+    return out.unionByName(empty)
 
 
 # --------------------------------------------------------------------------
@@ -241,7 +232,7 @@ def render_context(results: DataFrame, pages_text: DataFrame | None, key: str, m
 # --------------------------------------------------------------------------
 
 def output_digest(df: DataFrame, group: str = "conv_id", role: str = "role", order: str = "turn",
-                  text: str = "text", max_chars: int = 300) -> DataFrame:
+                  text: str = "text", max_chars: int = fixed.DIGEST_MAX_CHARS) -> DataFrame:
     """Each role's latest text cut to ``max_chars``, merged as
     ``**Role:** text`` paragraphs (roles in name order).  Per conversation the
     list has one entry per role, so it is bounded."""

@@ -68,7 +68,8 @@ def search_trigger(spark, sf_dir):
 
 # ------------------------------------------------------------------ X4-X6
 
-STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+WS = "[\\s\\x0b\\x1c-\\x1f\\x85\\pZ]"  # Unicode white space, spelled out
+STRIP = "regexp_replace({x}, '^" + WS + "+|" + WS + "+$', '', 'g')"
 
 
 @register("strip_think", with_fixtures(
@@ -110,7 +111,7 @@ def extract_plan(spark, sf_dir):
 # ------------------------------------------------------------------ X7, X8
 
 def _collapse_sql(x: str) -> str:
-    return STRIP.format(x=f"regexp_replace(coalesce({x}, ''), '\\s+', ' ', 'g')")
+    return STRIP.format(x=f"regexp_replace(coalesce({x}, ''), '{WS}+', ' ', 'g')")
 
 
 def _unescape_sql(x: str) -> str:
@@ -121,7 +122,7 @@ def _unescape_sql(x: str) -> str:
     return x
 
 
-def _html_text_sql(h: str, max_chars: int = fixed.PAGE_TEXT_MAX_CHARS) -> str:
+def _html_text_sql(h: str) -> str:
     t = f"regexp_replace({h}, '(?i)<script[^>]*>[\\s\\S]*?</script>', ' ', 'g')"
     t = f"regexp_replace({t}, '(?i)<style[^>]*>[\\s\\S]*?</style>', ' ', 'g')"
     t = f"regexp_replace({t}, '<[^>]+>', ' ', 'g')"
@@ -139,18 +140,32 @@ def collapse_whitespace(spark, sf_dir):
 
 @register("html_to_text", f"""
     WITH t AS (SELECT page_id, {_html_text_sql('html')} AS t FROM pages)
-    SELECT page_id, CASE WHEN length(t) > 3000 THEN regexp_replace(substring(t, 1, 3000), '\\s+$', '') || '...' ELSE t END AS text
+    SELECT page_id, CASE WHEN length(t) > 3000 THEN regexp_replace(substring(t, 1, 3000), '{WS}+$', '') || '...' ELSE t END AS text
     FROM t""", "X8")
 def html_to_text(spark, sf_dir):
     df = fixture(spark, sf_dir, "pages")
-    return df.select("page_id", X.html_to_text(F.col("html")).alias("text"))
+    return df.select("page_id", X.html_to_text(F.col("html"), fixed.PAGE_TEXT_MAX_CHARS).alias("text"))
+
+
+@register("html_full_text", f"""
+    WITH big AS (SELECT page_id, repeat(html, CAST(ceil(220000.0 / length(html)) AS INTEGER)) || '&nbsp;&nbsp;the end' AS html FROM pages
+                 WHERE page_id % 10 = 0 UNION ALL SELECT -1 - page_id, html FROM pages)
+    SELECT page_id, length(t) AS n, t[-200:] AS tail FROM (SELECT page_id, {_html_text_sql('html')} AS t FROM big) x""", "X7", "X8")
+def html_full_text(spark, sf_dir):
+    """Whole pages, and pages repeated beyond 220,000 characters: nothing is cut."""
+    df = fixture(spark, sf_dir, "pages").select("page_id", "html")
+    big = df.where("page_id % 10 = 0").select("page_id", F.concat(F.repeat("html", F.ceil(
+        F.lit(220000.0) / F.length("html")).cast("int")), F.lit("&nbsp;&nbsp;the end")).alias("html"))
+    text = X.html_to_text(F.col("html"))
+    return big.unionByName(df.select((-1 - F.col("page_id")).alias("page_id"), "html")).select(
+        "page_id", text.alias("t")).select("page_id", F.length("t").cast("long").alias("n"), F.substring("t", -200, 200).alias("tail"))
 
 
 # ------------------------------------------------------------------ X9-X13
 
 def _serp_sql(max_results: int = 10) -> str:
-    link = X.LINK_RE.replace("'", "''")
-    snip = X.SNIPPET_RE.replace("'", "''")
+    link = fixed.LINK_RE.replace("'", "''")
+    snip = fixed.SNIPPET_RE.replace("'", "''")
     return f"""
     WITH e AS (SELECT page_id, regexp_extract_all(html, '{link}', 1) AS hrefs, regexp_extract_all(html, '{link}', 2) AS titles,
                       regexp_extract_all(html, '{snip}', 1) AS snips FROM serp_html),
@@ -211,12 +226,15 @@ def citations(spark, sf_dir):
                                 || 'Source: ' || t.url || ' — ' || t.url || chr(10) || 'Excerpt: ' || substring(t.t, 1, 600)
                            ELSE '=== WEB SEARCH RESULTS ===' || chr(10) || body END AS context,
            CAST(n AS INTEGER) AS n_results
-    FROM l LEFT JOIN t ON l.page_id = t.page_id""", "serp_html"), "X13")
+    FROM l LEFT JOIN t ON l.page_id = t.page_id
+    UNION ALL SELECT -1 - page_id, '[No web search results found]', 0 FROM pages""", "serp_html"), "X13")
 def render_context(spark, sf_dir):
     res = X.serp_results(fixture(spark, sf_dir, "serp_html"), "page_id")
+    none = fixture(spark, sf_dir, "pages").select((-1 - F.col("page_id")).alias("page_id"))  # searches without results
+    res = res.unionByName(none, allowMissingColumns=True)
     pages = fixture(spark, sf_dir, "pages")
     pt = pages.select("page_id", F.col("url").alias("title"), "url",
-                      X.html_to_text(F.col("html"), max_chars=10 ** 9).alias("text"))
+                      X.html_to_text(F.col("html")).alias("text"))
     return X.render_context(res, pt, "page_id")
 
 
@@ -224,7 +242,7 @@ def render_context(spark, sf_dir):
 
 @register("output_digest", """
     WITH last AS (SELECT conv_id, role, max_by(text, turn) AS t FROM conversations GROUP BY conv_id, role)
-    SELECT conv_id, string_agg('**' || upper(left(role, 1)) || lower(substring(role, 2)) || ':** ' || substring(coalesce(t, ''), 1, 300),
+    SELECT conv_id, string_agg('**' || upper(left(role, 1)) || lower(substring(role, 2)) || ':** ' || substring(coalesce(t, ''), 1, 400),
                                chr(10) || chr(10) ORDER BY role) AS digest
     FROM last GROUP BY conv_id""", "X14")
 def output_digest(spark, sf_dir):

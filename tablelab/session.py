@@ -7,7 +7,6 @@ fills gaps, which is what happens in local tests.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,14 +42,23 @@ def get_spark(master: str | None = None, app: str = "tablelab",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only when it is unset
-    (local tests) fall back to a fresh scratch folder."""
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None)
+    """The shared folder for checkpoints and intermediate tables: the cluster's
+    ``spark.checkpoint.dir``, else the folder that the caller gave to
+    ``setCheckpointDir``.  Only a local session (tests) gets a scratch folder of
+    its own; on a cluster a missing folder is an error, since a driver's disk
+    can't be read by executors."""
+    sc = spark.sparkContext
+    given = sc._jsc.sc().getCheckpointDir()
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not d and given.isDefined():
+        return given.get()
     if not d:
-        d = tempfile.mkdtemp(prefix="tablelab-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        d = tempfile.mkdtemp(prefix="tablelab-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if not given.isDefined():
+        sc.setCheckpointDir(d)
     return d
 
 

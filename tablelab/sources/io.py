@@ -7,11 +7,12 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablelab.functions.fixed import NA_TOKENS
+from tablelab.functions.stats import q
 
 SUPPORTED_SUFFIXES = (".csv", ".parquet", ".json", ".jsonl")
 
@@ -35,35 +36,49 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
         for c in raw.columns])
     checks = []
     for i, c in enumerate(cleaned.columns):
-        col = F.col(f"`{c}`")
-        checks += [F.count(col).alias(f"n{i}"),
-                   F.count(F.expr(f"try_cast(`{c}` AS BIGINT)")).alias(f"l{i}"),
-                   F.count(F.expr(f"try_cast(`{c}` AS DOUBLE)")).alias(f"d{i}")]
+        col = q(c)
+        checks += [F.count(col).alias(f"n{i}"), F.count(as_long(col)).alias(f"l{i}"), F.count(as_double(col)).alias(f"d{i}"),
+                   F.count_if(F.lower(F.trim(col)).isin("true", "false")).alias(f"b{i}")]
     row = cleaned.agg(*checks).first() if checks else None
     out = []
     for i, c in enumerate(cleaned.columns):
-        n, nl, nd = row[f"n{i}"], row[f"l{i}"], row[f"d{i}"]
+        n, nl, nd, nb = (row[f"{k}{i}"] for k in "nldb")
         if n > 0 and nl == n:
-            out.append(F.expr(f"try_cast(`{c}` AS BIGINT)").alias(c))
+            out.append(as_long(q(c)).alias(c))
         elif n > 0 and nd == n:
-            out.append(F.expr(f"try_cast(`{c}` AS DOUBLE)").alias(c))
+            out.append(as_double(q(c)).alias(c))
+        elif n > 0 and nb == n:
+            out.append((F.lower(F.trim(q(c))) == "true").alias(c))
         else:
-            out.append(F.col(f"`{c}`"))
+            out.append(q(c))
     return cleaned.select(*out)
 
 
+def as_long(c: Column) -> Column:
+    """Decimal integers only, else null."""
+    return F.when(F.trim(c).rlike("^[+-]?[0-9]+$"), F.trim(c).try_cast("bigint"))
+
+
+def as_double(c: Column) -> Column:
+    """Decimal numbers, inf and nan, else null (a cast alone also takes "1d")."""
+    number = r"(?i)^[+-]?([0-9]+\.?[0-9]*(e[+-]?[0-9]+)?|\.[0-9]+(e[+-]?[0-9]+)?|inf|infinity|nan)$"
+    return F.when(F.trim(c).rlike(number), F.trim(c).try_cast("double"))
+
+
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     """S2."""
     return spark.read.parquet(path)
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """S3. ``.json`` holds one document (array of records); ``.jsonl`` holds one
-    record per line (splittable, the form to use at scale)."""
+def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None,
+              lines: bool | None = None) -> DataFrame:
+    """S3. ``.json`` holds one document (array of records) and is read by one
+    task per file; ``.jsonl`` (or ``lines=True``) holds one record per line:
+    splittable, the form to use at scale."""
     reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)
-    if path.endswith(".jsonl"):
+    if path.endswith(".jsonl") if lines is None else lines:
         return reader.json(path)
     return reader.option("multiLine", True).json(path)
 
@@ -77,7 +92,7 @@ def load_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFr
     if kind == "parquet":
         return read_parquet(spark, path)
     if kind in ("json", "jsonl"):
-        return read_json(spark, path if kind == "json" or path.endswith(".jsonl") else path)
+        return read_json(spark, path, lines=kind == "jsonl")
     raise ValueError(f"unsupported format {kind!r}; expected one of {SUPPORTED_SUFFIXES}")
 
 
