@@ -27,7 +27,7 @@ VALUES_PER_BUCKET = 2_000_000
 
 def q(name: str) -> Column:
     """Column by (possibly odd) name."""
-    return F.col(f"`{name}`")
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -54,8 +54,8 @@ def unpivot(df: DataFrame, cols: list[str], value_type: str = "double",
     keep = keep or []
     if not cols:
         raise ValueError("unpivot needs at least one column")
-    args = ", ".join(f"'{c}', CAST(`{c}` AS {value_type})" for c in cols)
-    return df.select(*[q(k) for k in keep], F.expr(f"stack({len(cols)}, {args}) AS (`{name_col}`, `{value_col}`)"))
+    args = [x for c in cols for x in (F.lit(c), q(c).cast(value_type))]
+    return df.select(*[q(k) for k in keep], F.stack(F.lit(len(cols)), *args).alias(name_col, value_col))
 
 
 def value_counts(long_df: DataFrame, group: str | list[str] = "column", value: str = "x") -> DataFrame:
@@ -98,8 +98,8 @@ def prefix_sums(vc: DataFrame, group: str | list[str] = "column", value: str = "
     A running sum over a whole group would put every distinct value of a
     column in one window partition.  When a group has more than
     ``values_per_bucket`` distinct values it is split into range buckets
-    (numbers: edges from ``approx_percentile`` of the distinct values; text: a
-    3-character prefix, which orders like the whole string); bucket totals are
+    (numbers: edges from ``approx_percentile`` of the distinct values; text: edges
+    from a hash-chosen sample of the distinct values); bucket totals are
     prefix-summed on a small frame and added back, so the result stays exact
     while each window partition holds about ``values_per_bucket`` values.
     ``max_distinct`` (an estimate is enough, e.g. ``approx_count_distinct``
@@ -123,14 +123,14 @@ def prefix_sums(vc: DataFrame, group: str | list[str] = "column", value: str = "
             out = out.withColumn(f"{c}_before", F.coalesce(F.sum(c).over(wv), F.lit(0)))
         return out
     if isinstance(vc.schema[value].dataType, T.StringType):
-        keyed = vc.withColumn("_bucket", F.substring(F.col(value), 1, 3))
+        place, edges = F.col(value), _text_edges(vc, groups, value, buckets, max_distinct)
     else:
+        place = F.col(value).cast("double")
         probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-        edges = vc.groupBy(*groups).agg(
-            F.percentile_approx(F.col(value).cast("double"), probs, 10 * buckets).alias("_edges"))
-        keyed = (vc.join(bc(edges), groups, "left")
-                 .withColumn("_bucket", F.size(F.filter("_edges", lambda e: e < F.col(value).cast("double"))))
-                 .drop("_edges"))
+        edges = vc.groupBy(*groups).agg(F.percentile_approx(place, probs, 10 * buckets).alias("_edges"))
+    keyed = (vc.join(bc(edges), groups, "left")
+             .withColumn("_bucket", F.coalesce(F.size(F.filter("_edges", lambda e: e < place)), F.lit(0)))
+             .drop("_edges"))
     btot = keyed.groupBy(*groups, "_bucket").agg(*[F.sum(c).alias(f"_b_{c}") for c in sum_cols])
     wb = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = btot.select(*groups, "_bucket", *[F.coalesce(F.sum(f"_b_{c}").over(wb), F.lit(0)).alias(f"_o_{c}")
@@ -142,6 +142,20 @@ def prefix_sums(vc: DataFrame, group: str | list[str] = "column", value: str = "
     return out.drop("_bucket", *[f"_o_{c}" for c in sum_cols])
 
 
+EDGE_SAMPLE = 64  # sampled values per text bucket
+
+
+def _text_edges(vc: DataFrame, groups: list[str], value: str, buckets: int, max_distinct: int) -> DataFrame:
+    """(group..., _edges): about ``buckets`` - 1 texts that cut each group's
+    sorted distinct texts evenly, from about ``EDGE_SAMPLE`` sampled texts per
+    bucket, whatever prefixes the texts share."""
+    every = max(1, int(max_distinct // (buckets * EDGE_SAMPLE)))
+    drawn = vc.where(F.pmod(F.xxhash64(value), F.lit(every)) == 0).groupBy(*groups).agg(
+        F.array_sort(F.collect_list(value)).alias("_all"))   # about buckets * EDGE_SAMPLE texts
+    step = F.greatest(F.lit(1), F.floor(F.size("_all") / F.lit(buckets))).cast("int")
+    return drawn.select(*groups, F.filter("_all", lambda x, i: (i > 0) & (i % step == 0)).alias("_edges"))
+
+
 def rank_table(vc: DataFrame, group: str | list[str] = "column", value: str = "x",
                totals: DataFrame | None = None, max_distinct: int | None = None,
                values_per_bucket: int | None = None, few_groups: bool = True) -> DataFrame:
@@ -197,14 +211,66 @@ def column_counts(df: DataFrame, cols: list[str]) -> tuple[DataFrame, int]:
     return totals, bound
 
 
+MAX_BRACKETS = 64
+BRACKET = 10_000  # accuracy of the first scan: a bracket holds a few ranks in so many
+
+
 def quantiles_long(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
-    """(column, prob, qv) exact quantiles of numeric columns from the
-    distributed rank path (:func:`rank_table`).  (Spark's ``percentile``
-    aggregate was measured slower at sf0.1 -- it merges per-task value maps
-    in one task -- so it is not used even where its memory would be bounded.)"""
-    totals, nd = column_counts(df, cols)
-    ranked = rank_table(column_value_counts(df, cols), totals=totals, max_distinct=nd)
-    return exact_quantiles(ranked, probs, totals=totals)
+    """(column, prob, qv) exact quantiles of numeric columns without sorting
+    the columns.
+
+    One aggregate (``percentile_approx``) brackets the wanted ranks of all
+    columns; a second one counts the values below each bracket; the returned
+    plan scans once more and shuffles only the values inside brackets (about
+    6 / ``BRACKET`` of a column per rank, map-side combined), whose exact ranks
+    are picked.  For more than ``MAX_BRACKETS`` ranks (Q-Q points), which need
+    most of the order anyway, all values are ranked by :func:`rank_table`."""
+    spark = df.sparkSession
+    schema = "column string, prob double, qv double"
+    probs = [float(p) for p in probs]
+    if len(cols) * len(probs) > MAX_BRACKETS:
+        totals, nd = column_counts(df, cols)
+        return exact_quantiles(rank_table(column_value_counts(df, cols), totals=totals, max_distinct=nd), probs, totals=totals)
+    if not cols or not probs:
+        return spark.createDataFrame([], schema)
+    xs = [q(c).cast("double") for c in cols]
+    wide = 3.0 / BRACKET
+    marks = sorted({m for p in probs for m in (max(0.0, p - wide), min(1.0, p + wide))})
+    first = df.agg(*[F.count(x).alias(f"n{i}") for i, x in enumerate(xs)],
+                   *[F.percentile_approx(x, F.array(*[F.lit(m) for m in marks]), BRACKET).alias(f"m{i}") for i, x in enumerate(xs)],
+                   *[f(x).alias(f"{k}{i}") for i, x in enumerate(xs) for k, f in (("a", F.min), ("z", F.max))]).first()
+    wanted, brackets = [], {}   # (column, prob, n); bracket -> number: one per (column, prob)
+    for i, c in enumerate(cols):
+        n = first[f"n{i}"]
+        for p in probs if n else ():
+            at = first[f"m{i}"]
+            lo = first[f"a{i}"] if p - wide <= 0 else at[marks.index(max(0.0, p - wide))]
+            hi = first[f"z{i}"] if p + wide >= 1 else at[marks.index(min(1.0, p + wide))]
+            brackets.setdefault((i, float(lo), float(hi)), len(brackets))
+            wanted.append((brackets[(i, float(lo), float(hi))], c, p, (n - 1) * p))
+    if not wanted:
+        return spark.createDataFrame([], schema)
+    below = df.agg(*[F.count_if(xs[i] < F.lit(lo)).alias(f"b{k}") for (i, lo, _), k in brackets.items()]).first()
+    inside = {k: xs[i].between(F.lit(lo), F.lit(hi)) for (i, lo, hi), k in brackets.items()}
+    any_inside = None
+    for cond in inside.values():
+        any_inside = cond if any_inside is None else any_inside | cond
+    hits = F.array_compact(F.array(*[F.when(inside[k], F.struct(F.lit(k).alias("k"), xs[i].alias("x")))
+                                     for (i, _, _), k in brackets.items()]))
+    counts = (df.where(any_inside).select(F.explode(hits).alias("h")).select("h.k", "h.x")
+              .groupBy("k", "x").agg(F.count(F.lit(1)).alias("cnt")))
+    largest = max(first[f"n{i}"] for i in range(len(cols)))
+    bound = largest if largest <= VALUES_PER_BUCKET else max(1, int(largest * 4 * wide))
+    ranked = prefix_sums(counts, "k", "x", ("cnt",), max_distinct=bound)
+    probe = spark.createDataFrame([(k, c, p, h, int(math.floor(h)) - below[f"b{k}"], int(math.ceil(h)) - below[f"b{k}"])
+                                   for k, c, p, h in wanted],
+                                  "k int, column string, prob double, h double, lo long, hi long")
+    at = lambda r: F.max(F.when((F.col("cnt_before") <= F.col(r)) & (F.col(r) < F.col("cnt_before") + F.col("cnt")), F.col("x")))
+    part = F.col("h") - F.floor("h")
+    return (ranked.join(F.broadcast(probe), "k")   # one row per (column, prob)
+            .where((F.col("cnt_before") <= F.col("hi")) & (F.col("cnt_before") + F.col("cnt") > F.col("lo")))
+            .groupBy("column", "prob", "h").agg(at("lo").alias("v"), at("hi").alias("w"))
+            .select("column", "prob", (F.col("v") + part * (F.col("w") - F.col("v"))).alias("qv")))
 
 
 def quantiles_wide(df: DataFrame, cols: list[str], probs: list[float],
@@ -239,28 +305,6 @@ def sample_kurt(kurt_pop: Column, n: Column) -> Column:
         (nn - 1) / ((nn - 2) * (nn - 3)) * ((nn + 1) * kurt_pop + 6)))
 
 
-def safe_corr(a: Column, b: Column) -> Column:
-    """Pairwise-complete Pearson r that is null (not an error) on a constant
-    side: covar_pop / (sd_a * sd_b) over rows where both are present."""
-    both = a.isNotNull() & b.isNotNull()
-    aa = F.when(both, a.cast("double"))
-    bb = F.when(both, b.cast("double"))
-    return F.covar_pop(aa, bb) / F.nullif(F.stddev_pop(aa) * F.stddev_pop(bb), F.lit(0.0))
-
-
-def nan_to_null(c: Column) -> Column:
-    return F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(None)).otherwise(c)
-
-
-def hash_order(*cols: Column, seed: int = 42) -> Column:
-    """Deterministic pseudo-random order key that SQL engines can replay:
-    arithmetic on integer keys, not an engine-specific hash."""
-    acc = F.lit(seed).cast("long")
-    for i, c in enumerate(cols):
-        acc = acc + c.cast("long") * F.lit(2 * i + 7)
-    return F.pmod(acc * F.lit(2654435761) + F.lit(97), F.lit(1000003))
-
-
 def top_k_per_group(df: DataFrame, group: list[str], order: list[Column], k: int,
                     salt_col: Column | None = None, salt_buckets: int = 16) -> DataFrame:
     """Rows ranked 1..k per group by ``order`` (adds ``rank``).
@@ -301,7 +345,7 @@ def hash_sample(df: DataFrame, key: list[str], n: int, seed: int = 42) -> DataFr
 
 def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Append the columns of a one-row frame (an aggregate result) to every row
-    of ``df``: a broadcast equi-join on a constant key."""
+    of ``df``: a join with one broadcast row."""
     return (df.withColumn("_one", F.lit(1))
             .join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one"))
 

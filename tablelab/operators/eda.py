@@ -149,7 +149,7 @@ def box_stats(df: DataFrame, cols: list[str], with_mean: bool = False) -> DataFr
                   F.round(F.col(f"lo{i}"), 6).alias("whisker_lo"), F.round(F.col(f"hi{i}"), 6).alias("whisker_hi"),
                   F.col(f"fl{i}").cast("long").alias("n_fliers")]
         if with_mean:
-            fields.append(F.round(F.col(f"mu{i}"), 6).alias("mean"))
+            fields.append(F.round(F.col(f"mu{i}"), 4).alias("mean"))
         parts.append(F.struct(*fields))
     return row.select(F.explode(F.array(*parts)).alias("s")).select("s.*")
 

@@ -116,7 +116,7 @@ def skew_kurtosis(spark, sf_dir):
 def _box_sql(cols, source, with_mean=False):
     parts = []
     for c in cols:
-        mean = f", {_r('avg(x)')} AS mean" if with_mean else ""
+        mean = ", round(avg(x), 4) AS mean" if with_mean else ""
         parts.append(f"""
         SELECT '{c}' AS "column", count(x) AS n, {_r('q1')} AS q1, {_r('med')} AS median, {_r('q3')} AS q3,
                {_r('q3 - q1')} AS iqr,

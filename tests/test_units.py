@@ -238,7 +238,7 @@ def test_nan_is_null_on_output(spark):
     assert [r[0] for r in P.null_safe(df).collect()] == [None, None, 1.0]
 
 
-_ = math
+
 
 
 def test_adaboost_learns_planted_rule(spark):
