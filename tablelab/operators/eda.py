@@ -10,14 +10,15 @@ reference ("first 6 columns") are parameters chosen by the caller.
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from statistics import NormalDist
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablelab.functions.stats import (attach, average_ranks, column_counts, column_value_counts, hash_sample,
-                                      pairwise_sums, q, quantiles_wide, rank_table, sample_kurt, sample_skew,
-                                      top_k_per_group, unpivot, value_counts)
+from tablelab.functions.stats import (VALUES_PER_BUCKET, attach, average_ranks, column_counts, column_value_counts,
+                                      hash_sample, pairwise_sums, prefix_sums, q, quantiles_wide, rank_table,
+                                      sample_kurt, sample_skew, top_k_per_group, unpivot, value_counts)
 from tablelab.operators.profile import moments, string_value_counts
 
 
@@ -316,35 +317,41 @@ def trend_lines(df: DataFrame, cols: list[str], min_rows: int = 5) -> DataFrame:
 def spearman_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     """Pairwise-complete Spearman rho (average ranks, then Pearson).
 
-    For each pair the rows where both values are present are ranked on each
-    side with the exact distributed rank table, ranks are joined back on
-    (pair, value) and correlated.  Upper triangle + mirror + diagonal."""
+    For each pair one scan counts the distinct (a, b); the values' ranks on
+    either side come from the marginal sums of these counts, and rho is the
+    count-weighted correlation of the ranks.  A value that a third of the rows
+    share is combined map-side before any join.  Upper triangle, mirror, and a
+    diagonal that is null for a constant column."""
+    spark = df.sparkSession
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    if not pairs:
-        return df.sparkSession.createDataFrame([], "col_a string, col_b string, rho double")
+    xs = [q(c).cast("double") for c in cols]
+    st = df.agg(*[F.min(x).alias(f"a{i}") for i, x in enumerate(xs)], *[F.max(x).alias(f"z{i}") for i, x in enumerate(xs)],
+                F.count(F.lit(1)).alias("n")).first()
+    bound = st["n"] if st["n"] <= VALUES_PER_BUCKET else None
     parts = []
     for i, j in pairs:
-        a, b = q(cols[i]).cast("double"), q(cols[j]).cast("double")
-        parts.append(df.where(a.isNotNull() & b.isNotNull()).select(
-            F.lit(f"{i}_{j}").alias("pair"), a.alias("a"), b.alias("b")))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    ra = average_ranks(rank_table(value_counts(rows, "pair", "a"), "pair", "a")).select(
-        "pair", "a", F.col("avg_rank").alias("rank_a"))
-    rb = average_ranks(rank_table(value_counts(rows, "pair", "b"), "pair", "b")).select(
-        "pair", "b", F.col("avg_rank").alias("rank_b"))
-    joined = rows.join(ra, ["pair", "a"]).join(rb, ["pair", "b"])
-    rho = joined.groupBy("pair").agg(
-        (F.covar_pop("rank_a", "rank_b") / F.nullif(F.stddev_pop("rank_a") * F.stddev_pop("rank_b"), F.lit(0.0)))
-        .alias("rho"))
-    names = df.sparkSession.createDataFrame([(f"{i}_{j}", cols[i], cols[j]) for i, j in pairs],
-                                            "pair string, col_a string, col_b string")
-    up = rho.join(F.broadcast(names), "pair").select("col_a", "col_b", _round(F.col("rho")).alias("rho")).collect()
-    # one row per column pair: mirror and add the diagonal without recomputing the ranks
-    rows = [(r["col_a"], r["col_b"], r["rho"]) for r in up]
-    rows += [(b, a, v) for a, b, v in rows] + [(c, c, 1.0) for c in cols]
-    return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, rho double")
+        counts = (df.select(xs[i].alias("a"), xs[j].alias("b")).dropna().groupBy("a", "b").agg(F.count(F.lit(1)).alias("w")))
+        sides = []
+        for side in "ab":
+            vc = counts.groupBy(side).agg(F.sum("w").alias("cnt")).withColumn("pair", F.lit(0))
+            ranks = average_ranks(prefix_sums(vc, "pair", side, ("cnt",), bound).withColumnRenamed("cnt_before", "cum_before"))
+            sides.append(ranks.select(side, F.col("avg_rank").alias(f"r{side}")))
+        r = counts.join(sides[0], "a").join(sides[1], "b")
+        w, ra, rb = F.col("w"), F.col("ra"), F.col("rb")
+        parts.append(r.agg(F.sum(w).cast("double").alias("n"), F.sum(w * ra).alias("sa"), F.sum(w * rb).alias("sb"),
+                           F.sum(w * ra * ra).alias("saa"), F.sum(w * rb * rb).alias("sbb"), F.sum(w * ra * rb).alias("sab"))
+                     .select(F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"), "n", "sa", "sb", "saa", "sbb", "sab"))
+    rows = [(c, c, 1.0 if st[f"a{i}"] is not None and st[f"a{i}"] != st[f"z{i}"] else None) for i, c in enumerate(cols)]
+    with ThreadPoolExecutor(max_workers=8) as pool:   # pairs are independent jobs of one result row each
+        found = [r for rows_of in pool.map(lambda part: part.collect(), parts) for r in rows_of]
+    for r in found:
+        rho = None
+        if r["n"]:
+            va, vb = r["saa"] - r["sa"] ** 2 / r["n"], r["sbb"] - r["sb"] ** 2 / r["n"]
+            if va > 0 and vb > 0:
+                rho = round((r["sab"] - r["sa"] * r["sb"] / r["n"]) / math.sqrt(va * vb), 6)
+        rows += [(r["col_a"], r["col_b"], rho), (r["col_b"], r["col_a"], rho)]
+    return spark.createDataFrame(rows, "col_a string, col_b string, rho double")
 
 
 # --------------------------------------------------------------------------
@@ -433,46 +440,53 @@ def qq_points(df: DataFrame, cols: list[str], points: int = 101) -> tuple[DataFr
                       _round(F.col("sample")).alias("sample")), fit
 
 
-def kde_curve(df: DataFrame, cols: list[str], grid: int = 100, min_n: int = 6,
-              prebin: int | None = None) -> DataFrame:
+def kde_curve(df: DataFrame, cols: list[str], grid: int = 100, min_n: int = 6) -> DataFrame:
     """Gaussian KDE with Scott's bandwidth h = std * n^(-1/5) on a grid
     from min - range/2 to max + range/2.
 
-    Work is (distinct values x grid): values are count-weighted after a
-    map-side ``groupBy``, each distinct value emits its ``grid`` kernel terms
-    with a generator, and terms are summed per (column, grid point).  With
-    ``prebin`` the values are first snapped to that many equal bins per column,
-    which bounds the work independently of the data (an approximation)."""
-    long = unpivot(df, cols).where(F.col("x").isNotNull())
-    st = long.groupBy("column").agg(F.count("x").alias("n"), F.stddev_samp("x").alias("sd"),
-                                    F.min("x").alias("mn"), F.max("x").alias("mx")).where(F.col("n") >= min_n)
-    st = st.withColumn("h", F.col("sd") * F.pow(F.col("n").cast("double"), -0.2)).withColumn(
-        "g0", F.col("mn") - 0.5 * (F.col("mx") - F.col("mn"))).withColumn(
-        "gstep", 2.0 * (F.col("mx") - F.col("mn")) / (grid - 1))
-    x = F.col("x")
-    if prebin:
-        wdt = (F.col("mx") - F.col("mn")) / prebin
-        x = F.col("mn") + (F.least(F.floor(F.try_divide(F.col("x") - F.col("mn"), wdt)), F.lit(prebin - 1)) + 0.5) * wdt
-    vc = (long.join(F.broadcast(st.select("column", "mn", "mx")), "column").select("column", x.alias("x"))
-          .groupBy("column", "x").agg(F.count(F.lit(1)).alias("cnt")))
-    terms = (vc.join(F.broadcast(st), "column")
-             .select("column", "x", "cnt", "n", "h", "g0", "gstep",
-                     F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("gi")))
-    g = F.col("g0") + F.col("gi") * F.col("gstep")
-    z = (g - F.col("x")) / F.col("h")
-    dens = terms.groupBy("column", "gi", "g0", "gstep", "n", "h").agg(
-        F.sum(F.col("cnt") * F.exp(-0.5 * z * z)).alias("_s"))
-    return dens.where(F.col("h") > 0).select(
-        "column", F.col("gi").cast("int").alias("gi"), _round(g).alias("grid"),
-        _round(F.col("_s") / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi)), 9).alias("density"))
+    One aggregate gives n, std and range of all columns (one row per column on
+    the driver).  Tasks then add the kernels of their own values onto the grid,
+    so ``columns x grid`` sums per task are shuffled, whatever the data's size."""
+    import numpy as np
+    xs = [q(c).cast("double") for c in cols]
+    st = df.agg(*[f(x).alias(f"{k}{i}") for i, x in enumerate(xs) for k, f in (
+        ("n", F.count), ("s", F.stddev_samp), ("a", F.min), ("z", F.max))]).first()
+    use = [i for i in range(len(cols)) if st[f"n{i}"] >= min_n and st[f"s{i}"]]
+    schema = "column string, gi int, grid double, density double"
+    if not use:
+        return df.sparkSession.createDataFrame([], schema)
+    h = {i: st[f"s{i}"] * st[f"n{i}"] ** -0.2 for i in use}
+    low = {i: st[f"a{i}"] - 0.5 * (st[f"z{i}"] - st[f"a{i}"]) for i in use}
+    step = {i: 2.0 * (st[f"z{i}"] - st[f"a{i}"]) / (grid - 1) for i in use}
+
+    def kernels(batches):
+        import pandas as pd
+        total = {i: np.zeros(grid) for i in use}
+        seen = False
+        for pdf in batches:
+            for i in use:
+                x, n = np.unique(pdf[f"c{i}"].dropna().to_numpy(dtype="float64"), return_counts=True)
+                at = low[i] + np.arange(grid) * step[i]
+                for lo in range(0, len(x), 4096):
+                    z = (at[:, None] - x[None, lo:lo + 4096]) / h[i]
+                    total[i] += np.exp(-0.5 * z * z) @ n[lo:lo + 4096]
+                seen = True
+        if seen:
+            yield pd.DataFrame({"i": np.repeat(use, grid), "gi": np.tile(np.arange(grid), len(use)),
+                                "s": np.concatenate([total[i] for i in use])})
+
+    parts = df.select(*[xs[i].alias(f"c{i}") for i in use]).mapInPandas(kernels, "i int, gi int, s double")
+    names = df.sparkSession.createDataFrame([(i, cols[i], st[f"n{i}"], h[i], low[i], step[i]) for i in use],
+                                            "i int, column string, n long, h double, low double, step double")
+    return parts.groupBy("i", "gi").agg(F.sum("s").alias("s")).join(F.broadcast(names), "i").select(
+        "column", "gi", _round(F.col("low") + F.col("gi") * F.col("step")).alias("grid"),
+        _round(F.col("s") / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi)), 9).alias("density"))
 
 
 def bivariate_density(df: DataFrame, cols: list[str], bins: int = 20, min_rows: int = 5) -> DataFrame:
-    """For the first four pairs of the first four numerics, counts on a
-    bins x bins grid over rows where both are present (the smoothed contour is
-    drawn from these counts)."""
-    c4 = cols[:4]
-    pairs = [(c4[i], c4[j]) for i in range(len(c4)) for j in range(i + 1, len(c4))][:4]
+    """Counts on a bins x bins grid over rows where both are present, for
+    all pairs of ``cols`` (a smoothed contour is drawn from these counts)."""
+    pairs = [(cols[i], cols[j]) for i in range(len(cols)) for j in range(i + 1, len(cols))]
     out = None
     for a, b in pairs:
         sub = df.select(q(a).cast("double").alias("x"), q(b).cast("double").alias("y")).dropna()

@@ -43,6 +43,8 @@ MODEL_KEYS = {
 }
 SCALED = ("Linear", "Logistic", "Ridge", "Lasso", "SVR", "SVM")
 SPARK_MAX_DEPTH = 30
+MAX_CLASSES = 100_000
+LITERAL_CLASSES = 200
 
 
 # --------------------------------------------------------------------------
@@ -67,14 +69,21 @@ def select_features(df: DataFrame, target: str, requested: list[str] | None = No
 
 def label_index(df: DataFrame, target: str) -> tuple[DataFrame, list[str]]:
     """M4: class index in sorted order of the class text (numeric classes in
-    numeric order).  Classes are few by construction (<= 10 numeric values or a
-    categorical target), so the class list is collected."""
+    numeric order).  Learners hold weights per class on the driver, so at most
+    ``MAX_CLASSES`` classes are accepted (checked before the list is collected);
+    up to ``LITERAL_CLASSES`` the index is a literal map, beyond a join."""
     numeric = isinstance(df.schema[target].dataType, NUMERIC_TYPES)
-    vals = [r[0] for r in df.select(q(target)).where(q(target).isNotNull()).distinct().collect()]
-    classes = sorted(vals) if numeric else sorted(str(v) for v in vals)
-    m = F.create_map(*[x for i, v in enumerate(classes) for x in (F.lit(v), F.lit(float(i)))])
     key = q(target) if numeric else q(target).cast("string")
-    return df.withColumn("label", F.element_at(m, key)), [str(c) for c in classes]
+    vals = [r[0] for r in df.select(key.alias("v")).where(key.isNotNull()).distinct().limit(MAX_CLASSES + 1).collect()]
+    if len(vals) > MAX_CLASSES:
+        raise ValueError(f"target {target} has more than {MAX_CLASSES} classes")
+    classes = sorted(vals)
+    if len(classes) <= LITERAL_CLASSES:
+        m = F.create_map(*[x for i, v in enumerate(classes) for x in (F.lit(v), F.lit(float(i)))])
+        return df.withColumn("label", F.element_at(m, key) if classes else F.lit(None).cast("double")), [str(c) for c in classes]
+    kind = df.select(key.alias("v")).schema["v"].dataType.simpleString()
+    codes = df.sparkSession.createDataFrame([(v, float(i)) for i, v in enumerate(classes)], f"__class {kind}, label double")
+    return df.withColumn("__class", key).join(F.broadcast(codes), "__class", "left").drop("__class"), [str(c) for c in classes]
 
 
 def class_guard(df: DataFrame, label: str = "label", split_col: str = "is_test") -> dict:
@@ -129,7 +138,10 @@ def assign_folds(df: DataFrame, key: list[str], k: int = 5, strata: str | None =
 # --------------------------------------------------------------------------
 
 def _depth(d):
-    return SPARK_MAX_DEPTH if d is None else min(int(d), SPARK_MAX_DEPTH)
+    """Tree depth; None means Spark's own limit, more than that is rejected."""
+    if d is not None and int(d) > SPARK_MAX_DEPTH:
+        raise ValueError(f"max_depth {d} is above Spark's limit of {SPARK_MAX_DEPTH}")
+    return SPARK_MAX_DEPTH if d is None else int(d)
 
 
 def regressors(hp: dict, n_train: int) -> dict:
@@ -429,7 +441,6 @@ def confidence(pred: DataFrame) -> DataFrame:
 
 
 
-
 # --------------------------------------------------------------------------
 # M20 Gaussian naive Bayes as plain aggregates
 # --------------------------------------------------------------------------
@@ -452,7 +463,9 @@ class GaussianNB:
                             if len(self.features) > 1 else F.var_pop(q(self.features[0]))).first()[0] or 0.0)
         st = d.groupBy(q(label).alias("cls")).agg(
             F.count(F.lit(1)).alias("n"), *[F.avg(q(c)).alias(f"m{i}") for i, c in enumerate(self.features)],
-            *[F.var_pop(q(c)).alias(f"v{i}") for i, c in enumerate(self.features)]).collect()   # one row per class
+            *[F.var_pop(q(c)).alias(f"v{i}") for i, c in enumerate(self.features)]).limit(MAX_CLASSES + 1).collect()
+        if len(st) > MAX_CLASSES:
+            raise ValueError(f"more than {MAX_CLASSES} classes")
         total = sum(r["n"] for r in st)
         self.classes = sorted(r["cls"] for r in st)
         for r in st:

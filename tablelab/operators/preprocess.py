@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +19,8 @@ from tablelab.operators.profile import infer_roles, string_value_counts
 
 UNKNOWN = "Unknown"
 NULL_LABEL = "nan"          # text of a missing value once cast to string
-BROADCAST_CODES_MAX = 1_000_000   # distinct values up to which a code table is broadcast
-ONEHOT_MAX_VALUES = 10_000        # one-hot columns are driver metadata: refuse wider expansions
+BROADCAST_CODES_BYTES = 32 << 20  # size of the values up to which a code table is broadcast
+ONEHOT_MAX_VALUES = 10_000        # one-hot columns are plan metadata: more values become one sparse vector
 
 
 def numeric_cols(df: DataFrame, exclude=()) -> list[str]:
@@ -212,22 +213,29 @@ def fit_cap(df: DataFrame, method: str = "iqr", cols: list[str] | None = None) -
 @dataclass
 class EncodeModel:
     mode: str
-    label_codes: dict = field(default_factory=dict)   # column -> DataFrame(value, code) and its size
+    label_codes: dict = field(default_factory=dict)   # column -> DataFrame(value, code), its rows and bytes
+    vectors: dict = field(default_factory=dict)        # column -> fitted one-hot encoder of its codes
     onehot_values: dict = field(default_factory=dict)  # column -> sorted list of values
     order: list = field(default_factory=list)          # (column, kind) in fit order
 
     def transform(self, df: DataFrame) -> DataFrame:
         out = df
         for c, kind in self.order:
-            if kind == "label":
-                codes, size = self.label_codes[c]
+            if kind in ("label", "vector"):
+                codes, size, width = self.label_codes[c]
                 key = F.coalesce(q(c).cast("string"), F.lit(NULL_LABEL))
                 tmp = f"__key_{c}"
                 cd = codes.withColumnRenamed("value", tmp).withColumnRenamed("code", f"__code_{c}")
-                cd = F.broadcast(cd) if size <= BROADCAST_CODES_MAX else cd
+                cd = F.broadcast(cd) if width <= BROADCAST_CODES_BYTES else cd
                 cols = out.columns
                 out = (out.withColumn(tmp, key).join(cd, tmp, "left")
-                       .select(*[F.col(f"`__code_{c}`").cast("int").alias(c) if x == c else q(x) for x in cols]))
+                       .select(*[F.col(f"`__code_{c}`").cast("int").alias(c) if x == c else q(x) for x in cols],
+                               *([(F.col(f"`{tmp}`") == NULL_LABEL).alias("__null")] if kind == "vector" else [])))
+                null = F.col("__null")
+            if kind == "vector":   # null and unseen values: all zeros
+                code = F.when(null, F.lit(size)).otherwise(F.coalesce(q(c), F.lit(size)))
+                out = self.vectors[c].transform(out.withColumn("__index", code)).select(
+                    *[F.col("__vector").alias(c) if x == c else q(x) for x in cols])
         onehots = [c for c, kind in self.order if kind == "onehot"]
         if onehots:
             keep = [q(x) for x in out.columns if x not in onehots]
@@ -242,49 +250,54 @@ class EncodeModel:
         rows = []
         for c, kind in self.order:
             n = len(self.onehot_values[c]) if kind == "onehot" else self.label_codes[c][1]
+            kind = "onehot" if kind == "vector" else kind
             rows.append((c, f"{kind}_encode", str(n)))
         return rows
 
 
-def label_codes(df: DataFrame, col: str) -> tuple[DataFrame, int]:
+def label_codes(df: DataFrame, col: str) -> tuple[DataFrame, int, int]:
     """T10 fit: code = position of the value's text in the sorted distinct
     texts (missing -> 'nan').  Computed as a running count over the distinct
-    values (no collect); returns the code frame and its size."""
+    values (no collect); returns the code frame, its rows and its text bytes."""
     vals = df.select(F.coalesce(q(col).cast("string"), F.lit(NULL_LABEL)).alias("x")).distinct()
-    size = vals.count()
-    ranked = rank_table(vals.withColumn("column", F.lit(col)).withColumn("cnt", F.lit(1)), max_distinct=size)
+    r = vals.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("x") + 16).alias("b")).first()
+    ranked = rank_table(vals.withColumn("column", F.lit(col)).withColumn("cnt", F.lit(1)), max_distinct=r["n"])
     codes = ranked.select(F.col("x").alias("value"), F.col("cum_before").cast("int").alias("code"))
-    return codes, size
+    return codes, r["n"], r["b"] or 0
 
 
 def fit_encode(df: DataFrame, mode: str = "auto", cols: list[str] | None = None,
                max_onehot: int = 10) -> EncodeModel:
     """T9 auto (<= 10 distinct -> one-hot, else label), T10 label, T11 one-hot
-    (``col_value`` booleans, all false on null, values sorted)."""
+    (``col_value`` booleans, all false on null, values sorted).  One-hot of more
+    than ``ONEHOT_MAX_VALUES`` values is one column of sparse vectors (the
+    position is the value's label code)."""
     cols = cols if cols is not None else infer_roles(df)["categorical"]
     model = EncodeModel(mode)
     if not cols:
         return model
-    # one job: per column the number of distinct values and, when that is small
-    # enough for one-hot columns, the values themselves (bounded lists)
-    limit = max(max_onehot, ONEHOT_MAX_VALUES) if mode == "onehot" else max_onehot
-    info = {r["column"]: r for r in string_value_counts(df, cols).groupBy("column").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.when(F.count(F.lit(1)) <= limit, F.collect_list("s")).alias("vals")).collect()}   # one row per column
-    nu = {c: r["n"] for c, r in info.items()}
+    counts = string_value_counts(df, cols)
+    nu = {r["column"]: r["n"] for r in counts.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}  # per column
+    kinds = {}
     for c in cols:
-        kind = mode
-        if mode == "auto":
-            kind = "onehot" if nu.get(c, 0) <= max_onehot else "label"
-        if kind == "onehot":
-            if nu.get(c, 0) > ONEHOT_MAX_VALUES:
-                raise ValueError(f"{c}: {nu[c]} distinct values is too many one-hot columns; use label encoding")
-            model.onehot_values[c] = sorted((info[c]["vals"] or []) if c in info else [])
-        elif kind == "label":
-            model.label_codes[c] = label_codes(df, c)
-        else:
+        kind = ("onehot" if nu.get(c, 0) <= max_onehot else "label") if mode == "auto" else mode
+        if kind not in ("onehot", "label"):
             raise ValueError(f"unknown encoding {mode!r}")
-        model.order.append((c, kind))
+        kinds[c] = "vector" if kind == "onehot" and nu.get(c, 0) > max(max_onehot, ONEHOT_MAX_VALUES) else kind
+    wide = [c for c in cols if kinds[c] == "onehot"]
+    # only columns whose number of values was checked give their values to the driver
+    for r in counts.where(F.col("column").isin(wide)).select("column", "s").collect() if wide else ():
+        model.onehot_values.setdefault(r["column"], []).append(r["s"])
+    for c in cols:
+        if kinds[c] == "onehot":
+            model.onehot_values[c] = sorted(model.onehot_values.get(c, []))
+        else:
+            model.label_codes[c] = label_codes(df, c)
+        if kinds[c] == "vector":
+            size = model.label_codes[c][1]
+            ends = df.sparkSession.range(1).select(F.lit(float(size)).alias("__index"))
+            model.vectors[c] = OneHotEncoder(inputCol="__index", outputCol="__vector").fit(ends)
+        model.order.append((c, kinds[c]))
     return model
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from tablelab.functions import fixed
 from tablelab.functions.stats import (DATETIME_TYPES, NESTED_TYPES, NUMERIC_TYPES, column_value_counts, q,
-                                      quantiles_wide, sample_skew)
+                                      quantiles_wide, sample_skew, unpivot, value_counts)
 
 
 # --------------------------------------------------------------------------
@@ -106,10 +106,16 @@ def missing_counts(df: DataFrame) -> DataFrame:
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """Rows equal to an earlier row (null equals null).  One shuffle on all
-    columns with map-side combine, so a row repeated a billion times is one
-    row per task before the exchange."""
-    groups = df.groupBy(*[q(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_c"))
+    """Rows equal to an earlier row (null equals null).
+
+    First only a 64-bit hash of each row is counted (equal rows have equal
+    hashes); whole rows are shuffled and compared only where a hash repeats."""
+    if not df.columns:
+        return df.agg(F.greatest(F.count(F.lit(1)) - 1, F.lit(0)).cast("long").alias("n_duplicates"))
+    cols = [q(c) for c in df.columns]
+    hashed = df.withColumn("_row_hash", F.xxhash64(*cols))
+    again = hashed.groupBy("_row_hash").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("_row_hash")
+    groups = hashed.join(again, "_row_hash", "left_semi").groupBy("_row_hash", *cols).agg(F.count(F.lit(1)).alias("_c"))
     return groups.agg(F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).cast("long").alias("n_duplicates"))
 
 
@@ -191,8 +197,9 @@ def numeric_summary(df: DataFrame, cols: list[str] | None = None, digits: int =
 
 
 def string_value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(column, s, cnt) over the non-null values of ``cols`` cast to string."""
-    return column_value_counts(df, cols, "string", "s")
+    """(column, s, cnt) over the non-null values of ``cols`` cast to string, in
+    one scan of all columns."""
+    return value_counts(unpivot(df, cols, "string", value_col="s"), value="s")
 
 
 def categorical_summary(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -71,7 +71,7 @@ def cluster_sweep(spark, sf_dir):
 
 @register("cluster_projection", None, "C4", "C5", "C6", "C7")
 def cluster_projection(spark, sf_dir):
-    r = CL.run(fixture(spark, sf_dir, "li_num"), ["l_quantity", "l_extendedprice", "l_discount"], LI_KEY, k_max=4)
+    r = CL.run(fixture(spark, sf_dir, "li_num"), ["l_quantity", "l_extendedprice", "l_discount"], LI_KEY)
     return r.projection
 
 
@@ -97,12 +97,12 @@ def _quick_model(spark, sf_dir, target="l_returnflag", model_type="naive_bayes")
 def batch_scoring(spark, sf_dir):
     r = _quick_model(spark, sf_dir)
     root = ML.models_dir(spark)
-    reg = ML.save_models(r, root, f"run-{abs(hash(sf_dir)) % 10 ** 8}")
+    reg = ML.save_models(r, root, f"run-{uuid.uuid4().hex}")
     reg = reg.join(r.scores.select(F.col("model").alias("name"), "main_metric"), "name")
     row = SC.resolve_model(reg, "best")
     model = ML.load_model(row["path"])
-    head, _ = SC.score_batch(model, fixture(spark, sf_dir, "lineitem"), row["features"], LI_KEY, row["classes"], 100)
-    return head
+    head, total = SC.score_batch(model, fixture(spark, sf_dir, "lineitem"), row["features"], LI_KEY, row["classes"], 100)
+    return head.crossJoin(F.broadcast(total))   # one row: the number of all predictions
 
 
 @register("stream_scoring", None, "D7")
@@ -111,7 +111,7 @@ def stream_scoring(spark, sf_dir):
     from tablelab.streaming.scoring import run_to_completion
     r = _quick_model(spark, sf_dir)
     model = r.models[r.best]
-    base = ensure_checkpoint_dir(spark).rstrip("/") + f"/stream-{os.getpid()}-{abs(hash(sf_dir)) % 10 ** 8}"
+    base = ensure_checkpoint_dir(spark).rstrip("/") + f"/stream-{uuid.uuid4().hex}"   # a run of its own
     li = table(spark, sf_dir, "lineitem")
     return run_to_completion(spark, model, sf_dir, li.schema, r.features, LI_KEY, sink_dir=f"{base}/out",
                              checkpoint_dir=f"{base}/ckpt", glob="lineitem.parquet", classes=r.classes)

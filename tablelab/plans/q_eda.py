@@ -61,9 +61,9 @@ def _hist_sql(cols, source, bins):
     return union_all(parts)
 
 
-@register("histogram", with_fixtures(_hist_sql(LI_NUM[:6], "li_num", 20), "li_num"), "E2")
+@register("histogram", with_fixtures(_hist_sql(LI_NUM, "li_num", 20), "li_num"), "E2")
 def histogram(spark, sf_dir):
-    return E.histogram(fixture(spark, sf_dir, "li_num"), LI_NUM[:6], 20)
+    return E.histogram(fixture(spark, sf_dir, "li_num"), LI_NUM, 20)
 
 
 SKEW_DESC = "CASE WHEN abs(s) > 1 THEN 'highly skewed' WHEN abs(s) > 0.5 THEN 'moderately skewed' ELSE 'symmetric' END"
@@ -71,11 +71,11 @@ SKEW_DESC = "CASE WHEN abs(s) > 1 THEN 'highly skewed' WHEN abs(s) > 0.5 THEN 'm
 
 @register("distribution_summary", with_fixtures(
     f"SELECT \"column\", n, mean, median, std, round(s, 6) AS skew, {SKEW_DESC} AS skew_desc FROM ("
-    + _each(LI_NUM[:6], "'{c}' AS \"column\", count({c}) AS n, " + _r("avg({c})") + " AS mean, "
+    + _each(LI_NUM, "'{c}' AS \"column\", count({c}) AS n, " + _r("avg({c})") + " AS mean, "
             + _r("quantile_cont({c}, 0.5)") + " AS median, " + _r("stddev_samp({c})") + " AS std, "
             "CAST(skewness({c}) AS DOUBLE) AS s", "li_num") + ") t", "li_num"), "E2", "E2c")
 def distribution_summary(spark, sf_dir):
-    return E.distribution_summary(fixture(spark, sf_dir, "li_num"), LI_NUM[:6])
+    return E.distribution_summary(fixture(spark, sf_dir, "li_num"), LI_NUM)
 
 
 @register("distribution_skewed", with_fixtures(
@@ -91,11 +91,11 @@ def distribution_skewed(spark, sf_dir):
     "SELECT \"column\", n, round(sp, 6) AS skew_pop, round(kp, 6) AS kurt_pop, round(n / 6.0 * (sp * sp + kp * kp / 4.0), 4) AS jb, "
     "round(exp(-(n / 6.0 * (sp * sp + kp * kp / 4.0)) / 2.0), 6) AS p_value, "
     "exp(-(n / 6.0 * (sp * sp + kp * kp / 4.0)) / 2.0) > 0.05 AS is_normal FROM ("
-    + _each(LI_NUM[:6], "'{c}' AS \"column\", count({c}) AS n, "
+    + _each(LI_NUM, "'{c}' AS \"column\", count({c}) AS n, "
             "coalesce(skewness({c}) * (count({c}) - 2) / sqrt(count({c}) * (count({c}) - 1.0)), 0) AS sp, "
             "coalesce(kurtosis_pop({c}), 0) AS kp", "li_num") + ") t WHERE n >= 8", "li_num"), "E2b")
 def normality_jb(spark, sf_dir):
-    return E.normality_jb(fixture(spark, sf_dir, "li_num"), LI_NUM[:6])
+    return E.normality_jb(fixture(spark, sf_dir, "li_num"), LI_NUM)
 
 
 def _band(v, a, b):
@@ -141,11 +141,11 @@ def box_means(spark, sf_dir):
 
 
 @register("violin_stats", with_fixtures(_each(
-    LI_NUM[:6], "'{c}' AS \"column\", count({c}) AS n, " + ", ".join([
+    LI_NUM, "'{c}' AS \"column\", count({c}) AS n, " + ", ".join([
         _r("min({c})") + " AS min", _r("quantile_cont({c}, 0.25)") + " AS q1", _r("quantile_cont({c}, 0.5)") + " AS median",
         _r("quantile_cont({c}, 0.75)") + " AS q3", _r("max({c})") + " AS max"]), "li_num"), "li_num"), "E4")
 def violin_stats(spark, sf_dir):
-    return E.violin_stats(fixture(spark, sf_dir, "li_num"), LI_NUM[:6])
+    return E.violin_stats(fixture(spark, sf_dir, "li_num"), LI_NUM)
 
 
 def _outlier_sql(cols, source):
@@ -280,14 +280,14 @@ def _trend_sql(cols, source):
     return f"SELECT x, y, CAST(n AS BIGINT) AS n, slope, intercept FROM ({union_all(parts)}) t WHERE n > 5"
 
 
-@register("trend_lines", with_fixtures(_trend_sql(LI_NUM[4:], "li_num"), "li_num"), "E23")
+@register("trend_lines", with_fixtures(_trend_sql(LI_NUM, "li_num"), "li_num"), "E23")
 def trend_lines(spark, sf_dir):
-    return E.trend_lines(fixture(spark, sf_dir, "li_num"), LI_NUM[4:])
+    return E.trend_lines(fixture(spark, sf_dir, "li_num"), LI_NUM)
 
 
-@register("trend_histograms", with_fixtures(_hist_sql(LI_NUM[4:], "li_num", 25), "li_num"), "E23")
+@register("trend_histograms", with_fixtures(_hist_sql(LI_NUM, "li_num", 25), "li_num"), "E23")
 def trend_histograms(spark, sf_dir):
-    return E.histogram(fixture(spark, sf_dir, "li_num"), LI_NUM[4:], 25)
+    return E.histogram(fixture(spark, sf_dir, "li_num"), LI_NUM, 25)
 
 
 def _spearman_sql(cols, source):
@@ -303,11 +303,11 @@ def _spearman_sql(cols, source):
                   FROM (SELECT CAST({a} AS DOUBLE) AS a, CAST({b} AS DOUBLE) AS b FROM {source}
                         WHERE {a} IS NOT NULL AND {b} IS NOT NULL) p) r""")
     up = union_all(parts)
-    diag = union_all([f"SELECT '{c}', '{c}', 1.0" for c in cols])
+    diag = union_all([f"SELECT '{c}', '{c}', CASE WHEN count(DISTINCT {c}) > 1 THEN 1.0 END FROM {source}" for c in cols])
     return f"WITH up AS ({up}) SELECT * FROM up UNION ALL SELECT col_b, col_a, rho FROM up UNION ALL {diag}"
 
 
-SPEAR_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
+SPEAR_COLS = LI_NUM
 
 
 @register("spearman_matrix", with_fixtures(_spearman_sql(SPEAR_COLS, "li_num"), "li_num"), "E12")
@@ -407,20 +407,20 @@ def _qq_sql(cols, source, points):
 
 @register("qq_points", with_fixtures(f"""
     SELECT "column", round(prob, 8) AS prob, round(theoretical, 6) AS theoretical, round(sample, 6) AS sample
-    FROM ({_qq_sql(LI_NUM[:6], 'li_num', QQ_POINTS)}) t""", "li_num"), "E9")
+    FROM ({_qq_sql(LI_NUM, 'li_num', QQ_POINTS)}) t""", "li_num"), "E9")
 def qq_points(spark, sf_dir):
-    return E.qq_points(fixture(spark, sf_dir, "li_num"), LI_NUM[:6], QQ_POINTS)[0]
+    return E.qq_points(fixture(spark, sf_dir, "li_num"), LI_NUM, QQ_POINTS)[0]
 
 
 @register("qq_fit", with_fixtures(f"""
     SELECT "column", round(regr_slope(sample, theoretical), 6) AS slope, round(regr_intercept(sample, theoretical), 6) AS intercept,
            round(covar_pop(sample, theoretical) / nullif(stddev_pop(sample) * stddev_pop(theoretical), 0), 6) AS r
-    FROM ({_qq_sql(LI_NUM[:6], 'li_num', QQ_POINTS)}) t GROUP BY "column" """, "li_num"), "E9")
+    FROM ({_qq_sql(LI_NUM, 'li_num', QQ_POINTS)}) t GROUP BY "column" """, "li_num"), "E9")
 def qq_fit(spark, sf_dir):
-    return E.qq_points(fixture(spark, sf_dir, "li_num"), LI_NUM[:6], QQ_POINTS)[1]
+    return E.qq_points(fixture(spark, sf_dir, "li_num"), LI_NUM, QQ_POINTS)[1]
 
 
-KDE_COLS = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+KDE_COLS = LI_NUM
 KDE_GRID = 100
 
 
@@ -447,8 +447,7 @@ def kde_curve(spark, sf_dir):
 
 
 def _bivar_sql(cols, source, bins=20):
-    c4 = cols[:4]
-    pairs = [(c4[i], c4[j]) for i in range(len(c4)) for j in range(i + 1, len(c4))][:4]
+    pairs = [(cols[i], cols[j]) for i in range(len(cols)) for j in range(i + 1, len(cols))]
     parts = []
     for a, b in pairs:
         bx = f"CAST(coalesce(least(floor((x - x0) / nullif(x1 - x0, 0) * {bins}), {bins - 1}), 0) AS INTEGER)"
@@ -463,7 +462,7 @@ def _bivar_sql(cols, source, bins=20):
     return union_all(parts)
 
 
-BIVAR_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+BIVAR_COLS = LI_NUM
 
 
 @register("bivariate_density", with_fixtures(_bivar_sql(BIVAR_COLS, "li_num"), "li_num"), "E17")

@@ -141,13 +141,25 @@ def kfold_regression(spark, sf_dir):
     return ML.assign_folds(fixture(spark, sf_dir, "li_ml"), LI_KEY, 5, None)
 
 
-@register("class_guard", with_fixtures("""
-    SELECT CAST(count(DISTINCT l_returnflag) AS BIGINT) AS n_classes, count(DISTINCT l_linestatus) >= 2 AS ok_linestatus
-    FROM li_ml""", "li_ml"), "M5")
+@register("class_guard", _split_sql([0.2], "l_returnflag", "coalesce(NOT (_k >= ts[1]), true) AS is_test").replace(
+    "SELECT " + ", ".join("k." + c for c in ML_COLS) + ", coalesce(NOT (_k >= ts[1]), true) AS is_test",
+    """SELECT CAST(count(DISTINCT k.l_returnflag) AS BIGINT) AS n_all,
+               CAST(count(DISTINCT k.l_returnflag) FILTER (WHERE _k >= ts[1]) AS BIGINT) AS n_train,
+               CAST(count(DISTINCT k.l_returnflag) FILTER (WHERE coalesce(NOT (_k >= ts[1]), true)) AS BIGINT) AS n_test"""), "M4", "M5")
 def class_guard(spark, sf_dir):
-    df = fixture(spark, sf_dir, "li_ml")
-    return df.agg(F.count_distinct("l_returnflag").cast("long").alias("n_classes"),
-                  (F.count_distinct("l_linestatus") >= 2).alias("ok_linestatus"))
+    df, _ = ML.label_index(fixture(spark, sf_dir, "li_ml"), "l_returnflag")
+    g = ML.class_guard(ML.train_test_split(df, LI_KEY, 0.2, "l_returnflag"))
+    return spark.createDataFrame([(g["all"], g["train"], g["test"])], "n_all long, n_train long, n_test long")
+
+
+@register("label_index_many", """
+    SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT label) AS BIGINT) AS n_classes, CAST(sum(label) AS BIGINT) AS total
+    FROM (SELECT dense_rank() OVER (ORDER BY CAST(l_partkey AS VARCHAR)) - 1 AS label FROM lineitem) t""", "M4")
+def label_index_many(spark, sf_dir):
+    """A text target with thousands of classes."""
+    df = fixture(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("y"))
+    return ML.label_index(df, "y")[0].agg(F.count(F.lit(1)).alias("n"), F.count_distinct("label").alias("n_classes"),
+                                          F.sum("label").cast("long").alias("total"))
 
 
 # ------------------------------------------------------------------ M20 naive Bayes in SQL
