@@ -1,4 +1,4 @@
-"""Boosting and kernel models that ``pyspark.ml`` lacks (M14, M17), written as
+"""Boosting that ``pyspark.ml`` lacks (M14), written as
 driver loops over distributed fits: every round is one weighted tree fit plus
 one aggregate; the per-row state (weights) is a column whose lineage is cut
 with ``checkpoint`` every few rounds."""
@@ -6,11 +6,10 @@ with ``checkpoint`` every few rounds."""
 from __future__ import annotations
 
 import math
-import random
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import DecisionTreeClassifier
-from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
+from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,18 +64,22 @@ def adaboost(train: DataFrame, kind: str, n_estimators: int = 200, learning_rate
     data = cut_lineage(train.select(features, label).withColumn("_w", F.lit(1.0)))
     n = data.count()
     data = data.withColumn("_w", F.col("_w") / n)
-    model = AdaBoostModel(kind, n_classes=n_classes)
+    model, held = AdaBoostModel(kind, n_classes=n_classes), []
     for m in range(n_estimators):
         if kind == "classification":
             est = DecisionTreeClassifier(maxDepth=depth, weightCol="_w", featuresCol=features, labelCol=label, seed=seed)
         else:
             est = DecisionTreeRegressor(maxDepth=depth, weightCol="_w", featuresCol=features, labelCol=label, seed=seed)
         tree = est.fit(data)
-        pred = tree.transform(data).select(features, label, "_w", F.col("prediction").alias("_p"))
+        # the round's frame is read by three aggregates and the next fit
+        pred = tree.transform(data).select(features, label, "_w", F.col("prediction").alias("_p")).persist()
+        held.append(pred)
         if kind == "classification":
             wrong = (F.col("_p") != F.col(label)).cast("double")
             err = pred.agg((F.sum(F.col("_w") * wrong) / F.sum("_w")).alias("e")).first()["e"]
             if err is None or err >= 1 - 1.0 / n_classes:
+                if not model.trees:   # at chance from the start: the first tree alone
+                    model.trees, model.alphas = [tree], [1.0]
                 break
             err = max(err, 1e-12)
             alpha = learning_rate * (math.log((1 - err) / err) + math.log(n_classes - 1))
@@ -91,6 +94,8 @@ def adaboost(train: DataFrame, kind: str, n_estimators: int = 200, learning_rate
             loss = dev / mx
             avg = pred.agg((F.sum(F.col("_w") * loss) / F.sum("_w")).alias("l")).first()["l"]
             if avg >= 0.5:
+                if not model.trees:
+                    model.trees, model.alphas = [tree], [1.0]
                 break
             beta = max(avg / (1 - avg), 1e-12)
             alpha = learning_rate * math.log(1 / beta)
@@ -102,41 +107,8 @@ def adaboost(train: DataFrame, kind: str, n_estimators: int = 200, learning_rate
         data = nxt.withColumn("_w", F.col("_w") / tot)
         if (m + 1) % CUT_EVERY == 0:
             data = cut_lineage(data)
+            while held:
+                held.pop().unpersist()
+    for frame in held:
+        frame.unpersist()
     return model
-
-
-def random_fourier_features(df: DataFrame, cols: list[str], n_components: int = 100, gamma: float | None = None,
-                            seed: int = 42, out_prefix: str = "_rff") -> tuple[DataFrame, list[str]]:
-    """RBF kernel map z(x) = sqrt(2/D) cos(W x + b), W ~ N(0, 2 gamma), b ~ U(0, 2 pi)
-    (Rahimi & Recht 2007), as D column expressions.  ``gamma`` defaults to
-    1 / (p * var) with the data standardised (the 'scale' rule)."""
-    p = len(cols)
-    g = gamma if gamma is not None else 1.0 / p
-    rnd = random.Random(seed)
-    names = []
-    exprs = []
-    for d in range(n_components):
-        w = [rnd.gauss(0.0, math.sqrt(2 * g)) for _ in range(p)]
-        b = rnd.uniform(0, 2 * math.pi)
-        lin = sum((F.col(c) * F.lit(wi) for c, wi in zip(cols, w)), F.lit(b))
-        names.append(f"{out_prefix}{d}")
-        exprs.append((F.lit(math.sqrt(2.0 / n_components)) * F.cos(lin)).alias(names[-1]))
-    return df.select("*", *exprs), names
-
-
-def kernel_svr(train: DataFrame, cols: list[str], label: str = "label", c: float = 1.0, n_components: int = 100,
-               gamma: float | None = None, seed: int = 42):
-    """M17 (re-aimed): RBF kernel via random Fourier features, then a linear
-    model with the Huber loss (Spark's robust regression, standing in for the
-    epsilon-insensitive loss) and L2 penalty 1 / (C n).  Returns (model,
-    feature-map function)."""
-    from pyspark.ml.feature import VectorAssembler
-    n = train.count()
-
-    def fmap(df):
-        z, names = random_fourier_features(df, cols, n_components, gamma, seed)
-        return VectorAssembler(inputCols=names, outputCol="_zf").transform(z)
-
-    lr = LinearRegression(featuresCol="_zf", labelCol=label, loss="huber", regParam=1.0 / (c * max(n, 1)),
-                          elasticNetParam=0.0, maxIter=100)
-    return lr.fit(fmap(train)), fmap

@@ -11,6 +11,7 @@ with ``PipelineModel.save`` into a shared folder.
 from __future__ import annotations
 
 import json
+import math
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
@@ -25,6 +26,7 @@ from pyspark.sql import types as T
 
 from tablelab.functions.stats import NUMERIC_TYPES, prefix_sums, q, sample_key
 from tablelab.operators import metrics as MT
+from tablelab.operators import stages as ST
 from tablelab.session import cut_lineage
 
 # FIXED VALUES: default hyperparameters and model-choice keys.
@@ -39,7 +41,7 @@ MODEL_KEYS = {
     "random_forest": ["Random Forest"], "extra_trees": ["Extra Trees"], "xgboost": ["XGBoost"],
     "lightgbm": ["LightGBM"], "lgb": ["LightGBM"], "catboost": ["CatBoost"], "cat": ["CatBoost"],
     "svm": ["SVM"], "decision_tree": ["Decision Tree"], "mlp": ["MLP"], "naive_bayes": ["Naive Bayes"],
-    "gradient_boosting": ["Gradient Boosting"],
+    "gradient_boosting": ["Gradient Boosting"], "svr": ["SVR"], "adaboost": ["AdaBoost"],
 }
 SCALED = ("Linear", "Logistic", "Ridge", "Lasso", "SVR", "SVM")
 SPARK_MAX_DEPTH = 30
@@ -144,10 +146,21 @@ def _depth(d):
     return SPARK_MAX_DEPTH if d is None else int(d)
 
 
-def regressors(hp: dict, n_train: int) -> dict:
-    """M8, M9, M11, M12, M13, M15, M21 for regression."""
+def _tree_size(h: dict) -> dict:
+    """Spark has one minimum, of rows per child: the stricter of the leaf
+    minimum and half the split minimum."""
+    return {"minInstancesPerNode": max(h["min_samples_leaf"], -(-h["min_samples_split"] // 2))}
+
+
+def _lgb_depth(h: dict) -> int:
+    """Depth of a balanced tree with the wanted number of leaves."""
+    return max(1, math.ceil(math.log2(h["lgb_num_leaves"])))
+
+
+def regressors(hp: dict, n_train: int, n_features: int) -> dict:
+    """M8, M9, M11-M15, M17, M19, M21 for regression."""
     h = {**DEFAULTS, **(hp or {})}
-    d = _depth(h["max_depth"])
+    d, size = _depth(h["max_depth"]), _tree_size(h)
     gb_depth = max(3, h["max_depth"] // 4) if h["max_depth"] else 5
     return {
         "Linear Regression": R.LinearRegression(regParam=0.0),
@@ -155,25 +168,28 @@ def regressors(hp: dict, n_train: int) -> dict:
                                                standardization=False),
         "Lasso Regression": R.LinearRegression(regParam=h["lasso_alpha"], elasticNetParam=1.0, standardization=False),
         "ElasticNet": R.LinearRegression(regParam=0.1, elasticNetParam=0.5, standardization=False),
-        "Random Forest": R.RandomForestRegressor(numTrees=h["n_estimators"], maxDepth=d,
-                                                 minInstancesPerNode=h["min_samples_leaf"], seed=42),
-        "Extra Trees": R.RandomForestRegressor(numTrees=h["n_estimators"], maxDepth=d, bootstrap=False,
-                                               featureSubsetStrategy="all", seed=42),
-        "Gradient Boosting": R.GBTRegressor(maxIter=h["n_estimators"], maxDepth=gb_depth, seed=42),
-        "Decision Tree": R.DecisionTreeRegressor(maxDepth=d, seed=42),
+        "Random Forest": R.RandomForestRegressor(numTrees=h["n_estimators"], maxDepth=d, seed=42, **size),
+        "Extra Trees": R.RandomForestRegressor(numTrees=h["n_estimators"], maxDepth=d, bootstrap=False, seed=42,
+                                               featureSubsetStrategy=str(n_features), **size),
+        "Gradient Boosting": R.GBTRegressor(maxIter=h["n_estimators"], maxDepth=gb_depth, seed=42, **size),
+        "AdaBoost": ST.AdaBoost("regression", h["n_estimators"]),
+        "Decision Tree": R.DecisionTreeRegressor(maxDepth=d, seed=42, **size),
+        # Spark has no epsilon-insensitive loss: Huber loss on kernel features
+        "SVR": R.LinearRegression(loss="huber", regParam=1.0 / (h["svm_c"] * max(n_train, 1)), maxIter=100),
+        "MLP": ST.MLPRegression(n_features),
         "XGBoost": R.GBTRegressor(maxIter=h["n_estimators"], stepSize=h["xgb_learning_rate"],
                                   maxDepth=h["xgb_max_depth"], subsamplingRate=h["xgb_subsample"],
-                                  featureSubsetStrategy=str(h["xgb_colsample_bytree"]), seed=42),
-        "LightGBM": R.GBTRegressor(maxIter=h["n_estimators"], stepSize=h["lgb_learning_rate"], maxDepth=5,
-                                   featureSubsetStrategy=str(h["lgb_feature_fraction"]), seed=42),
-        "CatBoost": R.GBTRegressor(maxIter=h["n_estimators"], stepSize=0.1, maxDepth=6, seed=42),
+                                  featureSubsetStrategy=str(h["xgb_colsample_bytree"]), seed=42, **size),
+        "LightGBM": R.GBTRegressor(maxIter=h["n_estimators"], stepSize=h["lgb_learning_rate"], maxDepth=_lgb_depth(h),
+                                   featureSubsetStrategy=str(h["lgb_feature_fraction"]), seed=42, **size),
+        "CatBoost": R.GBTRegressor(maxIter=h["n_estimators"], stepSize=0.1, maxDepth=6, seed=42, **size),
     }
 
 
 def classifiers(hp: dict, n_train: int, n_classes: int, n_features: int) -> dict:
-    """M10, M11, M12, M13, M15, M18, M19, M20, M21 for classification."""
+    """M10-M15, M18-M21 for classification."""
     h = {**DEFAULTS, **(hp or {})}
-    d = _depth(h["max_depth"])
+    d, size = _depth(h["max_depth"]), _tree_size(h)
     gb_depth = max(3, h["max_depth"] // 4) if h["max_depth"] else 5
     pen = h["logistic_penalty"]
     reg = 0.0 if pen == "none" else 1.0 / (h["logistic_c"] * max(n_train, 1))
@@ -181,25 +197,24 @@ def classifiers(hp: dict, n_train: int, n_classes: int, n_features: int) -> dict
     binary = n_classes == 2
 
     def boosted(**kw):
-        g = C.GBTClassifier(seed=42, **kw)
+        g = C.GBTClassifier(seed=42, **kw, **size)
         return g if binary else C.OneVsRest(classifier=g)
 
-    svm = C.LinearSVC(regParam=1.0 / (h["svm_c"] * max(n_train, 1)), maxIter=100)
     return {
         "Logistic Regression": C.LogisticRegression(regParam=reg, elasticNetParam=enet, standardization=False,
                                                     maxIter=1000),
-        "Random Forest": C.RandomForestClassifier(numTrees=h["n_estimators"], maxDepth=d,
-                                                  minInstancesPerNode=h["min_samples_leaf"], seed=42),
-        "Extra Trees": C.RandomForestClassifier(numTrees=h["n_estimators"], maxDepth=d, bootstrap=False,
-                                                featureSubsetStrategy="sqrt", seed=42),
+        "Random Forest": C.RandomForestClassifier(numTrees=h["n_estimators"], maxDepth=d, seed=42, **size),
+        "Extra Trees": C.RandomForestClassifier(numTrees=h["n_estimators"], maxDepth=d, bootstrap=False, seed=42,
+                                                featureSubsetStrategy=str(max(1, round(n_features ** 0.5))), **size),
         "Gradient Boosting": boosted(maxIter=h["n_estimators"], maxDepth=gb_depth),
-        "Decision Tree": C.DecisionTreeClassifier(maxDepth=d, seed=42),
+        "AdaBoost": ST.AdaBoost("classification", h["n_estimators"], n_classes=n_classes),
+        "Decision Tree": C.DecisionTreeClassifier(maxDepth=d, seed=42, **size),
         "Naive Bayes": C.NaiveBayes(modelType="gaussian"),
-        "SVM": svm if binary else C.OneVsRest(classifier=svm),
+        "SVM": ST.calibrated_svm(h["svm_c"], n_train, n_classes),
         "MLP": C.MultilayerPerceptronClassifier(layers=[n_features, 100, 50, n_classes], maxIter=500, seed=42),
         "XGBoost": boosted(maxIter=h["n_estimators"], stepSize=h["xgb_learning_rate"], maxDepth=h["xgb_max_depth"],
                            subsamplingRate=h["xgb_subsample"], featureSubsetStrategy=str(h["xgb_colsample_bytree"])),
-        "LightGBM": boosted(maxIter=h["n_estimators"], stepSize=h["lgb_learning_rate"], maxDepth=5,
+        "LightGBM": boosted(maxIter=h["n_estimators"], stepSize=h["lgb_learning_rate"], maxDepth=_lgb_depth(h),
                             featureSubsetStrategy=str(h["lgb_feature_fraction"])),
         "CatBoost": boosted(maxIter=h["n_estimators"], stepSize=0.1, maxDepth=6),
     }
@@ -215,17 +230,36 @@ def choose_models(all_models: dict, model_type: str = "all") -> dict:
     return {k: v for k, v in all_models.items() if k in allowed}
 
 
-def feature_pipeline(features: list[str], estimator, scale: bool) -> Pipeline:
+@dataclass
+class FeatureStats:
+    """Range, mean and deviation of each feature in the training split."""
+    ranges: list[tuple[float, float]]
+    moments: list[tuple[float, float]]
+
+
+def feature_stats(train: DataFrame, features: list[str]) -> FeatureStats:
+    x = [q(f"__f_{c}") for c in features]
+    r = train.agg(*[f(c).alias(f"{k}{i}") for i, c in enumerate(x) for k, f in (
+        ("a", F.min), ("z", F.max), ("m", F.avg), ("s", F.stddev_samp))]).first()
+    n = range(len(features))
+    return FeatureStats([(r[f"a{i}"] or 0.0, r[f"z{i}"] or 0.0) for i in n], [(r[f"m{i}"] or 0.0, r[f"s{i}"] or 1.0) for i in n])
+
+
+def feature_pipeline(features: list[str], estimator, scale: bool, name: str = "", stats: FeatureStats | None = None) -> Pipeline:
     """M3 + M7: mean imputation and (for linear / SVM models) standardisation,
-    both fitted on the training split only, then the estimator."""
+    both fitted on the training split only, then the estimator (or list of
+    stages).  Extra Trees get randomly cut features, SVR and SVM a kernel map."""
     imp = [f"__imp_{c}" for c in features]
+    last = estimator if isinstance(estimator, list) else [estimator]
+    if stats is not None and name in ("Extra Trees", "SVR", "SVM"):
+        made = (ST.random_cuts(imp, stats.ranges) if name == "Extra Trees" else ST.fourier_features(imp, stats.moments))
+        return Pipeline(stages=[Imputer(inputCols=[f"__f_{c}" for c in features], outputCols=imp, strategy="mean"), *made, *last])
     stages = [Imputer(inputCols=[f"__f_{c}" for c in features], outputCols=imp, strategy="mean"),
               VectorAssembler(inputCols=imp, outputCol="features_raw" if scale else "features",
                               handleInvalid="keep")]
     if scale:
         stages.append(StandardScaler(inputCol="features_raw", outputCol="features", withMean=True, withStd=True))
-    stages.append(estimator)
-    return Pipeline(stages=stages)
+    return Pipeline(stages=[*stages, *last])
 
 
 def with_feature_inputs(df: DataFrame, features: list[str]) -> DataFrame:
@@ -295,15 +329,15 @@ def train_models(df: DataFrame, target: str, key: list[str], features: list[str]
     test = data.where(F.col("is_test"))
     n_train = data.where(~F.col("is_test")).count()
     k = len(classes)
-    catalog = regressors(hp, n_train) if problem == "regression" else classifiers(hp, n_train, k, len(feats))
+    catalog = regressors(hp, n_train, len(feats)) if problem == "regression" else classifiers(hp, n_train, k, len(feats))
     chosen = choose_models(catalog, model_type)
     folds = min(cv_folds, n_train)
     train_f = cut_lineage(assign_folds(data.where(~F.col("is_test")), key, folds, strata))
-    train = train_f
+    train, stats = train_f, feature_stats(train_f, feats)
     rows, cv_rows, models, preds = [], [], {}, {}
     for i, (name, est) in enumerate(chosen.items()):
         scale = any(s in name for s in SCALED)
-        pipe = feature_pipeline(feats, est, scale)
+        pipe = feature_pipeline(feats, est, scale, name, stats)
         model = pipe.fit(train)
         pt = model.transform(test)
         s = _scores_row(problem, pt, k)
@@ -350,7 +384,8 @@ def feature_importance(result: TrainResult) -> DataFrame:
         last = m.stages[-1]
         if hasattr(last, "featureImportances"):
             imp = last.featureImportances.toArray().tolist()
-            rows = [(name, f, float(v)) for f, v in zip(result.features, imp)]
+            copies = len(imp) // len(result.features)   # extra trees have several cut copies of a feature
+            rows = [(name, f, float(sum(imp[i * copies:(i + 1) * copies]))) for i, f in enumerate(result.features)]
             return spark.createDataFrame(rows, "model string, feature string, importance double").orderBy(
                 F.col("importance").desc())
     return spark.createDataFrame([], "model string, feature string, importance double")
@@ -475,7 +510,6 @@ class GaussianNB:
         return self
 
     def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
-        import math
         scores = []
         for j, c in enumerate(self.classes):
             s = F.lit(math.log(self.prior[c]))

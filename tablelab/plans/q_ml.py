@@ -267,57 +267,43 @@ def train_boosted_presets(spark, sf_dir):
                                          hp=SMALL_TREES).scores)
 
 
-# ------------------------------------------------------------------ M14 AdaBoost, M17 kernel SVR
-
-def _prepared(spark, sf_dir, target, problem, scale=False):
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-    from tablelab.session import cut_lineage
-    df = fixture(spark, sf_dir, "li_ml").where(F.col(target).isNotNull())
-    if problem == "classification":
-        df, classes = ML.label_index(df, target)
-    else:
-        df, classes = df.withColumn("label", F.col(target).cast("double")), []
-    split = ML.with_feature_inputs(ML.train_test_split(df, LI_KEY, 0.2, "label" if classes else None), ML_FEATURES)
-    imp = [f"__imp_{c}" for c in ML_FEATURES]
-    stages = [Imputer(inputCols=[f"__f_{c}" for c in ML_FEATURES], outputCols=imp, strategy="mean"),
-              VectorAssembler(inputCols=imp, outputCol="features_raw" if scale else "features")]
-    if scale:
-        stages.append(StandardScaler(inputCol="features_raw", outputCol="features", withMean=True, withStd=True))
-    train = split.where(~F.col("is_test"))
-    fitted = Pipeline(stages=stages).fit(train)
-    data = cut_lineage(fitted.transform(split).select(*LI_KEY, "label", "features", "is_test", *imp))
-    return data.where(~F.col("is_test")), data.where(F.col("is_test")), classes, imp
-
-
-@register("train_adaboost", None, "M14")
+# ------------------------------------------------------------------ M13, M14, M17, M19 by model key
+
+def _by_key(spark, sf_dir, target, problem, key, hp=None):
+    df = fixture(spark, sf_dir, "li_ml")
+    return ML.comparison(ML.train_models(df, target, LI_KEY, ML_FEATURES, problem, key, 0.2, 2, hp=hp).scores)
+
+
+# boosting refits the data once per round: the registered runs pass few rounds
+FEW_ROUNDS = {"n_estimators": 5, "max_depth": 12}
+
+
+@register("train_adaboost", None, "M14", "M22")
 def train_adaboost(spark, sf_dir):
-    from tablelab.operators.ensemble import adaboost
-    train, test, classes, _ = _prepared(spark, sf_dir, "l_returnflag", "classification")
-    m = adaboost(train, "classification", n_estimators=10, learning_rate=0.1, n_classes=len(classes))
-    return MT.classification_metrics(m.transform(test), "label", "prediction")
+    return _by_key(spark, sf_dir, "l_returnflag", "classification", "adaboost", FEW_ROUNDS)
 
 
-@register("train_adaboost_regression", None, "M14")
+@register("train_adaboost_regression", None, "M14", "M22")
 def train_adaboost_regression(spark, sf_dir):
-    from tablelab.operators.ensemble import adaboost
-    train, test, _, _ = _prepared(spark, sf_dir, "l_quantity", "regression")
-    m = adaboost(train, "regression", n_estimators=10, learning_rate=0.1)
-    return MT.regression_metrics(m.transform(test), "label", "prediction")
+    return _by_key(spark, sf_dir, "l_quantity", "regression", "adaboost", FEW_ROUNDS)
 
 
-@register("train_kernel_svr", None, "M17")
+@register("train_kernel_svr", None, "M17", "M22")
 def train_kernel_svr(spark, sf_dir):
-    from pyspark.ml.functions import vector_to_array
-    from tablelab.operators.ensemble import kernel_svr
-    train, test, _, _ = _prepared(spark, sf_dir, "l_quantity", "regression", scale=True)
-    cols = [f"_z{i}" for i in range(len(ML_FEATURES))]
-    unpack = lambda d: d.select("*", *[vector_to_array("features")[i].alias(c) for i, c in enumerate(cols)])
-    model, fmap = kernel_svr(unpack(train), cols, "label", c=1.0, n_components=50)
-    return MT.regression_metrics(model.transform(fmap(unpack(test))), "label", "prediction")
+    return _by_key(spark, sf_dir, "l_quantity", "regression", "svr")
+
 
+@register("train_gradient_boosting", None, "M13")
+def train_gradient_boosting(spark, sf_dir):
+    return _by_key(spark, sf_dir, "returned", "classification", "gradient_boosting", FEW_ROUNDS)
 
-@register("train_mlp_regressor", None, "M19", "A1", "A2", "A4")
+
+@register("train_lightgbm", None, "M21")
+def train_lightgbm(spark, sf_dir):
+    return _by_key(spark, sf_dir, "l_quantity", "regression", "lightgbm", FEW_ROUNDS)
+
+
+@register("train_mlp_regressor", None, "M19", "A1", "A2")
 def train_mlp_regressor(spark, sf_dir):
     """Regression MLP (hidden 100, 50) on standardised features, 30 epochs."""
     from tablelab.operators.nn import MLPRegressor
@@ -330,3 +316,21 @@ def train_mlp_regressor(spark, sf_dir):
     model = MLPRegressor(ML_FEATURES).fit(prep(train), "l_quantity", epochs=30, lr=1e-2)
     pred = model.transform(prep(df.where(F.col("is_test"))))
     return MT.regression_metrics(pred, "l_quantity", "prediction")
+
+
+# ------------------------------------------------------------------ closed forms
+
+@register("ols_closed_form", with_fixtures("""
+    WITH k AS (SELECT *, """ + sample_key_sql(LI_KEY) + """ AS _k FROM li_ml),
+         t AS (SELECT list_sort(list(_k))[CAST(round(0.2 * count(*)) AS BIGINT) + 1] AS cut FROM k),
+         tr AS (SELECT l_quantity AS y, l_extendedprice AS x FROM k, t WHERE _k >= cut),
+         m AS (SELECT avg(x) AS mx FROM tr), f AS (SELECT y, coalesce(x, mx) AS x FROM tr, m)
+    SELECT round(covar_pop(x, y) / var_pop(x) * stddev_samp(x), 4) AS slope, round(avg(y), 4) AS intercept FROM f""", "li_ml"),
+          "M2", "M3", "M7", "M8")
+def ols_closed_form(spark, sf_dir):
+    """Least squares on one imputed, standardised feature against the textbook formula."""
+    df = fixture(spark, sf_dir, "li_ml")
+    r = ML.train_models(df, "l_quantity", LI_KEY, ["l_extendedprice"], "regression", "linear", 0.2, 2)
+    lr = r.models["Linear Regression"].stages[-1]
+    return spark.createDataFrame([(round(float(lr.coefficients[0]), 4), round(float(lr.intercept), 4))],
+                                 "slope double, intercept double")
