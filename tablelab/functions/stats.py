@@ -244,8 +244,9 @@ def quantiles_long(df: DataFrame, cols: list[str], probs: list[float]) -> DataFr
         n = first[f"n{i}"]
         for p in probs if n else ():
             at = first[f"m{i}"]
-            lo = first[f"a{i}"] if p - wide <= 0 else at[marks.index(max(0.0, p - wide))]
-            hi = first[f"z{i}"] if p + wide >= 1 else at[marks.index(min(1.0, p + wide))]
+            # in a short column neighbouring ranks lie further apart than the margin: keep all of it
+            lo = first[f"a{i}"] if p - wide <= 0 or n < 4 * BRACKET else at[marks.index(max(0.0, p - wide))]
+            hi = first[f"z{i}"] if p + wide >= 1 or n < 4 * BRACKET else at[marks.index(min(1.0, p + wide))]
             brackets.setdefault((i, float(lo), float(hi)), len(brackets))
             wanted.append((brackets[(i, float(lo), float(hi))], c, p, (n - 1) * p))
     if not wanted:

@@ -181,8 +181,7 @@ def calibrated_svm(c: float, n_train: int, n_classes: int) -> list:
     """Linear SVM on ``features`` and Platt scaling: a logistic regression on
     its margins gives the prediction and the class probabilities."""
     svm = LinearSVC(regParam=1.0 / (c * max(n_train, 1)), maxIter=100)
-    if n_classes == 2:
-        margins = svm.setRawPredictionCol("__margins").setPredictionCol("__svm")
-    else:
-        margins = OneVsRest(classifier=svm, rawPredictionCol="__margins", predictionCol="__svm")
-    return [margins, LogisticRegression(featuresCol="__margins")]
+    if n_classes > 2:
+        svm = OneVsRest(classifier=svm)
+    margins = svm.setPredictionCol("__svm")   # the margins are in "rawPrediction"
+    return [margins, LogisticRegression(featuresCol="rawPrediction", rawPredictionCol="__platt")]

@@ -44,6 +44,108 @@ def test_exact_quantiles_match_pandas(spark):
         assert got[nm] == pytest.approx(s.quantile(p))
 
 
+def test_exact_quantiles_match_pandas_in_long_columns(spark):
+    import numpy as np
+    rng = np.random.default_rng(0)
+    n = 4 * S.BRACKET + 1234
+    pdf = pd.DataFrame({"a": rng.normal(size=n), "b": rng.integers(0, 7, n).astype(float), "odd 'name`": rng.exponential(size=n)})
+    pdf.loc[::5, "a"] = np.nan
+    pdf.loc[: n // 3, "odd 'name`"] = 0.5   # a hot value
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "a double, b double, `odd 'name```  double")
+    probs = [0.0, 0.01, 0.25, 1 / 3, 0.5, 0.75, 1.0]
+    plan = S.quantiles_long(df, pdf.columns.tolist(), probs)
+    got = {(r["column"], r["prob"]): r["qv"] for r in plan.collect()}
+    for c in pdf:
+        for p in probs:
+            assert got[(c, p)] == pytest.approx(pdf[c].quantile(p), rel=1e-12)
+
+
+def test_quantiles_scan_the_table_once_in_the_final_plan(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    plan = S.quantiles_wide(df, ["l_quantity", "l_extendedprice", "l_tax"], [0.25, 0.5, 0.75])
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("parquet") <= 1
+
+
+def test_text_buckets_split_shared_prefixes(spark):
+    words = [f"Customer#{i:06d}" for i in range(2000)]
+    df = spark.createDataFrame([("c", w, 1) for w in words], "column string, x string, cnt int")
+    edges = S._text_edges(df, ["column"], "x", 20, 2000).first()["_edges"]
+    assert 10 <= len(edges) <= 40 and edges == sorted(edges)
+    got = {r["x"]: r["cnt_before"] for r in S.prefix_sums(df, "column", "x", ("cnt",), values_per_bucket=100).collect()}
+    assert got == {w: i for i, w in enumerate(words)}
+
+
+def test_json_lines_by_format_and_strict_csv_numbers(spark, tmp_path):
+    from tablelab.sources import io
+    (tmp_path / "x.txt").write_text("".join('{"k": %d}\n' % i for i in range(100)))
+    assert io.load_table(spark, str(tmp_path / "x.txt"), fmt="jsonl").count() == 100
+    (tmp_path / "t.csv").write_text("code,n,x,flag\n1d,1,1.5,true\n2f,-2,2e3,False\n3d,3,.5,TRUE\n")
+    df = io.load_table(spark, str(tmp_path / "t.csv"))
+    assert [t for _, t in df.dtypes] == ["string", "bigint", "double", "boolean"]
+    assert [r["code"] for r in df.collect()] == ["1d", "2f", "3d"]
+
+
+def test_spearman_diagonal_of_a_constant_is_null(spark):
+    df = spark.createDataFrame([(float(i), 1.0) for i in range(10)], "a double, k double")
+    got = {(r["col_a"], r["col_b"]): r["rho"] for r in E.spearman_matrix(df, ["a", "k"]).collect()}
+    assert got == {("a", "a"): 1.0, ("k", "k"): None, ("a", "k"): None, ("k", "a"): None}
+
+
+def test_onehot_of_many_values_is_a_sparse_vector(spark, monkeypatch):
+    from tablelab.operators import preprocess as PP
+    monkeypatch.setattr(PP, "ONEHOT_MAX_VALUES", 5)
+    df = spark.createDataFrame([(i, f"v{i % 20:02d}") for i in range(40)] + [(99, None)], "i int, s string")
+    model = PP.fit_encode(df, "onehot", ["s"])
+    got = {r["i"]: r["s"] for r in model.transform(df).collect()}
+    assert all(got[i].size == got[0].size and got[i].indices.tolist() == [sorted(f"v{k:02d}" for k in range(20)).index(f"v{i % 20:02d}") + 1]
+               for i in range(40)) and got[99].indices.tolist() == []
+
+
+def test_extra_trees_differ_and_model_keys_select_their_model(spark):
+    from tablelab.operators import ml as ML
+    rows = [(i, float(i % 17), float((i * 7) % 13), float(i % 17) * 2 + float((i * 7) % 13)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y double")
+    r = ML.train_models(df, "y", ["id"], ["a", "b"], "regression", "extra_trees", 0.2, 2, hp={"n_estimators": 5, "max_depth": 5})
+    trees = r.models["Extra Trees"].stages[-1].trees
+    assert len({t.toDebugString.split("\n", 1)[1] for t in trees}) == 5
+    for catalog in (ML.regressors({}, 100, 2), ML.classifiers({}, 100, 2, 2)):
+        for key, names in ML.MODEL_KEYS.items():
+            assert set(ML.choose_models(catalog, key)) == set(names) & set(catalog)
+    with pytest.raises(ValueError):
+        ML.regressors({"max_depth": 31}, 100, 2)
+
+
+def test_adaboost_and_network_stages_save_and_load(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+    from tablelab.operators import ml as ML
+    rows = [(i, float(i % 5), float(i % 3), float(i % 5 > 2)) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y double")
+    for problem, key in (("classification", "adaboost"), ("regression", "mlp")):
+        r = ML.train_models(df, "y", ["id"], ["a", "b"], problem, key, 0.25, 2, hp={"n_estimators": 3})
+        name, model = next(iter(r.models.items()))
+        test = r.test_predictions[name].select("id", "__f_a", "__f_b")
+        model.write().overwrite().save(str(tmp_path / key))
+        again = PipelineModel.load(str(tmp_path / key))
+        assert sorted(again.transform(test).select("id", "prediction").collect()) == sorted(
+            model.transform(test).select("id", "prediction").collect())
+
+
+def test_svm_gives_probabilities(spark):
+    from tablelab.operators import ml as ML
+    rows = [(i, float(i % 11), float(i % 7), "abc"[i % 11 // 4]) for i in range(330)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y string")
+    r = ML.train_models(df, "y", ["id"], ["a", "b"], "classification", "svm", 0.2, 2)
+    p = r.test_predictions["SVM"].select("probability").first()[0]
+    assert len(p) == 3 and abs(sum(p) - 1) < 1e-6
+
+
+def test_checkpoint_folder_of_the_caller_is_kept(spark, tmp_path):
+    from tablelab.session import ensure_checkpoint_dir
+    before = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    ensure_checkpoint_dir(spark)
+    assert spark.sparkContext._jsc.sc().getCheckpointDir().get() == before
+
+
 def test_skew_kurt_match_pandas(spark):
     vals = [1.0, 2.0, 4.0, 8.0, 16.0, 3.0, 3.5]
     df = spark.createDataFrame([(v,) for v in vals], "x double")
