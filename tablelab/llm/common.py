@@ -53,11 +53,11 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+def written(df: DataFrame, what: str, **options) -> DataFrame:
     """Cut the lineage with a table in the shared folder and read it again;
     any executor can read it after another one is lost."""
     path = scratch_path(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -5,9 +5,8 @@ A token's probability is factored over classes,
     p(w | history) = p(class(w) | history) * p(w | class(w)).
 
 * ``p(class | history)`` is a log-linear (maximum-entropy) model: the history's
-  features (previous word, previous two words, the word before the previous
-  one, and pairs of classes one, three and five tokens back: n-grams and
-  skips) are hashed into ``BUCKETS`` rows of class weights, which are added and
+  features (previous word, the word before it, and pairs of classes one, three
+  and five tokens back: n-grams and skips) are hashed into ``BUCKETS`` rows of class weights, which are added and
   normalised by a softmax over the ``CLASSES`` classes.
 * ``p(w | class)`` has one weight per word, whose maximum-likelihood value needs
   no training: (c + 1) / (N_class + V_class + 1) from the corpus counts; an unseen
@@ -50,15 +49,17 @@ from pyspark.sql import functions as F
 from tablelab.llm.common import crc_bucket, space_words, written
 
 BUCKETS = 1 << 13
-CLASSES = 64
-TOP_WORDS = 24
-TOP_ENDINGS = 31  # the rest of the classes is hashed
+CLASSES = 48
+TOP_WORDS = 20
+TOP_ENDINGS = 21  # the rest of the classes is hashed
 ROUNDS = 3
 CHUNK = 8192
 RATE = 0.25
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 3_000_000
+SLICE_TOKENS = 200_000
 SHAPES = 1 << 20
 WEIGHT_BLOCKS = 16
+PLACE_BITS = 24   # places of words in a block; block numbers are partition * 2^12 + a counter
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -77,6 +78,16 @@ def ending(word: bytes) -> bytes:
     return (body[-3:] + "|" + text[len(body):][:1]).encode()
 
 
+def to_planes(codes: np.ndarray) -> bytes:
+    """Numbers below 2^24 as three planes of bytes; the high ones compress well."""
+    return codes.astype("<u4").view(np.uint8).reshape(-1, 4).T[:3].tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(3, -1).astype(np.int32)
+    return planes[0] | planes[1] << 8 | planes[2] << 16
+
+
 _BLOCK = ("block long, doc_ids array<{id}>, held_out array<boolean>, lengths array<int>, "
           "words binary, shapes binary, counts binary, codes binary")
 
@@ -89,7 +100,7 @@ def blocks(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        at = TaskContext.get().partitionId() << 24
+        at = TaskContext.get().partitionId() << 12
         ids, held, codes, numbers, size = [], [], [], _Numbers(), 0
 
         def flush() -> pa.RecordBatch:
@@ -103,7 +114,7 @@ def blocks(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
                 "shapes": pa.array([np.fromiter((xxhash.xxh32_intdigest(ending(w)) % SHAPES for w in words),
                                                 np.int32, len(words)).tobytes()]),
                 "counts": pa.array([np.bincount(flat[keep], minlength=len(words)).astype(np.int32).tobytes()]),
-                "codes": pa.array([flat.astype(np.int32).tobytes()])})
+                "codes": pa.array([to_planes(flat)])})
 
         for b in batches:
             for doc_id, text, out in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
@@ -203,8 +214,7 @@ def features(t: Tokens, a: int, b: int) -> list[np.ndarray]:
 
     w1, w2 = back(t.word, 1, START), back(t.word, 2, START)
     c = [back(t.cls, k, CLASSES).astype(np.uint64) for k in range(1, 7)]
-    raw = [w1, w1 * np.uint64(3) + w2 * np.uint64(0xB5297A4D1B56C4E9), w2,
-           c[0] * np.uint64(256) + c[1], c[2] * np.uint64(256) + c[3], c[4] * np.uint64(256) + c[5]]
+    raw = [w1, w2, c[0] * np.uint64(256) + c[1], c[2] * np.uint64(256) + c[3], c[4] * np.uint64(256) + c[5]]
     return [(_mix(x + np.uint64(0x9E3779B97F4A7C15 * (i + 1) % (1 << 64))) % np.uint64(BUCKETS)).astype(np.int64)
             for i, x in enumerate(raw)]
 
@@ -244,7 +254,7 @@ def descend(w: Weights, t: Tokens, used: np.ndarray) -> None:
         g = np.exp(log_softmax(w.rows, w.bias, at))
         g[np.arange(b - a), t.cls[a:b]] -= 1
         for x in at:
-            order = np.argsort(x, kind="stable")
+            order = np.argsort(x.astype(np.uint16), kind="stable")
             s = x[order]
             first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
             row, n = s[first], np.diff(np.append(first, len(s)))
@@ -305,7 +315,7 @@ def share_of(row: dict, classes: Classes, r: int, rounds: int) -> Tokens | None:
     if not use.any():
         return None
     words, shapes = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["shapes"], np.int32)
-    codes = np.frombuffer(row["codes"], np.int32)[np.repeat(use, lengths)]
+    codes = from_planes(row["codes"])[np.repeat(use, lengths)]
     return tokens(words, classes.of(words, shapes), codes, lengths[use])
 
 
@@ -315,24 +325,30 @@ def score_block(row: dict, c: np.ndarray, classes: Classes, w: Weights, n_all: i
     """Scores of a block's documents; ``c``: corpus counts of its words."""
     words, shapes = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["shapes"], np.int32)
     cls = classes.of(words, shapes) if len(words) else np.zeros(0, np.uint8)
-    lengths, codes = np.array(row["lengths"], np.int64), np.frombuffer(row["codes"], np.int32)
-    t = tokens(words, cls, codes, lengths)
-    full = lengths + 1
-    is_end = t.place == np.repeat(lengths, full)
-    count = np.full(len(t.word), ends, np.int64)
-    count[~is_end] = c[codes]
+    lengths, codes = np.array(row["lengths"], np.int64), from_planes(row["codes"])
     total, distinct = classes.total.copy(), classes.distinct.copy()
     total[0], distinct[0] = ends, int(ends > 0)
-    inside = np.log10((count + 1) / (total + distinct + 1)[t.cls])
-    outside = np.empty(len(t.word))
-    for a in range(0, len(t.word), CHUNK):
-        b = min(a + CHUNK, len(t.word))
-        z = log_softmax(w.rows, w.bias, features(t, a, b))
-        outside[a:b] = z[np.arange(b - a), t.cls[a:b]]
-    start = np.cumsum(full) - full
-    return {"n_tokens": full, "n_known": np.add.reduceat((count > 0).astype(np.int64), start),
-            "base_score": np.add.reduceat(np.log10((count + 1) / (n_all + v_all + 1)), start),
-            "score": np.add.reduceat(inside + outside / math.log(10), start)}
+    below = np.log10(total + distinct + 1)
+    start = np.cumsum(lengths) - lengths
+    parts, a = [], 0
+    while a < len(lengths):   # whole documents, about SLICE_TOKENS tokens at a time
+        b = max(a + 1, int(np.searchsorted(start, start[a] + SLICE_TOKENS)))
+        use = slice(start[a], start[b - 1] + lengths[b - 1])
+        t, full = tokens(words, cls, codes[use], lengths[a:b]), lengths[a:b] + 1
+        is_end = t.place == np.repeat(lengths[a:b], full)
+        count = np.full(len(t.word), ends, np.int64)
+        count[~is_end] = c[codes[use]]
+        logs = np.log10(count + 1)
+        model = logs - below[t.cls]
+        for lo in range(0, len(t.word), CHUNK):
+            hi = min(lo + CHUNK, len(t.word))
+            z = log_softmax(w.rows, w.bias, features(t, lo, hi))
+            model[lo:hi] += z[np.arange(hi - lo), t.cls[lo:hi]] / math.log(10)
+        at = np.cumsum(full) - full
+        parts.append((full, np.add.reduceat((count > 0).astype(np.int64), at),
+                      np.add.reduceat(logs, at) - full * math.log10(n_all + v_all + 1), np.add.reduceat(model, at)))
+        a = b
+    return dict(zip(("n_tokens", "n_known", "base_score", "score"), map(np.concatenate, zip(*parts))))
 
 
 def score(docs: DataFrame, rounds: int = ROUNDS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -340,7 +356,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS, block_tokens: int = BLOCK_TOKEN
     every row; ``docs`` has doc_id, text and held_out."""
     spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    table = written(blocks(docs, block_tokens), "lm-blocks")
+    table = written(blocks(docs, block_tokens), "lm-blocks", compression="zstd")
 
     def words(with_counts: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,13 +368,14 @@ def score(docs: DataFrame, rounds: int = ROUNDS, block_tokens: int = BLOCK_TOKEN
                         cols = [h[n > 0], np.frombuffer(row["shapes"], np.int32)[n > 0], n[n > 0].astype(np.int64)]
                         names = ["word", "shape", "c"]
                     else:
-                        cols, names = [h, np.full(len(h), row["block"]), np.arange(len(h), dtype=np.int32)], ["word", "block", "at"]
+                        at = (row["block"] << PLACE_BITS) + np.arange(len(h))
+                        cols, names = [h, at], ["word", "at"]
                     for lo in range(0, len(cols[0]), 100_000):
                         yield pa.RecordBatch.from_arrays([pa.array(x[lo:lo + 100_000]) for x in cols], names=names)
         return run
 
     counted = table.select("words", "shapes", "counts").mapInArrow(words(True), "word long, shape int, c long")
-    vocabulary = written(counted.groupBy("word").agg(F.min("shape").alias("shape"), F.sum("c").alias("c")), "lm-words")
+    vocabulary = written(counted.groupBy("word").agg(F.min("shape").alias("shape"), F.sum("c").alias("c")), "lm-words", compression="zstd")
     ends = table.select(F.explode("held_out").alias("h")).where("not h").count()
     whole = vocabulary.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n_all, v_all = (whole["n"] or 0) + ends, whole["v"] + int(ends > 0)
@@ -366,15 +383,19 @@ def score(docs: DataFrame, rounds: int = ROUNDS, block_tokens: int = BLOCK_TOKEN
     weights = train(table, classes, initial(classes, ends), rounds)
     shared = spark.sparkContext.broadcast((classes, weights))
 
-    found = (table.select("block", "words").mapInArrow(words(False), "word long, block long, at int")
-             .join(vocabulary.select("word", "c"), "word").select("block", "at", "c"))
+    found = (table.select("block", "words").mapInArrow(words(False), "word long, at long")
+             .join(vocabulary.select("word", "c"), "word")
+             .select(F.shiftright("at", PLACE_BITS).alias("block"), "at", "c"))
+    # place in the block and count in one number
+    found = found.select("block", (F.shiftleft("c", PLACE_BITS) + F.col("at").bitwiseAND((1 << PLACE_BITS) - 1)).alias("c"))
     ddl = (f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
     def run(block: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in block.to_dict("records"):
             c = np.zeros(len(row["words"]) // 8, np.int64)
-            c[counts["at"].to_numpy()] = counts["c"].to_numpy()
+            packed = counts["c"].to_numpy()
+            c[packed & ((1 << PLACE_BITS) - 1)] = packed >> PLACE_BITS
             got = score_block(row, c, *shared.value, n_all, v_all, ends)
             out.append(pd.DataFrame({"doc_id": pd.Series(list(row["doc_ids"]), dtype=object),
                                      "held_out": np.array(row["held_out"], bool)} | got))
