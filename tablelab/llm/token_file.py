@@ -18,7 +18,7 @@ comes from the manifest; ``read`` unpacks files in parallel.
 Encoding: the tokenizers library encodes each distinct chunk once per worker
 while it is remembered.  A chunk is a word with the one space in front of it;
 texts for which the tokenizer's splitting might look across such a space (white
-space next to white space, characters outside Latin script and common
+space after white space, characters outside Latin script and common
 punctuation), or tokenizers that aren't plain byte-level BPE, go through the
 library as a whole.
 
@@ -36,6 +36,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,7 +49,7 @@ from tablelab.llm.common import scratch_path
 
 MAGIC = b"TKBP"
 BLOCK_IDS = 1 << 16
-KEEP_CHUNKS = 300_000
+KEEP_CHUNKS = 400_000
 FILE_BYTES = 64 << 20
 _HEADER, _FOOTER = "<4sII", "<QQQQ4s"
 
@@ -163,11 +164,16 @@ class Reader:
 # -------------------------------------------------------------------- encoding
 
 class ChunkEncoder:
-    """Ids of whole texts from the tokenizers library, chunk by chunk."""
+    """Ids of whole texts from the tokenizers library, chunk by chunk.
 
-    # white space that meets white space or the end, and characters on which
-    # splitting rules could differ between Unicode versions
-    _whole = re.compile("[^\x09-\x0d\x20-\x7e¡-ɏ‐-‧‰-⁞€]| (?=\\s|$)| \\Z")
+    A chunk follows a space, which belongs to it.  Chunks that are empty, begin
+    with white space, hold a special token, or hold characters on which
+    splitting rules could differ are *unsafe* (remembered as None): texts with
+    such a chunk go through the library as a whole."""
+
+    _unsafe = re.compile("[^\x09-\x0d\x20-\x7e¡-ɏ‐-‧‰-⁞€]|^\\s|^$")
+
+    _tail = re.compile("^[A-Za-zÀ-ÖØ-öø-ɏ]+([.,;:!?]+)$")
 
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
@@ -180,41 +186,62 @@ class ChunkEncoder:
                         and not pre.get("add_prefix_space") and pre.get("use_regex", True)
                         and spec.get("normalizer") is None and not spec["model"].get("dropout"))
         added = [t["content"] for t in spec.get("added_tokens", [])]
+        self.chunked = self.chunked and not any(" " in x for x in added)
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.vocabulary = self.tok.get_vocab_size(with_added_tokens=True)
-        self.chunks: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes()
-                for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        if not texts:
+            return []
+        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: set[str]) -> None:
+        """Remember chunks; those that are still in use are taken over."""
+        old, unsafe, added, safe = self.old, self._unsafe.search, self.added, []
+        for c in new:
+            if c in old:
+                self.chunks[c] = old[c]
+            elif unsafe(c) or added and added.search(c):
+                self.chunks[c] = None
+            else:
+                safe.append(c)
+        # a word and the marks behind it are split by the tokenizer anyway: encode them apart
+        tails = {c: m.start(1) for c in safe if (m := self._tail.search(c))}
+        words = [c for c in safe if c not in tails]
+        words += {c[:k] for c, k in tails.items()}.difference(self.chunks, words)
+        self.chunks.update(zip(words, self._library([" " + c for c in words])))
+        marks = list({c[k:] for c, k in tails.items()})
+        marks = dict(zip(marks, self._library(marks)))
+        for c, k in tails.items():
+            self.chunks[c] = self.chunks[c[:k]] + marks[c[k:]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        cut: list[tuple[int, list[str]]] = []
-        whole: list[int] = []
-        for i, text in enumerate(texts):
-            if not text:
-                out[i] = b""
-            elif not self.chunked or self._whole.search(text) or self.added and self.added.search(text):
-                whole.append(i)
-            else:
-                first, *rest = text.split(" ")
-                cut.append((i, [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]))
-        for i, ids in zip(whole, self._library([texts[i] for i in whole]) if whole else ()):
+        """Little-endian 32-bit ids of each text."""
+        out: list[bytes | None] = [None if t else b"" for t in texts]
+        todo = [i for i, t in enumerate(texts) if t]
+        if self.chunked:
+            for lo in range(0, len(todo), 64):
+                some = todo[lo:lo + 64]
+                # a text's first chunk has no space in front: it is encoded apart
+                cut = [texts[i].split(" ") for i in some]
+                heads = [c.pop(0) for c in cut]
+                new = set().union(*cut).difference(self.chunks)
+                if len(self.chunks) + len(new) > KEEP_CHUNKS:
+                    self.old, self.chunks, new = self.chunks, {}, set().union(*cut)
+                self._learn(new)
+                first = self._library(heads)
+                get, unsafe, added = self.chunks.__getitem__, self._unsafe.search, self.added
+                for i, head, ids, chunks in zip(some, heads, first, cut):
+                    if head and (unsafe(head.lstrip() or "x") or added and added.search(head)):
+                        continue
+                    parts = [ids, *map(get, chunks)]
+                    if None not in parts:
+                        out[i] = b"".join(parts)
+        rest = [i for i in todo if out[i] is None]
+        for i, ids in zip(rest, self._library([texts[i] for i in rest])):
             out[i] = ids
-        for lo in range(0, len(cut), 64):
-            some = cut[lo:lo + 64]
-            if len(self.chunks) >= KEEP_CHUNKS:  # chunks that are still in use are taken over below
-                self.old, self.chunks = self.chunks, {}
-            new = {c for _, cs in some for c in cs if c not in self.chunks}
-            self.chunks.update({c: self.old[c] for c in new if c in self.old})
-            new = [c for c in new if c not in self.old]
-            if new:
-                self.chunks.update(zip(new, self._library(new)))
-            get = self.chunks.__getitem__
-            for i, cs in some:
-                out[i] = b"".join(map(get, cs))
         return out
 
 
@@ -248,7 +275,7 @@ def write(docs: DataFrame, tokenizer_file: str, folder: str, end_id: int = 0,
         part = TaskContext.get().partitionId()
         enc, writer, name = encoder(tokenizer_file), None, f"part-{part:06d}.tkbp"
         system, base = fs.FileSystem.from_uri(folder)
-        temp, end = f"{base}/.{name}.{uuid.uuid4().hex}", np.array([end_id], "<u4")
+        temp, end = f"{base}/.{name}.{uuid.uuid4().hex}", np.array([end_id], "<u4").tobytes()
         out = None
         for b in batches:
             if b.num_rows and writer is None:
@@ -258,7 +285,7 @@ def write(docs: DataFrame, tokenizer_file: str, folder: str, end_id: int = 0,
             ids, texts = b.column(0).to_pylist(), b.column(1)
             for lo in range(0, len(ids), 256):
                 for doc_id, got in zip(ids[lo:lo + 256], enc.encode(texts[lo:lo + 256].to_pylist())):
-                    writer.add(doc_id, np.concatenate([np.frombuffer(got, "<u4"), end]))
+                    writer.add(doc_id, np.frombuffer(got + end, "<u4"))
         if writer is not None:
             total = writer.close()
             out.close()
