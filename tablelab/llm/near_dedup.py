@@ -4,10 +4,11 @@ A document is the set of its distinct 5-word shingles (64-bit hashes); linked
 are pairs with Jaccard similarity of at least ``PERCENT`` / 100.
 
 1. *Signature*: 128 MinHash samples.  Groups of 4 give 32 band keys (a pair at
-   0.75 shares none with probability 5e-6).  All samples are folded into an odd
-   sketch of 512 bits: each sample flips one bit, so equal samples of two
-   documents cancel and the population count of the XOR of two sketches
-   estimates how many samples differ.
+   0.75 shares none with probability 5e-6).  The bottom-``SAMPLE`` MinHash
+   sample (the smallest hashes; for most documents the whole set) is folded into
+   an odd sketch of 1024 bits: each element flips one bit, so common elements of
+   two documents cancel and the population count of the XOR of two sketches is
+   at most, and close to, the number of elements that differ.
 2. *Copies*: equal sets form a class; only its smallest doc_id goes on.
 3. *First links*: the smallest doc_id of a band's bucket is its center.  A
    document is compared with the center that it shares most bands with; such
@@ -16,10 +17,10 @@ are pairs with Jaccard similarity of at least ``PERCENT`` / 100.
    the center's component are compared, with the members of other components.
    A group of thousands of near copies, which step 3 has joined, costs nothing
    here, and no bucket is capped.
-5. *Verification*: pairs whose sketches differ in more than ``MAX_FLIPS`` bits
-   are dropped (at 0.75 about 57 are expected with a standard deviation of 8,
-   so the bound lies 6 deviations away); the others are confirmed on their full
-   sets, made again from the whole texts.
+5. *Verification*: pairs whose sketches differ in more bits than a linked pair
+   of their sizes can (``may_link``; exact for sets within the sample, 5
+   deviations beyond the expectation for larger ones) are dropped; the others
+   are confirmed on their full sets, made again from the whole texts.
 6. Components of all links give the result.
 
 Defined results: null, empty and white-space texts have the empty set and link
@@ -46,9 +47,10 @@ from tablelab.llm.components import components
 SHINGLE = 5
 PERCENT = 75
 BANDS, ROWS = 32, 4
-SKETCH_WORDS = 8  # of 64 bits
-MAX_FLIPS = 106
-KEEP_WORDS = 300_000
+SAMPLE = 1024
+SKETCH_WORDS = 16  # of 64 bits
+DEVIATIONS = 5
+KEEP_WORDS = 100_000
 SLICE_BYTES = 16 << 20
 
 
@@ -123,13 +125,11 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return mix((x * _random(ROWS, 4)).sum(axis=2, dtype=np.uint64) + _random(BANDS, 5))
 
 
-def odd_sketches(samples: np.ndarray) -> np.ndarray:
-    """(documents x samples) -> (documents x SKETCH_WORDS) parity bitmaps."""
+def odd_sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parity bitmap (SKETCH_WORDS numbers) of the bottom sample of a sorted set."""
     bits = 64 * SKETCH_WORDS
-    at = mix(samples.astype(np.uint64) + _random(samples.shape[1], 6)) % np.uint64(bits)
-    out = np.zeros((len(samples), bits), np.uint8)
-    np.bitwise_xor.at(out, (np.arange(len(samples))[:, None], at.astype(np.int64)), 1)
-    return np.packbits(out, axis=1, bitorder="little").view(np.uint64)
+    at = (mix(shingles[:SAMPLE] + np.uint64(0x632BE59BD9B4E019)) % np.uint64(bits)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").view(np.uint64)
 
 
 _SIGNATURE = ("doc_id {id}, n_shingles long, print string, keys array<long>, "
@@ -145,13 +145,14 @@ def signatures(docs: DataFrame) -> DataFrame:
             for b in (whole.slice(a, 500) for a in range(0, whole.num_rows, 500)):
                 sizes, prints = [], []
                 samples = np.zeros((b.num_rows, BANDS * ROWS), np.uint32)
+                sketch = np.zeros((b.num_rows, SKETCH_WORDS), np.uint64)
                 for i, text in enumerate(b.column(1)):
                     s = shingle_set(text.as_py())
                     sizes.append(len(s))
                     prints.append(xxhash.xxh128_hexdigest(s.tobytes()))
                     if len(s):
-                        samples[i] = minhash(s)
-                keys, sketch = band_keys(samples).view(np.int64), odd_sketches(samples).view(np.int64)
+                        samples[i], sketch[i] = minhash(s), odd_sketch(s)
+                keys, sketch = band_keys(samples).view(np.int64), sketch.view(np.int64)
                 keys = [k if n else [] for k, n in zip(keys, sizes)]
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), pa.array(sizes, pa.int64()), pa.array(prints), pa.array(keys, pa.list_(pa.int64()))]
@@ -169,6 +170,27 @@ def flips(left: str, right: str):
     return total
 
 
+def may_link(left: str, right: str, percent: int):
+    """False only for pairs whose sketches rule out a link.
+
+    With n and m elements and similarity J or more, at least
+    I = (n + m) J / (1 + J) are common.  Sets within the sample differ in at most
+    n + m - 2 I elements.  Of larger ones the samples have about
+    SAMPLE * I / max(n, m) in common, less by some deviations at worst.  A sketch
+    shows at most as many odd bits as elements differ, and about
+    bits / 2 (1 - exp(-2 d / bits)) for d of them."""
+    n, m = F.col(f"{left}.n_shingles").cast("double"), F.col(f"{right}.n_shingles").cast("double")
+    large, bits = F.greatest(n, m), F.lit(64.0 * SKETCH_WORDS)
+    common = (n + m) * F.lit(percent / (100.0 + percent))
+    share = F.least(F.lit(1.0), common / large)
+    seen = F.when(large <= SAMPLE, common).otherwise(
+        SAMPLE * share - DEVIATIONS * F.sqrt(SAMPLE * share * (1 - share)))
+    differ = F.least(n, F.lit(SAMPLE)) + F.least(m, F.lit(SAMPLE)) - 2 * seen
+    expected = bits / 2 * (1 - F.exp(-2 * differ / bits))
+    limit = F.least(differ, expected + DEVIATIONS * F.sqrt(expected * (1 - expected / bits)))
+    return (100 * F.least(n, m) >= percent * large) & (flips(left, right) <= limit + 1e-6)
+
+
 # ---------------------------------------------------------------- verification
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -197,14 +219,14 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    sketch = [f"s{i}" for i in range(SKETCH_WORDS)]
+    sketch = ["n_shingles", *[f"s{i}" for i in range(SKETCH_WORDS)]]
     sig = written(signatures(texts), "near-signatures")
     some = sig.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
 
     # classes of equal sets
     classes = written(some.groupBy("print").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
                       .where("n > 1").select("print", "rep"), "near-classes")
-    member = some.join(classes, "print", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), "keys", *sketch)
+    member = some.join(classes, "print", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), "keys", *sketch)
     copies = member.where(F.col("doc_id") != F.col("rep")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     reps = written(member.where(F.col("doc_id") == F.col("rep")).select("doc_id", "keys", *sketch)
                    .dropDuplicates(["doc_id", *sketch]), "near-reps")
@@ -215,7 +237,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                       .where("center < top").select("key", "center"), "near-centers")
     member = written(bands.join(centers, "key"), "near-members")
     a, b = reps.alias("a"), reps.alias("b")
-    near = flips("a", "b") <= MAX_FLIPS
+    near = may_link("a", "b", percent)
 
     # first links: each document with the center it shares most bands with
     star = (member.where(F.col("doc_id") != F.col("center")).groupBy("doc_id", "center").agg(F.count("*").alias("n"))
@@ -238,7 +260,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     x, y = member.where(F.col("component") != F.col("center_component")).alias("x"), member.alias("y")
     cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
                    & ((F.col("y.component") == F.col("y.center_component")) | (F.col("x.doc_id") < F.col("y.doc_id")))
-                   & (flips("x", "y") <= MAX_FLIPS))
+                   & may_link("x", "y", percent))
     cross = cross.select(F.greatest("x.doc_id", "y.doc_id").alias("a"), F.least("x.doc_id", "y.doc_id").alias("b")).distinct()
     more = verified(written(cross, "near-cross"), texts, percent)
 

@@ -418,18 +418,26 @@ def test_dedup_odd_rows(spark, odd):
     assert near_dedup.near_duplicates(odd.limit(0)).count() == 0
 
 
-def test_odd_sketch_estimates_and_never_hides_a_link():
+def test_odd_sketch_counts_differences_and_never_hides_a_link(spark):
     rng = np.random.default_rng(2)
-    for share in (0.75, 0.9):
-        n = 400
-        common = rng.integers(0, 2**63, int(n * share)).astype(np.uint64)
-        rest = rng.integers(0, 2**63, n - len(common)).astype(np.uint64)
-        a, b = np.concatenate([common, rest[::2]]), np.concatenate([common, rest[1::2]])
-        s = near_dedup.odd_sketches(np.stack([near_dedup.minhash(a), near_dedup.minhash(b)]))
-        flips = int(np.bitwise_count(s[0] ^ s[1]).sum())
-        m = 64 * near_dedup.SKETCH_WORDS
-        expected = m * (1 - math.exp(-2 * 2 * 128 * (1 - share) / m)) / 2
-        assert abs(flips - expected) < 45 and flips <= near_dedup.MAX_FLIPS
+    rows, truth = [], []
+    for n in (1, 4, 30, 200, 1500, 2500, 9000):
+        for share in (0.5, 0.65, 0.75, 0.76, 0.9, 1.0):
+            x = rng.permutation(np.unique(rng.integers(0, 2**63, 2 * n).astype(np.uint64)))
+            common = int(np.ceil(len(x) * share))
+            a, b = np.sort(np.concatenate([x[:common], x[common::2]])), np.sort(np.concatenate([x[:common], x[common + 1::2]]))
+            p, q = near_dedup.odd_sketch(a), near_dedup.odd_sketch(b)
+            if max(len(a), len(b)) <= near_dedup.SAMPLE:
+                assert np.bitwise_count(p ^ q).sum() <= len(x) - common
+            rows.append((len(truth), len(a), len(b), p.view(np.int64).tolist(), q.view(np.int64).tolist()))
+            truth.append((near_dedup.linked(a, b), common / len(x)))
+    df = spark.createDataFrame(rows, "i int, n long, m long, p array<long>, q array<long>")
+    side = lambda n, v: df.select("i", F.col(n).alias("n_shingles"), *[F.col(v)[k].alias(f"s{k}") for k in range(near_dedup.SKETCH_WORDS)])
+    got = dict(side("n", "p").alias("l").join(side("m", "q").alias("r"), F.expr("l.i = r.i"))
+               .select("l.i", near_dedup.may_link("l", "r", 75)).collect())
+    assert all(got[i] for i, (link, _) in enumerate(truth) if link)
+    exact = lambda i: 200 <= max(rows[i][1:3]) <= near_dedup.SAMPLE
+    assert not any(got[i] for i, (_, share) in enumerate(truth) if share < 0.66 and exact(i) or share < 0.51 and rows[i][1] >= 200)
 
 
 def test_components_of_a_path_and_a_star(spark):
