@@ -187,6 +187,16 @@ def test_lm_is_a_distribution():
     assert np.allclose(np.exp(z).sum(axis=1), 1, atol=1e-4)
 
 
+def test_lm_has_a_feature_of_two_words_and_all_classes():
+    # words of one class, so that no class pair tells the histories apart
+    def last(a, b):
+        t = maxent_lm.Tokens(np.array([a, b, 5], np.uint64), np.full(3, 7, np.uint8), np.arange(3))
+        return [int(x[0]) for x in maxent_lm.features(t, 2, 3)]
+    base, other_first, other_second = last(11, 12), last(13, 12), last(11, 14)
+    assert sum(x != y and x != z for x, y, z in zip(base, other_first, other_second)) == 1
+    assert len(base) == 6 and (maxent_lm.CLASSES, maxent_lm.TOP_WORDS, maxent_lm.TOP_ENDINGS) == (64, 24, 31)
+
+
 # ------------------------------------------------------------- op4: HTML extraction
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var a="</p><article>";</script></head>
