@@ -7,8 +7,9 @@ family and expanded with the wordings that licenses are referred to by (grant,
 terms, short name, SPDX tag, title, reference by address); the expanded list
 is ordered, its position is the priority.
 
-* *Prefilter*: a rule runs only on texts that hold its keyword; keywords are
-  few, and a text without any of them costs one substring search each.
+* *Prefilter*: a rule runs only on texts that hold one of its keywords; every
+  alternative of its pattern contains one of them, so no detection is lost.
+  Keywords are few, and a text without any of them costs one substring search each.
 * *Suppression*: detections are taken in priority order; one whose word
   interval lies inside an accepted interval is dropped, so "apache license
   version 2 0" is not reported again as a bare "apache license", nor a Lesser
@@ -36,10 +37,10 @@ from tablelab.llm.common import alnum_words, map_arrow
 BASE = [("gnu general public license", "gpl"), ("apache license", "apache"),
         ("cc by", "cc-by"), ("mit license", "mit")]
 
-# Hand-written signatures: label, keyword, pattern of the license's name.
+# Hand-written signatures: label, keywords (parted by "|"), pattern of the license's name.
 # "V" stands for an optional "version"/"v" in front of a number.
 FAMILIES = [
-    ("agpl-3.0", "affero", r"(?:gnu )?affero general public license V3(?: 0)?|gnu agplv?3|agpl V?3(?: 0)?"),
+    ("agpl-3.0", "affero|agpl", r"(?:gnu )?affero general public license V3(?: 0)?|(?:gnu )?agplv?3|(?:gnu )?agpl V?3(?: 0)?"),
     ("agpl", "affero", r"(?:gnu )?affero general public license"),
     ("lgpl-2.1", "gpl", r"lgpl V?2 1|lgplv2 1"),
     ("lgpl-2.1", "general public", r"(?:gnu )?lesser general public license V2 1"),
@@ -85,23 +86,23 @@ FAMILIES = [
     ("osl-3.0", "open software license", r"open software license(?: V3(?: 0)?)?"),
     ("afl-3.0", "academic free", r"academic free license(?: V3(?: 0)?)?"),
     ("artistic-2.0", "artistic", r"artistic license V?2(?: 0)?"),
-    ("artistic-1.0", "artistic", r"(?:clarified )?artistic license(?: V1(?: 0)?)?|same terms as perl(?: itself)?"),
+    ("artistic-1.0", "artistic|same terms as perl", r"(?:clarified )?artistic license(?: V1(?: 0)?)?|same terms as perl(?: itself)?"),
     ("bsl-1.0", "boost", r"boost software license(?: V1(?: 0)?)?"),
     ("busl-1.1", "business source", r"business source license(?: V?1 1)?"),
     ("sspl-1.0", "server side public", r"server side public license(?: V1)?"),
     ("elastic-2.0", "elastic license", r"elastic license(?: V?2(?: 0)?)?"),
-    ("ms-pl", "microsoft", r"microsoft public license|ms pl"),
-    ("ms-rl", "microsoft", r"microsoft reciprocal license|ms rl"),
+    ("ms-pl", "microsoft|ms pl", r"microsoft public license|ms pl"),
+    ("ms-rl", "microsoft|ms rl", r"microsoft reciprocal license|ms rl"),
     ("zlib", "zlib", r"zlib(?: libpng)? license"),
     ("libpng", "libpng", r"libpng license"),
     ("openssl", "openssl", r"openssl license"),
     ("php-3.01", "php license", r"php license(?: V3 0?1)?"),
-    ("python-2.0", "python", r"python software foundation license(?: V2)?|psf license"),
+    ("python-2.0", "python|psf license", r"python software foundation license(?: V2)?|psf license"),
     ("ruby", "ruby license", r"ruby license"),
     ("postgresql", "postgresql", r"postgresql licen[sc]e"),
     ("ncsa", "ncsa", r"university of illinois ncsa open source license|ncsa license"),
     ("unlicense", "unlicense", r"(?:the )?unlicense"),
-    ("wtfpl", "wtf", r"do what the fuck you want to public license|wtfpl"),
+    ("wtfpl", "wtfpl|what the fuck", r"do what the fuck you want to public license|wtfpl"),
     ("beerware", "beer", r"beer ?ware license"),
     ("ofl-1.1", "sil open font", r"sil open font license(?: V1 1)?"),
     ("odbl-1.0", "open database", r"open (?:data commons )?open database license|open database license"),
@@ -121,12 +122,12 @@ CC_PARTS = {"by": "attribution", "nc": "non ?commercial", "nd": "no ?deriv(?:ati
 CC_KINDS = ["by nc nd", "by nc sa", "by nc", "by nd", "by sa", "by"]
 CC_VERSIONS = ["4 0", "3 0", "2 5", "2 0", "1 0"]
 
-# Notices without a license name: label, keyword, pattern, confidence.
+# Notices without a license name: label, keywords, pattern, confidence.
 NOTICES = [
     ("mit", "permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy", 1.0),
     ("isc", "permission to use copy", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 1.0),
     ("hpnd", "permission to use copy", r"permission to use copy modify and distribute this software and its documentation", 0.9),
-    ("bsd", "redistributions", r"redistribution and use in source and binary forms with or without modification are permitted", 1.0),
+    ("bsd", "redistribution and use", r"redistribution and use in source and binary forms with or without modification are permitted", 1.0),
     ("bsd-3-clause", "endorse or promote", r"neither the name of .{1,80}? nor the names of its contributors may be used to endorse or promote", 0.95),
     ("zlib", "warranty", r"this software is provided as is without any express or implied warranty in no event will the authors be held liable", 0.95),
     ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain", 1.0),
@@ -137,7 +138,7 @@ NOTICES = [
     ("copyright", "copyright", r"copyright (?:c |by )?(?:19|20)\d\d(?: (?:19|20)\d\d)*", 0.4),
     ("proprietary", "proprietary", r"proprietary and confidential|confidential and proprietary", 0.7),
     ("creative-commons", "creative commons", r"creative commons(?: license)?", 0.5),
-    ("license-reference", "licensed under", r"(?:licensed|released|distributed) under (?:the )?(?:[^ ]+ ){1,4}?licen[sc]e", 0.3),
+    ("license-reference", "licensed under|released under|distributed under", r"(?:licensed|released|distributed) under (?:the )?(?:[^ ]+ ){1,4}?licen[sc]e", 0.3),
 ]
 
 # Wordings around a license name ("N"), strongest first, with their confidence.
@@ -156,7 +157,7 @@ _SINCE = r"(?: or (?:any )?later(?: version)?| only)?"
 class Rule:
     priority: int
     label: str
-    keyword: bytes
+    keyword: tuple[bytes, ...]
     pattern: re.Pattern
     confidence: float
 
@@ -186,7 +187,7 @@ def build_rules() -> list[Rule]:
 
     def add(label: str, keyword: str, pattern: str, confidence: float) -> None:
         body = re.sub(r"V(\??)(?=\d)", _V, pattern)
-        rules.append(Rule(len(rules), label, keyword.encode(),
+        rules.append(Rule(len(rules), label, tuple(keyword.encode().split(b"|")),
                           re.compile(b"(?<= )(?:" + body.encode() + b")(?= )"), confidence))
 
     names = _names()
@@ -202,7 +203,7 @@ def build_rules() -> list[Rule]:
 
 
 RULES = build_rules()
-KEYWORDS = sorted({r.keyword for r in RULES})
+KEYWORDS = sorted({k for r in RULES for k in r.keyword})
 _BASE = [(f" {p} ".encode(), label) for p, label in BASE]
 
 
@@ -225,15 +226,15 @@ def base_places(line: bytes) -> list[tuple[int, str]]:
     return out
 
 
-def detections(line: bytes) -> list[Detection]:
+def detections(line: bytes, prefilter: bool = True) -> list[Detection]:
     """Rule detections after interval-containment suppression, by priority."""
-    held = {k for k in KEYWORDS if k in line}
+    held = {k for k in KEYWORDS if k in line} if prefilter else set(KEYWORDS)
     if not held:
         return []
     accepted: list[tuple[int, int]] = []
     out: list[Detection] = []
     for rule in RULES:
-        if rule.keyword not in held:
+        if held.isdisjoint(rule.keyword):
             continue
         for m in rule.pattern.finditer(line):
             a, b = m.span()

@@ -286,6 +286,53 @@ def test_license_rules_are_many_and_gated():
     assert len(licenses.RULES) >= 300 and all(r.keyword for r in licenses.RULES)
 
 
+def alternatives(tree, most):
+    """Texts of a parsed pattern: every branch, optional parts all in (most) or all out."""
+    out = [""]
+    for op, arg in tree:
+        op = str(op)
+        if op == "LITERAL":
+            got = [chr(arg)]
+        elif op == "IN":
+            got = [chr(x) for o, x in arg if str(o) == "LITERAL"] if str(arg[0][0]) == "LITERAL" else ["9"]
+        elif op in ("ANY", "NOT_LITERAL"):
+            got = ["x"]
+        elif op == "BRANCH":
+            got = [x for b in arg[1] for x in alternatives(b, most)]
+        elif op == "SUBPATTERN":
+            got = alternatives(arg[3], most)
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            got = [x * (min(arg[1], 2) if most else arg[0]) for x in alternatives(arg[2], most)]
+        else:
+            assert op in ("ASSERT",), op
+            got = [""]
+        out = list(dict.fromkeys(x + y for x in out for y in got))
+    return out
+
+
+def test_license_prefilter_loses_no_alternative():
+    seen = set()
+    for rule in licenses.RULES:
+        for most in (False, True):
+            for text in alternatives(re._parser.parse(rule.pattern.pattern.decode()), most):
+                line = f" {text} ".encode()
+                assert rule.pattern.search(line), (rule.label, text)
+                assert any(k in line for k in rule.keyword), (rule.label, text)
+                seen.add(line)
+    for line in random.Random(0).sample(sorted(seen), 1500):
+        assert licenses.detections(line) == licenses.detections(line, prefilter=False), line
+
+
+@pytest.mark.parametrize("text, label", [
+    ("AGPLv3", "agpl-3.0"), ("GNU AGPLv3", "agpl-3.0"), ("AGPL-3.0", "agpl-3.0"), ("MS-PL", "ms-pl"), ("MS-RL", "ms-rl"),
+    ("SPDX-License-Identifier: AGPL-3.0-or-later", "agpl-3.0"), ("same terms as Perl itself", "artistic-1.0"),
+    ("PSF license", "python-2.0"), ("do what the fuck you want to public license", "wtfpl"),
+    ("Redistribution and use in source and binary forms, with or without modification, are permitted", "bsd"),
+    ("released under the Foo license", "license-reference"), ("distributed under the Foo licence", "license-reference")])
+def test_license_names_without_the_family_word(text, label):
+    assert {d.label for d in licenses.scan_text(text)[2]} == {label}
+
+
 # ----------------------------------------------------------------- op6: SentencePiece
 
 def test_sentencepiece_matches_library(spark, docs, odd, texts):
