@@ -9,12 +9,15 @@ of pieces of that language, so
     entropy = phrases * log2(training length) / characters
 
 (the cross-parsing estimate of cross entropy in bits per character) decides;
-the language needing least wins, ties go to the smaller label.
+the language needing least wins, ties go to the smaller label.  Every language
+keeps its own training length, however little text another one has.
 
 Texts are lower-cased, letters become symbols, every run of other characters
-one space.  Texts are parsed whole, in blocks of ``BLOCK`` symbols (a phrase
+one space.  Each language has its own alphabet: its ``MAX_ALPHABET`` most frequent
+letters, one symbol for the rest of its letters, and one that matches nothing
+for letters that it doesn't have.  Texts are parsed whole, in blocks of ``BLOCK`` symbols (a phrase
 ends at a block's end), many blocks at a time: the automata are one numpy table
-``next state * 4 + phrases ended`` by (state, symbol), and all blocks of a batch
+``next state * 4 + phrases ended`` by (state, symbol), row by row, and all blocks of a batch
 step through it together.
 
 The model is fit on at most ``max_rows`` rows and ``max_chars`` characters per
@@ -68,8 +71,11 @@ def code_points(text: str) -> np.ndarray:
 class Model:
     langs: list[str]
     symbols: np.ndarray  # code point -> symbol: 0 space, 1 other letter, 2.. letters of the model
-    table: np.ndarray    # (all states) x alphabet: next state * 4 + phrases ended
+    local: np.ndarray    # language x symbol -> symbol of the language: 0 space, 1 rare, 2.. frequent, last: not in it
+    table: np.ndarray    # rows of all states: next state * 4 + phrases ended, by symbol of the language
     roots: np.ndarray    # first state of each language
+    widths: np.ndarray   # symbols of each language
+    starts: np.ndarray   # place of each language's first row in the table
     bits: np.ndarray     # log2 of the training length of each language
 
 
@@ -109,31 +115,32 @@ def suffix_automaton(text: list[int], width: int) -> np.ndarray:
 
 
 def fit_samples(samples: dict[str, list[str]], max_chars: int = MAX_CHARS) -> Model:
-    """Automata over the joined samples, cut to one length for all languages."""
+    """Automata over each language's joined samples."""
     letters = _letter_flags()
     points = {k: [code_points(t) for t in v] for k, v in sorted(samples.items())}
-    count: Counter = Counter()
-    for parts in points.values():
+    counts: dict[str, Counter] = {}
+    for lang, parts in points.items():
+        count = counts[lang] = Counter()
         for x in parts:
             values, n = np.unique(x[letters[x]], return_counts=True)
             count.update(dict(zip(values.tolist(), n.tolist())))
-    symbols = letters.astype(np.uint8)
-    kept = sorted(count, key=lambda c: (-count[c], c))[:MAX_ALPHABET]
-    for i, c in enumerate(sorted(kept)):
-        symbols[c] = i + 2
-    width = len(kept) + 2
-    texts = {}
+    symbols = letters.astype(np.int32)
+    seen = sorted(set().union(*counts.values()))
+    symbols[seen] = np.arange(len(seen)) + 2
+    langs, local, tables, roots, widths, starts, bits, at, start = [], [], [], [], [], [], [], 0, 0
     for lang, parts in points.items():
         joined = [_squeezed(symbols[np.concatenate([x, np.array([32], np.uint32)])]) for x in parts]
-        text = np.concatenate(joined)[:max_chars] if joined else np.zeros(0, np.uint8)
-        if (text > 0).any():
-            texts[lang] = text
-    shortest = max(1, min((len(t) for t in texts.values()), default=0))
-    # equal lengths, unless one language has hardly any text
-    tables, roots, bits, at = [], [], [], 0
-    for lang, text in texts.items():
-        text = text[:max(shortest, min(len(text), max_chars // 8))]
-        go = suffix_automaton(text.tolist(), width)
+        text = np.concatenate(joined)[:max_chars] if joined else np.zeros(0, np.int32)
+        if not (text > 0).any():
+            continue
+        count = counts[lang]
+        kept = sorted(sorted(count, key=lambda c: (-count[c], c))[:MAX_ALPHABET])
+        width = len(kept) + 3
+        own = np.full(len(seen) + 2, width - 1, np.uint8)
+        own[0] = 0
+        own[symbols[list(count)]] = 1
+        own[symbols[kept]] = np.arange(len(kept)) + 2
+        go = suffix_automaton(own[text].tolist(), width)
         root = go[0]
         miss = go < 0
         # a missing transition ends the phrase; the symbol starts the next one,
@@ -141,12 +148,14 @@ def fit_samples(samples: dict[str, list[str]], max_chars: int = MAX_CHARS) -> Mo
         to = np.where(miss, np.where(root < 0, 0, root), go).astype(np.int64)
         ended = np.where(miss, np.where(root < 0, 2, 1), 0)
         ended[0] = np.where(root < 0, 1, 0)
-        tables.append(((to + at) * 4 + ended).astype(np.int32))
-        roots.append(at)
+        langs.append(lang), local.append(own), roots.append(at), widths.append(width), starts.append(start)
+        tables.append(((to + at) * 4 + ended).astype(np.int32).ravel())
         bits.append(math.log2(max(2, len(text))))
         at += len(go)
-    table = np.concatenate(tables) if tables else np.zeros((0, width), np.int32)
-    return Model(list(texts), symbols, table, np.array(roots, np.int64), np.array(bits))
+        start += go.size
+    return Model(langs, symbols, np.array(local, np.uint8).reshape(len(langs), len(seen) + 2),
+                 np.concatenate(tables) if tables else np.zeros(0, np.int32), np.array(roots, np.int64),
+                 np.array(widths, np.int64), np.array(starts, np.int64), np.array(bits))
 
 
 def _squeezed(symbols: np.ndarray) -> np.ndarray:
@@ -202,11 +211,12 @@ def parse(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray
                     blocks.append(s[a:a + BLOCK])
                     owner.append(i)
     order = sorted(range(len(blocks)), key=lambda b: -len(blocks[b]))
-    flat, width = model.table.ravel(), model.table.shape[1]
+    flat, width = model.table, model.widths[:, None]
+    shift = (model.starts - model.roots * model.widths)[:, None]
     for lo in range(0, len(order), LANES):
         of = order[lo:lo + LANES]
         lengths = np.array([len(blocks[b]) for b in of])
-        lanes = np.zeros((lengths[0], len(of)), np.uint8)
+        lanes = np.zeros((lengths[0], len(of)), np.int32)
         for j, b in enumerate(of):
             lanes[:lengths[j], j] = blocks[b]
         state = np.repeat(model.roots[:, None], len(of), axis=1)
@@ -214,7 +224,7 @@ def parse(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray
         alive = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right")
         for t in range(lengths[0]):
             m = alive[t]
-            step = flat[state[:, :m] * width + lanes[t, :m]]
+            step = flat[state[:, :m] * width + shift + model.local[:, lanes[t, :m]]]
             ended[:, :m] += step & 3
             state[:, :m] = step >> 2
         ended += state != model.roots[:, None]

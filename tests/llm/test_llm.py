@@ -155,6 +155,25 @@ def test_cross_parsing_counts_longest_matches():
     assert size[0] == len(text)
 
 
+def test_language_with_little_text_leaves_the_others_whole():
+    rng = random.Random(0)
+    texts = {k: [" ".join("".join(rng.choices(abc, k=5)) for _ in range(3000))] for k, abc in (("a", "abcdef"), ("b", "defghi"))}
+    probe = [" ".join(texts["a"][0].split()[2000:2040]), texts["b"][0][-300:]]
+    alone, joined = (language_id.fit_samples(x, 16_000) for x in (texts, texts | {"c": ["xyz xy"]}))
+    assert joined.langs == ["a", "b", "c"] and (alone.bits == joined.bits[:2]).all()
+    assert (language_id.parse(alone, probe)[0] == language_id.parse(joined, probe)[0][:, :2]).all()
+
+
+def test_language_alphabets_are_each_languages_own():
+    many = "".join(chr(c) for c in range(0x4E00, 0x4E00 + 300)) * 5
+    greek, cyrillic = "αβγδε ζηθικ λμνξο", "абвгд ежзик лмноп"
+    model = language_id.fit_samples({"el": [greek], "ru": [cyrillic], "zh": [many]})
+    phrases, _, _ = language_id.parse(model, [greek, cyrillic])
+    assert phrases[0].tolist()[0] == phrases[1].tolist()[1] == 1
+    assert min(phrases[0][1], phrases[0][2], phrases[1][0], phrases[1][2]) >= 15
+    assert language_id.decide(model, [greek, cyrillic, many[:40]])["lang_pred"] == ["el", "ru", "zh"]
+
+
 # ------------------------------------------------------------ op3: language model
 
 def check_lm(rows, source):
