@@ -8,12 +8,16 @@ their class, id and role).
 
 Pass 1 decides blocks on their own: bad in boilerplate containers or when
 mostly links; good when long with enough stop words, or of some length inside
-an article; everything else is ambiguous.  Pass 2 gives each ambiguous block
+an article; everything else is ambiguous.  Inside an article only strong names
+(adverts, reader comments, sharing, newsletters, cookies, hidden parts) make a
+container boilerplate; other boilerplate words are evidence: blocks below them
+need stop words to be good and are bad with fewer links.  Pass 2 gives each ambiguous block
 the label of its nearest decided neighbours in the same container: good
 between two good ones, next to one good one if it is a heading above it or
 closer than the bad one, bad otherwise; ambiguous blocks of a container
 without any decided block get the container's own label (an article is good,
-the rest of a page is bad).
+the rest of a page is bad).  In an article's containers with such a word, ambiguous
+blocks are bad if only bad ones are decided there.
 
 Text: character references are decoded, white space inside a block becomes one
 space, blocks are trimmed and joined in page order by two line feeds.  Scripts,
@@ -42,6 +46,7 @@ LONG_LENGTH = 200
 MIN_STOPWORDS = 0.15
 MANY_STOPWORDS = 0.3
 MAX_LINKS = 0.5
+FEW_LINKS = 0.25       # in an article, below a boilerplate word
 ARTICLE_LENGTH = 25    # from this length on a block in an article is good
 
 STOP_WORDS = frozenset("""
@@ -55,7 +60,7 @@ el los las del y que en un una es por con no para su al lo como más pero sus ha
 sin sobre ser son
 """.split())
 
-SKIPPED = frozenset("script style template noscript svg math canvas iframe object select textarea button title".split())
+SKIPPED = frozenset("script style template noscript svg annotation annotation-xml canvas iframe object select textarea button title".split())
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog div dl dt fieldset
 figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre
 section summary table tbody td tfoot th thead tr ul""".split())
@@ -73,6 +78,11 @@ cookie cookies consent gdpr notice notification alert popup modal overlay newsle
 login search searchbox share sharing social related recommended recommendations teaser teasers widget widgets toolbar
 pagination pager copyright legal disclaimer complementary contentinfo hidden byline tags trending outbrain taboola
 """.split())
+#: The ones that decide alone inside an article.
+STRONG_WORDS = READER_WORDS - {"discussion", "respond", "reply"} | frozenset("""
+ad ads adv advert adverts advertisement advertising adsense sponsor sponsored outbrain taboola
+share sharing newsletter cookie cookies hidden
+""".split())
 
 _TOKEN = re.compile(
     r"""<!--|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/<>]*)([^>]*)>|<[!?/][^>]*>""")
@@ -91,6 +101,7 @@ class Block:
     container: int       # number of the nearest article or boilerplate container
     article: bool
     boilerplate: bool
+    weak: bool = False   # in an article, below a boilerplate word that doesn't decide alone
     label: str = AMBIGUOUS
 
 
@@ -101,6 +112,7 @@ class _Open:
     article: bool
     boilerplate: bool
     reader: bool
+    weak: bool = False
 
 
 def _hints(tag: str, attrs: str) -> tuple[set[str], bool]:
@@ -124,7 +136,7 @@ def blocks_of(page: str) -> list[Block]:
         text = " ".join("".join(buffer).split())
         if text:
             top = stack[-1]
-            out.append(Block(text, min(links, len(text)), tag, top.container, top.article, top.boilerplate))
+            out.append(Block(text, min(links, len(text)), tag, top.container, top.article, top.boilerplate, top.weak))
         buffer.clear()
         links = breaks = 0
 
@@ -192,8 +204,10 @@ def blocks_of(page: str) -> list[Block]:
                 up = stack[-1]
                 words, hidden = _hints(name, attrs)
                 starts = name in ARTICLE_TAGS or bool(words & ARTICLE_WORDS)
-                reader = up.reader or bool(words & READER_WORDS)
-                named = name not in ("html", "body") and (hidden or bool(words & BOILERPLATE_WORDS) and not starts)
+                inside = up.article and not up.boilerplate
+                reader = up.reader or bool(words & (READER_WORDS & STRONG_WORDS if inside else READER_WORDS))
+                listed = name not in ("html", "body") and bool(words & BOILERPLATE_WORDS) and not starts
+                named = name not in ("html", "body") and hidden or listed and (not inside or bool(words & STRONG_WORDS))
                 bad = reader or name in BOILERPLATE_TAGS or named or name == "header" and not up.article
                 if starts and not reader and not hidden:
                     strong = any(x.tag in BOILERPLATE_TAGS for x in stack)
@@ -202,8 +216,11 @@ def blocks_of(page: str) -> list[Block]:
                 elif bad and not up.boilerplate:
                     containers += 1
                     stack.append(_Open(name, containers, up.article, True, reader))
+                elif inside and listed:
+                    containers += 1
+                    stack.append(_Open(name, containers, True, False, reader, True))
                 else:
-                    stack.append(_Open(name, up.container, up.article, up.boilerplate or bad, reader))
+                    stack.append(_Open(name, up.container, up.article, up.boilerplate or bad, reader, up.weak))
     flush()
     return out
 
@@ -224,8 +241,10 @@ def classify(blocks: list[Block]) -> list[Block]:
         size, density = len(b.text), b.link_chars / len(b.text)
         if b.boilerplate:
             b.label = BAD
-        elif density > MAX_LINKS and not b.tag.startswith("h"):
+        elif density > (FEW_LINKS if b.weak else MAX_LINKS) and not b.tag.startswith("h"):
             b.label = BAD
+        elif b.weak:
+            b.label = GOOD if size >= ARTICLE_LENGTH and stop_density(b.text) >= MIN_STOPWORDS else AMBIGUOUS
         elif b.article:
             b.label = GOOD if size >= ARTICLE_LENGTH else AMBIGUOUS
         elif size >= MIN_LENGTH:
@@ -242,6 +261,8 @@ def classify(blocks: list[Block]) -> list[Block]:
             (left, a), (right, c) = before[i], after[i]
             if left is None and right is None:
                 b.label = GOOD if b.article else BAD
+            elif b.weak:
+                b.label = GOOD if GOOD in (left, right) else BAD
             elif b.article:
                 b.label = BAD if left == right == BAD else GOOD
             elif left == right or left is None or right is None:

@@ -242,6 +242,23 @@ def test_html_without_article_inherits_labels():
     assert html_extract.main_text(page)[0].split("\n\n") == ["Title", long.strip(), "Tiny.", long.strip()]
 
 
+@pytest.mark.parametrize("part, text", [
+    ("<header class='entry-header'><h1>Title</h1></header>", "Title"), ("<h1 class='article-header'>Title</h1>", "Title"),
+    ("<h2 id='related-work'>Related work</h2>", "Related work"),
+    ("<section id='legal-history'><h2>History</h2><p>The law of the land was made in the year of the king.</p></section>",
+     "History\n\nThe law of the land was made in the year of the king."),
+    ("<p>It is known that <math><mi>x</mi><mo>=</mo><mn>1</mn></math> is a solution.</p>", "It is known that x=1 is a solution."),
+    ("<div class='related'><h3>Related</h3><ul><li><a href='/a'>A first one of the posts</a></li></ul></div>", ""),
+    ("<div class='share-buttons'>Share it with all of your friends on the net.</div>", ""),
+    ("<div class='newsletter'>Get all of our news in your mail box each week.</div>", ""),
+    ("<section id='comments'><p>A reader says that it is good and that we should have more.</p></section>", ""),
+    ("<div hidden>It is not seen by any of the readers of it.</div>", "")])
+def test_html_weak_names_in_an_article_dont_decide_alone(part, text):
+    first, last = "The first of the paragraphs is in here.", "The last of the paragraphs is in here."
+    got = html_extract.main_text(f"<body><article><p>{first}</p>{part}<p>{last}</p></article></body>")[0]
+    assert got == "\n\n".join(x for x in (first, text, last) if x)
+
+
 def test_html_matches_structure_of_pages(spark):
     import html
     pages = spark.read.parquet(f"{SF_SMALL}/pages.parquet")
