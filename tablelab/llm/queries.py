@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablelab.llm import (decontaminate, html_extract, knn_join, language_id, licenses, maxent_lm, near_dedup,
-                          sentencepiece_codec, token_file, url_filter)
+                          sentencepiece_codec, substring_dedup, token_align, token_file, url_filter, vector_codes)
 from tablelab.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,57 @@ def op9_token_file(spark, sf_dir):
 def op10_decontaminate(spark, sf_dir):
     return decontaminate.digest(decontaminate.decontaminate(
         read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")))
+
+
+@query
+def op11_vector_codes(spark, sf_dir):
+    return vector_codes.encode(read_table(spark, sf_dir, "embeddings")).select(
+        "vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def _vector_codes_sql(rounds: int = 2) -> str:
+    """One common table expression per step: parts of the vectors, then by turns
+    the nearest entries (near) and the entries moved to their means (book)."""
+    near = """near{k} AS (
+  SELECT vec_id, p, arg_min(e, (d, e)) AS e, min(d) AS d FROM (
+    SELECT t.vec_id, t.p, b.e, sum((t.x - b.x) * (t.x - b.x)) AS d
+    FROM part t JOIN book{k} b ON t.p = b.p AND t.j = b.j GROUP BY t.vec_id, t.p, b.e) GROUP BY vec_id, p)"""
+    book = """book{n} AS (
+  SELECT b.p, b.e, b.j, coalesce(m.x, b.x) AS x FROM book{k} b LEFT JOIN (
+    SELECT t.p, a.e, t.j, CAST(sum(t.x) AS BIGINT) // count(*)
+           - CASE WHEN CAST(sum(t.x) AS BIGINT) % count(*) < 0 THEN 1 ELSE 0 END AS x
+    FROM part t JOIN near{k} a ON t.vec_id = a.vec_id AND t.p = a.p GROUP BY t.p, a.e, t.j) m
+  ON b.p = m.p AND b.e = m.e AND b.j = m.j)"""
+    steps = [near.format(k=0)]
+    for k in range(rounds):
+        steps += [book.format(k=k, n=k + 1), near.format(k=k + 1)]
+    return """
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x,
+                  len(embedding) // 16 AS w
+           FROM embeddings WHERE embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+part AS (SELECT vec_id, (i - 1) // w AS p, (i - 1) % w AS j, x[i] AS x
+         FROM v, LATERAL (SELECT unnest(range(1, len(v.x) + 1)) AS i)),
+book0 AS (SELECT p, s.e, j, x FROM part JOIN (
+            SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM v) s USING (vec_id) WHERE s.e < 64),
+""" + ",\n".join(steps) + f""",
+coded AS (SELECT vec_id, string_agg(printf('%02x', CAST(e AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error
+          FROM near{rounds} GROUP BY vec_id),
+book AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, e, j)) AS codebooks_sha256 FROM book{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN v USING (vec_id), book"""
+
+
+ORACLES["op11_vector_codes"] = _vector_codes_sql()
+
+
+@query
+def op12_substring_dedup(spark, sf_dir):
+    return substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op13_token_align(spark, sf_dir):
+    return token_align.alignment(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                 public_tokenizers.path("piece_bpe_32k.model")).drop("pairs", "links")
