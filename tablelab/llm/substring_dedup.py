@@ -6,23 +6,25 @@ removed; windows are judged on the input.
 
 1. *Shards by content.*  A window's anchor is the smallest hash of its runs of
    ``ANCHOR_WORDS`` words, so equal windows have equal anchors.  Consecutive
-   windows with one anchor form a segment (at most ``RUN`` windows); segments are
-   dealt by anchor, with the smallest and largest id of the documents they stand
-   in.  Equal segments are one row per task, so a passage that a third of all
-   documents share is a few rows.  Anchors that many different segments share (a
-   frequent phrase, the edge of a frequent passage) are found on a hash sample and
-   their windows are dealt one by one, by the hash of the whole window: the sample
-   decides the layout only, every window goes to one place either way.
-2. *Index per shard.*  A shard's segments (of anchors in more than one document),
-   in chunks of bounded size that keep an anchor together, make an FM-index: suffix
-   array by doubling, Burrows-Wheeler transform as a wavelet matrix of packed bits
+   windows with one anchor form a segment (at most ``RUN`` windows).  Only anchors
+   in more than one document matter: tasks send each of their anchors once, with one
+   document, and learn which of them others have, too (``shared_anchors``).
+   Segments of shared anchors are dealt by anchor, equal ones of a task as one row
+   with the smallest and largest id of their documents.  Anchors of very many
+   documents (a frequent phrase, the edge of a frequent passage) have their windows
+   dealt one by one, by the hash of the whole window.
+2. *Index per shard.*  A shard's segments, in chunks of bounded size that keep an
+   anchor together, make an FM-index: suffix array by doubling, Burrows-Wheeler transform as a wavelet matrix of packed bits
    with one count per 64.  The segments are streamed through it by backward
    search, all at once; their matching statistics are the suffix-array intervals
    of at least ``window`` words, and the smallest document of an interval is the
    minimum of the document array over all suffixes with the same first words.
+   (An anchor with a single sequence of words needs no search: no other one can
+   share its windows.)
 3. *Back to the documents.*  Documents' segments are joined with the reported ones
    (a hot segment is a skewed join side of many rows against one, which adaptive
-   execution splits) and the covered words are cut.
+   execution splits) and the covered words are cut.  The texts are shuffled once, by
+   a 61-bit hash of id and text, for both steps.
 
 Defined results: null and empty texts have no words; texts of fewer words than a
 window keep them all; a window that repeats within one document only stays, so do
@@ -34,6 +36,7 @@ ignored.  Ids are integers.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,14 +45,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablelab.llm.common import written
+
 WINDOW = 13
 ANCHOR_WORDS = 3
 RUN = 32                 # windows of a segment at most
 STEP_BYTES = 4 << 20     # text that a task works on at a time
 ROWS_TOGETHER = 200_000  # segments that a task compares before it hands them on
-CHUNK_BYTES = 8 << 20    # text of one index
-SAMPLE = 16              # one document of so many decides which anchors are frequent
-HOT_MOST = 32_768        # different segments of an anchor that are dealt together
+CHUNK_BYTES = 2 << 20    # text of one index
+HOT_MOST = 32_768        # documents of an anchor whose segments are dealt together
 HOT_LEAST = 256
 HOT_LIST = 1 << 20       # anchors in the list of frequent ones at most
 NO_ID = (1 << 63) - 1
@@ -98,8 +102,9 @@ class Words:
         return _mixed(np.add.reduceat(product, self.starts))
 
 
-def segments(words: Words, window: int, hot: np.ndarray):
-    """(route, first word, windows, text number) of all segments, as arrays."""
+def segments(words: Words, window: int, hot: np.ndarray, shared: list | None = None):
+    """(route, first word, windows, text number) of all segments, or of those whose
+    anchors are among the text's ``shared`` ones, as arrays."""
     h, first = words.hashes(), words.first
     n = len(h) - window + 1
     if n <= 0:
@@ -115,14 +120,23 @@ def segments(words: Words, window: int, hot: np.ndarray):
         step = min(have, span - have)
         g = np.minimum(g[:-step], g[step:])
         have += step
-    anchor = g[:n].astype(np.int64)
+    anchor = (g[:n] >> np.uint64(3)).astype(np.int64)
     at = np.flatnonzero(valid)
     if not len(at):
         return tuple(np.zeros(0, np.int64) for _ in range(4))
     a, o = anchor[at], owner[at]
+    if shared is not None:
+        size = np.array([len(x) for x in shared])
+        wanted = np.rec.fromarrays([np.repeat(np.arange(len(shared)), size), np.concatenate(shared)])
+        change = np.ones(len(at), bool)
+        change[1:] = (a[1:] != a[:-1]) | (o[1:] != o[:-1])
+        run = np.cumsum(change) - 1
+        at, a, o = (x[np.isin(np.rec.fromarrays([o[change], a[change]]), wanted)[run]] for x in (at, a, o))
+        if not len(at):
+            return tuple(np.zeros(0, np.int64) for _ in range(4))
     frequent = np.isin(a, hot) if len(hot) else np.zeros(len(a), bool)
     new = np.ones(len(at), bool)
-    new[1:] = (a[1:] != a[:-1]) | (o[1:] != o[:-1]) | frequent[1:]
+    new[1:] = (a[1:] != a[:-1]) | (o[1:] != o[:-1]) | (at[1:] != at[:-1] + 1) | frequent[1:]
     head = np.flatnonzero(new)
     inside = np.arange(len(at)) - np.repeat(head, np.diff(np.append(head, len(at))))
     head = np.flatnonzero(inside % RUN == 0)
@@ -132,11 +146,11 @@ def segments(words: Words, window: int, hot: np.ndarray):
         q, whole = _multipliers(window), np.zeros(n, np.uint64)
         for k in range(window):
             whole += h[k:k + n] * q[k]
-        route = np.where(frequent[head], _mixed(whole)[at[head]].astype(np.int64), route)
+        route = np.where(frequent[head], (_mixed(whole)[at[head]] >> np.uint64(3)).astype(np.int64), route)
     return route, at[head], count, o[head]
 
 
-def _steps(batches, *columns) -> Iterator[list]:
+def _steps(batches) -> Iterator[list]:
     """Lists of column values with at most about ``STEP_BYTES`` of text (the last column, as bytes)."""
     for b in batches:
         if not b.num_rows:
@@ -149,10 +163,10 @@ def _steps(batches, *columns) -> Iterator[list]:
             lo = hi
 
 
-def _cut(texts: list[bytes], window: int, hot: np.ndarray):
+def _cut(texts: list[bytes], window: int, hot: np.ndarray, shared: list | None = None):
     """route, key and text of each segment, its first word within its text, and the text's number."""
     words = Words(texts)
-    route, at, count, owner = segments(words, window, hot)
+    route, at, count, owner = segments(words, window, hot, shared)
     buffer = words.buffer
     lo = words.starts[at] if len(at) else at
     hi = words.ends[at + count + window - 2] if len(at) else at
@@ -307,28 +321,82 @@ def smallest_documents(blobs: list[bytes], first: np.ndarray, window: int) -> li
 # ---------------------------------------------------------------------- Spark jobs
 
 def _texts(docs: DataFrame) -> DataFrame:
+    """rk, d, text: a hash of id and text, the id (rows without one come last), the bytes."""
     text = F.col("text").cast("string")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"),
-                       F.xxhash64(text).alias("th"), text.cast("binary").alias("text"))
+    d = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    return docs.select(F.shiftrightunsigned(F.xxhash64(d, text), 3).alias("rk"), d.alias("d"), text.cast("binary").alias("text"))
 
 
-def frequent_anchors(docs: DataFrame, window: int) -> np.ndarray:
-    """Anchors of so many different segments that their windows are dealt one by one."""
-    spark = docs.sparkSession
+def shared_anchors(texts: DataFrame, window: int) -> DataFrame:
+    """k, rk: the anchors of every text that stand in other texts, too (written).
+
+    A task sends an anchor of one text as (k, rk), an anchor of several texts as
+    one marker; its own texts with such an anchor are known at once and go on by
+    rk.  So an anchor of any number of documents is one row per task."""
+    ask, mark, know = 0, 1, 2
     none = np.zeros(0, np.int64)
 
-    def run(batches):
-        for _, _, text in _steps(batches):
-            route, key, *_ = _cut([t.as_py() for t in text], window, none)
-            pairs = np.unique(np.stack([route, key]), axis=1) if len(route) else np.zeros((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["k", "seg"])
-
-    drawn = _texts(docs).where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("d", "th"), F.lit(SAMPLE)) == 0))
-    counts = (drawn.mapInArrow(run, "k long, seg long").distinct().groupBy("k").agg(F.count("*").alias("n")))
-    total = drawn.mapInArrow(run, "k long, seg long").count() * SAMPLE
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hot = min(HOT_MOST, max(HOT_LEAST, total // (4 * parts)))
-    rows = counts.where(F.col("n") * SAMPLE > hot).orderBy(F.desc("n"), "k").limit(HOT_LIST).collect()
+    def send(batches):
+        held, n = [], 0
+
+        def out():
+            k, rk = (np.concatenate([h[i] for h in held]) for i in range(2))
+            order = np.lexsort((rk, k))
+            k, rk = k[order], rk[order]
+            once = np.ones(len(k), bool)
+            once[1:] = (k[1:] != k[:-1]) | (rk[1:] != rk[:-1])
+            k, rk = k[once], rk[once]
+            head = np.flatnonzero(np.diff(k, prepend=-1))
+            size = np.diff(np.append(head, len(k)))
+            alone, many = head[size == 1], head[size > 1]
+            local = np.flatnonzero(np.repeat(size > 1, size))
+            route = np.concatenate([k[alone], k[many], rk[local]])
+            other = np.concatenate([rk[alone] << 2 | ask, rk[many] << 2 | mark, k[local] << 2 | know])
+            for lo in range(0, len(route), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(route[lo:lo + 50_000]), pa.array(other[lo:lo + 50_000])], names=["route", "other"])
+
+        for rk, _, text in _steps(batches):
+            words = Words([t.as_py() for t in text])
+            k, _, _, owner = segments(words, window, none)
+            held.append((k, rk.to_numpy()[owner]))
+            n += len(k)
+            if n >= ROWS_TOGETHER:
+                yield from out()
+                held, n = [], 0
+        if n:
+            yield from out()
+
+    def answer(batches):
+        rest = np.zeros((2, 0), np.int64)
+        for batch in chain(batches, [None]):
+            rows = rest if batch is None else np.concatenate([rest, [batch.column(0).to_numpy(), batch.column(1).to_numpy()]], axis=1)
+            if not rows.shape[1]:
+                continue
+            cut = rows.shape[1] if batch is None else int(np.searchsorted(rows[0], rows[0, -1]))
+            rows, rest = rows[:, :cut], rows[:, cut:]
+            kind = rows[1] & 3
+            known = rows[:, kind == know]
+            asked = rows[:, kind != know]
+            head = np.flatnonzero(np.diff(asked[0], prepend=-1))
+            if len(head):
+                size = np.diff(np.append(head, asked.shape[1]))
+                rk, marked = asked[1] >> 2, np.add.reduceat(asked[1] & 3, head) > 0
+                differ = marked | (np.minimum.reduceat(rk, head) < np.maximum.reduceat(rk, head))
+                asked = asked[:, np.repeat(differ, size) & ((asked[1] & 3) == ask)]
+            k, rk = np.concatenate([asked[0], known[1] >> 2]), np.concatenate([asked[1] >> 2, known[0]])
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(rk)], names=["k", "rk"])
+
+    sent = texts.where(F.col("text").isNotNull()).select("rk", "d", "text").mapInArrow(send, "route long, other long")
+    return written(sent.repartition("route").sortWithinPartitions("route").mapInArrow(answer, "k long, rk long"), "shared-anchors")
+
+
+def frequent_anchors(shared: DataFrame) -> np.ndarray:
+    """Anchors of so many documents that their windows are dealt one by one (at most
+    ``HOT_LIST``; beyond that only the chunk of a less frequent one grows)."""
+    parts = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = min(HOT_MOST, max(HOT_LEAST, shared.count() // (4 * parts)))
+    rows = (shared.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > hot)
+            .orderBy(F.desc("n"), "k").limit(HOT_LIST).collect())
     return np.array(sorted(r["k"] for r in rows), np.int64)
 
 
@@ -346,7 +414,14 @@ def _segments_once(route, key, doc, blobs):
 _SEGMENT = "k long, seg long, first long, last long, blob binary"
 
 
-def dealt_segments(docs: DataFrame, window: int, hot) -> DataFrame:
+def _wanted(batches):
+    """Steps of (rk, d, shared anchors of each text as arrays, texts)."""
+    for rk, d, ks, text in _steps(batches):
+        edge, flat = ks.offsets.to_numpy(), ks.values.to_numpy()
+        yield rk, d, [flat[a:b] for a, b in zip(edge[:-1], edge[1:])], [t.as_py() for t in text]
+
+
+def dealt_segments(wanted: DataFrame, window: int, hot) -> DataFrame:
     def run(batches):
         held, n = [], 0
 
@@ -358,8 +433,8 @@ def dealt_segments(docs: DataFrame, window: int, hot) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(r[lo:hi]), pa.array(s[lo:hi]), pa.array(a[lo:hi]), pa.array(z[lo:hi]),
                                                   pa.array(blobs[lo:hi], pa.binary())], names=["k", "seg", "first", "last", "blob"])
 
-        for d, _, text in _steps(batches):
-            route, key, blobs, _, owner = _cut([t.as_py() for t in text], window, hot.value)
+        for _, d, ks, texts in _wanted(batches):
+            route, key, blobs, _, owner = _cut(texts, window, hot.value, ks)
             held.append((route, key, d.to_numpy()[owner] if len(owner) else owner, blobs))
             n += len(route)
             if n >= ROWS_TOGETHER:
@@ -368,7 +443,7 @@ def dealt_segments(docs: DataFrame, window: int, hot) -> DataFrame:
         if n:
             yield from out()
 
-    return _texts(docs).where(F.col("text").isNotNull()).mapInArrow(run, _SEGMENT)
+    return wanted.mapInArrow(run, _SEGMENT)
 
 
 def solve_shards(dealt: DataFrame, window: int) -> DataFrame:
@@ -387,7 +462,15 @@ def solve_shards(dealt: DataFrame, window: int) -> DataFrame:
         if not len(keep):
             return None
         r, s, a, z, blobs = r[keep], s[keep], a[keep], z[keep], [blobs[i] for i in keep.tolist()]
-        least = smallest_documents(blobs, a, window)
+        # an anchor with one sequence of words shares its windows with no other sequence
+        alone = np.repeat(*(lambda c: (c == 1, c))(np.unique(r, return_counts=True)[1]))
+        least: list = [None] * len(r)
+        for i in np.flatnonzero(alone).tolist():
+            least[i] = np.full(blobs[i].count(b" ") + 2 - window, a[i])
+        among = np.flatnonzero(~alone)
+        if len(among):
+            for i, m in zip(among.tolist(), smallest_documents([blobs[i] for i in among.tolist()], a[among], window)):
+                least[i] = m
         some = [i for i, m in enumerate(least) if (m < z[i]).any()]
         return pa.RecordBatch.from_arrays([pa.array(r[some]), pa.array(s[some]), pa.array([least[i] for i in some], pa.list_(pa.int64()))],
                                           names=["k", "seg", "docs"])
@@ -428,17 +511,17 @@ def _joined(held):
     return [np.concatenate([h[i] for h in held]) for i in range(4)] + [[b for h in held for b in h[4]]]
 
 
-def occurrences(docs: DataFrame, window: int, hot) -> DataFrame:
-    """k, seg, d, th, at: the segments of every document and their first words."""
+def occurrences(wanted: DataFrame, window: int, hot) -> DataFrame:
+    """k, seg, rk, d, at: the segments of every document and their first words."""
     def run(batches):
-        for d, th, text in _steps(batches):
-            route, key, _, at, owner = _cut([t.as_py() for t in text], window, hot.value)
+        for rk, d, ks, texts in _wanted(batches):
+            route, key, _, at, owner = _cut(texts, window, hot.value, ks)
             if len(route):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(route), pa.array(key), pa.array(d.to_numpy()[owner]), pa.array(th.to_numpy()[owner]),
-                     pa.array(at.astype(np.int32))], names=["k", "seg", "d", "th", "at"])
+                    [pa.array(route), pa.array(key), pa.array(rk.to_numpy()[owner]), pa.array(d.to_numpy()[owner]),
+                     pa.array(at.astype(np.int32))], names=["k", "seg", "rk", "d", "at"])
 
-    return _texts(docs).where(F.col("text").isNotNull()).mapInArrow(run, "k long, seg long, d long, th long, at int")
+    return wanted.mapInArrow(run, "k long, seg long, rk long, d long, at int")
 
 
 _RESULT = ("doc_id long, n_words long, n_removed long, "
@@ -449,13 +532,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, spans (runs of removed words, first and last
     number from 0) and kept (the words left, joined by one space) of every row."""
     spark = docs.sparkSession
-    hot = spark.sparkContext.broadcast(frequent_anchors(docs, window))
-    found = solve_shards(dealt_segments(docs, window, hot), window)
+    texts = _texts(docs)
+    shared = shared_anchors(texts, window)
+    hot = spark.sparkContext.broadcast(frequent_anchors(shared))
+    by_text = shared.groupBy("rk").agg(F.collect_list("k").alias("ks"))
+    wanted = texts.join(by_text, "rk").select("rk", "d", "ks", "text")
+    found = solve_shards(dealt_segments(wanted, window, hot), window)
     lost = F.filter(F.transform("docs", lambda m, i: F.when(m < F.col("d"), F.col("at") + i)), lambda x: x.isNotNull())
-    starts = (occurrences(docs, window, hot).join(found, ["k", "seg"])
-              .select("d", "th", lost.alias("at")).where(F.size("at") > 0)
-              .groupBy("d", "th").agg(F.flatten(F.collect_set("at")).alias("at")))
-    rows = _texts(docs).join(starts, ["d", "th"], "left").select("d", "at", "text")
+    starts = (occurrences(wanted, window, hot).join(found, ["k", "seg"])
+              .select("rk", "d", lost.alias("at")).where(F.size("at") > 0)
+              .groupBy("rk").agg(F.collect_set(F.struct(F.col("d").alias("of"), "at")).alias("at")))
+    own = F.flatten(F.transform(F.filter("at", lambda x: x["of"] == F.col("d")), lambda x: x["at"]))
+    rows = texts.join(starts, "rk", "left").select("d", own.alias("at"), "text")
     out = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
     def run(batches):
