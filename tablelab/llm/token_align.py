@@ -34,7 +34,6 @@ ignored.
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -46,9 +45,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablelab.llm.byte_bpe import ByteBPE
 from tablelab.llm.common import arrow_schema, written
 
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 STEP_ROWS = 4096
 FREQUENT_PAIRS = 1 << 19
 ID_BITS = 24  # an id pair is a << 24 | b
@@ -70,24 +70,9 @@ def _side(encode, pieces: list[bytes]) -> Side:
                 pa.array([str(i) for i in range(len(pieces))]))
 
 
-def byte_level_alphabet() -> dict[str, int]:
-    """The printable character that stands for each byte in byte-level BPE: bytes
-    that are printable stand for themselves, the others for 256, 257, ..."""
-    plain = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
-
-
 def byte_level_side(tokenizer_file: str) -> Side:
-    from tokenizers import Tokenizer
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    tok = Tokenizer.from_file(tokenizer_file)
-    tok.encode_special_tokens = True
-    byte = byte_level_alphabet()
-    vocabulary = tok.get_vocab(with_added_tokens=True)
-    pieces = [b""] * (max(vocabulary.values()) + 1)
-    for token, i in vocabulary.items():
-        pieces[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
-    return _side(lambda texts: [e.ids for e in tok.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], pieces)
+    bpe = ByteBPE(tokenizer_file, special_is_text=True)
+    return _side(lambda texts: bpe.encode([" " + t for t in texts]), bpe.pieces)
 
 
 def sentencepiece_side(model_file: str) -> Side:

@@ -8,12 +8,12 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
-import public_tokenizers
+import pytest
 import sentencepiece
 import tokenizers
 
 import __spark_entry__ as E
-from tablelab.llm import substring_dedup, token_align, vector_codes
+from tablelab.llm import byte_bpe, substring_dedup, token_align, vector_codes
 from tests.compare import duck_connect
 from tests.conftest import SF_SMALL
 from tests.llm.test_llm import BYTES, ODD, PIECES, clash
@@ -193,7 +193,7 @@ def test_repeats_on_odd_rows(spark):
 def brute_alignment(rows):
     tok, sp = tokenizers.Tokenizer.from_file(BYTES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
     tok.encode_special_tokens = True
-    back = token_align.byte_level_alphabet()
+    back = byte_bpe.byte_level_alphabet()
     docs, counts = [], Counter()
     for i, t in rows:
         groups, a, b = [], [], []
@@ -226,6 +226,19 @@ def brute_alignment(rows):
                    for i, na, nb, g, ln in docs), key=str)
 
 
+@pytest.mark.parametrize("special_is_text", [True, False])
+def test_byte_bpe_equals_the_library(special_is_text):
+    bpe, tok = byte_bpe.ByteBPE(BYTES, special_is_text), tokenizers.Tokenizer.from_file(BYTES)
+    tok.encode_special_tokens = special_is_text
+    assert bpe.fast is not None
+    rnd = random.Random(5)
+    parts = [" ", "  ", "\n", "\t", " \n", "a", "the", "The", "é", "日", "▁", "\xa0", "\u2003", "\U0001f600", "'s", "'", ".", "!!", "12",
+             "<|endoftext|>", "</s>", "\x00", "e\u0301", "ﬁ", "\u200b", "\u180e", "\r\n", "\x85", "\x1c", "word", "²", "\U0001e900", "ꟲ"]
+    texts = ["".join(rnd.choices(parts, k=rnd.randrange(25))) for _ in range(4000)]
+    texts += [f"a{chr(c)}1{chr(c)} {chr(c)}!{chr(c)}  {chr(c)}" for c in range(0x3000) if not 0xD800 <= c < 0xE000]
+    assert bpe.encode(texts) == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+
+
 def alignment(df, **kw):
     return sorted((tuple(r) for r in token_align.alignment(df, BYTES, PIECES, **kw).drop("pairs", "links").collect()), key=str)
 
