@@ -6,11 +6,14 @@ the longest match that starts where the last phrase ended (an unmatched
 character is a phrase of its own).  Few long phrases mean that the text is made
 of pieces of that language, so
 
-    entropy = phrases * log2(training length) / characters
+    entropy = phrases * log2(training length, at least MIN_LENGTH) / characters
 
 (the cross-parsing estimate of cross entropy in bits per character) decides;
 the language needing least wins, ties go to the smaller label.  Every language
-keeps its own training length, however little text another one has.
+keeps its own training length, however little text another one has.  A phrase
+never costs less than a place among ``MIN_LENGTH`` characters: a label with a few
+letters of text would otherwise have almost free phrases and take the others'
+texts.
 
 Texts are lower-cased, letters become symbols, every run of other characters
 one space.  Each language has its own alphabet: its ``MAX_ALPHABET`` most frequent
@@ -21,8 +24,10 @@ ends at a block's end), many blocks at a time: the automata are one numpy table
 step through it together.
 
 The model is fit on at most ``max_rows`` rows and ``max_chars`` characters per
-language (rows chosen by a hash of their text; documented bounds of the fit);
-its size is bounded by languages * max_chars * alphabet.
+language (rows chosen by a hash of their text), for the ``MAX_LANGUAGES`` most
+frequent labels (ties: the smaller label); with so many labels that the tables
+could pass ``MAX_CELLS`` numbers (256 MB), each language gets an equal share of
+them.  These are documented bounds of the fit, so the broadcast model is bounded.
 
 Defined results: ``und`` (score 0) for null texts, texts without a letter, or
 if nothing was learned; ``score`` is 1 - best entropy / runner-up entropy
@@ -51,9 +56,11 @@ MAX_ROWS = 600
 MAX_CHARS = 60_000
 MAX_LANGUAGES = 200
 MAX_ALPHABET = 126
+MIN_LENGTH = 4096         # characters; see the entropy
+MAX_CELLS = 64 << 20      # numbers in the tables of all languages
 BLOCK = 1024
 LANES = 4096
-MIN_PHRASE_CHARS = 2.0  # texts in no learned language parse into phrases of 1 or 2 characters
+MIN_PHRASE_CHARS = 2.0  # texts in no learned language parse into phrases of 1 or 2 characters; see clear_text
 
 
 @functools.cache
@@ -76,7 +83,8 @@ class Model:
     roots: np.ndarray    # first state of each language
     widths: np.ndarray   # symbols of each language
     starts: np.ndarray   # place of each language's first row in the table
-    bits: np.ndarray     # log2 of the training length of each language
+    bits: np.ndarray     # cost of a phrase of each language
+    length: np.ndarray   # training length of each language
 
 
 def suffix_automaton(text: list[int], width: int) -> np.ndarray:
@@ -127,10 +135,12 @@ def fit_samples(samples: dict[str, list[str]], max_chars: int = MAX_CHARS) -> Mo
     symbols = letters.astype(np.int32)
     seen = sorted(set().union(*counts.values()))
     symbols[seen] = np.arange(len(seen)) + 2
-    langs, local, tables, roots, widths, starts, bits, at, start = [], [], [], [], [], [], [], 0, 0
+    langs, local, tables, roots, widths, starts, bits, length, at, start = [], [], [], [], [], [], [], [], 0, 0
     for lang, parts in points.items():
         joined = [_squeezed(symbols[np.concatenate([x, np.array([32], np.uint32)])]) for x in parts]
-        text = np.concatenate(joined)[:max_chars] if joined else np.zeros(0, np.int32)
+        # an automaton has at most two states a character, and a column for each symbol
+        most = min(max_chars, MAX_CELLS // len(points) // (2 * min(len(counts[lang]) + 3, MAX_ALPHABET + 3)))
+        text = np.concatenate(joined)[:most] if joined else np.zeros(0, np.int32)
         if not (text > 0).any():
             continue
         count = counts[lang]
@@ -150,12 +160,13 @@ def fit_samples(samples: dict[str, list[str]], max_chars: int = MAX_CHARS) -> Mo
         ended[0] = np.where(root < 0, 1, 0)
         langs.append(lang), local.append(own), roots.append(at), widths.append(width), starts.append(start)
         tables.append(((to + at) * 4 + ended).astype(np.int32).ravel())
-        bits.append(math.log2(max(2, len(text))))
+        bits.append(math.log2(max(MIN_LENGTH, len(text))))
+        length.append(len(text))
         at += len(go)
         start += go.size
     return Model(langs, symbols, np.array(local, np.uint8).reshape(len(langs), len(seen) + 2),
                  np.concatenate(tables) if tables else np.zeros(0, np.int32), np.array(roots, np.int64),
-                 np.array(widths, np.int64), np.array(starts, np.int64), np.array(bits))
+                 np.array(widths, np.int64), np.array(starts, np.int64), np.array(bits), np.array(length))
 
 
 def _squeezed(symbols: np.ndarray) -> np.ndarray:
@@ -170,9 +181,8 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -
     each language by hash of the text, none if the label or text is null."""
     rows = docs.select(F.col("text").cast("string").alias("t"), F.col("lang").cast("string").alias("l")).where(
         F.col("t").isNotNull() & F.col("l").isNotNull())
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} labels")
+    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n"))
+              .orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES).collect()}
     if not counts:
         return fit_samples({})
     scale = 1 << 30
@@ -274,12 +284,18 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
 
 def clear_text(docs: DataFrame, model: Model, min_phrase_chars: float = MIN_PHRASE_CHARS) -> DataFrame:
     """The rows of ``docs``, all columns, whose text is in a learned language:
-    not ``und``, and phrases of the best language at least so long on average."""
+    not ``und``, and phrases of the best language at least so long on average.
+    Phrases grow with the logarithm of the training length, so for a language of
+    less than ``MIN_LENGTH`` characters the bound falls with it, down to 1: texts of
+    which no two letters stand together in the language's text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(texts: list[str | None]) -> list[bool]:
-        got = decide(shared.value, texts)
-        return [lang != UND and size >= min_phrase_chars for lang, size in zip(got["lang_pred"], got["phrase_chars"])]
+        m = shared.value
+        got = decide(m, texts)
+        share = np.minimum(1, np.log2(np.maximum(2, m.length)) / math.log2(MIN_LENGTH))
+        least = {k: max(1 + 1e-9, min_phrase_chars * s) for k, s in zip(m.langs, share)}
+        return [lang != UND and size >= least[lang] for lang, size in zip(got["lang_pred"], got["phrase_chars"])]
 
     return filter_texts(docs, keep)
 

@@ -15,12 +15,8 @@ file (a task that is run again replaces its file as a whole, by rename), and
 returns a manifest with one row per file.  The number of ids before each file
 comes from the manifest; ``read`` unpacks files in parallel.
 
-Encoding: the tokenizers library encodes each distinct chunk once per worker
-while it is remembered.  A chunk is a word with the one space in front of it;
-texts for which the tokenizer's splitting might look across such a space (white
-space after white space, characters outside Latin script and common
-punctuation), or tokenizers that aren't plain byte-level BPE, go through the
-library as a whole.
+Encoding gives the ids of the tokenizers library (see ``byte_bpe``); special
+tokens' strings in a text are special tokens.
 
 Defined results: null and empty texts have the end id alone; rows with equal
 doc_id are ordered by text, null ids first; an empty table gives no file and no
@@ -31,12 +27,9 @@ of a file and one Arrow batch.
 from __future__ import annotations
 
 import json
-import os
-import re
 import struct
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,11 +38,11 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablelab.llm.common import scratch_path
+from tablelab.llm.byte_bpe import ByteBPE
+from tablelab.llm.common import arrow_schema, scratch_path
 
 MAGIC = b"TKBP"
 BLOCK_IDS = 1 << 16
-KEEP_CHUNKS = 400_000
 FILE_BYTES = 64 << 20
 _HEADER, _FOOTER = "<4sII", "<QQQQ4s"
 
@@ -163,94 +156,12 @@ class Reader:
 
 # -------------------------------------------------------------------- encoding
 
-class ChunkEncoder:
-    """Ids of whole texts from the tokenizers library, chunk by chunk.
-
-    A chunk follows a space, which belongs to it.  Chunks that are empty, begin
-    with white space, hold a special token, or hold characters on which
-    splitting rules could differ are *unsafe* (remembered as None): texts with
-    such a chunk go through the library as a whole."""
-
-    _unsafe = re.compile("[^\x09-\x0d\x20-\x7e¡-ɏ‐-‧‰-⁞€]|^\\s|^$")
-
-    _tail = re.compile("^[A-Za-zÀ-ÖØ-öø-ɏ]+([.,;:!?]+)$")
-
-    def __init__(self, tokenizer_file: str):
-        from tokenizers import Tokenizer
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tok = Tokenizer.from_file(tokenizer_file)
-        self.tok.encode_special_tokens = False
-        spec = json.loads(self.tok.to_str())
-        pre = spec.get("pre_tokenizer") or {}
-        self.chunked = (spec["model"].get("type") == "BPE" and pre.get("type") == "ByteLevel"
-                        and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-                        and spec.get("normalizer") is None and not spec["model"].get("dropout"))
-        added = [t["content"] for t in spec.get("added_tokens", [])]
-        self.chunked = self.chunked and not any(" " in x for x in added)
-        self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        self.vocabulary = self.tok.get_vocab_size(with_added_tokens=True)
-        self.chunks: dict[str, bytes | None] = {}
-        self.old: dict[str, bytes | None] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        if not texts:
-            return []
-        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, new: set[str]) -> None:
-        """Remember chunks; those that are still in use are taken over."""
-        old, unsafe, added, safe = self.old, self._unsafe.search, self.added, []
-        for c in new:
-            if c in old:
-                self.chunks[c] = old[c]
-            elif unsafe(c) or added and added.search(c):
-                self.chunks[c] = None
-            else:
-                safe.append(c)
-        # a word and the marks behind it are split by the tokenizer anyway: encode them apart
-        tails = {c: m.start(1) for c in safe if (m := self._tail.search(c))}
-        words = [c for c in safe if c not in tails]
-        words += {c[:k] for c, k in tails.items()}.difference(self.chunks, words)
-        self.chunks.update(zip(words, self._library([" " + c for c in words])))
-        marks = list({c[k:] for c, k in tails.items()})
-        marks = dict(zip(marks, self._library(marks)))
-        for c, k in tails.items():
-            self.chunks[c] = self.chunks[c[:k]] + marks[c[k:]]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        out: list[bytes | None] = [None if t else b"" for t in texts]
-        todo = [i for i, t in enumerate(texts) if t]
-        if self.chunked:
-            for lo in range(0, len(todo), 64):
-                some = todo[lo:lo + 64]
-                # a text's first chunk has no space in front: it is encoded apart
-                cut = [texts[i].split(" ") for i in some]
-                heads = [c.pop(0) for c in cut]
-                new = set().union(*cut).difference(self.chunks)
-                if len(self.chunks) + len(new) > KEEP_CHUNKS:
-                    self.old, self.chunks, new = self.chunks, {}, set().union(*cut)
-                self._learn(new)
-                first = self._library(heads)
-                get, unsafe, added = self.chunks.__getitem__, self._unsafe.search, self.added
-                for i, head, ids, chunks in zip(some, heads, first, cut):
-                    if head and (unsafe(head.lstrip() or "x") or added and added.search(head)):
-                        continue
-                    parts = [ids, *map(get, chunks)]
-                    if None not in parts:
-                        out[i] = b"".join(parts)
-        rest = [i for i in todo if out[i] is None]
-        for i, ids in zip(rest, self._library([texts[i] for i in rest])):
-            out[i] = ids
-        return out
-
-
-_ENCODERS: dict[str, ChunkEncoder] = {}
-
-
-def encoder(tokenizer_file: str) -> ChunkEncoder:
+_ENCODERS: dict[str, ByteBPE] = {}
+
+
+def encoder(tokenizer_file: str) -> ByteBPE:
     if tokenizer_file not in _ENCODERS:
-        _ENCODERS[tokenizer_file] = ChunkEncoder(tokenizer_file)
+        _ENCODERS[tokenizer_file] = ByteBPE(tokenizer_file, special_is_text=False)
     return _ENCODERS[tokenizer_file]
 
 
@@ -275,17 +186,16 @@ def write(docs: DataFrame, tokenizer_file: str, folder: str, end_id: int = 0,
         part = TaskContext.get().partitionId()
         enc, writer, name = encoder(tokenizer_file), None, f"part-{part:06d}.tkbp"
         system, base = fs.FileSystem.from_uri(folder)
-        temp, end = f"{base}/.{name}.{uuid.uuid4().hex}", np.array([end_id], "<u4").tobytes()
-        out = None
+        temp, out = f"{base}/.{name}.{uuid.uuid4().hex}", None
         for b in batches:
             if b.num_rows and writer is None:
                 system.create_dir(base, recursive=True)
                 out = system.open_output_stream(temp)
-                writer = Writer(out, min_bits(enc.vocabulary))
+                writer = Writer(out, min_bits(len(enc.pieces)))
             ids, texts = b.column(0).to_pylist(), b.column(1)
             for lo in range(0, len(ids), 256):
-                for doc_id, got in zip(ids[lo:lo + 256], enc.encode(texts[lo:lo + 256].to_pylist())):
-                    writer.add(doc_id, np.frombuffer(got + end, "<u4"))
+                for doc_id, got in zip(ids[lo:lo + 256], enc.encode([t or "" for t in texts[lo:lo + 256].to_pylist()])):
+                    writer.add(doc_id, np.array([*got, end_id], np.uint32))
         if writer is not None:
             total = writer.close()
             out.close()
@@ -304,11 +214,11 @@ def read(spark: SparkSession, folder: str, id_type: str = "bigint") -> DataFrame
     # one row per file: the prefix sum runs over the number of files
     before = F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     files = manifest.select("part", "file", F.coalesce(before, F.lit(0)).alias("start"))
-    n = max(1, files.count())
+    n, out = max(1, files.count()), arrow_schema(spark, f"doc_id {id_type}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = fs.FileSystem.from_uri(folder)
-        kind = pa.int64() if id_type == "bigint" else pa.int32() if id_type == "int" else pa.string()
+        kind = out.field(0).type
         for b in batches:
             for name, start in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 path = f"{base}/{name}"
@@ -326,9 +236,18 @@ def read(spark: SparkSession, folder: str, id_type: str = "bigint") -> DataFrame
             .mapInArrow(run, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long"))
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder as a URI; one without a scheme is in the cluster's default file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return "file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 def write_and_read(docs: DataFrame, tokenizer_file: str, end_id: int = 0) -> DataFrame:
-    folder = scratch_path(docs.sparkSession, "token-files")
-    if "://" not in folder and not folder.startswith("file:"):
-        folder = "file://" + folder
+    """Integer and text ids keep their type, others become text."""
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    if id_type not in ("tinyint", "smallint", "int", "bigint"):
+        docs, id_type = docs.withColumn("doc_id", F.col("doc_id").cast("string")), "string"
+    folder = qualified(docs.sparkSession, scratch_path(docs.sparkSession, "token-files"))
     write(docs, tokenizer_file, folder, end_id)
-    return read(docs.sparkSession, folder, docs.schema["doc_id"].dataType.simpleString())
+    return read(docs.sparkSession, folder, id_type)

@@ -164,6 +164,33 @@ def test_language_with_little_text_leaves_the_others_whole():
     assert (language_id.parse(alone, probe)[0] == language_id.parse(joined, probe)[0][:, :2]).all()
 
 
+@pytest.mark.parametrize("extra", ["s", "sho", "short text of a label", None])
+def test_a_rare_label_takes_no_documents_of_others(spark, extra):
+    """1, 3, 21 and 200 characters of one more label, the last in one of the languages."""
+    rows = [r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").collect() if r.lang]
+    held = {d for d, *_ in rows if zlib.crc32(str(d).encode()) % 4 == 2}
+    train = {}
+    for d, t, k in rows:
+        if d not in held:
+            train.setdefault(k, []).append(t[:400])
+    probe = [(t[:n], k) for d, t, k in rows if d in held for n in (40, 400)]
+    more = {"zz": [extra or train[sorted(train)[0]][0][100:300]]}
+
+    def right(samples):
+        got = language_id.decide(language_id.fit_samples(samples), [t for t, _ in probe])["lang_pred"]
+        return sum(a == k for a, (_, k) in zip(got, probe)) / len(probe)
+    alone = right(train)
+    assert alone > 0.95 and right(train | more) >= alone - 0.005
+
+
+def test_language_model_is_bounded(spark, monkeypatch):
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)} word " * 50, f"l{i:03d}") for i in range(260)]
+    df = spark.createDataFrame(rows + [(1000 + i, "ab word", "l007") for i in range(3)], DOC)
+    assert len(language_id.fit(df).langs) == language_id.MAX_LANGUAGES and "l007" in language_id.fit(df).langs
+    monkeypatch.setattr(language_id, "MAX_CELLS", 200_000)
+    assert len(language_id.fit(df).table) <= 200_000
+
+
 def test_language_alphabets_are_each_languages_own():
     many = "".join(chr(c) for c in range(0x4E00, 0x4E00 + 300)) * 5
     greek, cyrillic = "αβγδε ζηθικ λμνξο", "абвгд ежзик лмноп"
@@ -582,11 +609,22 @@ def test_bit_packing_and_random_access(bits, tmp_path):
         assert np.array_equal(r.ids(3, 500), np.concatenate(docs)[3:503])
 
 
-def test_chunked_encoding_equals_library():
-    enc, rng = token_file.ChunkEncoder(BYTES), random.Random(4)
+def test_token_file_encoding_equals_library():
+    enc, rng = token_file.encoder(BYTES), random.Random(4)
     parts = list("abet  \n\t'sé,.?!1-  \r\x1c\x85　中") + ["the", "'ll", " the", "n't", "\n\n", " 's", "<|endoftext|>"]
     some = ["".join(rng.choice(parts[:rng.choice([12, 19, len(parts)])]) for _ in range(rng.randint(0, 30))) for _ in range(4000)]
-    assert [np.frombuffer(x, "<u4").tolist() + [0] for x in enc.encode(some)] == library_ids(some)
+    assert [x + [0] for x in enc.encode(some)] == library_ids(some)
+
+
+def test_token_files_of_other_ids(spark):
+    rows = [("b", "two words"), ("a", "one"), (None, None), ("b", "a b c")]
+    for kind in ("string", "smallint", "decimal(9,2)"):
+        df = spark.createDataFrame(rows, "doc_id string, text string")
+        if kind != "string":
+            df = df.withColumn("doc_id", F.ascii("doc_id").cast(kind))
+        got = sorted(token_file.write_and_read(df, BYTES).collect(), key=lambda r: r.start)
+        assert [r.n_tokens for r in got] == [1, 2, 4, 3] and got[0].doc_id is None
+        assert [r.doc_id for r in got[1:]] == {"string": ["a", "b", "b"], "smallint": [97, 98, 98]}.get(kind, ["97.00", "98.00", "98.00"])
 
 
 # --------------------------------------------------------------- op10: decontamination
