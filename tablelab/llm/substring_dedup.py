@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from tablelab.llm.common import written
 
 WINDOW = 13
-ANCHOR_WORDS = 3
+ANCHOR_WORDS = 4
 RUN = 32                 # windows of a segment at most
 STEP_BYTES = 4 << 20     # text that a task works on at a time
 ROWS_TOGETHER = 200_000  # segments that a task compares before it hands them on
@@ -126,12 +126,14 @@ def segments(words: Words, window: int, hot: np.ndarray, shared: list | None = N
         return tuple(np.zeros(0, np.int64) for _ in range(4))
     a, o = anchor[at], owner[at]
     if shared is not None:
+        # (text, anchor) as one number each; a collision would only send a segment too many
+        both = lambda t, x: x.view(np.uint64) + _mixed(t.astype(np.uint64) + np.uint64(1))
         size = np.array([len(x) for x in shared])
-        wanted = np.rec.fromarrays([np.repeat(np.arange(len(shared)), size), np.concatenate(shared)])
+        wanted = both(np.repeat(np.arange(len(shared)), size), np.concatenate(shared))
         change = np.ones(len(at), bool)
         change[1:] = (a[1:] != a[:-1]) | (o[1:] != o[:-1])
-        run = np.cumsum(change) - 1
-        at, a, o = (x[np.isin(np.rec.fromarrays([o[change], a[change]]), wanted)[run]] for x in (at, a, o))
+        kept = np.isin(both(o[change], a[change]), wanted)[np.cumsum(change) - 1]
+        at, a, o = at[kept], a[kept], o[kept]
         if not len(at):
             return tuple(np.zeros(0, np.int64) for _ in range(4))
     frequent = np.isin(a, hot) if len(hot) else np.zeros(len(a), bool)
