@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablelab.functions.stats import NUMERIC_TYPES, prefix_sums, q, sample_key
+from tablelab.operators import kernel as KM
 from tablelab.operators import metrics as MT
 from tablelab.operators import stages as ST
 from tablelab.session import cut_lineage
@@ -32,7 +33,8 @@ from tablelab.session import cut_lineage
 # FIXED VALUES: default hyperparameters and model-choice keys.
 DEFAULTS = {
     "n_estimators": 200, "max_depth": 20, "min_samples_split": 2, "min_samples_leaf": 1,
-    "svm_c": 1.0, "ridge_alpha": 1.0, "lasso_alpha": 0.1, "logistic_penalty": "l2", "logistic_c": 1.0,
+    "svm_c": 1.0, "svm_kernel": "rbf", "svm_gamma": "scale", "knn_neighbors": 5, "knn_weights": "uniform",
+    "knn_metric": "minkowski", "ridge_alpha": 1.0, "lasso_alpha": 0.1, "logistic_penalty": "l2", "logistic_c": 1.0,
     "xgb_learning_rate": 0.1, "xgb_max_depth": 6, "xgb_subsample": 0.8, "xgb_colsample_bytree": 0.8,
     "lgb_num_leaves": 31, "lgb_learning_rate": 0.1, "lgb_feature_fraction": 0.9,
 }
@@ -174,8 +176,7 @@ def regressors(hp: dict, n_train: int, n_features: int) -> dict:
         "Gradient Boosting": R.GBTRegressor(maxIter=h["n_estimators"], maxDepth=gb_depth, seed=42, **size),
         "AdaBoost": ST.AdaBoost("regression", h["n_estimators"]),
         "Decision Tree": R.DecisionTreeRegressor(maxDepth=d, seed=42, **size),
-        # Spark has no epsilon-insensitive loss: Huber loss on kernel features
-        "SVR": R.LinearRegression(loss="huber", regParam=1.0 / (h["svm_c"] * max(n_train, 1)), maxIter=100),
+        "SVR": KM.KernelSVR(h["svm_c"], h["svm_kernel"], h["svm_gamma"]),
         "MLP": ST.MLPRegression(n_features),
         "XGBoost": R.GBTRegressor(maxIter=h["n_estimators"], stepSize=h["xgb_learning_rate"],
                                   maxDepth=h["xgb_max_depth"], subsamplingRate=h["xgb_subsample"],
@@ -210,7 +211,7 @@ def classifiers(hp: dict, n_train: int, n_classes: int, n_features: int) -> dict
         "AdaBoost": ST.AdaBoost("classification", h["n_estimators"], n_classes=n_classes),
         "Decision Tree": C.DecisionTreeClassifier(maxDepth=d, seed=42, **size),
         "Naive Bayes": C.NaiveBayes(modelType="gaussian"),
-        "SVM": ST.calibrated_svm(h["svm_c"], n_train, n_classes),
+        "SVM": KM.KernelSVM(n_classes, h["svm_c"], h["svm_kernel"], h["svm_gamma"]),
         "MLP": C.MultilayerPerceptronClassifier(layers=[n_features, 100, 50, n_classes], maxIter=500, seed=42),
         "XGBoost": boosted(maxIter=h["n_estimators"], stepSize=h["xgb_learning_rate"], maxDepth=h["xgb_max_depth"],
                            subsamplingRate=h["xgb_subsample"], featureSubsetStrategy=str(h["xgb_colsample_bytree"])),
@@ -232,28 +233,25 @@ def choose_models(all_models: dict, model_type: str = "all") -> dict:
 
 @dataclass
 class FeatureStats:
-    """Range, mean and deviation of each feature in the training split."""
+    """Range of each feature in the training split."""
     ranges: list[tuple[float, float]]
-    moments: list[tuple[float, float]]
 
 
 def feature_stats(train: DataFrame, features: list[str]) -> FeatureStats:
     x = [q(f"__f_{c}") for c in features]
-    r = train.agg(*[f(c).alias(f"{k}{i}") for i, c in enumerate(x) for k, f in (
-        ("a", F.min), ("z", F.max), ("m", F.avg), ("s", F.stddev_samp))]).first()
-    n = range(len(features))
-    return FeatureStats([(r[f"a{i}"] or 0.0, r[f"z{i}"] or 0.0) for i in n], [(r[f"m{i}"] or 0.0, r[f"s{i}"] or 1.0) for i in n])
+    r = train.agg(*[f(c).alias(f"{k}{i}") for i, c in enumerate(x) for k, f in (("a", F.min), ("z", F.max))]).first()
+    return FeatureStats([(r[f"a{i}"] or 0.0, r[f"z{i}"] or 0.0) for i in range(len(features))])
 
 
 def feature_pipeline(features: list[str], estimator, scale: bool, name: str = "", stats: FeatureStats | None = None) -> Pipeline:
     """M3 + M7: mean imputation and (for linear / SVM models) standardisation,
     both fitted on the training split only, then the estimator (or list of
-    stages).  Extra Trees get randomly cut features, SVR and SVM a kernel map."""
+    stages).  Extra Trees get randomly cut features."""
     imp = [f"__imp_{c}" for c in features]
     last = estimator if isinstance(estimator, list) else [estimator]
-    if stats is not None and name in ("Extra Trees", "SVR", "SVM"):
-        made = (ST.random_cuts(imp, stats.ranges) if name == "Extra Trees" else ST.fourier_features(imp, stats.moments))
-        return Pipeline(stages=[Imputer(inputCols=[f"__f_{c}" for c in features], outputCols=imp, strategy="mean"), *made, *last])
+    if stats is not None and name == "Extra Trees":
+        return Pipeline(stages=[Imputer(inputCols=[f"__f_{c}" for c in features], outputCols=imp, strategy="mean"),
+                                *ST.random_cuts(imp, stats.ranges), *last])
     stages = [Imputer(inputCols=[f"__f_{c}" for c in features], outputCols=imp, strategy="mean"),
               VectorAssembler(inputCols=imp, outputCol="features_raw" if scale else "features",
                               handleInvalid="keep")]

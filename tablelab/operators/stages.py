@@ -1,7 +1,6 @@
 """Pipeline stages that ``pyspark.ml`` lacks, for use inside a ``Pipeline``:
-AdaBoost and the regression network as estimators with saved state, random
-cuts for extra trees, and random Fourier features for kernel machines (both
-made of built-in transformers)."""
+AdaBoost and the regression network as estimators with saved state, and random
+cuts for extra trees (made of built-in transformers)."""
 
 from __future__ import annotations
 
@@ -10,58 +9,22 @@ import random
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import (DecisionTreeClassificationModel, LinearSVC, LogisticRegression, OneVsRest)
-from pyspark.ml.feature import Bucketizer, SQLTransformer, VectorAssembler
+from pyspark.ml import Estimator
+from pyspark.ml.classification import DecisionTreeClassificationModel
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressionModel
-from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablelab.operators.ensemble import AdaBoostModel, adaboost
 from tablelab.operators.nn import MLPRegressor, _forward, _unflatten
+from tablelab.operators.saved import Saved
 
 CUT_VARIANTS = 8   # independently cut copies of each feature
 CUTS = 8           # random thresholds per copy
 
 
-# ------------------------------------------------------------------ saved state
-
-class _Writer(MLWriter):
-    def __init__(self, instance):
-        super().__init__()
-        self.instance = instance
-
-    def saveImpl(self, path: str) -> None:
-        DefaultParamsWriter.saveMetadata(self.instance, path, self.sc, extraMetadata={"state": self.instance.state()})
-        for i, part in enumerate(self.instance.parts()):
-            part.write().overwrite().save(f"{path}/parts/{i}")
-
-
-class _Reader(MLReader):
-    def __init__(self, cls):
-        super().__init__()
-        self.cls = cls
-
-    def load(self, path: str):
-        return self.cls.restore(DefaultParamsReader.loadMetadata(path, self.sc)["state"], path)
-
-
-class _Saved(Model, MLWritable, MLReadable):
-    """A fitted stage: ``state()`` as JSON and ``parts()`` as models of their own."""
-
-    def parts(self) -> list:
-        return []
-
-    def write(self) -> MLWriter:
-        return _Writer(self)
-
-    @classmethod
-    def read(cls) -> MLReader:
-        return _Reader(cls)
-
-
 # -------------------------------------------------------------------- AdaBoost
 
 class AdaBoost(Estimator):
@@ -75,7 +38,7 @@ class AdaBoost(Estimator):
         return AdaBoostStage(adaboost(dataset, self.kind, self.n_estimators, self.learning_rate, n_classes=self.n_classes))
 
 
-class AdaBoostStage(_Saved):
+class AdaBoostStage(Saved):
     def __init__(self, model: AdaBoostModel):
         super().__init__()
         self.model = model
@@ -113,7 +76,7 @@ class MLPRegression(Estimator):
         return MLPRegressionStage(net.theta.tolist(), net.sizes)
 
 
-class MLPRegressionStage(_Saved):
+class MLPRegressionStage(Saved):
     def __init__(self, theta: list, sizes: list):
         super().__init__()
         self.theta, self.sizes = theta, sizes
@@ -139,10 +102,6 @@ class MLPRegressionStage(_Saved):
 
 # ---------------------------------------------- stages from built-in transformers
 
-def _name(c: str) -> str:
-    return "`" + c.replace("`", "``") + "`"
-
-
 def random_cuts(inputs: list[str], ranges: list[tuple[float, float]], seed: int = 42) -> list:
     """Extra trees: each input is cut at random thresholds between its smallest
     and largest value, in ``CUT_VARIANTS`` independent copies; a forest without
@@ -158,30 +117,3 @@ def random_cuts(inputs: list[str], ranges: list[tuple[float, float]], seed: int
             outputs.append(f"__cut{v}_{c}")
     return [Bucketizer(splitsArray=splits, inputCols=columns, outputCols=outputs, handleInvalid="keep"),
             VectorAssembler(inputCols=outputs, outputCol="features", handleInvalid="keep")]
-
-
-def fourier_features(inputs: list[str], moments: list[tuple[float, float]], components: int = 100,
-                     gamma: float | None = None, seed: int = 42) -> list:
-    """RBF kernel map of the standardised inputs (Rahimi and Recht 2007):
-    sqrt(2/D) cos(w x + b) with w ~ N(0, 2 gamma), as one SQL projection."""
-    rnd = random.Random(seed)
-    g = gamma if gamma is not None else 1.0 / len(inputs)
-    terms = []
-    for d in range(components):
-        parts = [repr(rnd.uniform(0, 2 * math.pi)) + "D"]
-        for c, (mean, std) in zip(inputs, moments):
-            w = rnd.gauss(0.0, math.sqrt(2 * g)) / (std or 1.0)
-            parts.append(f"({_name(c)} - ({mean!r}D)) * ({w!r}D)")
-        terms.append(f"{math.sqrt(2.0 / components)!r}D * cos({' + '.join(parts)}) AS `__rff{d}`")
-    return [SQLTransformer(statement=f"SELECT *, {', '.join(terms)} FROM __THIS__"),
-            VectorAssembler(inputCols=[f"__rff{d}" for d in range(components)], outputCol="features", handleInvalid="keep")]
-
-
-def calibrated_svm(c: float, n_train: int, n_classes: int) -> list:
-    """Linear SVM on ``features`` and Platt scaling: a logistic regression on
-    its margins gives the prediction and the class probabilities."""
-    svm = LinearSVC(regParam=1.0 / (c * max(n_train, 1)), maxIter=100)
-    if n_classes > 2:
-        svm = OneVsRest(classifier=svm)
-    margins = svm.setPredictionCol("__svm")   # the margins are in "rawPrediction"
-    return [margins, LogisticRegression(featuresCol="rawPrediction", rawPredictionCol="__platt")]
