@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 from tablelab.functions.stats import NUMERIC_TYPES, prefix_sums, q, sample_key
 from tablelab.operators import kernel as KM
 from tablelab.operators import metrics as MT
+from tablelab.operators import neighbours as NB
 from tablelab.operators import stages as ST
 from tablelab.session import cut_lineage
 
@@ -43,7 +44,7 @@ MODEL_KEYS = {
     "random_forest": ["Random Forest"], "extra_trees": ["Extra Trees"], "xgboost": ["XGBoost"],
     "lightgbm": ["LightGBM"], "lgb": ["LightGBM"], "catboost": ["CatBoost"], "cat": ["CatBoost"],
     "svm": ["SVM"], "decision_tree": ["Decision Tree"], "mlp": ["MLP"], "naive_bayes": ["Naive Bayes"],
-    "gradient_boosting": ["Gradient Boosting"], "svr": ["SVR"], "adaboost": ["AdaBoost"],
+    "knn": ["KNN"], "gradient_boosting": ["Gradient Boosting"], "svr": ["SVR"], "adaboost": ["AdaBoost"],
 }
 SCALED = ("Linear", "Logistic", "Ridge", "Lasso", "SVR", "SVM")
 SPARK_MAX_DEPTH = 30
@@ -176,6 +177,7 @@ def regressors(hp: dict, n_train: int, n_features: int) -> dict:
         "Gradient Boosting": R.GBTRegressor(maxIter=h["n_estimators"], maxDepth=gb_depth, seed=42, **size),
         "AdaBoost": ST.AdaBoost("regression", h["n_estimators"]),
         "Decision Tree": R.DecisionTreeRegressor(maxDepth=d, seed=42, **size),
+        "KNN": NB.KNN("regression", 0, h["knn_neighbors"], h["knn_weights"], h["knn_metric"]),
         "SVR": KM.KernelSVR(h["svm_c"], h["svm_kernel"], h["svm_gamma"]),
         "MLP": ST.MLPRegression(n_features),
         "XGBoost": R.GBTRegressor(maxIter=h["n_estimators"], stepSize=h["xgb_learning_rate"],
@@ -210,6 +212,7 @@ def classifiers(hp: dict, n_train: int, n_classes: int, n_features: int) -> dict
         "Gradient Boosting": boosted(maxIter=h["n_estimators"], maxDepth=gb_depth),
         "AdaBoost": ST.AdaBoost("classification", h["n_estimators"], n_classes=n_classes),
         "Decision Tree": C.DecisionTreeClassifier(maxDepth=d, seed=42, **size),
+        "KNN": NB.KNN("classification", n_classes, h["knn_neighbors"], h["knn_weights"], h["knn_metric"]),
         "Naive Bayes": C.NaiveBayes(modelType="gaussian"),
         "SVM": KM.KernelSVM(n_classes, h["svm_c"], h["svm_kernel"], h["svm_gamma"]),
         "MLP": C.MultilayerPerceptronClassifier(layers=[n_features, 100, 50, n_classes], maxIter=500, seed=42),

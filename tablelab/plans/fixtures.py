@@ -31,6 +31,12 @@ FIXTURE_SQL = {
                CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE l_discount END AS l_discount,
                CASE WHEN l_orderkey % 3 = 0 THEN NULL ELSE l_tax END AS l_tax
         FROM {lineitem}""",
+    # parts with missing numbers, in several patterns
+    "part_nulls": """
+        SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS p_size,
+               CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE CAST(p_retailprice AS DOUBLE) END AS p_retailprice,
+               CASE WHEN p_partkey % 4 = 0 OR p_partkey % 35 = 0 THEN NULL ELSE CAST(p_partkey % 97 AS DOUBLE) END AS p_mod
+        FROM {part}""",
     # few columns -> many duplicate rows
     "li_dups": "SELECT l_returnflag, l_linestatus, l_linenumber FROM {lineitem}",
     # a constant and an all-null column

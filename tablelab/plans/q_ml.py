@@ -241,6 +241,51 @@ def nn_history(spark, sf_dir):
     return ML.training_history(model)
 
 
+# ------------------------------------------------------------------ M16 nearest neighbours
+
+PART_FEATURES = ["p_size", "p_retailprice"]
+
+
+def _knn_sql(distance: str, target: str, votes: str, value: str) -> str:
+    """Every test row against every training row: the five nearest, ties by label."""
+    return f"""
+    WITH k AS (SELECT *, {sample_key_sql(['p_partkey'])} AS _k FROM part),
+         lab AS (SELECT DISTINCT p_type, dense_rank() OVER (ORDER BY p_type) - 1 AS label FROM part),
+         s AS (SELECT k.*, label FROM k JOIN lab USING (p_type)),
+         cut AS (SELECT {'label' if target == 'label' else "0"} AS g, list_sort(list(_k))[CAST(round(0.2 * count(*)) AS BIGINT) + 1] AS cut
+                 FROM s GROUP BY 1),
+         t AS (SELECT s.*, _k < cut AS is_test, CAST(s.{target} AS DOUBLE) AS y
+               FROM s JOIN cut ON {'label' if target == 'label' else "0"} = g),
+         d AS (SELECT a.p_partkey, b.y, {distance} AS d FROM t a JOIN t b ON a.is_test AND NOT b.is_test),
+         r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY d, y) AS r FROM d),
+         n AS (SELECT *, min(d) OVER (PARTITION BY p_partkey) AS least FROM r WHERE r <= 5),
+         w AS (SELECT *, {votes} AS w FROM n)
+    {value}"""
+
+
+@register("knn_classify", _knn_sql(
+    "(a.p_size - b.p_size) * (a.p_size - b.p_size) + (a.p_retailprice - b.p_retailprice) * (a.p_retailprice - b.p_retailprice)",
+    "label", "1", """
+    , v AS (SELECT p_partkey, y, sum(w) AS w FROM w GROUP BY 1, 2)
+    SELECT p_partkey, arg_min(y, (-w, y)) AS prediction FROM v GROUP BY 1"""), "M16", "M22")
+def knn_classify(spark, sf_dir):
+    """Class of the five nearest training rows (Euclidean, one vote each)."""
+    r = ML.train_models(fixture(spark, sf_dir, "part"), "p_type", ["p_partkey"], PART_FEATURES, "classification", "knn", 0.2, 2)
+    return r.test_predictions["KNN"].select("p_partkey", "prediction")
+
+
+@register("knn_regress", _knn_sql(
+    "abs(a.p_size - b.p_size) + abs(a.p_partkey - b.p_partkey)", "p_retailprice",
+    "CASE WHEN least = 0 THEN CAST(d = 0 AS DOUBLE) ELSE 1.0 / d END",
+    "SELECT p_partkey, round(sum(w * y) / sum(w), 4) AS prediction FROM w GROUP BY 1"), "M16", "M22")
+def knn_regress(spark, sf_dir):
+    """Mean of the five nearest training rows (Manhattan, weighted by 1 / distance)."""
+    df = fixture(spark, sf_dir, "part").withColumn("key_copy", F.col("p_partkey"))
+    r = ML.train_models(df, "p_retailprice", ["p_partkey"], ["p_size", "key_copy"], "regression", "knn", 0.2, 2,
+                        hp={"knn_metric": "manhattan", "knn_weights": "distance"})
+    return r.test_predictions["KNN"].select("p_partkey", F.round("prediction", 4).alias("prediction"))
+
+
 # Tree ensembles: the library builds them with the reference defaults (200 trees,
 # depth 20); the registered runs pass small, explicit hyperparameters so the
 # check stays short.

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablelab.operators import neighbours as NB
 from tablelab.operators import preprocess as PP
 from tablelab.plans.fixtures import fixture, with_fixtures
 from tablelab.plans.q_profile import LI_NULLS_COLS
@@ -101,6 +102,28 @@ def impute_mode(spark, sf_dir):
     df = fixture(spark, sf_dir, "li_nulls")
     return rounded(PP.fit_impute(df, "mode").transform(df))
 
+# ------------------------------------------------------------------ T5
+
+_KNN_COLS = ["p_size", "p_retailprice", "p_mod"]
+
+
+def _knn_fill(c: str) -> str:
+    ss = " + ".join(f"coalesce((a.{x} - b.{x}) * (a.{x} - b.{x}), 0)" for x in _KNN_COLS)
+    both = " + ".join(f"CAST(a.{x} IS NOT NULL AND b.{x} IS NOT NULL AS INTEGER)" for x in _KNN_COLS)
+    return f"""{c}_d AS (SELECT a.p_partkey, b.{c} AS x, row_number() OVER (
+            PARTITION BY a.p_partkey ORDER BY round(sqrt({ss}) * sqrt({ss}) * (3.0 / ({both})), 9), b.p_partkey) AS r
+          FROM part_nulls a JOIN part_nulls b ON a.{c} IS NULL AND b.{c} IS NOT NULL AND {both} > 0),
+        {c}_f AS (SELECT p_partkey, avg(x) AS x FROM {c}_d WHERE r <= 5 GROUP BY 1)"""
+
+
+@register("impute_knn", with_fixtures(
+    "WITH " + ",\n".join(map(_knn_fill, _KNN_COLS)) + " SELECT p_partkey, "
+    + ", ".join(f"round(coalesce(n.{c}, {c}_f.x, (SELECT avg({c}) FROM part_nulls)), 6) AS {c}" for c in _KNN_COLS)
+    + " FROM part_nulls n " + " ".join(f"LEFT JOIN {c}_f USING (p_partkey)" for c in _KNN_COLS), "part_nulls"), "T5")
+def impute_knn(spark, sf_dir):
+    """Mean of the five nearest rows that have the column (all patterns of missing columns at once)."""
+    return rounded(NB.impute_knn(fixture(spark, sf_dir, "part_nulls"), ["p_partkey"]))
+
 
 @register("missing_handled", with_fixtures(
     "SELECT CAST(" + " + ".join(f"(count(*) - count({c}))" for c in LI_NULLS_COLS) + " AS BIGINT) AS missing_before, "

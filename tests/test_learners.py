@@ -76,3 +76,71 @@ def test_kernel_choice_and_gamma_reach_the_regression(spark):
         out = KM.KernelSVR(c=100.0, kernel=kernel, gamma=gamma).fit(df).transform(df).collect()
         left[kernel, gamma] = max(abs(r.label - r.prediction) for r in out)
     assert left["rbf", "scale"] < 0.2 < min(v for k, v in left.items() if k not in (("rbf", "scale"), ("sigmoid", 0.5), ("poly", "auto")))
+
+
+# ------------------------------------------------------------------ nearest neighbours
+
+def brute_nearest(queries, data, k, p):
+    out = []
+    for g, qid, v in queries:
+        near = sorted((sum(abs(a - b) ** p for a, b in zip(v, w)), t, i) for h, i, t, w in data if h == g)[:k]
+        out += [(qid, i, r + 1) for r, (_, _, i) in enumerate(near)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_nearest_matches_brute_force_with_hot_values(spark, metric, monkeypatch):
+    from tablelab.operators import neighbours as NB
+    monkeypatch.setattr(NB, "SLICE_ROWS", 20)
+    monkeypatch.setattr(NB, "BLOCK_QUERIES", 7)
+    rnd = random.Random(3)
+    point = lambda n: [1.0] * n if rnd.random() < 0.35 else [float(rnd.randrange(-20, 20)) for _ in range(n)]
+    data = [(g, 1000 * g + i, float(rnd.randrange(3)), point(2 + g)) for g in (0, 1, 3) for i in range(200 if g < 3 else 2)]
+    asked = [(g, 100 * g + i, point(2 + g)) for g in (0, 1, 2, 3) for i in range(40)]
+    d = spark.createDataFrame(data, "g int, id long, t double, v array<double>")
+    a = spark.createDataFrame(asked, "g int, q long, v array<double>")
+    got = sorted(tuple(r) for r in NB.nearest(a, d, 4, metric).select("q", "id", "rank").collect())
+    assert got == brute_nearest(asked, data, 4, NB.METRICS[metric])
+    assert NB.nearest(a, d.limit(0), 4).count() == 0 and NB.nearest(a.limit(0), d, 4).count() == 0
+
+
+def test_nearest_joins_reachable_cells_only(spark, monkeypatch):
+    from tablelab.operators import neighbours as NB
+    rng = np.random.default_rng(0)
+    at = rng.uniform(0, 1000, size=(4000, 2))
+    d = spark.createDataFrame([(0, i, 0.0, list(map(float, x))) for i, x in enumerate(at)], "g int, id long, t double, v array<double>")
+    met = []
+    real = NB._meet
+    monkeypatch.setattr(NB, "_meet", lambda queries, data, cells, k: (met.append((queries.count(), cells)), real(queries, data, cells, k))[1])
+    found = NB.nearest(d.where("id < 500").select("g", F.col("id").alias("q"), "v"), d, 3).where("rank = 1").collect()
+    assert len(found) == 500 and all(r.q == r.id for r in found)
+    cells = met[0][1]
+    assert met[0][0] == 500 and met[1][0] < 500 * len(cells.rows) * 0.15
+
+
+def test_knn_models_vote_and_save(spark, tmp_path):
+    from tablelab.operators import neighbours as NB
+    df = vectors(spark, [(0, 1), (0, 1), (1, 0), (2, 0), (2.5, 2), (9, 2)], ("x",))
+    asked = vectors(spark, [(0, 0), (1.4, 0), (8, 0)], ("x",))
+    stage = NB.KNN("classification", 3, k=3).fit(df)
+    rows = stage.transform(asked).orderBy("features").collect()
+    assert [r.prediction for r in rows] == [1, 0, 2] and rows[2].probability.toArray().tolist() == pytest.approx([1 / 3, 0, 2 / 3])
+    near = NB.KNN("regression", 0, k=3, weights="distance").fit(df).transform(asked).orderBy("features").collect()
+    assert near[0].prediction == 1.0  # rows at distance 0 alone
+    assert near[1].prediction == pytest.approx((2 / 1.1) / (1 / 0.4 + 1 / 0.6 + 1 / 1.1))
+    PipelineModel(stages=[stage]).write().overwrite().save(str(tmp_path / "knn"))
+    again = PipelineModel.load(str(tmp_path / "knn")).transform(asked).orderBy("features").collect()
+    assert [r.prediction for r in again] == [r.prediction for r in rows]
+    with pytest.raises(ValueError):
+        NB.KNN("regression", metric="cosine")
+
+
+def test_knn_imputation_of_odd_rows(spark):
+    from tablelab.operators import neighbours as NB
+    rows = [(1, 1.0, 10.0, None), (2, 2.0, None, None), (3, None, None, None), (4, None, 30.0, None), (5, 3.0, 30.0, None), (6, float("nan"), 11.0, None)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double")
+    got = {r.id: (r.a, r.b, r.c) for r in NB.impute_knn(df, ["id"], k=1).collect()}
+    assert got == {1: (1, 10, None), 2: (2, 10, None), 3: (2, 20.25, None), 4: (3, 30, None), 5: (3, 30, None), 6: (1, 11, None)}
+    assert NB.impute_knn(df.limit(0), ["id"]).count() == 0
+    full = df.where("id in (1, 5)").drop("c")
+    assert sorted(map(tuple, NB.impute_knn(full, ["id"]).collect())) == [(1, 1.0, 10.0), (5, 3.0, 30.0)]
