@@ -28,6 +28,7 @@ from tablelab.functions.stats import NUMERIC_TYPES, prefix_sums, q, sample_key
 from tablelab.operators import kernel as KM
 from tablelab.operators import metrics as MT
 from tablelab.operators import neighbours as NB
+from tablelab.operators import network as NW
 from tablelab.operators import stages as ST
 from tablelab.session import cut_lineage
 
@@ -46,7 +47,7 @@ MODEL_KEYS = {
     "svm": ["SVM"], "decision_tree": ["Decision Tree"], "mlp": ["MLP"], "naive_bayes": ["Naive Bayes"],
     "knn": ["KNN"], "gradient_boosting": ["Gradient Boosting"], "svr": ["SVR"], "adaboost": ["AdaBoost"],
 }
-SCALED = ("Linear", "Logistic", "Ridge", "Lasso", "SVR", "SVM")
+SCALED = ("Linear", "Logistic", "Ridge", "Lasso", "SVR", "SVM", "MLP")
 SPARK_MAX_DEPTH = 30
 MAX_CLASSES = 100_000
 LITERAL_CLASSES = 200
@@ -160,6 +161,13 @@ def _lgb_depth(h: dict) -> int:
     return max(1, math.ceil(math.log2(h["lgb_num_leaves"])))
 
 
+def mlp_options(n_train: int) -> NW.Options:
+    """Hidden layers 100 and 50, Adam, no held-out fold: the training loss
+    decides when to stop."""
+    return NW.Options([100, 50], [0.0, 0.0], optimizer="adam", l2=1e-4, batch_norm=False, epochs=500,
+                      batch_size=max(1, min(200, n_train)), validation=0.0, patience=10, lr_patience=1000)
+
+
 def regressors(hp: dict, n_train: int, n_features: int) -> dict:
     """M8, M9, M11-M15, M17, M19, M21 for regression."""
     h = {**DEFAULTS, **(hp or {})}
@@ -179,7 +187,7 @@ def regressors(hp: dict, n_train: int, n_features: int) -> dict:
         "Decision Tree": R.DecisionTreeRegressor(maxDepth=d, seed=42, **size),
         "KNN": NB.KNN("regression", 0, h["knn_neighbors"], h["knn_weights"], h["knn_metric"]),
         "SVR": KM.KernelSVR(h["svm_c"], h["svm_kernel"], h["svm_gamma"]),
-        "MLP": ST.MLPRegression(n_features),
+        "MLP": NW.Network("regression", 0, mlp_options(n_train)),
         "XGBoost": R.GBTRegressor(maxIter=h["n_estimators"], stepSize=h["xgb_learning_rate"],
                                   maxDepth=h["xgb_max_depth"], subsamplingRate=h["xgb_subsample"],
                                   featureSubsetStrategy=str(h["xgb_colsample_bytree"]), seed=42, **size),
@@ -215,7 +223,7 @@ def classifiers(hp: dict, n_train: int, n_classes: int, n_features: int) -> dict
         "KNN": NB.KNN("classification", n_classes, h["knn_neighbors"], h["knn_weights"], h["knn_metric"]),
         "Naive Bayes": C.NaiveBayes(modelType="gaussian"),
         "SVM": KM.KernelSVM(n_classes, h["svm_c"], h["svm_kernel"], h["svm_gamma"]),
-        "MLP": C.MultilayerPerceptronClassifier(layers=[n_features, 100, 50, n_classes], maxIter=500, seed=42),
+        "MLP": NW.Network("classification", n_classes, mlp_options(n_train)),
         "XGBoost": boosted(maxIter=h["n_estimators"], stepSize=h["xgb_learning_rate"], maxDepth=h["xgb_max_depth"],
                            subsamplingRate=h["xgb_subsample"], featureSubsetStrategy=str(h["xgb_colsample_bytree"])),
         "LightGBM": boosted(maxIter=h["n_estimators"], stepSize=h["lgb_learning_rate"], maxDepth=_lgb_depth(h),
@@ -438,21 +446,35 @@ def nn_layers(n_inputs: int, user_layers: list[int] | None = None) -> list[int]:
     return [512, 256, 128, 64]
 
 
+def nn_dropout(layers: list[int], n_inputs: int, user_layers: list[int] | None) -> list[float]:
+    """A2 dropout rule: falling to 0.1 over the layers of the width rule, 0.3 for given layers."""
+    if user_layers:
+        return [0.3] * len(layers)
+    top = 2 if n_inputs <= 10 else 3 if n_inputs <= 50 else 4
+    return [max(1, top - i) / 10 for i in range(len(layers))]
+
+
 def train_nn(df: DataFrame, target: str, key: list[str], features: list[str] | None = None,
              test_size: float = 0.2, max_epochs: int = 150, layers: list[int] | None = None,
-             tol: float = 1e-6) -> tuple[DataFrame, DataFrame, PipelineModel]:
-    """A1-A3 (classification): softmax multilayer perceptron over standardised
-    features, trained with Spark's L-BFGS for at most ``max_epochs``
-    iterations.  Returns (scores frame, test predictions, model)."""
+             problem: str = "classification", **options) -> tuple[DataFrame, DataFrame, PipelineModel]:
+    """A1-A3: network over standardised features with a linear, sigmoid or softmax
+    head, mini-batches, a held-out fold, early stop, halving of the rate and the
+    best weights kept (``options``: fields of ``network.Options``).  Returns
+    (scores frame, test predictions, model)."""
     feats = select_features(df, target, features)
-    base, classes = label_index(df.where(q(target).isNotNull()), target)
-    split = cut_lineage(with_feature_inputs(train_test_split(base, key, test_size, "label"), feats))
+    base, classes = df.where(q(target).isNotNull()), []
+    if problem == "classification":
+        base, classes = label_index(base, target)
+    else:
+        base = base.withColumn("label", q(target).cast("double"))
+    strata = "label" if classes else None
+    split = cut_lineage(with_feature_inputs(train_test_split(base, key, test_size, strata), feats))
     train, test = split.where(~F.col("is_test")), split.where(F.col("is_test"))
-    mlp = C.MultilayerPerceptronClassifier(layers=[len(feats), *nn_layers(len(feats), layers), len(classes)],
-                                           maxIter=max_epochs, tol=tol, seed=42)
-    model = feature_pipeline(feats, mlp, True).fit(train)
+    hidden = nn_layers(len(feats), layers)
+    given = {"hidden": hidden, "dropout": nn_dropout(hidden, len(feats), layers), "epochs": max_epochs, **options}
+    model = feature_pipeline(feats, NW.Network(problem, len(classes), NW.Options(**given)), True).fit(train)
     pred = model.transform(test)
-    s = _scores_row("classification", pred, len(classes))
+    s = _scores_row(problem, pred, len(classes))
     spark = df.sparkSession
     scores = spark.createDataFrame([(k, float(v) if v is not None else None) for k, v in sorted(s.items())],
                                    "metric string, value double")
@@ -460,15 +482,13 @@ def train_nn(df: DataFrame, target: str, key: list[str], features: list[str] | N
 
 
 def training_history(model: PipelineModel) -> DataFrame:
-    """A4: loss per optimiser iteration of the network (L-BFGS objective
-    history) and the best iteration (1-based argmin)."""
-    mlp = model.stages[-1]
-    summ = mlp.summary() if callable(mlp.summary) else mlp.summary
-    hist = list(summ.objectiveHistory)
+    """A4: training and held-out loss and learning rate per epoch, and which epoch
+    was best (first smallest held-out loss)."""
+    hist = model.stages[-1].history
     spark = SparkSession.getActiveSession()
-    best = min(range(len(hist)), key=lambda i: hist[i]) + 1 if hist else None
-    return spark.createDataFrame([(i + 1, float(v), i + 1 == best) for i, v in enumerate(hist)],
-                                 "epoch int, loss double, is_best boolean")
+    best = min(hist, key=lambda h: (h[2], h[0]))[0] if hist else None
+    return spark.createDataFrame([(e, float(a), float(b), float(lr), e == best) for e, a, b, lr in hist],
+                                 "epoch int, loss double, val_loss double, learning_rate double, is_best boolean")
 
 
 def confidence(pred: DataFrame) -> DataFrame:

@@ -1,24 +1,19 @@
 """Pipeline stages that ``pyspark.ml`` lacks, for use inside a ``Pipeline``:
-AdaBoost and the regression network as estimators with saved state, and random
-cuts for extra trees (made of built-in transformers)."""
+AdaBoost as an estimator with saved state, and random cuts for extra trees
+(made of built-in transformers)."""
 
 from __future__ import annotations
 
 import math
 import random
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import Estimator
 from pyspark.ml.classification import DecisionTreeClassificationModel
 from pyspark.ml.feature import Bucketizer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressionModel
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tablelab.operators.ensemble import AdaBoostModel, adaboost
-from tablelab.operators.nn import MLPRegressor, _forward, _unflatten
 from tablelab.operators.saved import Saved
 
 CUT_VARIANTS = 8   # independently cut copies of each feature
@@ -59,47 +54,6 @@ class AdaBoostStage(Saved):
         return self.model.transform(dataset)
 
 
-# ---------------------------------------------------------- regression network
-
-class MLPRegression(Estimator):
-    """M19 (regression) as an estimator on ``features`` and ``label``."""
-
-    def __init__(self, n_features: int, hidden: tuple = (100, 50), epochs: int = 200, learning_rate: float = 1e-3):
-        super().__init__()
-        self.n_features, self.hidden, self.epochs, self.learning_rate = n_features, hidden, epochs, learning_rate
-
-    def _fit(self, dataset: DataFrame) -> "MLPRegressionStage":
-        names = [f"x{i}" for i in range(self.n_features)]
-        values = vector_to_array("features")
-        rows = dataset.select(*[values[i].alias(c) for i, c in enumerate(names)], "label")
-        net = MLPRegressor(names, self.hidden).fit(rows, "label", epochs=self.epochs, lr=self.learning_rate)
-        return MLPRegressionStage(net.theta.tolist(), net.sizes)
-
-
-class MLPRegressionStage(Saved):
-    def __init__(self, theta: list, sizes: list):
-        super().__init__()
-        self.theta, self.sizes = theta, sizes
-
-    def state(self) -> dict:
-        return {"theta": self.theta, "sizes": self.sizes}
-
-    @classmethod
-    def restore(cls, state: dict, path: str) -> "MLPRegressionStage":
-        return cls(state["theta"], state["sizes"])
-
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        theta, sizes = np.array(self.theta), self.sizes
-
-        @F.pandas_udf("double")
-        def forward(x: pd.Series) -> pd.Series:
-            if not len(x):
-                return pd.Series([], dtype="float64")
-            return pd.Series(_forward(np.nan_to_num(np.stack(x.to_numpy())), _unflatten(theta, sizes))[-1].ravel())
-
-        return dataset.withColumn("prediction", forward(vector_to_array("features")))
-
-
 # ---------------------------------------------- stages from built-in transformers
 
 def random_cuts(inputs: list[str], ranges: list[tuple[float, float]], seed: int = 42) -> list:

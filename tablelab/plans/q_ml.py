@@ -230,14 +230,14 @@ def train_svm(spark, sf_dir):
 @register("train_nn", None, "A1", "A2", "A3", "M19")
 def train_nn(spark, sf_dir):
     df = fixture(spark, sf_dir, "li_ml")
-    scores, _, _ = ML.train_nn(df, "l_returnflag", LI_KEY, ML_FEATURES, 0.2, 150)
+    scores, _, _ = ML.train_nn(df, "l_returnflag", LI_KEY, ML_FEATURES)
     return scores
 
 
 @register("nn_history", None, "A4")
 def nn_history(spark, sf_dir):
     df = fixture(spark, sf_dir, "li_ml")
-    _, _, model = ML.train_nn(df, "returned", LI_KEY, ML_FEATURES, 0.2, 50)
+    _, _, model = ML.train_nn(df, "returned", LI_KEY, ML_FEATURES)
     return ML.training_history(model)
 
 
@@ -351,17 +351,8 @@ def train_lightgbm(spark, sf_dir):
 
 @register("train_mlp_regressor", None, "M19", "A1", "A2")
 def train_mlp_regressor(spark, sf_dir):
-    """Regression MLP (hidden 100, 50) on standardised features, 30 epochs."""
-    from tablelab.operators.nn import MLPRegressor
-    from tablelab.operators.preprocess import fit_impute, fit_scale
-    df = ML.train_test_split(fixture(spark, sf_dir, "li_ml"), LI_KEY, 0.2, None)
-    train = df.where(~F.col("is_test"))
-    imp = fit_impute(train.select(*ML_FEATURES), "mean")
-    sc = fit_scale(imp.transform(train.select(*ML_FEATURES)), "standard")
-    prep = lambda d: sc.transform(imp.transform(d))
-    model = MLPRegressor(ML_FEATURES).fit(prep(train), "l_quantity", epochs=30, lr=1e-2)
-    pred = model.transform(prep(df.where(F.col("is_test"))))
-    return MT.regression_metrics(pred, "l_quantity", "prediction")
+    """Network of two hidden layers with a linear head."""
+    return _by_key(spark, sf_dir, "l_quantity", "regression", "mlp")
 
 
 # ------------------------------------------------------------------ closed forms

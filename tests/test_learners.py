@@ -144,3 +144,82 @@ def test_knn_imputation_of_odd_rows(spark):
     assert NB.impute_knn(df.limit(0), ["id"]).count() == 0
     full = df.where("id in (1, 5)").drop("c")
     assert sorted(map(tuple, NB.impute_knn(full, ["id"]).collect())) == [(1, 1.0, 10.0), (5, 3.0, 30.0)]
+
+
+# ------------------------------------------------------------------------- network
+
+def test_callbacks_on_planted_loss_curves():
+    from tablelab.operators.network import Callbacks
+    c = Callbacks(0.1, patience=3, lr_patience=2, min_lr=0.04)
+    seen = [(c.epoch(loss), c.improved, c.lr) for loss in (5.0, 4.0, 4.0, 4.5, 3.0, 3.1, 3.2, 3.3)]
+    assert [s[1] for s in seen] == [True, True, False, False, True, False, False, False]
+    assert [s[2] for s in seen] == [0.1, 0.1, 0.1, 0.05, 0.05, 0.05, 0.04, 0.04]  # halved, and held at the least
+    assert [s[0] for s in seen] == [True] * 7 + [False] and c.best == 3.0
+    small = Callbacks(0.1, lr_patience=2)
+    for loss in (1.0, 0.99995, 0.9999):   # below the plateau's threshold, yet better weights
+        small.epoch(loss)
+    assert small.lr == 0.05 and small.waited == 0
+
+
+def test_batch_and_head_rules():
+    from tablelab.operators import network as NW
+    assert [NW.batch_rule(n) for n in (10, 800, 100_000)] == [16, 25, 64]
+    assert [NW.head_of(*x) for x in (("regression", 0), ("classification", 2), ("classification", 3))] == ["linear", "sigmoid", "softmax"]
+    assert ML.nn_dropout([64, 32], 5, None) == [0.2, 0.1] and ML.nn_dropout([256, 128, 64, 32], 80, None) == [0.4, 0.3, 0.2, 0.1]
+
+
+@pytest.mark.parametrize("head", ["linear", "sigmoid", "softmax"])
+@pytest.mark.parametrize("activation", ["relu", "tanh", "elu", "selu", "sigmoid"])
+def test_network_gradient_matches_differences(head, activation):
+    from tablelab.operators import network as NW
+    o = NW.Options([5, 4], [0.0, 0.0], activation=activation, l2=0.01)
+    net = NW.Net([3, 5, 4, 3 if head == "softmax" else 1], head, o)
+    rng = np.random.default_rng(0)
+    net.theta += rng.normal(scale=0.1, size=len(net.theta)) * net.trained
+    x, y = rng.normal(size=(12, 3)), rng.integers(0, 3 if head == "softmax" else 2, 12).astype(float)
+    hidden = net.decayed.copy()
+    hidden[-(net.parts[-1]["w"].size + net.parts[-1]["b"].size):] = False
+
+    def value(theta):
+        other = NW.Net(net.sizes, head, o, theta)
+        return other.loss(other.forward(x, np.random.RandomState(0))[0], y)[0] / len(x) + o.l2 * (hidden * theta ** 2).sum()
+    start = net.theta.copy()
+    _, g = NW.Net(net.sizes, head, o, start).gradient(x, y, np.random.RandomState(0))
+    for i in np.flatnonzero(net.trained)[::7]:
+        d = np.zeros(len(start))
+        d[i] = 1e-6
+        assert g[i] == pytest.approx((value(start + d) - value(start - d)) / 2e-6, abs=2e-5)
+
+
+def test_network_learns_stops_and_keeps_the_best_weights(spark, tmp_path):
+    from tablelab.operators import network as NW
+    rnd = random.Random(1)
+    rows = [(x, y, float(x * y > 0)) for x, y in ((rnd.uniform(-1, 1), rnd.uniform(-1, 1)) for _ in range(1500))]
+    df = vectors(spark, rows, ("a", "b")).repartition(3)
+    o = NW.Options([32, 16], [0.0, 0.0], learning_rate=0.02, epochs=40, patience=6, lr_patience=3)
+    stage = NW.Network("classification", 2, o).fit(df)
+    out = stage.transform(df).select("label", "prediction", "probability").collect()
+    assert sum(r.label == r.prediction for r in out) > 1350 and all(abs(sum(r.probability) - 1) < 1e-9 for r in out)
+    losses = [h[2] for h in stage.history]
+    assert len(losses) <= 40 and (len(losses) == 40 or len(losses) - 1 - int(np.argmin(losses)) == 6)
+    net = NW.Net(stage.sizes, stage.head, o, stage.theta)
+    held = NW.network_blocks(df, o.validation).where("held").collect()
+    got = sum(net.loss(net.forward(np.frombuffer(r.x).reshape(r.n, -1))[0], np.frombuffer(r.y))[0] for r in held) / sum(r.n for r in held)
+    assert got == pytest.approx(min(losses))
+    PipelineModel(stages=[stage]).write().overwrite().save(str(tmp_path / "net"))
+    again = PipelineModel.load(str(tmp_path / "net")).transform(df)
+    pick = lambda rows: sorted((tuple(r.features), r.prediction) for r in rows)
+    assert pick(again.collect()) == pick(stage.transform(df).collect())
+
+
+def test_three_class_and_linear_networks(spark):
+    from tablelab.operators import network as NW
+    rows = [(i % 30 / 10, float(i % 30 // 10)) for i in range(600)]
+    df = vectors(spark, rows, ("a",))
+    o = NW.Options([16], [0.0], learning_rate=0.02, epochs=25, batch_norm=False, l2=0.0)
+    out = NW.Network("classification", 3, o).fit(df).transform(df).collect()
+    assert sum(r.label == r.prediction for r in out) > 540 and len(out[0].probability) == 3
+    for optimizer in ("sgd", "rmsprop"):
+        o.optimizer = optimizer
+        stage = NW.Network("regression", 0, o).fit(df)
+        assert stage.history[-1][1] < stage.history[0][1]

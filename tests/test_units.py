@@ -389,11 +389,11 @@ def test_hot_value_a_third_of_rows(spark, monkeypatch):
 
 
 def test_mlp_regressor_fits_planted_relation(spark):
-    from tablelab.operators.nn import MLPRegressor
+    from tablelab.operators import ml as ML
     rnd = random.Random(8)
-    rows = [(x, 3 * x + 1 + rnd.gauss(0, 0.05)) for x in (rnd.uniform(-1, 1) for _ in range(300))]
-    df = spark.createDataFrame(rows, "x double, y double")
-    m = MLPRegressor(["x"], hidden=(16, 8)).fit(df, "y", epochs=150, lr=0.02, patience=30)
-    r2 = MT.regression_metrics(m.transform(df), "y", "prediction").first()["r2"]
-    assert r2 > 0.9
-    assert m.history[-1][1] < m.history[0][1]
+    rows = [(i, x, 3 * x + 1 + rnd.gauss(0, 0.05)) for i, x in enumerate(rnd.uniform(-1, 1) for _ in range(300))]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    scores, _, model = ML.train_nn(df, "y", ["id"], ["x"], 0.2, 60, [16, 8], "regression", dropout=[0.0, 0.0], batch_norm=False, learning_rate=0.01)
+    assert {r["metric"]: r["value"] for r in scores.collect()}["r2"] > 0.9
+    hist = ML.training_history(model).collect()
+    assert hist[-1]["loss"] < hist[0]["loss"] and sum(r["is_best"] for r in hist) == 1
