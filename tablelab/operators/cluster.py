@@ -1,4 +1,4 @@
-"""Clustering (C1-C8): k-means on standardised numerics with ``pyspark.ml``;
+"""Clustering (C1-C8): k-means on standardised numerics, all k and starts at once (:mod:`lloyd`);
 profiles, sizes and the Calinski-Harabasz ratio are aggregates over the
 assignment.  ``assign_nearest`` is the deterministic stand-in (given centroids)
 that SQL can replay."""
@@ -7,13 +7,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.ml.clustering import KMeans
+import numpy as np
+import pandas as pd
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablelab.functions.stats import attach, q
+from tablelab.operators.lloyd import fit_all
 from tablelab.operators.preprocess import fit_impute, fit_scale, numeric_cols
 from tablelab.session import cut_lineage
 
@@ -31,17 +34,29 @@ def prepare(df: DataFrame, cols: list[str] | None = None, key: list[str] | None
     return VectorAssembler(inputCols=cols, outputCol="features").transform(scaled), cols
 
 
-def k_sweep(feat: DataFrame, k_max: int = 10, seed: int = 42) -> DataFrame:
-    """C2 + C3: for k = 2..min(k_max, n-1): k-means inertia and silhouette
-    (Spark's evaluator: squared-Euclidean silhouette, computed in O(n k))."""
+def k_sweep(feat: DataFrame, k_max: int = 10, seed: int = 42, starts: int = 10) -> tuple[DataFrame, dict]:
+    """C2 + C3: for k = 2..min(k_max, n-1): k-means inertia, the best of ``starts``
+    runs, and silhouette (Spark's evaluator: squared-Euclidean silhouette, computed
+    in O(n k)); also the centres by k."""
     feat = cut_lineage(feat.select("features"))
     n = feat.count()
+    ks = list(range(2, min(k_max, n - 1) + 1))
+    models = fit_all(feat, ks, starts, seed) if ks else {}
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
-    rows = []
-    for k in range(2, min(k_max, n - 1) + 1):
-        m = KMeans(k=k, seed=seed, featuresCol="features").fit(feat)
-        rows.append((k, float(m.summary.trainingCost), float(ev.evaluate(m.transform(feat)))))
-    return feat.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
+    rows = [(k, models[k][1], float(ev.evaluate(assign_centers(feat, models[k][0], "prediction")))) for k in ks]
+    return feat.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double"), {k: m[0] for k, m in models.items()}
+
+
+def assign_centers(feat: DataFrame, centers: np.ndarray, out: str) -> DataFrame:
+    """Index of the nearest centre (ties: the first) of the vector column ``features``."""
+    @F.pandas_udf("int")
+    def near(x: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype="int32")
+        x = np.stack(x.to_numpy())
+        return pd.Series(((centers * centers).sum(1) - 2 * (x @ centers.T)).argmin(1).astype("int32"))
+
+    return feat.withColumn(out, near(vector_to_array("features")))
 
 
 @dataclass
@@ -61,16 +76,14 @@ def run(df: DataFrame, cols: list[str] | None = None, key: list[str] | None = No
     centroids."""
     feat, cols = prepare(df, cols, key)
     feat = cut_lineage(feat)
-    sweep = k_sweep(feat, k_max, seed)
+    sweep, models = k_sweep(feat, k_max, seed)
     best = sorted(sweep.collect(), key=lambda r: (-r["silhouette"], r["k"]))[0]["k"]   # <= k_max rows
-    model = KMeans(k=best, seed=seed, featuresCol="features").fit(feat)
-    assigned = model.transform(feat).withColumnRenamed("prediction", "cluster")
+    assigned = assign_centers(feat, models[best], "cluster")
     pca = PCA(k=2, inputCol="features", outputCol="pc").fit(feat)
-    from pyspark.ml.functions import vector_to_array
     proj = pca.transform(assigned).select(*[q(k) for k in (key or [])], "cluster",
                                           vector_to_array("pc")[0].alias("pc1"), vector_to_array("pc")[1].alias("pc2"))
     pc = pca.pc.toArray()
-    centers = [[float(sum(c[i] * pc[i][j] for i in range(len(c)))) for j in range(2)] for c in model.clusterCenters()]
+    centers = [[float(sum(c[i] * pc[i][j] for i in range(len(c)))) for j in range(2)] for c in models[best]]
     return ClusterRun(best, sweep, assigned, proj, centers, [float(v) for v in pca.explainedVariance.toArray()])
 
 

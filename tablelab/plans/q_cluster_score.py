@@ -66,7 +66,7 @@ def calinski_harabasz(spark, sf_dir):
 @register("cluster_sweep", None, "C1", "C2", "C3")
 def cluster_sweep(spark, sf_dir):
     feat, _ = CL.prepare(fixture(spark, sf_dir, "li_num"), ["l_quantity", "l_extendedprice", "l_discount"])
-    return CL.k_sweep(feat, 10)
+    return CL.k_sweep(feat, 10)[0]
 
 
 @register("cluster_projection", None, "C4", "C5", "C6", "C7")

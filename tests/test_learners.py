@@ -223,3 +223,33 @@ def test_three_class_and_linear_networks(spark):
         o.optimizer = optimizer
         stage = NW.Network("regression", 0, o).fit(df)
         assert stage.history[-1][1] < stage.history[0][1]
+
+
+# ------------------------------------------------------------------------- k-means
+
+def test_ten_starts_are_never_worse_than_one_and_share_their_scans(spark, monkeypatch):
+    from tablelab.operators import lloyd
+    rng = np.random.default_rng(2)
+    spots = rng.uniform(-10, 10, size=(7, 2))
+    x = np.vstack([s + rng.normal(scale=0.4, size=(60, 2)) for s in spots])
+    df = vectors(spark, [(*r, 0) for r in x], ("a", "b"))
+    passes = []
+    real = lloyd.step
+    monkeypatch.setattr(lloyd, "step", lambda blocks, models: (passes.append(len(models)), real(blocks, models))[1])
+    many = lloyd.fit_all(df, [2, 7], 10)
+    assert passes[0] == 20 and len(passes) < 60   # all models in one pass
+    one = lloyd.fit_all(df, [2, 7], 1)
+    for k in (2, 7):
+        centers, inertia = many[k]
+        assert inertia <= one[k][1] + 1e-9
+        away = ((x[:, None] - centers[None]) ** 2).sum(2).min(1).sum()
+        assert inertia == pytest.approx(away)
+    assert many[7][1] < 2 * 420 * 0.4 ** 2 * 1.2   # all seven spots are found
+
+
+def test_kmeans_on_repeated_and_missing_rows(spark):
+    from tablelab.operators import lloyd
+    df = vectors(spark, [(1, 1, 0)] * 50 + [(2, 2, 0)], ("a", "b"))
+    got = lloyd.fit_all(df, [2, 3], 3)
+    assert got[2][1] == pytest.approx(0) and got[3][1] == pytest.approx(0)
+    assert lloyd.fit_all(df.limit(0), [2], 2) == {}
