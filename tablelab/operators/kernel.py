@@ -177,7 +177,7 @@ def evaluate(blocks: DataFrame, w: np.ndarray, loss) -> tuple[float, np.ndarray]
     return float(got[-1]), got[:-1].reshape(w.shape)
 
 
-def minimise(blocks: DataFrame, loss, outputs: int, width: int, penalty: float, max_iter: int = 60, tol: float = 1e-4,
+def minimise(blocks: DataFrame, loss, outputs: int, width: int, penalty: float, max_iter: int = 40, tol: float = 1e-4,
              start: np.ndarray | None = None) -> np.ndarray:
     """L-BFGS on mean loss + penalty / 2 * |weights without the last column|^2."""
     n = blocks.agg(F.sum("n")).first()[0] or 1
@@ -240,7 +240,7 @@ class KernelSVM(Estimator):
         outputs = self.n_classes if self.n_classes > 2 else 1
         w = minimise(blocks, hinge, outputs, width, 1.0 / (self.c * n))
 
-        platt = minimise(_margin_blocks(blocks, w), cross_entropy, self.n_classes, outputs + 1, 1e-3, max_iter=30)
+        platt = minimise(_margin_blocks(blocks, w), cross_entropy, self.n_classes, outputs + 1, 1e-3, max_iter=15)
         return KernelSVMStage(mapped, w, platt)
 
 

@@ -31,6 +31,7 @@ from tablelab.operators import neighbours as NB
 from tablelab.operators import network as NW
 from tablelab.operators import stages as ST
 from tablelab.session import cut_lineage
+from tablelab.sources import ledger
 
 # FIXED VALUES: default hyperparameters and model-choice keys.
 DEFAULTS = {
@@ -405,9 +406,12 @@ def feature_importance(result: TrainResult) -> DataFrame:
 # --------------------------------------------------------------------------
 
 def models_dir(spark: SparkSession) -> str:
-    """Shared folder for saved pipelines: next to the session's checkpoint
-    folder (``spark.checkpoint.dir`` on a cluster)."""
+    """Shared folder for saved pipelines: the session's ``spark.tablelab.models.dir``,
+    else below the checkpoint folder (``spark.checkpoint.dir`` on a cluster)."""
     from tablelab.session import ensure_checkpoint_dir
+    given = spark.conf.get("spark.tablelab.models.dir", None)
+    if given:
+        return given.rstrip("/")
     return ensure_checkpoint_dir(spark).rstrip("/") + "/tablelab-models"
 
 
@@ -425,6 +429,23 @@ def save_models(result: TrainResult, root: str, run_id: str) -> DataFrame:
                                        "features array<string>, classes array<string>, scores string")
 
 
+REGISTRY_FIELDS = ("name string, path string, type string, framework string, features array<string>, "
+                   "classes array<string>, scores string")
+
+
+def register_run(result: TrainResult, root: str, run_id: str) -> bool:
+    """Save a run's pipelines below ``root`` and append its entries to the
+    registry there; False if the run is in it already."""
+    if run_id in ledger.runs(next(iter(result.test_predictions.values())).sparkSession, f"{root}/registry"):
+        return False
+    return ledger.append(save_models(result, root, run_id), f"{root}/registry", run_id)
+
+
+def registry(spark: SparkSession, root: str) -> DataFrame:
+    """All entries of all runs, with their ``run_id``."""
+    return ledger.read(spark, f"{root}/registry", REGISTRY_FIELDS)
+
+
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 

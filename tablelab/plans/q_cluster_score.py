@@ -97,8 +97,9 @@ def _quick_model(spark, sf_dir, target="l_returnflag", model_type="naive_bayes")
 def batch_scoring(spark, sf_dir):
     r = _quick_model(spark, sf_dir)
     root = ML.models_dir(spark)
-    reg = ML.save_models(r, root, f"run-{uuid.uuid4().hex}")
-    reg = reg.join(r.scores.select(F.col("model").alias("name"), "main_metric"), "name")
+    run_id = f"run-{uuid.uuid4().hex}"
+    ML.register_run(r, root, run_id)
+    reg = ML.registry(spark, root).where(F.col("run_id") == run_id).join(r.scores.select(F.col("model").alias("name"), "main_metric"), "name")
     row = SC.resolve_model(reg, "best")
     model = ML.load_model(row["path"])
     head, total = SC.score_batch(model, fixture(spark, sf_dir, "lineitem"), row["features"], LI_KEY, row["classes"], 100)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from statistics import NormalDist
 
 from tablelab.functions.stats import sample_key_sql
@@ -9,6 +10,8 @@ from tablelab.operators import eda as E
 from tablelab.plans.fixtures import fixture, with_fixtures
 from tablelab.plans.q_profile import LI_KEY, LI_NULLS_COLS
 from tablelab.plans.registry import register, union_all
+from tablelab.session import ensure_checkpoint_dir
+from tablelab.sources import ledger
 
 LI_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
           "l_discount", "l_tax"]
@@ -470,6 +473,31 @@ def bivariate_density(spark, sf_dir):
     return E.bivariate_density(fixture(spark, sf_dir, "li_num"), BIVAR_COLS)
 
 
+SURFACE_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _surface_sql(cols, source, bins=20):
+    """Kernel sums over all occupied cells, straight from the definition."""
+    h = "greatest(pow(n, -1.0 / 6) * sqrt(greatest((s2 - n * (s1 / n) * (s1 / n)) / (n - 1), 0)), 0.5)"
+    k = "exp(-0.5 * ((g - {u}) / {h}) * ((g - {u}) / {h})) / ({h} * sqrt(2 * pi()))"
+    return f"""
+    WITH c AS ({_bivar_sql(cols, source, bins)}),
+         m AS (SELECT col_x, col_y, CAST(sum(cnt) AS DOUBLE) AS n, sum(bx * cnt) AS x1, sum(bx * bx * cnt) AS x2,
+                      sum("by" * cnt) AS y1, sum("by" * "by" * cnt) AS y2 FROM c GROUP BY 1, 2),
+         b AS (SELECT col_x, col_y, n, {h.replace('s2', 'x2').replace('s1', 'x1')} AS hx, {h.replace('s2', 'y2').replace('s1', 'y1')} AS hy FROM m),
+         g AS (SELECT unnest(range({bins})) AS g),
+         d AS (SELECT c.col_x, c.col_y, gx.g AS bx, gy.g AS "by",
+                      sum(cnt / n * {k.format(u='bx', h='hx').replace('(g -', '(gx.g -')} * {k.format(u='"by"', h='hy').replace('(g -', '(gy.g -')}) AS density
+               FROM c JOIN b ON c.col_x = b.col_x AND c.col_y = b.col_y, g gx, g gy GROUP BY 1, 2, 3, 4)
+    SELECT col_x, col_y, CAST(bx AS INTEGER) AS bx, CAST("by" AS INTEGER) AS "by", round(density, 9) AS density,
+           CAST(least(floor(round(density / max(density) OVER (PARTITION BY col_x, col_y), 6) * 10), 9) AS INTEGER) AS level FROM d"""
+
+
+@register("density_surface", with_fixtures(_surface_sql(SURFACE_COLS, "li_num"), "li_num"), "E17")
+def density_surface(spark, sf_dir):
+    return E.density_surface(fixture(spark, sf_dir, "li_num"), SURFACE_COLS)
+
+
 @register("ecdf", with_fixtures(union_all([f"""
     SELECT '{c}' AS "column", x, CAST(cnt AS BIGINT) AS cnt,
            round(sum(cnt) OVER (ORDER BY x) * 1.0 / sum(cnt) OVER (), 9) AS ecdf
@@ -512,3 +540,15 @@ def _eda_summary_sql():
 def eda_summary(spark, sf_dir):
     return E.eda_summary(fixture(spark, sf_dir, "li_nulls"))
 
+
+
+@register("history_append", _eda_summary_sql().replace("SELECT (SELECT count(*) FROM li_nulls)", "SELECT r.run_id, (SELECT count(*) FROM li_nulls)")
+          .replace(") i", ") i, (SELECT unnest(['first', 'second']) AS run_id) r GROUP BY r.run_id") , "E26", "M33")
+def history_append(spark, sf_dir):
+    """Two runs appended to the history, the first given twice: one entry each."""
+    summary = E.eda_summary(fixture(spark, sf_dir, "li_nulls"))
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/history-{uuid.uuid4().hex}"
+    for run_id in ("first", "second", "first"):
+        ledger.append(summary, root, run_id)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in summary.schema)
+    return ledger.read(spark, root, fields)

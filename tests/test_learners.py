@@ -253,3 +253,33 @@ def test_kmeans_on_repeated_and_missing_rows(spark):
     got = lloyd.fit_all(df, [2, 3], 3)
     assert got[2][1] == pytest.approx(0) and got[3][1] == pytest.approx(0)
     assert lloyd.fit_all(df.limit(0), [2], 2) == {}
+
+
+# ------------------------------------------------------------------ appended tables
+
+def test_a_run_is_appended_once_and_broken_attempts_are_not_seen(spark, tmp_path):
+    from tablelab.sources import ledger
+    root, fields = str(tmp_path / "runs"), "a long, b string"
+    one = spark.createDataFrame([(1, "x"), (2, None)], fields)
+    assert ledger.read(spark, root, fields).count() == 0
+    assert ledger.append(one, root, "r1") and not ledger.append(one, root, "r1")   # a retry changes nothing
+    one.write.parquet(f"{root}/r2/data-lost")                                       # an attempt without its marker
+    (tmp_path / "runs" / "r3").mkdir()
+    (tmp_path / "runs" / "r3" / ledger.MARKER).touch()                              # a writer lost while committing
+    assert set(ledger.runs(spark, root)) == {"r1"}
+    assert ledger.append(one.limit(1), root, "r2") and ledger.append(one.limit(0), root, "r3")
+    got = sorted((r.run_id, r.a) for r in ledger.read(spark, root, fields).collect())
+    assert got == [("r1", 1), ("r1", 2), ("r2", 1)] and set(ledger.runs(spark, root)) == {"r1", "r2", "r3"}
+    with pytest.raises(ValueError):
+        ledger.append(one, root, "../r4")
+
+
+def test_registry_holds_each_run_once(spark, tmp_path):
+    rows = [(i, float(i % 7), float(i % 7 > 3)) for i in range(80)]
+    df = spark.createDataFrame(rows, "id long, a double, y double")
+    r = ML.train_models(df, "y", ["id"], ["a"], "classification", "naive_bayes", 0.25, 2)
+    root = str(tmp_path / "models")
+    assert ML.register_run(r, root, "run-1") and ML.register_run(r, root, "run-2") and not ML.register_run(r, root, "run-1")
+    got = ML.registry(spark, root).collect()
+    assert sorted(g.run_id for g in got) == ["run-1", "run-2"]
+    assert all(PipelineModel.load(g.path).transform(r.test_predictions["Naive Bayes"].select("id", "__f_a")).count() > 0 for g in got)
