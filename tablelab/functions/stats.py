@@ -215,13 +215,23 @@ MAX_BRACKETS = 64
 BRACKET = 10_000  # accuracy of the first scan: a bracket holds a few ranks in so many
 
 
+def _bracket(first, i: int, marks: list[float], p: float, wide: float) -> tuple[float, float]:
+    """First guess of values between which the rank of ``p`` in column ``i`` lies."""
+    at, n = first[f"m{i}"], first[f"n{i}"]
+    # in a short column neighbouring ranks lie further apart than the margin: keep all of it
+    lo = first[f"a{i}"] if p - wide <= 0 or n < 4 * BRACKET else at[marks.index(max(0.0, p - wide))]
+    hi = first[f"z{i}"] if p + wide >= 1 or n < 4 * BRACKET else at[marks.index(min(1.0, p + wide))]
+    return float(lo), float(hi)
+
+
 def quantiles_long(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
     """(column, prob, qv) exact quantiles of numeric columns without sorting
     the columns.
 
     One aggregate (``percentile_approx``) brackets the wanted ranks of all
-    columns; a second one counts the values below each bracket; the returned
-    plan scans once more and shuffles only the values inside brackets (about
+    columns; a second one counts the values below and up to the end of each
+    bracket; one that doesn't hold its ranks is opened to the column's end on that
+    side and counted again.  The returned plan scans once more and shuffles only the values inside brackets (about
     6 / ``BRACKET`` of a column per rank, map-side combined), whose exact ranks
     are picked.  For more than ``MAX_BRACKETS`` ranks (Q-Q points), which need
     most of the order anyway, all values are ranked by :func:`rank_table`."""
@@ -239,19 +249,30 @@ def quantiles_long(df: DataFrame, cols: list[str], probs: list[float]) -> DataFr
     first = df.agg(*[F.count(x).alias(f"n{i}") for i, x in enumerate(xs)],
                    *[F.percentile_approx(x, F.array(*[F.lit(m) for m in marks]), BRACKET).alias(f"m{i}") for i, x in enumerate(xs)],
                    *[f(x).alias(f"{k}{i}") for i, x in enumerate(xs) for k, f in (("a", F.min), ("z", F.max))]).first()
-    wanted, brackets = [], {}   # (column, prob, n); bracket -> number: one per (column, prob)
-    for i, c in enumerate(cols):
-        n = first[f"n{i}"]
-        for p in probs if n else ():
-            at = first[f"m{i}"]
-            # in a short column neighbouring ranks lie further apart than the margin: keep all of it
-            lo = first[f"a{i}"] if p - wide <= 0 or n < 4 * BRACKET else at[marks.index(max(0.0, p - wide))]
-            hi = first[f"z{i}"] if p + wide >= 1 or n < 4 * BRACKET else at[marks.index(min(1.0, p + wide))]
-            brackets.setdefault((i, float(lo), float(hi)), len(brackets))
-            wanted.append((brackets[(i, float(lo), float(hi))], c, p, (n - 1) * p))
-    if not wanted:
+    asked = [[i, c, p, (first[f"n{i}"] - 1) * p, *_bracket(first, i, marks, p, wide)]
+             for i, c in enumerate(cols) if first[f"n{i}"] for p in probs]
+    if not asked:
         return spark.createDataFrame([], schema)
-    below = df.agg(*[F.count_if(xs[i] < F.lit(lo)).alias(f"b{k}") for (i, lo, _), k in brackets.items()]).first()
+    opened = False
+    while True:
+        brackets: dict = {}   # (column, low, high) -> number
+        for i, _, _, _, lo, hi in asked:
+            brackets.setdefault((i, lo, hi), len(brackets))
+        row = df.agg(*[F.count_if(xs[i] < F.lit(lo)).alias(f"b{k}") for (i, lo, _), k in brackets.items()],
+                     *[F.count_if(xs[i] <= F.lit(hi)).alias(f"u{k}") for (i, _, hi), k in brackets.items()]).first()
+        outside = False
+        for w in asked:
+            i, _, _, h, lo, hi = w
+            k = brackets[i, lo, hi]
+            if row[f"b{k}"] > math.floor(h) and lo > first[f"a{i}"]:
+                w[4], outside = float(first[f"a{i}"]), True
+            if row[f"u{k}"] <= math.ceil(h) and hi < first[f"z{i}"]:
+                w[5], outside = float(first[f"z{i}"]), True
+        if not outside:
+            break
+        opened = True
+    below = {f"b{k}": row[f"b{k}"] for k in brackets.values()}
+    wanted = [(brackets[i, lo, hi], c, p, h) for i, c, p, h, lo, hi in asked]
     inside = {k: xs[i].between(F.lit(lo), F.lit(hi)) for (i, lo, hi), k in brackets.items()}
     any_inside = None
     for cond in inside.values():
@@ -261,7 +282,7 @@ def quantiles_long(df: DataFrame, cols: list[str], probs: list[float]) -> DataFr
     counts = (df.where(any_inside).select(F.explode(hits).alias("h")).select("h.k", "h.x")
               .groupBy("k", "x").agg(F.count(F.lit(1)).alias("cnt")))
     largest = max(first[f"n{i}"] for i in range(len(cols)))
-    bound = largest if largest <= VALUES_PER_BUCKET else max(1, int(largest * 4 * wide))
+    bound = largest if opened or largest <= VALUES_PER_BUCKET else max(1, int(largest * 4 * wide))
     ranked = prefix_sums(counts, "k", "x", ("cnt",), max_distinct=bound)
     probe = spark.createDataFrame([(k, c, p, h, int(math.floor(h)) - below[f"b{k}"], int(math.ceil(h)) - below[f"b{k}"])
                                    for k, c, p, h in wanted],

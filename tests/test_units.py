@@ -397,3 +397,17 @@ def test_mlp_regressor_fits_planted_relation(spark):
     assert {r["metric"]: r["value"] for r in scores.collect()}["r2"] > 0.9
     hist = ML.training_history(model).collect()
     assert hist[-1]["loss"] < hist[0]["loss"] and sum(r["is_best"] for r in hist) == 1
+
+
+@pytest.mark.parametrize("shift", [-1, 1, 0])
+def test_wrong_brackets_are_opened(spark, monkeypatch, shift):
+    """First brackets above, below or between the wanted ranks still give exact quantiles."""
+    from tablelab.functions import stats
+    vals = [float((i * 7919) % 1000) / 10 for i in range(1000)]
+    df = spark.createDataFrame([(v, -v) for v in vals], "a double, b double")
+    monkeypatch.setattr(stats, "_bracket", lambda first, i, marks, p, wide: tuple(
+        min(max(v, float(first[f"a{i}"])), float(first[f"z{i}"])) for v in {-1: (-1e9, -99.0), 0: (0.0, 0.0), 1: (99.0, 1e9)}[shift]))
+    got = {(r["column"], r["prob"]): r["qv"] for r in stats.quantiles_long(df, ["a", "b"], [0.1, 0.5, 0.9]).collect()}
+    for c, sign in (("a", 1), ("b", -1)):
+        want = pd.Series([sign * v for v in vals]).quantile([0.1, 0.5, 0.9])
+        assert [got[c, p] for p in (0.1, 0.5, 0.9)] == pytest.approx(want.tolist())
