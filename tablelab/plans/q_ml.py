@@ -322,16 +322,17 @@ def _by_key(spark, sf_dir, target, problem, key, hp=None):
 
 # boosting refits the data once per round: the registered runs pass few rounds
 FEW_ROUNDS = {"n_estimators": 5, "max_depth": 12}
+TEN_ROUNDS = {"n_estimators": 10}
 
 
 @register("train_adaboost", None, "M14", "M22")
 def train_adaboost(spark, sf_dir):
-    return _by_key(spark, sf_dir, "l_returnflag", "classification", "adaboost", FEW_ROUNDS)
+    return _by_key(spark, sf_dir, "l_returnflag", "classification", "adaboost", TEN_ROUNDS)
 
 
 @register("train_adaboost_regression", None, "M14", "M22")
 def train_adaboost_regression(spark, sf_dir):
-    return _by_key(spark, sf_dir, "l_quantity", "regression", "adaboost", FEW_ROUNDS)
+    return _by_key(spark, sf_dir, "l_quantity", "regression", "adaboost", TEN_ROUNDS)
 
 
 @register("train_kernel_svr", None, "M17", "M22")
