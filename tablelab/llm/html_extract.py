@@ -6,12 +6,17 @@ length, its share of characters inside links, its share of stop words, and the
 containers around it (elements such as article, nav or aside, and words in
 their class, id and role).
 
-Pass 1 decides blocks on their own: bad in boilerplate containers or when
-mostly links; good when long with enough stop words, or of some length inside
-an article; everything else is ambiguous.  Inside an article only strong names
-(adverts, reader comments, sharing, newsletters, cookies, hidden parts) make a
-container boilerplate; other boilerplate words are evidence: blocks below them
-need stop words to be good and are bad with fewer links.  Pass 2 gives each ambiguous block
+Pass 1 decides blocks on their own: bad in boilerplate containers or, outside
+articles, when mostly links; good when long with enough stop words, or of some
+length inside an article, whatever their links (linked sentences and lists of
+references are text of it); everything else is ambiguous.  Inside an article
+only strong names (adverts, reader comments, sharing, newsletters, cookies,
+hidden parts) make a container boilerplate; other boilerplate words are
+evidence: blocks below them need stop words to be good and are bad with links.
+The stop words know four languages.  On a page whose long blocks hold almost
+none of them no language fits, so sentences decide there: a block of
+``MIN_LENGTH`` that ends with a sentence mark, or a long one that holds one or
+is written without spaces between words, is good, other blocks are ambiguous.  Pass 2 gives each ambiguous block
 the label of its nearest decided neighbours in the same container: good
 between two good ones, next to one good one if it is a heading above it or
 closer than the bad one, bad otherwise; ambiguous blocks of a container
@@ -25,13 +30,15 @@ styles, templates, comments and form controls have no text.
 
 Defined results: null and empty html give an empty text; unclosed scripts and
 comments run to the page's end; repeated rows each get their row; whole pages
-are read whatever their length; extra columns are ignored.
+are read whatever their length, in time that grows with it (also with unclosed
+tags, quotes and elements); extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from collections import defaultdict
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -91,6 +98,8 @@ _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?until)|display\s*:\s*none|aria
 _WORD = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _COMMENT_END = re.compile(r"--!?>")
+_SENTENCE_END = re.compile(r"[.!?…。！？।؟]")
+UNSPACED_WORD = 15     # mean length of a block's words from which it is written without spaces
 
 
 @dataclass
@@ -126,10 +135,12 @@ def _hints(tag: str, attrs: str) -> tuple[set[str], bool]:
 def blocks_of(page: str) -> list[Block]:
     """Blocks of a page in order, not yet labelled."""
     stack = [_Open("", 0, False, False, False)]
+    places: dict[str, list[int]] = defaultdict(list)   # tag -> its places in the stack
     out: list[Block] = []
     buffer: list[str] = []
     tag, links, in_link, breaks, containers, at, n = "", 0, 0, 0, 0, 0, len(page)
     lowered: str | None = None
+    last_end = page.rfind(">")   # no tag ends after it
 
     def flush() -> None:
         nonlocal links, breaks
@@ -150,10 +161,19 @@ def blocks_of(page: str) -> list[Block]:
                 if in_link:
                     links += len(" ".join(text.split()))
 
+    def push(opened: _Open) -> None:
+        places[opened.tag].append(len(stack))
+        stack.append(opened)
+
+    def close_down_to(k: int) -> None:
+        while len(stack) > k:
+            places[stack.pop().tag].pop()
+
     while at < n:
-        m = _TOKEN.search(page, at)
+        m = _TOKEN.search(page, at) if at <= last_end else None
         if m is None:
-            add(page[at:])
+            comment = page.find("<!--", at)
+            add(page[at:] if comment < 0 else page[at:comment])
             break
         add(page[at:m.start()])
         at = m.end()
@@ -171,17 +191,15 @@ def blocks_of(page: str) -> list[Block]:
             if name in BLOCKS:
                 flush()
                 tag = ""
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == name:
-                    del stack[k:]
-                    break
-                if name not in BLOCKS or stack[k].tag in ARTICLE_TAGS and name in CLOSED_BY_BLOCKS:
-                    break
+            if places[name]:
+                k = places[name][-1]
+                if name not in CLOSED_BY_BLOCKS or all(not places[a] or places[a][-1] < k for a in ARTICLE_TAGS):
+                    close_down_to(k)
             continue
         if name in SKIPPED:
             if not attrs.rstrip().endswith("/"):
-                lowered = page.lower() if lowered is None and len(page.lower()) == n else lowered
-                end = lowered.find("</" + name, at) if lowered is not None else _raw_end(page, name, at)
+                lowered = page.lower() if lowered is None else lowered
+                end = lowered.find("</" + name, at) if len(lowered) == n else _raw_end(page, name, at)
                 end = n if end < 0 else end
                 at = page.find(">", end) + 1 or n
             continue
@@ -199,7 +217,7 @@ def blocks_of(page: str) -> list[Block]:
             if name != "hr":
                 while name in BLOCKS and stack[-1].tag in CLOSED_BY_BLOCKS and (
                         stack[-1].tag == name or stack[-1].tag[0] in "ph"):
-                    stack.pop()
+                    close_down_to(len(stack) - 1)
                 tag = name
                 up = stack[-1]
                 words, hidden = _hints(name, attrs)
@@ -210,17 +228,17 @@ def blocks_of(page: str) -> list[Block]:
                 named = name not in ("html", "body") and hidden or listed and (not inside or bool(words & STRONG_WORDS))
                 bad = reader or name in BOILERPLATE_TAGS or named or name == "header" and not up.article
                 if starts and not reader and not hidden:
-                    strong = any(x.tag in BOILERPLATE_TAGS for x in stack)
+                    strong = any(places[b] for b in BOILERPLATE_TAGS)
                     containers += 1
-                    stack.append(_Open(name, containers, not strong, strong, False))
+                    push(_Open(name, containers, not strong, strong, False))
                 elif bad and not up.boilerplate:
                     containers += 1
-                    stack.append(_Open(name, containers, up.article, True, reader))
+                    push(_Open(name, containers, up.article, True, reader))
                 elif inside and listed:
                     containers += 1
-                    stack.append(_Open(name, containers, True, False, reader, True))
+                    push(_Open(name, containers, True, False, reader, True))
                 else:
-                    stack.append(_Open(name, up.container, up.article, up.boilerplate or bad, reader, up.weak))
+                    push(_Open(name, up.container, up.article, up.boilerplate or bad, reader, up.weak))
     flush()
     return out
 
@@ -235,18 +253,36 @@ def stop_density(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
+def reads_as_text(text: str) -> bool:
+    """Whether a block of a language without known stop words is running text."""
+    if _SENTENCE_END.search(text, len(text) - 3):   # a quote or bracket may follow the mark
+        return True
+    words = text.split()
+    return len(text) >= LONG_LENGTH and (bool(_SENTENCE_END.search(text)) or len(text) >= UNSPACED_WORD * len(words))
+
+
+def language_fits(blocks: list[Block]) -> bool:
+    """Whether the longer blocks outside boilerplate hold known stop words (true without such blocks)."""
+    long = [b.text for b in blocks if not b.boilerplate and len(b.text) >= MIN_LENGTH and b.link_chars <= MAX_LINKS * len(b.text)]
+    return not long or stop_density(" ".join(long)) >= MIN_STOPWORDS / 3
+
+
 def classify(blocks: list[Block]) -> list[Block]:
     """Label all blocks in place (two passes)."""
+    known = language_fits(blocks)
     for b in blocks:
         size, density = len(b.text), b.link_chars / len(b.text)
         if b.boilerplate:
             b.label = BAD
+        elif b.article and not b.weak:
+            b.label = GOOD if size >= ARTICLE_LENGTH else AMBIGUOUS
         elif density > (FEW_LINKS if b.weak else MAX_LINKS) and not b.tag.startswith("h"):
             b.label = BAD
         elif b.weak:
-            b.label = GOOD if size >= ARTICLE_LENGTH and stop_density(b.text) >= MIN_STOPWORDS else AMBIGUOUS
-        elif b.article:
-            b.label = GOOD if size >= ARTICLE_LENGTH else AMBIGUOUS
+            fits = stop_density(b.text) >= MIN_STOPWORDS if known else reads_as_text(b.text)
+            b.label = GOOD if size >= ARTICLE_LENGTH and fits else AMBIGUOUS
+        elif not known:
+            b.label = GOOD if size >= MIN_LENGTH and reads_as_text(b.text) else AMBIGUOUS
         elif size >= MIN_LENGTH:
             stops = stop_density(b.text)
             if stops >= MANY_STOPWORDS or size >= LONG_LENGTH and stops >= MIN_STOPWORDS:

@@ -286,6 +286,37 @@ def test_html_weak_names_in_an_article_dont_decide_alone(part, text):
     assert got == "\n\n".join(x for x in (first, text, last) if x)
 
 
+def test_html_linked_text_of_an_article_stays():
+    refs = ["A study of the sea", "On tides", "The report of the board on it"]
+    page = ("<body><article><h1>Tides</h1><p><a href='/r'>The full text of the report is to be found here</a></p><ul>"
+            + "".join(f"<li><a href='/{i}'>{t}</a></li>" for i, t in enumerate(refs)) + "</ul></article>"
+            "<ul><li><a href='/m'>More of the stories that all of our readers have read on this site</a></li></ul></body>")
+    assert html_extract.main_text(page)[0].split("\n\n") == ["Tides", "The full text of the report is to be found here", *refs]
+
+
+@pytest.mark.parametrize("paragraph", [
+    "Вода в заливе поднялась ночью, и к утру жители прибрежных улиц уже выносили мебель на верхние этажи домов. ",
+    "Zalew podniósł się nocą, więc mieszkańcy nadbrzeżnych ulic wynosili rano meble na wyższe piętra domów. ",
+    "夜のうちに湾の水位が上がり、朝には海沿いの通りに住む人々が家具を上の階へ運び出していた。市は避難所を開いた。"])
+def test_html_pages_in_other_languages(paragraph):
+    long, menu = (paragraph * 4).strip(), "".join(f"<li><a href='/{i}'>{paragraph[:12]}</a></li>" for i in range(6))
+    page = (f"<body><nav><ul>{menu}</ul></nav><div><h1>{paragraph[:14].strip()}</h1><p>{long}</p><p>{long}</p></div>"
+            f"<div><ul>{menu}</ul></div><footer><p>{long}</p></footer></body>")
+    assert html_extract.main_text(page)[0].split("\n\n") == [paragraph[:14].strip(), long, long]
+
+
+@pytest.mark.parametrize("unit, tail", [
+    ('<a "', ""), ("<a '\"", ""), ("<!", ""), ("<a", ""), ("<a x=", ""), ("<div>", "</p>"), ("<p><article><div>", "</p>"),
+    ("<article>", "</b>"), ("<script>", ""), ("<!--", ""), ("&amp", ""), ("<a href='", ">"), ("<br>", "<")])
+def test_html_time_grows_with_the_page(unit, tail):
+    import time
+    half = 500_000 if tail else 1_000_000
+    page = unit * (half // len(unit)) + (tail * (half // len(tail)) if tail else "")
+    start = time.process_time()
+    html_extract.main_text(page)
+    assert time.process_time() - start < 5
+
+
 def test_html_matches_structure_of_pages(spark):
     import html
     pages = spark.read.parquet(f"{SF_SMALL}/pages.parquet")
