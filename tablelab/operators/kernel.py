@@ -146,19 +146,19 @@ def softmax(s: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def summed_blobs(blobs: DataFrame, size: int) -> np.ndarray:
-    """Sum of the float64 vectors in the binary column ``b``, in two levels."""
+def summed_blobs(blobs: DataFrame, size: int, merge=np.add, zero: float = 0.0) -> np.ndarray:
+    """Sum (or other merge) of the float64 vectors in the binary column ``b``, in two levels."""
     def add(batches):
-        total = np.zeros(size)
+        total = np.full(size, zero)
         for batch in batches:
             for v in batch.column(0):
-                total += np.frombuffer(v.as_buffer())
+                merge(total, np.frombuffer(v.as_buffer()), out=total)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["b"])
 
     parts = blobs.rdd.getNumPartitions()
     if parts > DIRECT_PARTS:
         blobs = blobs.repartition(int(parts ** 0.5) + 1).mapInArrow(add, "b binary")
-    return np.sum([np.frombuffer(r["b"]) for r in blobs.collect()] or [np.zeros(size)], axis=0)
+    return merge.reduce([np.frombuffer(r["b"]) for r in blobs.collect()] or [np.full(size, zero)], axis=0)
 
 
 def evaluate(blocks: DataFrame, w: np.ndarray, loss) -> tuple[float, np.ndarray]:

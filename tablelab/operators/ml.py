@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablelab.functions.stats import NUMERIC_TYPES, prefix_sums, q, sample_key
+from tablelab.operators import grown_trees as GT
 from tablelab.operators import kernel as KM
 from tablelab.operators import metrics as MT
 from tablelab.operators import neighbours as NB
@@ -157,11 +158,6 @@ def _tree_size(h: dict) -> dict:
     return {"minInstancesPerNode": max(h["min_samples_leaf"], -(-h["min_samples_split"] // 2))}
 
 
-def _lgb_depth(h: dict) -> int:
-    """Depth of a balanced tree with the wanted number of leaves."""
-    return max(1, math.ceil(math.log2(h["lgb_num_leaves"])))
-
-
 def mlp_options(n_train: int) -> NW.Options:
     """Hidden layers 100 and 50, Adam, no held-out fold: the training loss
     decides when to stop."""
@@ -181,8 +177,7 @@ def regressors(hp: dict, n_train: int, n_features: int) -> dict:
         "Lasso Regression": R.LinearRegression(regParam=h["lasso_alpha"], elasticNetParam=1.0, standardization=False),
         "ElasticNet": R.LinearRegression(regParam=0.1, elasticNetParam=0.5, standardization=False),
         "Random Forest": R.RandomForestRegressor(numTrees=h["n_estimators"], maxDepth=d, seed=42, **size),
-        "Extra Trees": R.RandomForestRegressor(numTrees=h["n_estimators"], maxDepth=d, bootstrap=False, seed=42,
-                                               featureSubsetStrategy=str(n_features), **size),
+        "Extra Trees": GT.ExtraTrees(0, h["n_estimators"], d, h["min_samples_split"], h["min_samples_leaf"], n_features),
         "Gradient Boosting": R.GBTRegressor(maxIter=h["n_estimators"], maxDepth=gb_depth, seed=42, **size),
         "AdaBoost": ST.AdaBoost("regression", h["n_estimators"]),
         "Decision Tree": R.DecisionTreeRegressor(maxDepth=d, seed=42, **size),
@@ -192,8 +187,7 @@ def regressors(hp: dict, n_train: int, n_features: int) -> dict:
         "XGBoost": R.GBTRegressor(maxIter=h["n_estimators"], stepSize=h["xgb_learning_rate"],
                                   maxDepth=h["xgb_max_depth"], subsamplingRate=h["xgb_subsample"],
                                   featureSubsetStrategy=str(h["xgb_colsample_bytree"]), seed=42, **size),
-        "LightGBM": R.GBTRegressor(maxIter=h["n_estimators"], stepSize=h["lgb_learning_rate"], maxDepth=_lgb_depth(h),
-                                   featureSubsetStrategy=str(h["lgb_feature_fraction"]), seed=42, **size),
+        "LightGBM": GT.LeafWiseBoosting(0, h["n_estimators"], h["lgb_learning_rate"], h["lgb_num_leaves"], h["lgb_feature_fraction"]),
         "CatBoost": R.GBTRegressor(maxIter=h["n_estimators"], stepSize=0.1, maxDepth=6, seed=42, **size),
     }
 
@@ -216,8 +210,8 @@ def classifiers(hp: dict, n_train: int, n_classes: int, n_features: int) -> dict
         "Logistic Regression": C.LogisticRegression(regParam=reg, elasticNetParam=enet, standardization=False,
                                                     maxIter=1000),
         "Random Forest": C.RandomForestClassifier(numTrees=h["n_estimators"], maxDepth=d, seed=42, **size),
-        "Extra Trees": C.RandomForestClassifier(numTrees=h["n_estimators"], maxDepth=d, bootstrap=False, seed=42,
-                                                featureSubsetStrategy=str(max(1, round(n_features ** 0.5))), **size),
+        "Extra Trees": GT.ExtraTrees(n_classes, h["n_estimators"], d, h["min_samples_split"], h["min_samples_leaf"],
+                                     max(1, int(n_features ** 0.5))),
         "Gradient Boosting": boosted(maxIter=h["n_estimators"], maxDepth=gb_depth),
         "AdaBoost": ST.AdaBoost("classification", h["n_estimators"], n_classes=n_classes),
         "Decision Tree": C.DecisionTreeClassifier(maxDepth=d, seed=42, **size),
@@ -227,8 +221,8 @@ def classifiers(hp: dict, n_train: int, n_classes: int, n_features: int) -> dict
         "MLP": NW.Network("classification", n_classes, mlp_options(n_train)),
         "XGBoost": boosted(maxIter=h["n_estimators"], stepSize=h["xgb_learning_rate"], maxDepth=h["xgb_max_depth"],
                            subsamplingRate=h["xgb_subsample"], featureSubsetStrategy=str(h["xgb_colsample_bytree"])),
-        "LightGBM": boosted(maxIter=h["n_estimators"], stepSize=h["lgb_learning_rate"], maxDepth=_lgb_depth(h),
-                            featureSubsetStrategy=str(h["lgb_feature_fraction"])),
+        "LightGBM": GT.LeafWiseBoosting(n_classes, h["n_estimators"], h["lgb_learning_rate"], h["lgb_num_leaves"],
+                                        h["lgb_feature_fraction"]),
         "CatBoost": boosted(maxIter=h["n_estimators"], stepSize=0.1, maxDepth=6),
     }
 
@@ -243,27 +237,12 @@ def choose_models(all_models: dict, model_type: str = "all") -> dict:
     return {k: v for k, v in all_models.items() if k in allowed}
 
 
-@dataclass
-class FeatureStats:
-    """Range of each feature in the training split."""
-    ranges: list[tuple[float, float]]
-
-
-def feature_stats(train: DataFrame, features: list[str]) -> FeatureStats:
-    x = [q(f"__f_{c}") for c in features]
-    r = train.agg(*[f(c).alias(f"{k}{i}") for i, c in enumerate(x) for k, f in (("a", F.min), ("z", F.max))]).first()
-    return FeatureStats([(r[f"a{i}"] or 0.0, r[f"z{i}"] or 0.0) for i in range(len(features))])
-
-
-def feature_pipeline(features: list[str], estimator, scale: bool, name: str = "", stats: FeatureStats | None = None) -> Pipeline:
+def feature_pipeline(features: list[str], estimator, scale: bool) -> Pipeline:
     """M3 + M7: mean imputation and (for linear / SVM models) standardisation,
     both fitted on the training split only, then the estimator (or list of
-    stages).  Extra Trees get randomly cut features."""
+    stages)."""
     imp = [f"__imp_{c}" for c in features]
     last = estimator if isinstance(estimator, list) else [estimator]
-    if stats is not None and name == "Extra Trees":
-        return Pipeline(stages=[Imputer(inputCols=[f"__f_{c}" for c in features], outputCols=imp, strategy="mean"),
-                                *ST.random_cuts(imp, stats.ranges), *last])
     stages = [Imputer(inputCols=[f"__f_{c}" for c in features], outputCols=imp, strategy="mean"),
               VectorAssembler(inputCols=imp, outputCol="features_raw" if scale else "features",
                               handleInvalid="keep")]
@@ -343,11 +322,11 @@ def train_models(df: DataFrame, target: str, key: list[str], features: list[str]
     chosen = choose_models(catalog, model_type)
     folds = min(cv_folds, n_train)
     train_f = cut_lineage(assign_folds(data.where(~F.col("is_test")), key, folds, strata))
-    train, stats = train_f, feature_stats(train_f, feats)
+    train = train_f
     rows, cv_rows, models, preds = [], [], {}, {}
     for i, (name, est) in enumerate(chosen.items()):
         scale = any(s in name for s in SCALED)
-        pipe = feature_pipeline(feats, est, scale, name, stats)
+        pipe = feature_pipeline(feats, est, scale)
         model = pipe.fit(train)
         pt = model.transform(test)
         s = _scores_row(problem, pt, k)
@@ -394,8 +373,7 @@ def feature_importance(result: TrainResult) -> DataFrame:
         last = m.stages[-1]
         if hasattr(last, "featureImportances"):
             imp = last.featureImportances.toArray().tolist()
-            copies = len(imp) // len(result.features)   # extra trees have several cut copies of a feature
-            rows = [(name, f, float(sum(imp[i * copies:(i + 1) * copies]))) for i, f in enumerate(result.features)]
+            rows = [(name, f, float(v)) for f, v in zip(result.features, imp)]
             return spark.createDataFrame(rows, "model string, feature string, importance double").orderBy(
                 F.col("importance").desc())
     return spark.createDataFrame([], "model string, feature string, importance double")

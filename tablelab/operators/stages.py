@@ -1,24 +1,16 @@
 """Pipeline stages that ``pyspark.ml`` lacks, for use inside a ``Pipeline``:
-AdaBoost as an estimator with saved state, and random cuts for extra trees
-(made of built-in transformers)."""
+AdaBoost as an estimator with saved state."""
 
 from __future__ import annotations
 
-import math
-import random
-
 from pyspark.ml import Estimator
 from pyspark.ml.classification import DecisionTreeClassificationModel
-from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressionModel
 from pyspark.sql import DataFrame
 
 from tablelab.operators.ensemble import AdaBoostModel, adaboost
 from tablelab.operators.saved import Saved
 
-CUT_VARIANTS = 8   # independently cut copies of each feature
-CUTS = 8           # random thresholds per copy
-
 
 # -------------------------------------------------------------------- AdaBoost
 
@@ -52,22 +44,3 @@ class AdaBoostStage(Saved):
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         return self.model.transform(dataset)
-
-
-# ---------------------------------------------- stages from built-in transformers
-
-def random_cuts(inputs: list[str], ranges: list[tuple[float, float]], seed: int = 42) -> list:
-    """Extra trees: each input is cut at random thresholds between its smallest
-    and largest value, in ``CUT_VARIANTS`` independent copies; a forest without
-    bootstrap that draws copies at each node then chooses among random
-    thresholds, so its trees differ."""
-    rnd = random.Random(seed)
-    splits, columns, outputs = [], [], []
-    for c, (low, high) in zip(inputs, ranges):
-        for v in range(CUT_VARIANTS):
-            cuts = sorted({rnd.uniform(low, high) for _ in range(CUTS)}) if high > low else [low]
-            splits.append([-math.inf, *cuts, math.inf])
-            columns.append(c)
-            outputs.append(f"__cut{v}_{c}")
-    return [Bucketizer(splitsArray=splits, inputCols=columns, outputCols=outputs, handleInvalid="keep"),
-            VectorAssembler(inputCols=outputs, outputCol="features", handleInvalid="keep")]

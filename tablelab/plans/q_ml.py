@@ -299,11 +299,15 @@ def train_random_forest(spark, sf_dir):
                                          0.2, 2, hp=SMALL_TREES).scores)
 
 
+#: All 200 trees of the default; fully grown they would hold more nodes than a forest may (``grown_trees.MAX_NODES``).
+EXTRA_TREES = {"max_depth": 10}
+
+
 @register("train_extra_trees", None, "M12")
 def train_extra_trees(spark, sf_dir):
     df = fixture(spark, sf_dir, "li_ml")
     return ML.comparison(ML.train_models(df, "l_quantity", LI_KEY, ML_FEATURES, "regression", "extra_trees",
-                                         0.2, 2, hp=SMALL_TREES).scores)
+                                         0.2, 2, hp=EXTRA_TREES).scores)
 
 
 @register("train_boosted_presets", None, "M13", "M21")
@@ -347,7 +351,8 @@ def train_gradient_boosting(spark, sf_dir):
 
 @register("train_lightgbm", None, "M21")
 def train_lightgbm(spark, sf_dir):
-    return _by_key(spark, sf_dir, "l_quantity", "regression", "lightgbm", FEW_ROUNDS)
+    """Ten rounds of trees with 31 leaves each, best gain first."""
+    return _by_key(spark, sf_dir, "l_quantity", "regression", "lightgbm", TEN_ROUNDS)
 
 
 @register("train_mlp_regressor", None, "M19", "A1", "A2")
