@@ -233,14 +233,13 @@ def quantiles_long(df: DataFrame, cols: list[str], probs: list[float]) -> DataFr
     bracket; one that doesn't hold its ranks is opened to the column's end on that
     side and counted again.  The returned plan scans once more and shuffles only the values inside brackets (about
     6 / ``BRACKET`` of a column per rank, map-side combined), whose exact ranks
-    are picked.  For more than ``MAX_BRACKETS`` ranks (Q-Q points), which need
-    most of the order anyway, all values are ranked by :func:`rank_table`."""
+    are picked.  More than ``MAX_BRACKETS`` ranks (Q-Q points) share the cells of
+    :func:`quantiles_by_cells`."""
     spark = df.sparkSession
     schema = "column string, prob double, qv double"
     probs = [float(p) for p in probs]
     if len(cols) * len(probs) > MAX_BRACKETS:
-        totals, nd = column_counts(df, cols)
-        return exact_quantiles(rank_table(column_value_counts(df, cols), totals=totals, max_distinct=nd), probs, totals=totals)
+        return quantiles_by_cells(df, cols, probs)
     if not cols or not probs:
         return spark.createDataFrame([], schema)
     xs = [q(c).cast("double") for c in cols]
@@ -295,6 +294,101 @@ def quantiles_long(df: DataFrame, cols: list[str], probs: list[float]) -> DataFr
             .select("column", "prob", (F.col("v") + part * (F.col("w") - F.col("v"))).alias("qv")))
 
 
+CELLS, SUBCELLS = 4096, 64
+FEW_VALUES = 0.05   # share of a column that the wanted cells may hold without being cut again
+
+
+def quantiles_by_cells(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
+    """(column, prob, qv) exact quantiles for hundreds of ranks.
+
+    One scan counts each column by ``CELLS`` cells of equal width; the running
+    sums say which cells hold wanted ranks.  Where those hold more than
+    ``FEW_VALUES`` of a column (skewed values), a second scan counts them by
+    ``SUBCELLS`` cells each.  The returned plan scans once more and shuffles only the
+    values inside wanted cells (map-side combined, so a hot value is one row a task).
+    What reaches the driver depends on columns, cells and ranks.  A column with
+    infinite or NaN values has no cells: its values are ranked by :func:`rank_table`."""
+    spark = df.sparkSession
+    xs = {c: q(c).cast("double") for c in cols}
+    r = df.agg(*[f(xs[c]).alias(f"{k}{i}") for i, c in enumerate(cols) for k, f in (("n", F.count), ("a", F.min), ("z", F.max))]).first()
+    n = {c: r[f"n{i}"] for i, c in enumerate(cols)}
+    ends = {c: (r[f"a{i}"], r[f"z{i}"]) for i, c in enumerate(cols) if r[f"n{i}"]}
+    odd = [c for c, (a, z) in ends.items() if not (math.isfinite(a) and math.isfinite(z) and math.isfinite(z - a))]
+    celled = [c for c in cols if c in ends and c not in odd]
+
+    def place(c):   # rounding keeps the order of values, so cells hold neighbours
+        a, z = ends[c]
+        u = (xs[c] - F.lit(a)) / F.lit(z - a) * F.lit(float(CELLS)) if z > a else xs[c] * 0.0
+        return F.when(u.isNotNull(), F.least(u, F.lit(CELLS - 1 / (2 * SUBCELLS))))   # least passes over nulls
+
+    def counted(keys: dict):
+        """(column, key) -> count of the rows with a key."""
+        parts = [df.select(k.alias("k")).where("k IS NOT NULL").groupBy("k").agg(F.count(F.lit(1)).alias("cnt"))
+                 .select(F.lit(c).alias("column"), "k", "cnt") for c, k in keys.items()]
+        out: dict = {c: {} for c in keys}
+        for row in _union(parts).collect() if parts else []:   # at most a row per cell
+            out[row["column"]][row["k"]] = row["cnt"]
+        return out
+
+    def wanted_cells(c, counts, targets, before=0):
+        """(key, values before it, targets inside) of the cells in order that hold wanted ranks."""
+        out, at = [], 0
+        for k in sorted(counts):
+            inside = []
+            while at < len(targets) and targets[at] < before + counts[k]:
+                inside.append(targets[at])
+                at += 1
+            if inside:
+                out.append((k, before, inside))
+            before += counts[k]
+        return out
+
+    ranks = {c: sorted({f((n[c] - 1) * p) for p in probs for f in (math.floor, math.ceil)}) for c in celled}
+    cell = {c: F.floor(place(c)).cast("int") for c in celled}
+    first = counted(cell)
+    held = {c: wanted_cells(c, first[c], ranks[c]) for c in celled}
+    crowded = [c for c in celled if sum(first[c][k] for k, _, _ in held[c]) > FEW_VALUES * n[c]]
+    key = {c: cell[c] * SUBCELLS for c in celled}
+    sub = {c: cell[c] * SUBCELLS + F.floor((place(c) - cell[c]) * SUBCELLS).cast("int") for c in crowded}
+    second = counted({c: F.when(cell[c].isin([k for k, _, _ in held[c]]), sub[c]) for c in crowded})
+    probe, largest = [], 0
+    for c in celled:
+        cells = [(k * SUBCELLS, b, t, first[c][k]) for k, b, t in held[c]]
+        if c in sub:
+            key[c] = sub[c]
+            cells = [(k, b, t, second[c][k]) for j, b0, t0 in held[c] for k, b, t in wanted_cells(
+                c, {k: v for k, v in second[c].items() if k // SUBCELLS == j}, t0, b0)]
+        largest = max([largest, *(m for _, _, _, m in cells)])
+        probe += [(c, k, t, t - b) for k, b, inside, _ in cells for t in inside]
+    out = None
+    if celled:
+        keys = {c: [k for d, k, _, _ in probe if d == c] for c in celled}
+        counts = _union([df.select(key[c].alias("k"), xs[c].alias("x")).where(F.col("k").isin(sorted(set(keys[c]))))
+                         .groupBy("k", "x").agg(F.count(F.lit(1)).alias("cnt")).select(F.lit(c).alias("column"), "k", "x", "cnt")
+                         for c in celled])
+        ranked = prefix_sums(counts, ["column", "k"], "x", ("cnt",), max_distinct=largest)
+        found = ranked.join(F.broadcast(spark.createDataFrame(probe, "column string, k int, rank long, inside long")), ["column", "k"]).where(
+            (F.col("cnt_before") <= F.col("inside")) & (F.col("inside") < F.col("cnt_before") + F.col("cnt"))).select("column", "rank", "x")
+        asked = spark.createDataFrame([(c, p, h, int(math.floor(h)), int(math.ceil(h))) for c in celled for p in probs
+                                       for h in [(n[c] - 1) * p]], "column string, prob double, h double, lo long, hi long")
+        at = lambda w: F.max(F.when(F.col("rank") == F.col(w), F.col("x")))
+        out = (found.join(F.broadcast(asked), "column").where((F.col("rank") == F.col("lo")) | (F.col("rank") == F.col("hi")))
+               .groupBy("column", "prob", "h").agg(at("lo").alias("v"), at("hi").alias("w"))
+               .select("column", "prob", (F.col("v") + (F.col("h") - F.floor("h")) * (F.col("w") - F.col("v"))).alias("qv")))
+    if odd:
+        totals, nd = column_counts(df, odd)
+        rest = exact_quantiles(rank_table(column_value_counts(df, odd), totals=totals, max_distinct=nd), probs, totals=totals)
+        out = rest.select("column", "prob", "qv") if out is None else out.unionByName(rest.select("column", "prob", "qv"))
+    return out if out is not None else spark.createDataFrame([], "column string, prob double, qv double")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def quantiles_wide(df: DataFrame, cols: list[str], probs: list[float],
                    names: list[str] | None = None) -> DataFrame:
     """(column, <name per prob>...) exact quantiles (see :func:`quantiles_long`)."""
@@ -327,6 +421,34 @@ def sample_kurt(kurt_pop: Column, n: Column) -> Column:
         (nn - 1) / ((nn - 2) * (nn - 3)) * ((nn + 1) * kurt_pop + 6)))
 
 
+# Coefficients of Acklam's rational approximation of the normal quantile
+# (relative error below 1.2e-9), highest power first.
+NORMAL_CENTRE = ((-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716,
+                  2.506628277459239),
+                 (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0))
+NORMAL_TAIL = ((-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968,
+                2.938163982698783),
+               (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0))
+NORMAL_TAIL_BELOW = 0.02425
+
+
+def normal_quantile_sql(p: str) -> str:
+    """Inverse of the normal distribution function as SQL text for a probability
+    expression ``p`` inside (0, 1); read alike by Spark and other engines."""
+    def power_sum(coefficients, x):
+        out = f"CAST({coefficients[0]!r} AS DOUBLE)"
+        for c in coefficients[1:]:
+            out = f"({out} * {x} + CAST({c!r} AS DOUBLE))"
+        return out
+
+    d = f"({p} - 0.5)"
+    t = f"sqrt(-2 * ln(least({p}, 1 - {p})))"
+    centre = f"{power_sum(NORMAL_CENTRE[0], f'({d} * {d})')} * {d} / {power_sum(NORMAL_CENTRE[1], f'({d} * {d})')}"
+    tail = f"{power_sum(NORMAL_TAIL[0], t)} / {power_sum(NORMAL_TAIL[1], t)}"
+    return (f"CASE WHEN least({p}, 1 - {p}) >= {NORMAL_TAIL_BELOW} THEN {centre} "
+            f"WHEN {p} < 0.5 THEN {tail} ELSE -({tail}) END")
+
+
 def top_k_per_group(df: DataFrame, group: list[str], order: list[Column], k: int,
                     salt_col: Column | None = None, salt_buckets: int = 16) -> DataFrame:
     """Rows ranked 1..k per group by ``order`` (adds ``rank``).

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from statistics import NormalDist
 
-from tablelab.functions.stats import sample_key_sql
+from tablelab.functions.stats import normal_quantile_sql, sample_key_sql
 from tablelab.operators import eda as E
 from tablelab.plans.fixtures import fixture, with_fixtures
 from tablelab.plans.q_profile import LI_KEY, LI_NULLS_COLS
@@ -101,6 +101,25 @@ def normality_jb(spark, sf_dir):
     return E.normality_jb(fixture(spark, sf_dir, "li_num"), LI_NUM)
 
 
+def _w_prime_sql(cols, source):
+    parts = [f"""
+        SELECT '{c}' AS "column", count(*) AS n, pow(corr(x, m), 2) AS w FROM (
+            SELECT x, {normal_quantile_sql('p')} AS m FROM (
+                SELECT CAST({c} AS DOUBLE) AS x,
+                       (rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 - 0.375)
+                       / (count(*) OVER () + 0.25) AS p
+                FROM {source} WHERE {c} IS NOT NULL) r) t HAVING count(*) >= 5 AND min(x) < max(x)""" for c in cols]
+    return f"""
+        SELECT "column", n, round(w, 6) AS w_prime, round(z, 4) AS z, z < 1.6449 AS is_normal FROM (
+            SELECT *, (ln(greatest(1 - w, 1e-12)) - (-1.2725 + 1.0521 * (ln(ln(n)) - ln(n))))
+                      / (1.0308 - 0.26758 * (ln(ln(n)) + 2 / ln(n))) AS z FROM ({union_all(parts)}) a) b"""
+
+
+@register("normality_order", with_fixtures(_w_prime_sql(LI_NUM, "li_num"), "li_num"), "E2b")
+def normality_order(spark, sf_dir):
+    return E.normality_order(fixture(spark, sf_dir, "li_num"), LI_NUM)
+
+
 def _band(v, a, b):
     return f"CASE WHEN abs({v}) < {a} THEN 'low' WHEN abs({v}) < {b} THEN 'medium' ELSE 'high' END"
 
