@@ -295,6 +295,7 @@ def quantiles_long(df: DataFrame, cols: list[str], probs: list[float]) -> DataFr
 
 
 CELLS, SUBCELLS = 4096, 64
+RANKED_BELOW = 2_000_000   # shorter columns are ranked: one scan and a small shuffle cost less than counting cells
 FEW_VALUES = 0.05   # share of a column that the wanted cells may hold without being cut again
 
 
@@ -306,14 +307,15 @@ def quantiles_by_cells(df: DataFrame, cols: list[str], probs: list[float]) -> Da
     ``FEW_VALUES`` of a column (skewed values), a second scan counts them by
     ``SUBCELLS`` cells each.  The returned plan scans once more and shuffles only the
     values inside wanted cells (map-side combined, so a hot value is one row a task).
-    What reaches the driver depends on columns, cells and ranks.  A column with
-    infinite or NaN values has no cells: its values are ranked by :func:`rank_table`."""
+    What reaches the driver depends on columns, cells and ranks.  Columns of at most
+    ``RANKED_BELOW`` values, and those with infinite or NaN values, which have no
+    cells, are ranked by :func:`rank_table`, with the same result."""
     spark = df.sparkSession
     xs = {c: q(c).cast("double") for c in cols}
     r = df.agg(*[f(xs[c]).alias(f"{k}{i}") for i, c in enumerate(cols) for k, f in (("n", F.count), ("a", F.min), ("z", F.max))]).first()
     n = {c: r[f"n{i}"] for i, c in enumerate(cols)}
     ends = {c: (r[f"a{i}"], r[f"z{i}"]) for i, c in enumerate(cols) if r[f"n{i}"]}
-    odd = [c for c, (a, z) in ends.items() if not (math.isfinite(a) and math.isfinite(z) and math.isfinite(z - a))]
+    odd = [c for c, (a, z) in ends.items() if n[c] <= RANKED_BELOW or not math.isfinite(z - a)]
     celled = [c for c in cols if c in ends and c not in odd]
 
     def place(c):   # rounding keeps the order of values, so cells hold neighbours

@@ -21,9 +21,10 @@ def table(spark):
     return spark.createDataFrame(rows, "flat double, skewed double, hot double, same double, few double, odd double, none double, half double").cache()
 
 
-@pytest.mark.parametrize("share", [0.0, 0.05, 1.0])
+@pytest.mark.parametrize("share", [-1.0, 0.0, 0.05, 1.0])
 def test_quantiles_by_cells(table, monkeypatch, share):
-    monkeypatch.setattr(S, "FEW_VALUES", share)
+    monkeypatch.setattr(S, "FEW_VALUES", max(share, 0.0))
+    monkeypatch.setattr(S, "RANKED_BELOW", 10**9 if share < 0 else 0)
     probs = [i / 150 for i in range(151)]
     got = {(r["column"], r["prob"]): r["qv"] for r in S.quantiles_by_cells(table, table.columns, probs).collect()}
     pdf = table.toPandas()
@@ -39,6 +40,7 @@ def test_quantiles_by_cells(table, monkeypatch, share):
 
 def test_wanted_cells_shuffle_few_values(table, monkeypatch):
     seen = []
+    monkeypatch.setattr(S, "RANKED_BELOW", 0)
     monkeypatch.setattr(S, "prefix_sums", lambda vc, *a, **k: seen.append(vc.count()) or prefix(vc, *a, **k))
     S.quantiles_by_cells(table, ["skewed"], [0.25, 0.5, 0.75]).collect()
     assert seen and seen[0] < 6000   # the first cells hold nearly all of them
