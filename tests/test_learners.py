@@ -283,3 +283,21 @@ def test_registry_holds_each_run_once(spark, tmp_path):
     got = ML.registry(spark, root).collect()
     assert sorted(g.run_id for g in got) == ["run-1", "run-2"]
     assert all(PipelineModel.load(g.path).transform(r.test_predictions["Naive Bayes"].select("id", "__f_a")).count() > 0 for g in got)
+
+
+def test_knn_imputation_ties_do_not_hang_on_rounding(spark):
+    from tablelab.operators import neighbours as NB
+    # squared distances of 0.09 and 0.09 over (a, b): 0.3 + 0 and 0 + 0.3, unequal in floating point
+    rows = [(1, 1.1, 2.2, None), (2, 1.4, 2.2, 10.0), (3, 1.1, 2.5, 20.0), (4, 0.8, 2.2, 30.0), (5, 1.1, 1.9, 40.0)]
+    for order in (rows, [(6 - i, *r) for i, *r in rows]):
+        df = spark.createDataFrame(order, "id long, a double, b double, c double")
+        got = {r.id: r.c for r in NB.impute_knn(df, ["id"], k=2).collect()}
+        donors = sorted((i, c) for i, _, _, c in order if c is not None)[:2]
+        assert got[next(i for i, _, _, c in order if c is None)] == sum(c for _, c in donors) / 2
+
+
+def test_smallest_keeps_the_first_of_equals():
+    from tablelab.operators.neighbours import smallest
+    d = np.array([[3.0, 1, 1, 2, 1, 0], [5, 5, 5, 5, 5, 5], [9, 8, 7, 6, 5, 4]])
+    assert smallest(d, 3).tolist() == [[5, 1, 2], [0, 1, 2], [5, 4, 3]]
+    assert smallest(d, 9).tolist() == np.argsort(d, axis=1, kind="stable").tolist()
