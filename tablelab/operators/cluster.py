@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tablelab.functions.stats import attach, q
 from tablelab.operators.lloyd import fit_all
 from tablelab.operators.preprocess import fit_impute, fit_scale, numeric_cols
-from tablelab.session import cut_lineage
+from tablelab.session import cut_lineage, even_out
 
 
 def prepare(df: DataFrame, cols: list[str] | None = None, key: list[str] | None = None) -> tuple[DataFrame, list[str]]:
@@ -38,7 +38,7 @@ def k_sweep(feat: DataFrame, k_max: int = 10, seed: int = 42, starts: int = 10)
     """C2 + C3: for k = 2..min(k_max, n-1): k-means inertia, the best of ``starts``
     runs, and silhouette (Spark's evaluator: squared-Euclidean silhouette, computed
     in O(n k)); also the centres by k."""
-    feat = cut_lineage(feat.select("features"))
+    feat = even_out(cut_lineage(feat.select("features")))
     n = feat.count()
     ks = list(range(2, min(k_max, n - 1) + 1))
     models = fit_all(feat, ks, starts, seed) if ks else {}
@@ -75,7 +75,7 @@ def run(df: DataFrame, cols: list[str] | None = None, key: list[str] | None = No
     new column (the input frame is not modified), 2-D PCA of points and
     centroids."""
     feat, cols = prepare(df, cols, key)
-    feat = cut_lineage(feat)
+    feat = even_out(cut_lineage(feat))
     sweep, models = k_sweep(feat, k_max, seed)
     best = sorted(sweep.collect(), key=lambda r: (-r["silhouette"], r["k"]))[0]["k"]   # <= k_max rows
     assigned = assign_centers(feat, models[best], "cluster")

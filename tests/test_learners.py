@@ -301,3 +301,26 @@ def test_smallest_keeps_the_first_of_equals():
     d = np.array([[3.0, 1, 1, 2, 1, 0], [5, 5, 5, 5, 5, 5], [9, 8, 7, 6, 5, 4]])
     assert smallest(d, 3).tolist() == [[5, 1, 2], [0, 1, 2], [5, 4, 3]]
     assert smallest(d, 9).tolist() == np.argsort(d, axis=1, kind="stable").tolist()
+
+
+def test_class_index_beyond_the_bound_of_learners(spark, monkeypatch):
+    from tablelab.operators import ml as ML
+    monkeypatch.setattr(ML, "MAX_CLASSES", 300)
+    for kind, n in (("string", 301), ("int", 250)):
+        df = spark.range(n).select(F.col("id").cast(kind).alias("y")).union(spark.sql(f"SELECT CAST(NULL AS {kind})"))
+        out, classes = ML.label_index(df, "y")
+        want = {v: float(i) for i, v in enumerate(sorted(str(i) if kind == "string" else i for i in range(n)))} | {None: None}
+        assert {r["y"]: r["label"] for r in out.collect()} == want
+        assert classes == (None if n > 300 else [str(i) for i in range(n)])
+    with pytest.raises(ValueError, match="more than 300 classes"):
+        ML.class_list(None, "y")
+
+
+def test_rows_of_one_partition_are_dealt_evenly(spark, monkeypatch):
+    from tablelab import session
+    monkeypatch.setattr(session, "TASK_ROWS", 10)
+    df = session.cut_lineage(spark.range(0, 1000, 1, 1))
+    sizes = [r["count"] for r in session.even_out(df).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 1000 and max(sizes) <= 2 * 1000 / spark.sparkContext.defaultParallelism
+    even = session.cut_lineage(spark.range(0, 1000, 1, 8))
+    assert session.even_out(even) is even
