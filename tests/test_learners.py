@@ -324,3 +324,44 @@ def test_rows_of_one_partition_are_dealt_evenly(spark, monkeypatch):
     assert sum(sizes) == 1000 and max(sizes) <= 2 * 1000 / spark.sparkContext.defaultParallelism
     even = session.cut_lineage(spark.range(0, 1000, 1, 8))
     assert session.even_out(even) is even
+
+
+def test_kernel_blocks_hold_the_features_only(spark):
+    rng = np.random.RandomState(1)
+    rows = vectors(spark, np.column_stack([rng.randn(300, 3), rng.randint(0, 2, 300)]), ["a", "b", "c"])
+    blocks = KM.feature_blocks(rows)
+    assert blocks.agg(F.sum(F.length("x")), F.sum("n")).first() == (300 * 3 * 8, 300)   # no kernel values on disk
+    x = np.vstack([np.frombuffer(r["x"]).reshape(-1, 3) for r in blocks.collect()])
+    y = np.concatenate([np.frombuffer(r["y"]) for r in blocks.collect()])
+    for mapped in (KM.fit_map(rows, "rbf", "scale"), KM.fit_map(rows, "linear", "scale")):
+        w = rng.randn(1, mapped.width + 1)
+        full = np.hstack([mapped(x), np.ones((len(x), 1))])
+        value, slope = KM.tube(0.1, 0.05)(full @ w.T, y)
+        got, grad = KM.evaluate(blocks, w, KM.tube(0.1, 0.05), mapped)
+        assert got == pytest.approx(value) and np.allclose(grad, slope.T @ full)
+
+
+def test_batches_share_one_place_for_slopes(monkeypatch):
+    from tablelab.operators import network as NW
+    made, real = [], NW.Net.__post_init__
+    monkeypatch.setattr(NW.Net, "__post_init__", lambda self: (made.append(1), real(self))[1])
+    net = NW.Net([3, 8, 4, 1], "linear", NW.Options([8, 4], [0.0, 0.0], batch_norm=True))
+    rng = np.random.RandomState(0)
+    x, y = rng.randn(16, 3), rng.randn(16)
+    first = [net.gradient(x, y, rng)[1] for _ in range(20)][0]
+    assert len(made) == 2
+    other = net.gradient(rng.randn(16, 3), y, rng)[1]
+    assert not np.shares_memory(first, other)   # a later batch does not write into an earlier one's slopes
+
+
+def test_step_of_k_means_against_plain_sums(spark):
+    from tablelab.operators import lloyd
+    best, at = lloyd.nearest(np.array([[1.0, 2, 3], [1, 1, 4], [0, 1, 3]]))
+    assert best.tolist() == [0, 1, 3] and at.tolist() == [2, 1, 0]
+    rng = np.random.RandomState(3)
+    x, models = rng.randn(500, 2), [rng.randn(2, 2), rng.randn(5, 2)]
+    rows = vectors(spark, np.column_stack([x, np.zeros(500)]), ["a", "b"])
+    for m, (sums, counts, inertia) in zip(models, lloyd.step(lloyd.blocks_of(rows), models)):
+        away = ((x[:, None] - m) ** 2).sum(2)
+        hot = np.eye(len(m))[away.argmin(1)]
+        assert np.allclose(sums, hot.T @ x) and np.array_equal(counts, hot.sum(0)) and inertia == pytest.approx(away.min(1).sum())
