@@ -52,28 +52,34 @@ def plus_plus(points: np.ndarray, k: int, rng: np.random.RandomState) -> np.ndar
     return np.array(centers)
 
 
+def nearest(away: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest value of each column of ``away`` (centres x rows) and its centre (ties: the first)."""
+    best, at = away[0].copy(), np.zeros(away.shape[1], np.intp)
+    for j in range(1, len(away)):
+        np.copyto(at, j, where=away[j] < best)
+        np.minimum(best, away[j], out=best)
+    return best, at
+
+
 def step(blocks: DataFrame, models: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
     """One pass: per model the sums and counts by nearest centre (ties: the first) and the inertia."""
     width = models[0].shape[1]
     edges = np.concatenate([[0], np.cumsum([len(m) for m in models])])
-    centers = np.vstack(models)
-    norms = (centers * centers).sum(1)
+    norms = [(m * m).sum(1)[:, None] for m in models]
     size = int(edges[-1]) * (width + 1) + len(models)
 
     def run(batches):
         sums, counts, inertia = np.zeros((edges[-1], width)), np.zeros(edges[-1]), np.zeros(len(models))
         for b in batches:
             for n, x in zip(b.column(0).to_pylist(), b.column(1)):
-                x = np.frombuffer(x.as_buffer()).reshape(n, -1)
-                away = norms - 2 * (x @ centers.T)
-                own = (x * x).sum(1)
+                x = np.ascontiguousarray(np.frombuffer(x.as_buffer()).reshape(n, -1).T)
+                own = (x * x).sum(0)
                 for i, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])):
-                    at = away[:, lo:hi].argmin(1)
-                    inertia[i] += np.maximum(own + away[np.arange(n), lo + at], 0).sum()
-                    hot = np.zeros((n, hi - lo))
-                    hot[np.arange(n), at] = 1
-                    sums[lo:hi] += hot.T @ x
-                    counts[lo:hi] += hot.sum(0)
+                    best, at = nearest(norms[i] - 2 * (models[i] @ x))
+                    inertia[i] += np.maximum(own + best, 0).sum()
+                    for j in range(width):
+                        sums[lo:hi, j] += np.bincount(at, x[j], hi - lo)
+                    counts[lo:hi] += np.bincount(at, minlength=hi - lo)
         yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([sums.ravel(), counts, inertia]).tobytes()], pa.binary())], names=["b"])
 
     got = summed_blobs(blocks.mapInArrow(run, "b binary"), size)
