@@ -10,7 +10,6 @@ reference ("first 6 columns") are parameters chosen by the caller.
 from __future__ import annotations
 
 import math
-from concurrent.futures import ThreadPoolExecutor
 from statistics import NormalDist
 
 from pyspark.sql import DataFrame, Window
@@ -20,6 +19,7 @@ from tablelab.functions.stats import (VALUES_PER_BUCKET, attach, average_ranks,
                                       hash_sample, normal_quantile_sql, pairwise_sums, prefix_sums, q, quantiles_wide, rank_table,
                                       sample_kurt, sample_skew, top_k_per_group, unpivot, value_counts)
 from tablelab.operators.profile import moments, string_value_counts
+from tablelab.session import cut_lineage
 
 
 def _round(c, d=6):
@@ -344,44 +344,80 @@ def trend_lines(df: DataFrame, cols: list[str], min_rows: int = 5) -> DataFrame:
         _round(F.col("intercept"), 4).alias("intercept"))
 
 
+BROADCAST_RANKS = 50_000   # distinct values (by estimate) up to which a column's ranks are broadcast
+HOT_SHARE, SALTS = 1_000, 1_024   # values of more than one row in so many don't meet at one task
+
+
 def spearman_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     """Pairwise-complete Spearman rho (average ranks, then Pearson).
 
-    For each pair one scan counts the distinct (a, b); the values' ranks on
-    either side come from the marginal sums of these counts, and rho is the
-    count-weighted correlation of the ranks.  A value that a third of the rows
-    share is combined map-side before any join.  Upper triangle, mirror, and a
-    diagonal that is null for a constant column."""
+    Columns without missing values share their rows, so a pair's rows are those where
+    its columns that have missing ones are present (its domain).  A column is counted by value
+    once, with a count for each domain it is ranked in; running sums give the ranks in all
+    of them, one join takes these to the rows, and one aggregate sums all pairs.  Ranks of
+    few values are broadcast, so are those of values that many rows share.  Upper triangle, mirror,
+    and a diagonal that is null for a constant column."""
     spark = df.sparkSession
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
     xs = [q(c).cast("double") for c in cols]
-    st = df.agg(*[F.min(x).alias(f"a{i}") for i, x in enumerate(xs)], *[F.max(x).alias(f"z{i}") for i, x in enumerate(xs)],
-                F.count(F.lit(1)).alias("n")).first()
-    bound = st["n"] if st["n"] <= VALUES_PER_BUCKET else None
-    parts = []
-    for i, j in pairs:
-        counts = (df.select(xs[i].alias("a"), xs[j].alias("b")).dropna().groupBy("a", "b").agg(F.count(F.lit(1)).alias("w")))
-        sides = []
-        for side in "ab":
-            vc = counts.groupBy(side).agg(F.sum("w").alias("cnt")).withColumn("pair", F.lit(0))
-            ranks = average_ranks(prefix_sums(vc, "pair", side, ("cnt",), bound).withColumnRenamed("cnt_before", "cum_before"))
-            sides.append(ranks.select(side, F.col("avg_rank").alias(f"r{side}")))
-        r = counts.join(sides[0], "a").join(sides[1], "b")
-        w, ra, rb = F.col("w"), F.col("ra"), F.col("rb")
-        parts.append(r.agg(F.sum(w).cast("double").alias("n"), F.sum(w * ra).alias("sa"), F.sum(w * rb).alias("sb"),
-                           F.sum(w * ra * ra).alias("saa"), F.sum(w * rb * rb).alias("sbb"), F.sum(w * ra * rb).alias("sab"))
-                     .select(F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"), "n", "sa", "sb", "saa", "sbb", "sab"))
-    rows = [(c, c, 1.0 if st[f"a{i}"] is not None and st[f"a{i}"] != st[f"z{i}"] else None) for i, c in enumerate(cols)]
-    with ThreadPoolExecutor(max_workers=8) as pool:   # pairs are independent jobs of one result row each
-        found = [r for rows_of in pool.map(lambda part: part.collect(), parts) for r in rows_of]
-    for r in found:
+    xs = [F.when(~F.isnan(x), x) for x in xs]
+    st = df.agg(*[F.min(q(c).cast("double")).alias(f"a{i}") for i, c in enumerate(cols)],
+                *[F.max(q(c).cast("double")).alias(f"z{i}") for i, c in enumerate(cols)],
+                *[F.count(x).alias(f"n{i}") for i, x in enumerate(xs)],
+                *[F.approx_count_distinct(x).alias(f"d{i}") for i, x in enumerate(xs)], F.count(F.lit(1)).alias("n")).first()
+    part = {i for i in range(len(cols)) if st[f"n{i}"] < st["n"]}   # columns with missing values
+    domain = {p: tuple(sorted(part & set(p))) for p in pairs}
+    ranked_in = {i: sorted({d for p, d in domain.items() if i in p}) for i in range(len(cols))}
+    rows = df.select(*[x.alias(f"x{i}") for i, x in enumerate(xs)])
+
+    def present(d):
+        return F.lit(True) if not d else F.expr(" AND ".join(f"x{k} IS NOT NULL" for k in d))
+
+    def ranks(i):
+        """r<i>_<k>: average rank of a value of column i in its k-th domain; cnt: its rows."""
+        names = [f"c{k}" for k in range(len(ranked_in[i]))]
+        counts = (rows.where(f"x{i} IS NOT NULL").groupBy(F.col(f"x{i}").alias("v"))
+                  .agg(F.count(F.lit(1)).alias("cnt"), *[F.count_if(present(d)).alias(c) for c, d in zip(names, ranked_in[i])])
+                  .withColumn("column", F.lit(i)))
+        bound = min(st[f"n{i}"], int(1.1 * st[f"d{i}"]) + 1)
+        if bound > VALUES_PER_BUCKET:   # then counts are read three times
+            counts = cut_lineage(counts)
+        return prefix_sums(counts, "column", "v", tuple(names), bound).select(
+            F.col("v").alias(f"x{i}"), F.col("cnt").alias("__cnt"),
+            *[(F.col(f"{c}_before") + (F.col(c) + 1) / 2.0).alias(f"r{i}_{k}") for k, c in enumerate(names)])
+
+    joined = rows
+    for i in sorted((i for i in ranked_in if ranked_in[i]), key=lambda i: -st[f"d{i}"]):
+        table, key = ranks(i), f"x{i}"
+        if st[f"d{i}"] <= BROADCAST_RANKS:
+            joined = joined.join(F.broadcast(table.drop("__cnt")), key, "left")
+            continue
+        table = cut_lineage(table)
+        is_hot = F.col("__cnt") > st["n"] // HOT_SHARE
+        names = [c for c in table.columns if c not in (key, "__cnt")]
+        hot = table.where(is_hot).select(key, *[F.col(c).alias(f"__hot_{c}") for c in names])   # at most HOT_SHARE values
+        joined = joined.join(F.broadcast(hot), key, "left").withColumn("__salt", F.when(
+            F.col(key).isNull() | F.col(f"__hot_{names[0]}").isNotNull(), F.pmod(F.xxhash64(*[f"x{k}" for k in range(len(cols))]), F.lit(SALTS)) + 1).otherwise(0))
+        cold = table.where(~is_hot).select(key, *names, F.lit(0).cast("long").alias("__salt"))
+        joined = joined.join(cold, [key, "__salt"], "left").select(
+            *[c for c in joined.columns if not c.startswith("__")],
+            *[F.coalesce(c, f"__hot_{c}").alias(c) for c in names])
+    sums = []
+    for n, p in enumerate(pairs):
+        both = present(domain[p])
+        ra, rb = (F.when(both, F.col(f"r{i}_{ranked_in[i].index(domain[p])}")) for i in p)
+        sums += [F.count(ra).cast("double").alias(f"n{n}"), F.sum(ra).alias(f"sa{n}"), F.sum(rb).alias(f"sb{n}"),
+                 F.sum(ra * ra).alias(f"saa{n}"), F.sum(rb * rb).alias(f"sbb{n}"), F.sum(ra * rb).alias(f"sab{n}")]
+    rows_out = [(c, c, 1.0 if st[f"a{i}"] is not None and st[f"a{i}"] != st[f"z{i}"] else None) for i, c in enumerate(cols)]
+    r = joined.agg(*sums).first() if sums else None
+    for n, (i, j) in enumerate(pairs):
         rho = None
-        if r["n"]:
-            va, vb = r["saa"] - r["sa"] ** 2 / r["n"], r["sbb"] - r["sb"] ** 2 / r["n"]
+        if r[f"n{n}"]:
+            va, vb = r[f"saa{n}"] - r[f"sa{n}"] ** 2 / r[f"n{n}"], r[f"sbb{n}"] - r[f"sb{n}"] ** 2 / r[f"n{n}"]
             if va > 0 and vb > 0:
-                rho = round((r["sab"] - r["sa"] * r["sb"] / r["n"]) / math.sqrt(va * vb), 6)
-        rows += [(r["col_a"], r["col_b"], rho), (r["col_b"], r["col_a"], rho)]
-    return spark.createDataFrame(rows, "col_a string, col_b string, rho double")
+                rho = round((r[f"sab{n}"] - r[f"sa{n}"] * r[f"sb{n}"] / r[f"n{n}"]) / math.sqrt(va * vb), 6)
+        rows_out += [(cols[i], cols[j], rho), (cols[j], cols[i], rho)]
+    return spark.createDataFrame(rows_out, "col_a string, col_b string, rho double")
 
 
 # --------------------------------------------------------------------------
