@@ -12,6 +12,8 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -551,29 +553,49 @@ def kde_curve(df: DataFrame, cols: list[str], grid: int = 100, min_n: int = 6) -
 
 def bivariate_density(df: DataFrame, cols: list[str], bins: int = 20, min_rows: int = 5) -> DataFrame:
     """Counts on a bins x bins grid over rows where both are present, for
-    all pairs of ``cols``: one scan for all ranges, one for all joint histograms."""
+    all pairs of ``cols``: one scan for all ranges, one for all joint histograms, of which a
+    task adds up its own (pairs x bins x bins numbers) before they are summed."""
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
     if not pairs:
         return df.sparkSession.createDataFrame([], "col_x string, col_y string, bx int, by int, cnt long")
     x = [q(c).cast("double") for c in cols]
+    # ranges by pattern of missing columns first: two numbers a column, not four a pair
+    known = F.array(*[v.isNotNull() for v in x])
+    ranges = df.groupBy(known.alias("known")).agg(F.count(F.lit(1)).alias("n"), *[
+        f(v).alias(f"{n}{i}") for i, v in enumerate(x) for n, f in (("lo", F.min), ("hi", F.max))])
     aggs = []
     for k, (i, j) in enumerate(pairs):
-        both = x[i].isNotNull() & x[j].isNotNull()
-        aggs += [f(F.when(both, x[v])).alias(f"{n}{k}") for n, f, v in (("a", F.min, i), ("b", F.max, i), ("c", F.min, j), ("d", F.max, j))]
-        aggs.append(F.count(F.when(both, 1)).alias(f"n{k}"))
-    r = df.agg(*aggs).first()
+        both = F.get("known", F.lit(i)) & F.get("known", F.lit(j))
+        aggs += [f(F.when(both, F.col(v))).alias(f"{n}{k}") for n, f, v in (
+            ("a", F.min, f"lo{i}"), ("b", F.max, f"hi{i}"), ("c", F.min, f"lo{j}"), ("d", F.max, f"hi{j}"))]
+        aggs.append(F.coalesce(F.sum(F.when(both, F.col("n"))), F.lit(0)).alias(f"n{k}"))
+    r = ranges.agg(*aggs).first()
+
+    ends = [(k, i, j, *(r[f"{n}{k}"] for n in "abcd")) for k, (i, j) in enumerate(pairs) if r[f"n{k}"] >= min_rows]
+    if not ends:
+        return df.sparkSession.createDataFrame([], "col_x string, col_y string, bx int, by int, cnt long")
 
     def cell(v, low, high):
-        return (F.least(F.floor((v - F.lit(low)) / F.lit(high - low) * bins), F.lit(bins - 1)) if high > low else F.lit(0)).cast("int")
+        if not high > low:
+            return np.zeros(len(v), int)
+        with np.errstate(invalid="ignore"):   # infinite ends
+            return np.minimum(np.nan_to_num(np.floor((v - low) / (high - low) * bins)), bins - 1).astype(int)
+
+    def count(batches):
+        total = np.zeros((len(pairs), bins * bins), int)
+        for batch in batches:
+            known = [c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns]
+            values = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            for k, i, j, *e in ends:
+                at = np.flatnonzero(known[i] & known[j])
+                total[k] += np.bincount(cell(values[i][at], *e[:2]) * bins + cell(values[j][at], *e[2:]), minlength=bins * bins)
+        k, c = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(c // bins, pa.int32()), pa.array(c % bins, pa.int32()),
+                                          pa.array(total[k, c], pa.int64())], names=["pair", "bx", "by", "cnt"])
 
-    cells = [F.when(x[i].isNotNull() & x[j].isNotNull(), F.struct(
-        F.lit(k).alias("pair"), cell(x[i], r[f"a{k}"], r[f"b{k}"]).alias("bx"), cell(x[j], r[f"c{k}"], r[f"d{k}"]).alias("by")))
-        for k, (i, j) in enumerate(pairs) if r[f"n{k}"] >= min_rows]
-    if not cells:
-        return df.sparkSession.createDataFrame([], "col_x string, col_y string, bx int, by int, cnt long")
     names = [F.element_at(F.create_map(*[y for k, p in enumerate(pairs) for y in (F.lit(k), F.lit(cols[p[v]]))]), F.col("pair")) for v in (0, 1)]
-    return (df.select(F.explode(F.array(*cells)).alias("s")).where(F.col("s").isNotNull()).select("s.*")
-            .groupBy("pair", "bx", "by").agg(F.count(F.lit(1)).cast("long").alias("cnt"))
+    return (df.select(*[v.alias(f"x{i}") for i, v in enumerate(x)]).mapInArrow(count, "pair int, bx int, by int, cnt long")
+            .groupBy("pair", "bx", "by").agg(F.sum("cnt").cast("long").alias("cnt"))
             .select(names[0].alias("col_x"), names[1].alias("col_y"), "bx", "by", "cnt"))
 
 
