@@ -49,3 +49,31 @@ def test_rows_without_sums_are_left_to_the_plain_pipeline(spark):
     assert LS.fit_all(rows, ["__f_a"], est, 2) == {}
     assert LS.fit_all(rows.withColumn("__f_a", F.lit(None).cast("double")), ["__f_a"], est, 2) == {}
     assert LS.fit_all(rows.withColumn("__f_a", F.lit(1.0)), ["__f_a"], est, 2) == {}   # a fold without training rows
+
+
+def counted(spark, column):
+    """The column through a function that counts its calls."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def same(v):
+        calls.add(1)
+        return v
+
+    return calls, F.udf(same, "double")(column)
+
+
+def test_multiclass_auc_makes_its_scores_once(spark):
+    df = spark.createDataFrame([(float(i % 3), (i * 7 % 11) / 11, (i * 5 % 13) / 13) for i in range(60)], "y double, a double, b double")
+    calls, a = counted(spark, F.col("a"))
+    want = [ML.MT.roc_auc(df, "y", c, cls, 12).first() for cls, c in ((0.0, "a"), (1.0, "b"))]
+    got = ML.MT.roc_auc_ovr(df.withColumn("a", a), "y", {0.0: "a", 1.0: "b"}, 12).first()["roc_auc"]
+    assert got == pytest.approx(sum(w["roc_auc"] * w["n_pos"] for w in want) / sum(w["n_pos"] for w in want), abs=1e-11)
+    assert calls.value == 60
+
+
+def test_split_counts_its_keys_once(spark):
+    df = spark.range(200).withColumn("y", F.lit(1.0))
+    calls, key = counted(spark, F.col("id").cast("double"))
+    out = ML.train_test_split(df.withColumn("k", key), ["k"])
+    assert out.where("is_test").count() == 40
+    assert calls.value == 400   # once for the counts, once for the rows
