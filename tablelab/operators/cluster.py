@@ -8,15 +8,14 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.evaluation import ClusteringEvaluator
+import pyarrow as pa
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablelab.functions.stats import attach, q
-from tablelab.operators.lloyd import fit_all
+from tablelab.operators.lloyd import blocks_of, drawn, fit_blocks, silhouettes
 from tablelab.operators.preprocess import fit_impute, fit_scale, numeric_cols
 from tablelab.session import cut_lineage, even_out
 
@@ -36,25 +35,27 @@ def prepare(df: DataFrame, cols: list[str] | None = None, key: list[str] | None
 
 def k_sweep(feat: DataFrame, k_max: int = 10, seed: int = 42, starts: int = 10) -> tuple[DataFrame, dict]:
     """C2 + C3: for k = 2..min(k_max, n-1): k-means inertia, the best of ``starts``
-    runs, and silhouette (Spark's evaluator: squared-Euclidean silhouette, computed
-    in O(n k)); also the centres by k."""
-    feat = even_out(cut_lineage(feat.select("features")))
+    runs, and silhouette (of squared Euclidean distances as in Spark's evaluator, computed
+    in O(n k), all k in two passes); also the centres by k."""
+    feat = even_out(feat.select("features"))
     n = feat.count()
     ks = list(range(2, min(k_max, n - 1) + 1))
-    models = fit_all(feat, ks, starts, seed) if ks else {}
-    ev = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
-    rows = [(k, models[k][1], float(ev.evaluate(assign_centers(feat, models[k][0], "prediction")))) for k in ks]
+    models, scores = {}, []
+    if ks:
+        points = drawn(feat, seed)
+        blocks = blocks_of(feat, points)
+        models = fit_blocks(blocks, points, ks, starts, seed)
+        scores = silhouettes(blocks, [models[k][0] for k in ks])
+    rows = [(k, models[k][1], s) for k, s in zip(ks, scores)]
     return feat.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double"), {k: m[0] for k, m in models.items()}
 
 
 def assign_centers(feat: DataFrame, centers: np.ndarray, out: str) -> DataFrame:
     """Index of the nearest centre (ties: the first) of the vector column ``features``."""
-    @F.pandas_udf("int")
-    def near(x: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype="int32")
-        x = np.stack(x.to_numpy())
-        return pd.Series(((centers * centers).sum(1) - 2 * (x @ centers.T)).argmin(1).astype("int32"))
+    @F.arrow_udf("int")
+    def near(x: pa.Array) -> pa.Array:
+        x = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1) if len(x) else np.zeros((0, centers.shape[1]))
+        return pa.array(((centers * centers).sum(1) - 2 * (x @ centers.T)).argmin(1), pa.int32())
 
     return feat.withColumn(out, near(vector_to_array("features")))
 

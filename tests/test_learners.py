@@ -365,3 +365,48 @@ def test_step_of_k_means_against_plain_sums(spark):
         away = ((x[:, None] - m) ** 2).sum(2)
         hot = np.eye(len(m))[away.argmin(1)]
         assert np.allclose(sums, hot.T @ x) and np.array_equal(counts, hot.sum(0)) and inertia == pytest.approx(away.min(1).sum())
+
+
+def test_balls_of_rows_give_the_sums_of_single_rows(spark, monkeypatch):
+    from tablelab.operators import lloyd
+    monkeypatch.setattr(lloyd, "LEAST_ROWS", 500)
+    rng = np.random.RandomState(5)
+    x = np.column_stack([rng.randn(6001), rng.randint(0, 9, 6001), np.where(rng.rand(6001) < 0.5, 1.0, rng.randn(6001))])
+    x[:2500] = x[0]                                   # a crowded place: its region has several blocks
+    rows = vectors(spark, np.column_stack([x, np.zeros(len(x))]), ["a", "b", "c"]).repartition(3)
+    blocks = lloyd.blocks_of(rows).cache()
+    got = blocks.collect()
+    assert len(got) > 8 and sum(r.n for r in got) == len(x) and max(r.n for r in got) <= 3000
+    kept = np.vstack([np.frombuffer(r.x).reshape(r.leaves, -1, 3)[np.arange(len(r.x) // 24 // r.leaves) <
+                      np.frombuffer(r.leaf).reshape(r.leaves, -1)[:, :1]] for r in got])
+    assert np.array_equal(kept[np.lexsort(kept.T)], x[np.lexsort(x.T)])
+    singles = []
+    real = lloyd.Sums.single
+    models = [x[rng.choice(len(x), k)] + rng.randn(k, 3) * 0.1 for k in (2, 3, 10)]
+    for r in got:                                     # whole balls are added for most rows
+        s = lloyd.Sums(models[0])
+        monkeypatch.setattr(lloyd.Sums, "single", lambda self, part: (singles.append(part.shape[1]), real(self, part))[1])
+        s.block(*next(lloyd.opened([lloyd._batch(r.asDict())], 3)))
+    assert 0 < sum(singles) < 0.5 * len(x)
+    for m, (sums, counts, inertia) in zip(models, lloyd.step(blocks, models)):
+        away = ((x[:, None] - m) ** 2).sum(2)
+        hot = np.eye(len(m))[away.argmin(1)]
+        assert np.allclose(sums, hot.T @ x) and np.array_equal(counts, hot.sum(0)) and inertia == pytest.approx(away.min(1).sum())
+
+
+def test_silhouettes_match_sparks_evaluator(spark, monkeypatch):
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from tablelab.operators import cluster as CL, lloyd
+    rng = np.random.RandomState(6)
+    x = np.vstack([rng.randn(300, 2) + c for c in ((0, 0), (6, 0), (0, 6))] + [[[40, 40]]])   # one row alone
+    rows = vectors(spark, np.column_stack([x, np.zeros(len(x))]), ["a", "b"])
+    models = [np.array(c, float) for c in ([[0, 0], [6, 0]], [[0, 0], [6, 0], [0, 6], [40, 40]], [[0, 1], [5, 0], [90, 90]])]
+    calls = []
+    monkeypatch.setattr(ClusteringEvaluator, "evaluate", lambda *a: calls.append(1))
+    sweep, _ = CL.k_sweep(rows, 3)                    # the sweep makes no pass per k
+    assert not calls and {r.k for r in sweep.collect()} == {2, 3}
+    monkeypatch.undo()
+    for m, got in zip(models, lloyd.silhouettes(lloyd.blocks_of(rows), models)):
+        assert got == pytest.approx(ClusteringEvaluator().evaluate(CL.assign_centers(rows, m, "prediction")))
+    with pytest.raises(ValueError):
+        lloyd.silhouettes(lloyd.blocks_of(rows), [np.array([[0.0, 0], [900, 900]])])
