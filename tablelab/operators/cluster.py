@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tablelab.functions.stats import attach, q
 from tablelab.operators.lloyd import blocks_of, drawn, fit_blocks, silhouettes
 from tablelab.operators.preprocess import fit_impute, fit_scale, numeric_cols
-from tablelab.session import cut_lineage, even_out
+from tablelab.session import even_out
 
 
 def prepare(df: DataFrame, cols: list[str] | None = None, key: list[str] | None = None) -> tuple[DataFrame, list[str]]:
@@ -76,7 +76,7 @@ def run(df: DataFrame, cols: list[str] | None = None, key: list[str] | None = No
     new column (the input frame is not modified), 2-D PCA of points and
     centroids."""
     feat, cols = prepare(df, cols, key)
-    feat = even_out(cut_lineage(feat))
+    feat = even_out(feat)   # read again rather than written, unless few tasks hold its rows
     sweep, models = k_sweep(feat, k_max, seed)
     best = sorted(sweep.collect(), key=lambda r: (-r["silhouette"], r["k"]))[0]["k"]   # <= k_max rows
     assigned = assign_centers(feat, models[best], "cluster")
