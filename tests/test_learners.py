@@ -410,3 +410,33 @@ def test_silhouettes_match_sparks_evaluator(spark, monkeypatch):
         assert got == pytest.approx(ClusteringEvaluator().evaluate(CL.assign_centers(rows, m, "prediction")))
     with pytest.raises(ValueError):
         lloyd.silhouettes(lloyd.blocks_of(rows), [np.array([[0.0, 0], [900, 900]])])
+
+
+def test_network_blocks_are_dealt_evenly_over_cores(spark, monkeypatch):
+    from tablelab.operators import network as NW
+    assert NW.rounds([5, 5, 5, 5, 5, 5, 5], 6) == 10 and NW.rounds([4, 3, 3], 3) == 4
+    rng = np.random.RandomState(8)
+    cores = spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(NW, "BLOCK_ROWS", 20)
+    rows = vectors(spark, np.column_stack([rng.randn(800 * cores, 2), rng.randint(0, 2, 800 * cores)]), ["a", "b"])
+    for parts, wanted in ((cores + 1, cores), (cores, cores), (3 * cores, 3 * cores)):   # the last of cores + 1 tasks is a second round
+        blocks = NW.network_blocks(rows.repartition(parts), 0.25)
+        dealt = [r["n"] for r in blocks.groupBy(F.spark_partition_id().alias("p")).agg(F.sum("n").alias("n")).collect()]
+        assert len(dealt) == wanted and NW.rounds(dealt, cores) < 1.5 * 800 and sum(dealt) == 800 * cores
+    assert NW.network_blocks(rows.limit(300).repartition(3), 0.25).rdd.getNumPartitions() == 3
+
+
+@pytest.mark.parametrize("activation, norm", [("relu", True), ("tanh", True), ("elu", False)])
+def test_training_batches_share_places_and_match_the_plain_pass(activation, norm):
+    from tablelab.operators import network as NW
+    rng = np.random.RandomState(9)
+    x, y = rng.randn(64, 3), rng.randint(0, 3, 64).astype(float)
+    net = NW.Net([3, 8, 4, 3], "softmax", NW.Options([8, 4], [0.2, 0.0], activation=activation, batch_norm=norm))
+    plain = NW.Net(net.sizes, net.head, net.options, net.theta)
+    for rows in (64, 20, 64):
+        a = plain.forward(x[:rows], np.random.RandomState(rows))[0]
+        b = net.forward_batch(x[:rows], np.random.RandomState(rows), net.space(rows))[0]
+        assert np.array_equal(a, b) and np.array_equal(net.theta, plain.theta)   # running means move alike
+    first = net.space(64)[0]["z"]
+    net.gradient(x, y, np.random.RandomState(1))
+    assert net.space(64)[0]["z"] is first             # no new places for a batch of known size
