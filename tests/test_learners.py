@@ -414,7 +414,8 @@ def test_silhouettes_match_sparks_evaluator(spark, monkeypatch):
 
 def test_network_blocks_are_dealt_evenly_over_cores(spark, monkeypatch):
     from tablelab.operators import network as NW
-    assert NW.rounds([5, 5, 5, 5, 5, 5, 5], 6) == 10 and NW.rounds([4, 3, 3], 3) == 4
+    from tablelab.session import rounds
+    assert rounds([5, 5, 5, 5, 5, 5, 5], 6) == 10 and rounds([4, 3, 3], 3) == 4
     rng = np.random.RandomState(8)
     cores = spark.sparkContext.defaultParallelism
     monkeypatch.setattr(NW, "BLOCK_ROWS", 20)
@@ -422,7 +423,7 @@ def test_network_blocks_are_dealt_evenly_over_cores(spark, monkeypatch):
     for parts, wanted in ((cores + 1, cores), (cores, cores), (3 * cores, 3 * cores)):   # the last of cores + 1 tasks is a second round
         blocks = NW.network_blocks(rows.repartition(parts), 0.25)
         dealt = [r["n"] for r in blocks.groupBy(F.spark_partition_id().alias("p")).agg(F.sum("n").alias("n")).collect()]
-        assert len(dealt) == wanted and NW.rounds(dealt, cores) < 1.5 * 800 and sum(dealt) == 800 * cores
+        assert len(dealt) == wanted and rounds(dealt, cores) < 1.5 * 800 and sum(dealt) == 800 * cores
     assert NW.network_blocks(rows.limit(300).repartition(3), 0.25).rdd.getNumPartitions() == 3
 
 
@@ -440,3 +441,18 @@ def test_training_batches_share_places_and_match_the_plain_pass(activation, norm
     first = net.space(64)[0]["z"]
     net.gradient(x, y, np.random.RandomState(1))
     assert net.space(64)[0]["z"] is first             # no new places for a batch of known size
+
+
+def test_kernel_values_of_a_pass_take_one_product(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x, z = rng.normal(size=(500, 3)) * 5, rng.normal(size=(40, 3))
+    m = KM.KernelMap("rbf", 0.4, z)
+    plain, calls = KM.kernel_values(x, z, "rbf", 0.4), []
+    monkeypatch.setattr(KM, "kernel_values", lambda *a: calls.append(1))
+    assert np.allclose(m.values(x), plain, atol=1e-13) and m.values(z).max() <= 1 and not calls
+    monkeypatch.undo()
+    cores = spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(KM, "BLOCK_ROWS", 20)
+    rows = vectors(spark, np.column_stack([rng.normal(size=(800 * cores, 2)), rng.integers(0, 2, 800 * cores)]), ["a", "b"])
+    blocks = KM.feature_blocks(rows.repartition(cores + 1))   # the last task would be a second round
+    assert blocks.rdd.getNumPartitions() == cores and blocks.agg(F.sum("n")).first()[0] == 800 * cores
