@@ -9,6 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from tablelab.operators import cells as CE
+from tablelab.operators import grown_trees as GT
 from tablelab.operators import ml as ML
 from tablelab.operators import stages as ST
 
@@ -80,3 +81,22 @@ def test_large_tables_of_alike_rows_are_grouped_and_subsampled_learners_are_not(
     two = ML.classifiers({}, 10, 2, 2)
     assert isinstance(two["Gradient Boosting"], CE.CellTrees) and isinstance(two["AdaBoost"], CE.CellTrees)
     assert isinstance(two["XGBoost"], C.GBTClassifier) and isinstance(ML.classifiers({}, 10, 3, 2)["CatBoost"], C.OneVsRest)
+
+
+@pytest.mark.parametrize("classes, label", [(0, "y"), (2, "c")])
+def test_extra_trees_of_weighted_cells_are_those_of_single_rows(rows, monkeypatch, tmp_path, classes, label):
+    data = rows.select("features", F.col(label).alias("label"))
+    learner = GT.ExtraTrees(classes, 8, 5, 2, 3, 2)
+    plain = learner.fit(data)
+    monkeypatch.setattr(CE, "PLAIN_ROWS", 100)
+    passes, real = [], GT.one_pass
+    monkeypatch.setattr(GT, "one_pass", lambda blocks, *a, **k: (passes.append(blocks.agg(F.sum("n")).first()[0]), real(blocks, *a, **k))[1])
+    model = learner.fit(data)
+    assert max(passes) <= 12 * 9 * 2                  # a pass reads cells, not 4,000 rows
+    for t, p in zip(model.model.trees, plain.trees):
+        assert [x.split(" value")[0] for x in t.toDebugString.split("\n")] == [x.split(" value")[0] for x in p.toDebugString.split("\n")]
+    a, b = (sorted((tuple(r[0]), r[1]) for r in m.transform(data).select("features", "prediction").collect()) for m in (model, plain))
+    assert np.allclose([x[1] for x in a], [x[1] for x in b])
+    PipelineModel([model]).save(str(tmp_path / "m"))
+    again = PipelineModel.load(str(tmp_path / "m")).transform(data)
+    assert np.allclose([x[1] for x in a], [x[1] for x in sorted((tuple(r[0]), r[1]) for r in again.select("features", "prediction").collect())])
